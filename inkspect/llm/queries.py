@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup
+from . import exact_dedup, line_dedup, packing, simhash, tokenise
 
 
 def queries():
     return {
+        "op1_packing": packing.op1_packing,
+        "op2_bpe": tokenise.op2_bpe,
+        "op5_simhash": simhash.op5_simhash,
         "op7_line_dedup": line_dedup.op7_line_dedup,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     }
