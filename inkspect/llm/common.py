@@ -35,12 +35,17 @@ def materialise(df: DataFrame, name: str, partition_by: str | None = None) -> Da
     """Write ``df`` to a Parquet table in the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs a re-read of finished files and
-    no recomputation of what came before.
+    no recomputation of what came before.  The shuffle files behind the table are
+    of no more use then and go at once.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    spark, tidy = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    path, before = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", spark.conf.get(tidy, "false")
+    spark.conf.set(tidy, "true")
+    try:
+        writer = df.write.option("compression", "zstd")
+        (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    finally:
+        spark.conf.set(tidy, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
