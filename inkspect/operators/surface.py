@@ -10,6 +10,7 @@ Options are lenient: an option of the wrong type keeps its default.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -163,13 +164,13 @@ def no_todo(text: Column, options: dict) -> Column:
     patterns = patterns or MARKERS
     ignored = [p for p in strings(options, "ignore_patterns") or [] if p]
     case = "" if flag(options, "case_sensitive", False) else "(?iu)"
-    out = []
-    for pattern in patterns:
+    skip = F.lit("|".join(case + quote(p) for p in ignored))
+
+    def one(pattern: str) -> Column:
         found = matches(text, case + quote(pattern))
-        for p in ignored:
-            found = F.filter(found, lambda m, p=p: ~F.rlike(m["value"], F.lit(case + quote(p))))
-        out.append(hits(found, say("marker", pattern.rstrip())))
-    return F.concat(*out)
+        return hits(F.filter(found, lambda m: ~F.rlike(m["value"], skip)) if ignored else found, say("marker", pattern.rstrip()))
+
+    return F.concat(*map(one, patterns))
 
 
 def no_invalid_control_character(text: Column, options: dict) -> Column:
@@ -179,29 +180,29 @@ def no_invalid_control_character(text: Column, options: dict) -> Column:
 def no_unmatched_pair(text: Column, options: dict) -> Column:
     """Openers left open at the node's end, by type; with detectOrphanedClosers also closers whose type is not open."""
     orphans = flag(options, "detectOrphanedClosers", False)
-    out, any_mark = [], char_class("".join(dict.fromkeys(a + b for a, b, _, _ in PAIRS)))
-    for opener, closer, name, reportable in PAIRS:
-        found = matches(text, char_class(opener if opener == closer else opener + closer))
-        nothing = F.lit(None).cast("int")
+    mark = "struct<start:int,end:int,value:string>"
 
-        def step(at: Column, m: Column, opener=opener, closer=closer) -> Column:
+    def one(opener: str, closer: str, name: str, reportable: bool) -> Column:
+        def opened(at: Column, m: Column) -> Column:
             if opener == closer:
                 return F.when(at.isNull(), m["start"])
             return F.when(m["value"] == opener, F.coalesce(at, m["start"]))
 
-        left = F.aggregate(found, nothing, step)
-        width = len(opener.encode())
-        open_hit = F.array(F.struct(left.alias("start"), (left + width).alias("end"), F.lit(opener).alias("value")))
-        out.append(hits(F.when(left.isNotNull(), open_hit).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>")), say("open", opener, name)))
-        if orphans and reportable:
-            state = F.struct(F.lit(False).alias("open"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
+        def lost(acc: Column, m: Column) -> Column:
+            alone = (m["value"] != opener) & ~acc["open"]
+            return F.struct((m["value"] == opener).alias("open"), F.when(alone, F.concat(acc["out"], F.array(m))).otherwise(acc["out"]).alias("out"))
 
-            def walk(acc: Column, m: Column, opener=opener) -> Column:
-                lost = (m["value"] != opener) & ~acc["open"]
-                return F.struct((m["value"] == opener).alias("open"), F.when(lost, F.concat(acc["out"], F.array(m))).otherwise(acc["out"]).alias("out"))
+        found = matches(text, char_class(opener if opener == closer else opener + closer))
+        left = F.array(F.aggregate(found, F.lit(None).cast("int"), opened))
+        still = F.transform(F.filter(left, lambda at: at.isNotNull()), lambda at: F.struct(at.alias("start"), (at + len(opener.encode())).alias("end"), F.lit(opener).alias("value")))
+        out = hits(still, say("open", opener, name))
+        if orphans and reportable:
+            state = F.struct(F.lit(False).alias("open"), F.array().cast(f"array<{mark}>").alias("out"))
+            out = F.concat(out, hits(F.aggregate(found, state, lost, lambda acc: acc["out"]), say("close", closer, name)))
+        return out
 
-            out.append(hits(F.aggregate(found, state, walk, lambda acc: acc["out"]), say("close", closer, name)))
-    return F.when(F.rlike(text, F.lit(any_mark)), F.concat(*out)).otherwise(no_hits())
+    any_mark = char_class("".join(dict.fromkeys(a + b for a, b, _, _ in PAIRS)))
+    return F.when(F.rlike(text, F.lit(any_mark)), F.concat(*(one(*pair) for pair in PAIRS))).otherwise(no_hits())
 
 
 def ja_unnatural_alphabet(text: Column, options: dict) -> Column:
@@ -248,8 +249,6 @@ def _expand(template: str, match) -> str:
 
 def _regex_terms(text: Column, terms: list[tuple[str, str]]) -> Column:
     """Hits of (pattern, template) pairs; templates with groups are beyond Spark's replacement, so Arrow batches go to Python."""
-    import pandas as pd
-
     schema = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("message", T.StringType()), T.StructField("fixes", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("replacement", T.StringType())])))]))
     saying = MESSAGES["term"]
 
@@ -300,15 +299,15 @@ def compiled_terms(options: dict) -> tuple[list[tuple[str, str]], list[tuple[str
 
 def ja_prh(text: Column, options: dict) -> Column:
     """Terms to be spelled one way; the only rule with fixes."""
-    literal, regex = compiled_terms(options)
-    out = [no_hits()]
-    for pattern, expected in literal:
+
+    def one(pattern: str, expected: str) -> Column:
         found = matches(text, quote(pattern))
         if expected.startswith(pattern):
-            found = F.filter(found, lambda m, e=expected: ~F.startswith(F.decode(F.substring(F.encode(text, "UTF-8"), m["start"] + 1, F.lit(len(e.encode()))), "UTF-8"), F.lit(e)))
-        fix = lambda m, e=expected: F.array(F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(e).alias("replacement"))).cast(f"array<{FIX}>")
-        out.append(F.transform(found, lambda m, p=pattern, e=expected, fix=fix: F.struct(m["start"].alias("start"), m["end"].alias("end"), say("term", p, e).alias("message"), fix(m).alias("fixes"))))
-    return F.concat(*out)
+            ahead = lambda m: F.decode(F.substring(F.encode(text, "UTF-8"), m["start"] + 1, F.lit(len(expected.encode()))), "UTF-8")
+            found = F.filter(found, lambda m: ahead(m) != expected)
+        return F.transform(found, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), say("term", pattern, expected).alias("message"), F.array(F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(expected).alias("replacement"))).cast(f"array<{FIX}>").alias("fixes")))
+
+    return F.concat(no_hits(), *(one(*term) for term in compiled_terms(options)[0]))
 
 
 # Document rules: candidates of a node, then the decision over the document's candidates.

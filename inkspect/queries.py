@@ -162,8 +162,7 @@ def pseudo_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = docs.select("doc_id", "text", F.inline(matches(F.col("text"), r"[^ \n]+")))
     n = F.char_length("value")
     kind = F.array(*(F.struct(F.lit(a).alias("pos"), F.lit(b).alias("pos1"), F.lit(c).alias("surface")) for a, b, c in _KINDS))[F.pmod(n, F.lit(8))]
-    aux = F.when(n % 3 == 0, "れる").when(n % 3 == 1, "です").otherwise("ない")
-    base = F.when(kind["pos"] == "助動詞", aux).when(kind["pos"] == "動詞", F.when(n > 4, "できる").otherwise("見る")).otherwise(kind["surface"])
+    base = F.when(kind["pos"] == "助動詞", F.when(n > 4, "ない").otherwise("です")).when(kind["pos"] == "動詞", F.when(n > 4, "できる").otherwise("れる")).otherwise(kind["surface"])
     return rows.select(
         "doc_id", F.lit(0).alias("slice_id"), F.lit(1).alias("node_id"), F.lit(0).alias("node_start"), F.col("text").alias("node_text"), "start", "end",
         kind["surface"].alias("surface"), (n > 14).alias("is_unknown"), base.alias("base_form"), kind["pos"].alias("pos"), kind["pos1"].alias("pos1"),
@@ -177,7 +176,7 @@ def _token_ctes() -> str:
 k AS (SELECT doc_id, i, s, (s + strlen(v))::INT AS e, v, length(v) AS n, text,
   {lists[0]}[length(v) % 8 + 1] AS pos, {lists[1]}[length(v) % 8 + 1] AS pos1, {lists[2]}[length(v) % 8 + 1] AS surface, length(v) > 14 AS unk,
   coalesce(sum(length(v) - length(regexp_replace(v, '[。．.！？!?]', '', 'g'))) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sent FROM m),
-tok AS (SELECT *, CASE pos WHEN '助動詞' THEN CASE n % 3 WHEN 0 THEN 'れる' WHEN 1 THEN 'です' ELSE 'ない' END WHEN '動詞' THEN CASE WHEN n > 4 THEN 'できる' ELSE '見る' END ELSE surface END AS base FROM k)"""
+tok AS (SELECT *, CASE pos WHEN '助動詞' THEN CASE WHEN n > 4 THEN 'ない' ELSE 'です' END WHEN '動詞' THEN CASE WHEN n > 4 THEN 'できる' ELSE 'れる' END ELSE surface END AS base FROM k)"""
 
 
 def _token_sql() -> dict[str, str]:
