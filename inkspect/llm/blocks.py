@@ -48,10 +48,12 @@ class Layout:
         size = min(LARGEST, max(SMALLEST, int(math.sqrt(total / 1e6) * 7e4)))
         self.blocks = max(LEAST_BLOCKS, math.ceil(total / size))
         self.buckets = max(LEAST_BLOCKS, min(self.blocks, math.ceil(total / SMALLEST)))
-        self.docs = ids_and_text(docs).withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit("block")), F.lit(self.blocks))).select("block", "doc_id", "text")
+        self.docs = docs
 
-    def grouped(self):
-        return self.docs.groupBy("block")
+    def grouped(self, carry: bool = False):
+        """The documents by block: (block, doc_id, text), and rest if it is carried."""
+        rows = ids_and_text(self.docs, carry)
+        return rows.select(F.pmod(F.xxhash64("doc_id", F.lit("block")), F.lit(self.blocks)).alias("block"), *rows.columns).groupBy("block")
 
 
 def doc_keys(column: pa.ChunkedArray) -> np.ndarray:
@@ -70,50 +72,61 @@ def distinct(keys: list[np.ndarray], doc: np.ndarray) -> tuple[list[np.ndarray],
     return [k[starts] for k in sorted_keys], doc[order][starts], place
 
 
-REQUEST, REPLY = "block long, bucket long, kind int, data binary", "block long, kind int, data binary"
+REQUEST = REPLY = "block long, bucket long, kind int, data binary"
+
+
+def dealt(key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places in order of bucket, the buckets there are, where each begins and the end)."""
+    bucket = (key % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    there, first = np.unique(bucket[order], return_index=True)
+    return order, there, np.concatenate([first, [len(order)]])
 
 
 def requests(block: int, kind: int, buckets: int, keys: list[np.ndarray], doc: np.ndarray | None) -> pa.Table:
-    """Rows for distinct() output; an entry's position is its place in it."""
-    rows = []
-    if len(keys[0]):
-        bucket = (keys[0] % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket[order])) + 1, [len(order)]])
-        for a, b in zip(cuts, cuts[1:]):
-            own = order[a:b]
-            columns = [own.astype(np.uint32), *(k[own] for k in keys), *([] if doc is None else [doc[own]])]
-            rows.append((int(bucket[own[0]]), b"".join(c.tobytes() for c in columns)))
-    return pa.table({"block": pa.array([block] * len(rows), pa.int64()), "bucket": pa.array([r[0] for r in rows], pa.int64()), "kind": pa.array([kind] * len(rows), pa.int32()), "data": pa.array([r[1] for r in rows], pa.binary())})
+    """A row per bucket for distinct() output; an entry is known by its place in the row, which both sides can work out."""
+    order, there, cuts = dealt(keys[0], buckets)
+    columns = [k[order] for k in (*keys, *([] if doc is None else [doc]))]
+    blobs = [pack([c[a:b] for c in columns]) for a, b in zip(cuts, cuts[1:])]
+    n = len(there)
+    return pa.table({"block": pa.array([block] * n, pa.int64()), "bucket": pa.array(there, pa.int64()), "kind": pa.array([kind] * n, pa.int32()), "data": pa.array(blobs, pa.binary())})
+
+
+def pack(columns: list[np.ndarray]) -> bytes:
+    """Columns one after another, each by byte planes: planes of ids and positions are mostly zero or slow, and shuffle small."""
+    return b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns)
 
 
 def unpack(blob: bytes, kinds: list[str]) -> list[np.ndarray]:
     sizes = [np.dtype(k).itemsize for k in kinds]
     n, out, at = len(blob) // sum(sizes), [], 0
     for kind, size in zip(kinds, sizes):
-        out.append(np.frombuffer(blob, kind, n, at))
+        planes = np.frombuffer(blob, np.uint8, n * size, at).reshape(size, n)
+        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(kind))
         at += n * size
     return out
 
 
 def answer(asked: DataFrame, kinds: list[str], merge: Callable[[list[np.ndarray], np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """Replies (block, kind, data): positions and values for the entries that ``merge`` picks.
+    """Replies (block, bucket, kind, data): places and values for the entries that ``merge`` picks.
 
     merge(columns, source) gets a bucket's entries, with the block that sent each,
     and returns (entry numbers, one int64 each).
     """
 
     def run(table):
-        blocks, kind = table.column("block").to_numpy(), table.column("kind")[0].as_py()
-        parts = [unpack(x.as_buffer(), ["<u4", *kinds]) for x in table.column("data")]
-        source = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
-        position, *columns = (np.concatenate(c) for c in zip(*parts))
+        blocks, kind, bucket = table.column("block").to_numpy(), table.column("kind")[0].as_py(), table.column("bucket")[0].as_py()
+        parts = [unpack(x.as_buffer(), kinds) for x in table.column("data")]
+        sizes = np.array([len(p[0]) for p in parts])
+        source, place = np.repeat(np.arange(len(parts)), sizes), np.concatenate([np.arange(n, dtype=np.uint32) for n in sizes])
+        columns = [np.concatenate(c) for c in zip(*parts)]
         picked, value = merge(columns, source)
-        order = np.argsort(source[picked], kind="stable")
+        order = np.lexsort([picked, source[picked]])
         picked, value = picked[order], value[order]
         cuts = np.searchsorted(source[picked], np.arange(len(parts) + 1))
-        rows = [(int(blocks[i]), position[picked[a:b]].tobytes() + value[a:b].tobytes()) for i, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
-        return pa.table({"block": pa.array([r[0] for r in rows], pa.int64()), "kind": pa.array([kind] * len(rows), pa.int32()), "data": pa.array([r[1] for r in rows], pa.binary())})
+        rows = [(int(blocks[i]), pack([place[picked[a:b]], value[a:b]])) for i, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+        n = len(rows)
+        return pa.table({"block": pa.array([r[0] for r in rows], pa.int64()), "bucket": pa.array([bucket] * n, pa.int64()), "kind": pa.array([kind] * n, pa.int32()), "data": pa.array([r[1] for r in rows], pa.binary())})
 
     return asked.groupBy("bucket").applyInArrow(run, REPLY)
 
@@ -126,11 +139,18 @@ def first_holder(columns: list[np.ndarray], source: np.ndarray) -> tuple[np.ndar
     return beaten, least[place][beaten]
 
 
-def replied(replies: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, values) of a block's replies of one kind."""
-    blobs = [d.as_buffer() for k, d in zip(replies.column("kind").to_pylist(), replies.column("data")) if k == kind]
-    parts = [unpack(b, ["<u4", "<i8"]) for b in blobs]
-    return (np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])) if parts else (np.empty(0, np.uint32), np.empty(0, np.int64))
+def replied(replies: pa.Table | None, kind: int, key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(positions in distinct() output, values) of a block's replies of one kind."""
+    positions, values = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    if replies is not None and replies.num_rows:
+        order, there, cuts = dealt(key, buckets)
+        begins = dict(zip(there.tolist(), cuts.tolist()))
+        for k, bucket, data in zip(replies.column("kind").to_pylist(), replies.column("bucket").to_pylist(), replies.column("data")):
+            if k == kind:
+                place, value = unpack(data.as_buffer(), ["<u4", "<i8"])
+                positions.append(order[begins[bucket] + place])
+                values.append(value)
+    return np.concatenate(positions), np.concatenate(values)
 
 
 def kept_ranges(size: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

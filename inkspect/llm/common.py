@@ -54,8 +54,19 @@ def plain_text(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
 
-def ids_and_text(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", plain_text().alias("text"))
+def ids_and_text(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """(doc_id, text), and with ``carry`` a struct ``rest`` of all other columns, which so can't clash with any."""
+    rest = [F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text"))).alias("rest")] if carry and len(docs.columns) > 2 else []
+    return docs.select("doc_id", plain_text().alias("text"), *rest)
+
+
+def with_text(docs: DataFrame, result: DataFrame, text: str) -> DataFrame:
+    """``result`` (with doc_id, ``text`` and rest) in the columns of ``docs``; n_chars, where there, counts the new text."""
+    n = F.char_length(F.col(text))
+    new = {"doc_id": F.col("doc_id"), "text": F.col(text)}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = n.cast(docs.schema["n_chars"].dataType)
+    return result.select(*(new.get(c, F.col(f"rest.`{c}`")).alias(c) for c in docs.columns))
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from . import blocks
-from .common import documents, materialise, slices, text_bytes
+from .common import documents, ids_and_text, materialise, slices, text_bytes
 
 GEAR = np.random.default_rng(11).integers(0, 1 << 32, 256, dtype=np.uint32)
 DEPTH, LONGEST = 16, 1024
@@ -91,8 +91,8 @@ def removals(size: int, start: np.ndarray, end: np.ndarray, repeated: np.ndarray
     return blocks.kept_ranges(size, a[long], b[long])
 
 
-def dedup_substrings(docs: DataFrame, reach: int = 16, least: int = 64) -> DataFrame:
-    """(doc_id, kept_text, n_bytes, n_chunks, n_removed, n_spans, kept_sha256) for every row.
+def dedup_substrings(docs: DataFrame, reach: int = 16, least: int = 64, carry: bool = False) -> DataFrame:
+    """(doc_id, kept_text, n_bytes, n_chunks, n_removed, n_spans, kept_sha256) for every row; with ``carry`` also rest.
 
     n_removed counts bytes, n_spans the stretches removed.  The document with the
     smallest id keeps a repeated stretch; rows that share an id don't remove from
@@ -111,7 +111,7 @@ def dedup_substrings(docs: DataFrame, reach: int = 16, least: int = 64) -> DataF
 
     def cut(key, table, reply):
         row, start, end, doc, keys, smallest, place = _asked(table, reach)
-        position, value = blocks.replied(reply, 0)
+        position, value = blocks.replied(reply, 0, keys[0], layout_buckets)
         holder = smallest.copy()
         holder[position] = value
         repeated = holder[place] < doc[row]
@@ -128,10 +128,14 @@ def dedup_substrings(docs: DataFrame, reach: int = 16, least: int = 64) -> DataF
             for column, x in zip(out, values):
                 column.append(x)
         kinds = [pa.string(), *[pa.int64()] * 4, pa.string()]
-        return pa.table([table.column("doc_id"), *(pa.array(x, k) for x, k in zip(out, kinds))], names=["doc_id", "kept_text", "n_bytes", "n_chunks", "n_removed", "n_spans", "kept_sha256"])
-
-    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, kept_text string, n_bytes long, n_chunks long, n_removed long, n_spans long, kept_sha256 string"
-    return layout.grouped().cogroup(replies.groupBy("block")).applyInArrow(cut, schema)
+        columns = [table.column("doc_id"), *(pa.array(x, k) for x, k in zip(out, kinds))]
+        names = ["doc_id", "kept_text", "n_bytes", "n_chunks", "n_removed", "n_spans", "kept_sha256"]
+        return pa.table([*columns, *([table.column("rest")] if rest else [])], names=[*names, *(["rest"] if rest else [])])
+
+    held = ids_and_text(docs, carry)
+    rest = f", rest {held.schema['rest'].dataType.simpleString()}" if "rest" in held.columns else ""
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, kept_text string, n_bytes long, n_chunks long, n_removed long, n_spans long, kept_sha256 string{rest}"
+    return layout.grouped(carry).cogroup(replies.groupBy("block")).applyInArrow(cut, schema)
 
 
 def op9_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -146,8 +146,8 @@ def first_or_mixed(columns: list[np.ndarray], source: np.ndarray) -> tuple[np.nd
 class Rounds:
     """What a block knows after the replies to each round; every call derives it from the block's texts alone."""
 
-    def __init__(self, table: pa.Table, replies: pa.Table | None):
-        self.replies = replies
+    def __init__(self, table: pa.Table, replies: pa.Table | None, buckets: int):
+        self.replies, self.buckets = replies, buckets
         self.runs, self.doc = Runs(table.column("text")), blocks.doc_keys(table.column("doc_id"))
 
     def anchors(self) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -157,26 +157,26 @@ class Rounds:
         """Distinct (anchor, rank) of the runs whose anchor is held twice; and those runs."""
         keys, _, place = self.anchors()
         again = np.bincount(place, minlength=len(keys[0])) > 1
-        again[blocks.replied(self.replies, 1)[0]] = True
+        again[blocks.replied(self.replies, 1, keys[0], self.buckets)[0]] = True
         self.chosen = np.flatnonzero(again[place]) if len(place) else place
         return blocks.distinct([self.runs.anchor[self.chosen], self.runs.rank[self.chosen]], self.doc[self.runs.row[self.chosen]])
 
     def single_places(self):
-        """Distinct (rank of 50 bytes, anchor) of the places of mixed runs; settles the others."""
+        """Distinct (rank of 50 bytes, low half of the anchor's rank: 96 bits) of the places of mixed runs; settles the others."""
         keys, least, place = self.whole_runs()
         holder = least.copy()
-        position, value = blocks.replied(self.replies, 2)
+        position, value = blocks.replied(self.replies, 2, keys[0], self.buckets)
         holder[position] = value
         mixed = holder[place] == MIXED if len(place) else np.empty(0, bool)
         self.settled = self.chosen[~mixed][holder[place][~mixed] < self.doc[self.runs.row[self.chosen[~mixed]]]]
         self.run, rank = self.runs.places(self.chosen[mixed])
-        return blocks.distinct([rank, self.runs.anchor[self.run]], self.doc[self.runs.row[self.run]])
+        return blocks.distinct([rank, self.runs.anchor[self.run].astype(np.uint32)], self.doc[self.runs.row[self.run]])
 
     def repeated(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, start, end) of stretches that start in smaller documents too."""
         keys, least, place = self.single_places()
         holder = least.copy()
-        position, value = blocks.replied(self.replies, 3)
+        position, value = blocks.replied(self.replies, 3, keys[0], self.buckets)
         holder[position] = value
         hit = holder[place] < self.doc[self.runs.row[self.run]] if len(place) else np.empty(0, bool)
         count = self.runs.count[self.run]
@@ -204,19 +204,19 @@ def dedup_suffixes(docs: DataFrame) -> DataFrame:
     buckets = layout.buckets
 
     def ask_anchors(key, table):
-        keys, *_ = Rounds(table, None).anchors()
+        keys, *_ = Rounds(table, None, buckets).anchors()
         return blocks.requests(key[0].as_py(), 1, buckets, keys, None)
 
     def ask_runs(key, table, replies):
-        keys, least, _ = Rounds(table, replies).whole_runs()
+        keys, least, _ = Rounds(table, replies, buckets).whole_runs()
         return blocks.requests(_block(table), 2, buckets, keys, least)
 
     def ask_places(key, table, replies):
-        keys, least, _ = Rounds(table, replies).single_places()
+        keys, least, _ = Rounds(table, replies, buckets).single_places()
         return blocks.requests(_block(table), 3, buckets, keys, least)
 
     def cut(key, table, replies):
-        row, start, end = Rounds(table, replies).repeated()
+        row, start, end = Rounds(table, replies, buckets).repeated()
         bounds, out = np.searchsorted(row, np.arange(table.num_rows + 1)), [[] for _ in range(5)]
         for i, text in enumerate(table.column("text").to_pylist()):
             data, (a, b), spans = (text or "").encode(), bounds[i : i + 2], 0
@@ -238,7 +238,7 @@ def dedup_suffixes(docs: DataFrame) -> DataFrame:
     asked = both(replies, ask_runs, blocks.REQUEST)
     replies = replies.unionByName(materialise(blocks.answer(asked, ["<u8", "<u8", "<i8"], first_or_mixed), "suffix-runs"))
     asked = both(replies, ask_places, blocks.REQUEST)
-    replies = replies.unionByName(materialise(blocks.answer(asked, ["<u8", "<u8", "<i8"], blocks.first_holder), "suffix-50"))
+    replies = replies.unionByName(materialise(blocks.answer(asked, ["<u8", "<u4", "<i8"], blocks.first_holder), "suffix-50"))
     return both(replies, cut, f"doc_id {dict(docs.dtypes)['doc_id']}, kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
