@@ -62,7 +62,7 @@ class LineRuns:
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 3, fan_out: int = 2) -> DataFrame:
-    """(doc_id, text, n_lines, n_dropped, kept_text) for every row of ``docs``.
+    """(doc_id, text, n_lines, n_dropped, kept_text, rest) for every row of ``docs``; rest holds its other columns.
 
     A line's key is the line without blanks at its ends and with A-Z lower-cased.
     Keys of ``min_chars`` code points or more that ``min_docs`` documents hold
@@ -72,7 +72,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
     a document of its own, smaller than all.  A document whose lines all go has
     the empty text.
     """
-    base = ids_and_text(docs).withColumn("row_key", F.xxhash64("text"))
+    base = ids_and_text(docs, carry=True).withColumn("row_key", F.xxhash64("text"))
     lines = (
         base.select("doc_id", "row_key", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
         .select("doc_id", "row_key", "pos", line_key(F.col("line")).alias("key"))
@@ -97,11 +97,12 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
         .agg(F.collect_set("pos").alias("gone"))
     )
     joined = base.join(dropped, F.col("doc_id").eqNullSafe(F.col("d_id")) & (F.col("row_key") == F.col("d_key")), "left")
-    parts = joined.select("doc_id", "text", F.split("text", "\n", -1).alias("parts"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
+    rest = ["rest"] if "rest" in base.columns else []
+    parts = joined.select("doc_id", "text", *rest, F.split("text", "\n", -1).alias("parts"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
     kept = F.when(F.size("gone") == 0, F.col("text")).otherwise(
         F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.col("gone")), lambda i: F.get(F.col("parts"), i)), "\n")
     )
-    return parts.select("doc_id", "text", F.size("parts").cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_dropped"), kept.alias("kept_text"))
+    return parts.select("doc_id", "text", F.size("parts").cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_dropped"), kept.alias("kept_text"), *rest)
 
 
 def op7_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -103,6 +103,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> Dat
     return prints.join(named, F.col("fp") == F.col("of")).select("doc_id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, shingle: int, max_bits: int) -> DataFrame:
+    """The rows of ``docs``, unchanged, whose document names its component."""
+    firsts = near_duplicates(docs, shingle, max_bits).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first")).distinct()
+    return docs.join(firsts, F.col("doc_id").eqNullSafe(F.col("first")), "left_semi")
+
+
 def op5_simhash(spark, sf_dir: str) -> DataFrame:
     out = near_duplicates(documents(spark, sf_dir))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
