@@ -165,12 +165,14 @@ def no_todo(text: Column, options: dict) -> Column:
     ignored = [p for p in strings(options, "ignore_patterns") or [] if p]
     case = "" if flag(options, "case_sensitive", False) else "(?iu)"
     skip = F.lit("|".join(case + quote(p) for p in ignored))
+    table = F.array(*(F.struct(F.lit(case + quote(p)).alias("pattern"), F.lit(MESSAGES["marker"] % p.rstrip()).alias("message")) for p in patterns))
 
-    def one(pattern: str) -> Column:
-        found = matches(text, case + quote(pattern))
-        return hits(F.filter(found, lambda m: ~F.rlike(m["value"], skip)) if ignored else found, say("marker", pattern.rstrip()))
+    def one(p: Column) -> Column:
+        found = matches(text, p["pattern"])
+        return hits(F.filter(found, lambda m: ~F.rlike(m["value"], skip)) if ignored else found, p["message"])
 
-    return F.concat(*map(one, patterns))
+    any_marker = F.lit("|".join(case + quote(p) for p in patterns))
+    return F.when(F.rlike(text, any_marker), F.flatten(F.transform(table, one))).otherwise(no_hits())
 
 
 def no_invalid_control_character(text: Column, options: dict) -> Column:
@@ -181,28 +183,32 @@ def no_unmatched_pair(text: Column, options: dict) -> Column:
     """Openers left open at the node's end, by type; with detectOrphanedClosers also closers whose type is not open."""
     orphans = flag(options, "detectOrphanedClosers", False)
     mark = "struct<start:int,end:int,value:string>"
+    fields = ("opener", "closer", "name", "reportable")
+    table = F.array(*(F.struct(*(F.lit(x).alias(f) for x, f in zip(pair, fields))) for pair in PAIRS))
+
+    def one(found: Column, p: Column) -> Column:
+        own = F.filter(found, lambda m: (m["value"] == p["opener"]) | (m["value"] == p["closer"]))
 
-    def one(opener: str, closer: str, name: str, reportable: bool) -> Column:
         def opened(at: Column, m: Column) -> Column:
-            if opener == closer:
-                return F.when(at.isNull(), m["start"])
-            return F.when(m["value"] == opener, F.coalesce(at, m["start"]))
+            toggled = F.when(at.isNull(), m["start"])
+            return F.when(p["opener"] == p["closer"], toggled).otherwise(F.when(m["value"] == p["opener"], F.coalesce(at, m["start"])))
 
         def lost(acc: Column, m: Column) -> Column:
-            alone = (m["value"] != opener) & ~acc["open"]
-            return F.struct((m["value"] == opener).alias("open"), F.when(alone, F.concat(acc["out"], F.array(m))).otherwise(acc["out"]).alias("out"))
-
-        found = matches(text, char_class(opener if opener == closer else opener + closer))
-        left = F.array(F.aggregate(found, F.lit(None).cast("int"), opened))
-        still = F.transform(F.filter(left, lambda at: at.isNotNull()), lambda at: F.struct(at.alias("start"), (at + len(opener.encode())).alias("end"), F.lit(opener).alias("value")))
-        out = hits(still, say("open", opener, name))
-        if orphans and reportable:
-            state = F.struct(F.lit(False).alias("open"), F.array().cast(f"array<{mark}>").alias("out"))
-            out = F.concat(out, hits(F.aggregate(found, state, lost, lambda acc: acc["out"]), say("close", closer, name)))
-        return out
+            alone = (m["value"] != p["opener"]) & ~acc["open"]
+            return F.struct((m["value"] == p["opener"]).alias("open"), F.when(alone, F.concat(acc["out"], F.array(m))).otherwise(acc["out"]).alias("out"))
+
+        left = F.array(F.aggregate(own, F.lit(None).cast("int"), opened))
+        still = F.transform(F.filter(left, lambda at: at.isNotNull()), lambda at: F.struct(at.alias("start"), (at + F.octet_length(p["opener"])).alias("end"), p["opener"].alias("value")))
+        out = hits(still, say("open", p["opener"], p["name"]))
+        if not orphans:
+            return out
+        state = F.struct(F.lit(False).alias("open"), F.array().cast(f"array<{mark}>").alias("out"))
+        closers = hits(F.aggregate(own, state, lost, lambda acc: acc["out"]), lambda m: say("close", m["value"], p["name"]))
+        return F.when(p["reportable"], F.concat(out, closers)).otherwise(out)
 
     any_mark = char_class("".join(dict.fromkeys(a + b for a, b, _, _ in PAIRS)))
-    return F.when(F.rlike(text, F.lit(any_mark)), F.concat(*(one(*pair) for pair in PAIRS))).otherwise(no_hits())
+    each = bound(matches(text, any_mark), lambda found: F.flatten(F.transform(table, lambda p: one(found, p))))
+    return F.when(F.rlike(text, F.lit(any_mark)), each).otherwise(no_hits())
 
 
 def ja_unnatural_alphabet(text: Column, options: dict) -> Column:

@@ -254,7 +254,8 @@ def sentence_split(spark, sf_dir):
     return PLAIN.docs(spark, sf_dir).select("doc_id", F.posexplode(sentences(F.col("text"))).alias("pos", "sentence"))
 
 
-SENTENCE_SQL = r"""WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '[^.!?。！？]*[.!?。！？]|[^.!?。！？]+'), x -> regexp_replace(x, '^\s+', '')), x -> x <> '') AS v FROM documents)
+SENTENCE_SQL = r"""WITH c AS (SELECT doc_id, [regexp_replace(x, '^\s+', '') for x in regexp_extract_all(coalesce(text, ''), '[^.!?。！？]*[.!?。！？]|[^.!?。！？]+')] AS v FROM documents),
+s AS (SELECT doc_id, [x for x in v if x <> ''] AS v FROM c)
 SELECT doc_id, unnest(range(len(v)))::INT AS pos, unnest(v) AS sentence FROM s"""
 
 
