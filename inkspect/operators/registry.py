@@ -15,8 +15,8 @@ SEVERITIES = ["error", "warning", "info", "hint"]
 class Rule:
     """A rule: where it looks, whether it is for Japanese alone, and its function.
 
-    text and block: run(text, options) gives hits of a node; document: a pair of
-    candidates and decision; tokens: run(tokens, options) gives rows.
+    text and block: run(text, options) gives hits of a node; document: a test of
+    the slice, candidates and decision; tokens: run(tokens, options) gives rows.
     """
 
     id: str
@@ -34,11 +34,11 @@ def _rules() -> dict[str, Rule]:
         ("max-ten", BLOCK, True, s.max_ten, "too many 、 in a sentence"),
         ("max-kanji-continuous-len", TEXT, False, s.max_kanji_continuous_len, "long runs of kanji"),
         ("no-hankaku-kana", TEXT, True, s.no_hankaku_kana, "half-width kana"),
-        ("no-mixed-zenkaku-hankaku-alphabet", DOCUMENT, False, (s.alphabet_candidates, s.alphabet_decision), "half-width and full-width letters in one document"),
+        ("no-mixed-zenkaku-hankaku-alphabet", DOCUMENT, False, (s.alphabet_possible, s.alphabet_candidates, s.alphabet_decision), "half-width and full-width letters in one document"),
         ("no-nfd", TEXT, False, s.no_nfd, "combining marks"),
         ("no-zero-width-spaces", TEXT, False, s.no_zero_width_spaces, "invisible code points"),
         ("no-exclamation-question-mark", TEXT, False, s.no_exclamation_question_mark, "exclamation and question marks"),
-        ("ja-no-mixed-period", DOCUMENT, True, (s.period_candidates, s.period_decision), "two kinds of full stop in one document"),
+        ("ja-no-mixed-period", DOCUMENT, True, (s.period_possible, s.period_candidates, s.period_decision), "two kinds of full stop in one document"),
         ("no-todo", TEXT, False, s.no_todo, "markers of unfinished work"),
         ("ja-prh", TEXT, True, s.ja_prh, "terms to be spelled one way"),
         ("max-comma", BLOCK, True, s.max_comma, "too many commas in a sentence"),

@@ -316,7 +316,15 @@ def ja_prh(text: Column, options: dict) -> Column:
     return F.concat(no_hits(), *(one(*term) for term in compiled_terms(options)[0]))
 
 
-# Document rules: candidates of a node, then the decision over the document's candidates.
+# Document rules: whether a slice can have a hit at all, candidates of a node, and the decision over the document's candidates.
+
+
+def alphabet_possible(text: Column) -> Column:
+    return F.rlike(text, F.lit(LATIN_FULL)) & F.rlike(text, F.lit(LATIN_HALF))
+
+
+def period_possible(text: Column) -> Column:
+    return (F.instr(text, "。") > 0) & (F.instr(text, ".") > 0)
 
 
 def alphabet_candidates(text: Column, options: dict) -> Column:

@@ -46,9 +46,10 @@ def _of_nodes(kinds: Iterable[int], rules: list[Active]) -> Column:
 
 
 def _of_document(rule: Active) -> Column:
-    candidates, decide = RULES[rule.id].run
+    possible, candidates, decide = RULES[rule.id].run
     moved = lambda n: F.transform(candidates(n["text"], rule.options), lambda m: F.struct((m["start"] + n["start"]).alias("start"), (m["end"] + n["start"]).alias("end"), m["value"].alias("value")))
-    return _tagged(bound(F.flatten(F.transform(node_texts([KIND["text"]]), moved)), lambda found: decide(found, rule.options)), rule)
+    found = bound(F.flatten(F.transform(node_texts([KIND["text"]]), moved)), lambda found: decide(found, rule.options))
+    return F.when(possible(F.col("text")), _tagged(found, rule)).otherwise(F.array().cast(f"array<{FOUND}>"))
 
 
 def lint_slices(slices: DataFrame, rules: list[Active], tokens: DataFrame | None = None) -> DataFrame:
