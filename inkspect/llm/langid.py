@@ -26,27 +26,29 @@ MEMO_ENTRIES = 300_000
 
 
 class Model:
-    def __init__(self, langs: list[str], words: dict[str, list[float]], grams: list[dict[str, list[float]]]):
+    def __init__(self, langs: list[str], words: dict[str, tuple], grams: list[dict[str, tuple]]):
         self.langs, self.words, self.grams = langs, words, grams
-        self.memo: dict[str, np.ndarray] = {}
-
-    def _gram(self, gram: str) -> np.ndarray:
-        """Mean log probability a character, over the pieces of ``gram``."""
-        found = self.grams[len(gram) - 1].get(gram)
-        if found is not None:
-            return np.asarray(found)
-        if len(gram) == 1:
-            return np.zeros(len(self.langs))
-        return (self._gram(gram[:-1]) + self._gram(gram[1:])) / 2
-
-    def word(self, word: str) -> np.ndarray:
+        self.memo: dict[str, tuple] = {}
+        self.pieces: dict[str, tuple] = {}
+
+    def _gram(self, gram: str) -> tuple:
+        """Log probabilities of a gram; of one unseen, the mean of those of its two parts one shorter."""
+        found = self.grams[len(gram) - 1].get(gram) or self.pieces.get(gram)
+        if found is None:
+            if len(self.pieces) > MEMO_ENTRIES:
+                self.pieces.clear()
+            parts = zip(self._gram(gram[:-1]), self._gram(gram[1:])) if len(gram) > 1 else [(0.0, 0.0)] * len(self.langs)
+            found = self.pieces[gram] = tuple((a + b) / 2 for a, b in parts)
+        return found
+
+    def word(self, word: str) -> tuple:
         found = self.words.get(word)
         if found is not None:
-            return np.asarray(found)
+            return found
         marked = f"_{word}_"
         size = min(LONGEST, len(marked))
-        scores = [self._gram(marked[i : i + size]) for i in range(min(len(marked) - size + 1, 64))]
-        return np.mean(scores, 0)
+        scores = [self._gram(marked[i : i + size]) for i in range(len(marked) - size + 1)]
+        return tuple(sum(x) / len(scores) for x in zip(*scores))
 
     def predict(self, text: str) -> tuple[str, float]:
         """The likeliest language and its share of the likelihood, taken as if the text had at most 20 words."""
@@ -101,11 +103,11 @@ def build(counts: list[tuple[str, str, int]]) -> Model:
     langs = sorted({lang for lang, _, _ in counts})
     at = {lang: i for i, lang in enumerate(langs)}
 
-    def logs(table: dict[str, np.ndarray]) -> dict[str, list[float]]:
+    def logs(table: dict[str, np.ndarray]) -> dict[str, tuple]:
         if not table:
             return {}
         totals = sum(table.values()) + 0.5 * len(table)
-        return {k: np.round(np.log((v + 0.5) / totals), 4).tolist() for k, v in table.items()}
+        return {k: tuple(np.round(np.log((v + 0.5) / totals), 4).tolist()) for k, v in table.items()}
 
     def empty():
         return np.zeros(len(langs))
@@ -134,7 +136,10 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, unchanged, whose language is known with a score of ``least`` or more."""
+    """The rows of ``docs``, unchanged, whose language is known with a score of ``least`` or more.
+
+    A model without languages knows nothing against a text that has a letter.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
@@ -142,7 +147,8 @@ def keep_known(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
         own = shared.value
         for batch in batches:
             found = [own.predict(t or "") for t in batch.column(at).to_pylist()]
-            yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
+            known = [lang != UNKNOWN and score >= least for lang, score in found] if own.langs else [bool(WORD.search(t or "")) for t in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array(known, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
