@@ -1,11 +1,14 @@
 """Exact dedup by content sort (DataFrame functions only).
 
-Normalised texts are range-partitioned by sampled splitters over (content, salt)
-and sorted there, so equal contents stand next to each other and a sorted
-aggregate compares each with its neighbour in full.  The salt, a few bits of the
-document id, lets splitters fall inside a group of copies: a group that holds a
-third of all rows spreads over many partitions.  What leaves a partition is one
-short row per (content, salt), joined up by the content's SHA-256.
+Normalised texts are range-partitioned by sampled splitters and sorted there, so
+equal contents stand next to each other and a sorted aggregate compares each with
+its neighbour in full.  The range key is the content's beginning, a hash of all of
+it, and a salt: equal contents have equal keys, what is sampled for the splitters
+is short, and the salt (a hash of the document id) lets splitters fall inside a
+group of copies, so that one that holds a third of all rows spreads over many
+partitions.  What leaves a partition is one short row per content and salt,
+joined up by the content's SHA-256 in a written table; rows then meet it in a
+plain sort-merge join, whose large partitions AQE splits.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, ids_and_text
+from .common import documents, ids_and_text, materialise
 
 BLANKS = " \t\n\x0b\f\r"
 
@@ -30,12 +33,14 @@ def dedup_exact(docs: DataFrame, salts: int = 256) -> DataFrame:
     best = F.struct("chars", F.bitwise_not("doc_id").alias("rev"))  # the greatest: most code points, then smallest id
     runs = (
         base.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
-        .repartitionByRange("content", "salt")
-        .groupBy("content", "salt")
+        .withColumn("head", F.substring("content", 1, 24))
+        .withColumn("code", F.xxhash64("content"))
+        .repartitionByRange("head", "code", "salt")
+        .groupBy("head", "code", "salt", "content")
         .agg(F.count(F.lit(1)).alias("n"), F.max(best).alias("best"))
         .select(F.unhex(F.sha2("content", 256)).alias("digest"), "n", "best")
     )
-    groups = runs.groupBy(F.col("digest").alias("of")).agg(F.sum("n").alias("group_size"), F.max("best").alias("best"))
+    groups = materialise(runs.groupBy(F.col("digest").alias("of")).agg(F.sum("n").alias("group_size"), F.max("best").alias("best")), "content-groups")
     rows = base.select("doc_id", "chars", F.unhex(F.sha2("content", 256)).alias("digest"))
     keep_id = F.bitwise_not("best.rev")
     return rows.join(groups.hint("merge"), F.col("digest") == F.col("of")).select(
