@@ -88,7 +88,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
     runs = LineRuns(min_docs, fan_out)
     for i in range(batches):
         runs.add(lines.where(F.col("batch") == i))
-    repeated = runs.all().where(F.col("n") >= min_docs).select(*HASH, "keeper")
+    repeated = materialise(runs.all().where(F.col("n") >= min_docs).select(*HASH, "keeper"), "repeated-lines")
 
     dropped = (
         lines.join(repeated.hint("merge"), HASH)
