@@ -98,6 +98,49 @@ def position(text: Column, offset: Column) -> Column:
     )
 
 
+def located(text: Column, pattern: str) -> Column:
+    """array<struct<start,line,column,utf16_column>> of the starts of ``matches``, as ``position`` gives them.
+
+    A text is read once: its gaps and matches are measured, and the measures are
+    summed in chunks as in ``matches``.  Columns start again after a line end.
+    """
+    place = "struct<at:int,lines:int,chars:int,units:int>"
+
+    def measure(piece: Column) -> Column:
+        last = F.substring_index(piece, "\n", -1)
+        lines = F.char_length(piece) - F.char_length(F.replace(piece, F.lit("\n"), F.lit("")))
+        units = (F.octet_length(F.encode(last, "UTF-16BE")) / 2).cast("int")
+        return F.struct(F.octet_length(piece).alias("at"), lines.alias("lines"), F.char_length(last).alias("chars"), units.alias("units"))
+
+    def after(a: Column, b: Column) -> Column:
+        tail = lambda name: (F.when(b["lines"] > 0, b[name]).otherwise(a[name] + b[name])).alias(name)
+        return F.struct((a["at"] + b["at"]).alias("at"), (a["lines"] + b["lines"]).alias("lines"), tail("chars"), tail("units"))
+
+    origin = F.struct(*(F.lit(0).alias(n) for n in ("at", "lines", "chars", "units")))
+    begin = F.struct(origin.alias("at"), F.array().cast(f"array<{place}>").alias("out"))
+
+    def inside(chunk: Column) -> Column:
+        def step(acc: Column, m: Column) -> Column:
+            start = after(acc["at"], m["gap"])
+            return F.struct(after(start, m["value"]).alias("at"), F.concat(acc["out"], F.array(start)).alias("out"))
+
+        return F.aggregate(chunk, begin, step)
+
+    def bases(parts: Column) -> Column:
+        return F.aggregate(parts, begin, lambda acc, c: F.struct(after(acc["at"], c["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+    def counted(m: Column) -> Column:
+        return F.struct(m["at"].alias("start"), (m["lines"] + 1).alias("line"), (m["chars"] + 1).alias("column"), (m["units"] + 1).alias("utf16_column"))
+
+    def placed(real: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(real) - 1) / CHUNK).cast("int")), lambda c: inside(F.slice(real, c * CHUNK + 1, F.lit(CHUNK))))
+        return bound(parts, lambda ps: F.flatten(F.zip_with(ps, bases(ps), lambda part, base: F.transform(part["out"], lambda m: counted(after(base, m))))))
+
+    gaps, found = F.split(text, F.lit(pattern), -1), F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
+    pairs = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(gaps) - 1), lambda v, g: F.struct(measure(g).alias("gap"), measure(v).alias("value")))
+    return F.when(F.rlike(text, F.lit(pattern)), bound(pairs, placed)).otherwise(F.array().cast("array<struct<start:int,line:int,column:int,utf16_column:int>>"))
+
+
 def strip_urls(text: Column) -> Column:
     """Every http(s) address, up to a blank or a closing mark, becomes one middle dot."""
     return F.regexp_replace(text, r"(?U)https?://[^\s」）)、。]*", "・")

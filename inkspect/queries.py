@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.text import matches, position, sentences, strip_urls
+from .functions.text import located, matches, sentences, strip_urls
 from .operators import surface
 from .operators.fixes import apply_fixes
 from .plans import cache, render
@@ -222,9 +222,8 @@ def _token_query(rule_id: str):
 
 def position_map(spark, sf_dir):
     docs = RULE_TEXT["no-hankaku-kana"].docs(spark, sf_dir)
-    hit = docs.select("doc_id", "text", F.inline(matches(F.col("text"), "ｱ+")))
-    hit = hit.where(F.col("start") < 2000)
-    return hit.select("doc_id", "start", position(F.col("text"), F.col("start")).alias("p")).select("doc_id", F.col("start").alias("span_start"), F.col("p.line").alias("line"), F.col("p.column").alias("col"), F.col("p.utf16_column").alias("utf16_col"))
+    hit = docs.select("doc_id", F.inline(located(F.col("text"), "ｱ+")))
+    return hit.select("doc_id", F.col("start").alias("span_start"), "line", F.col("column").alias("col"), F.col("utf16_column").alias("utf16_col"))
 
 
 POSITION_SQL = "WITH " + duck_matches("ｱ+", RULE_TEXT["no-hankaku-kana"]) + """,
