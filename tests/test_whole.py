@@ -1,13 +1,8 @@
 """Queries that must take the whole of their input, against brute force."""
 
-import random
 import re
 
-import pytest
-
-import corpus_pipeline
 from inkspect import queries
-from inkspect.llm import near_copies, simhash
 
 
 def test_position_map_takes_whole_texts(spark, tmp_path):
@@ -23,57 +18,3 @@ def test_position_map_takes_whole_texts(spark, tmp_path):
     out = [tuple(x) for x in queries.position_map(spark, str(tmp_path)).collect()]
     assert sorted(out) == expected
     assert sum(x[1] >= 2000 for x in out) > 100
-
-
-def near_corpus():
-    own = random.Random(11)
-    vocabulary = [f"w{i}" for i in range(400)]
-    texts = [None, "", " \n", "a b c", "A b  c", "a b d", *["only one text"] * 2]
-    common = [own.choice(vocabulary) for _ in range(30)]
-    for n in (9, 14, 40, 120, 400):
-        for _ in range(6):
-            base = [own.choice(vocabulary) for _ in range(n)] + common
-            texts.append(" ".join(base))
-            for edits in (1, 1, 2, 3, 5):
-                words = list(base)
-                for _ in range(max(1, edits * n // 120)):
-                    words[own.randrange(len(words))] = own.choice(vocabulary)
-                texts.append(" ".join(words))
-            for tail in (5, 8, 11, n // 5):
-                texts.append(" ".join(base + [own.choice(vocabulary) for _ in range(tail)]))
-    own.shuffle(texts)
-    return texts
-
-
-def linked_by_hand(texts):
-    def shingles(text):
-        words = (text or "").lower().split()
-        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
-
-    sets = [shingles(t) for t in texts]
-    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if (len(sets[i] & sets[j]) / len(sets[i] | sets[j]) if sets[i] | sets[j] else 1) >= 0.8]
-    root = list(range(len(texts)))
-    for _ in texts:
-        for i, j in pairs:
-            root[i] = root[j] = min(root[i], root[j])
-    return pairs, root
-
-
-@pytest.mark.parametrize(("crowd", "turns"), [(64, 3), (4, 3), (4, 1)])
-def test_near_copies_equal_brute_force(spark, crowd, turns):
-    texts = near_corpus()
-    pairs, root = linked_by_hand(texts)
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    out = near_copies.near_copies(docs, 5, crowd, turns).collect()
-    assert sorted((x.doc_id, x.component_id) for x in out) == list(enumerate(root))
-
-
-def test_pipeline_stage_links_at_four_fifths(spark, tmp_path):
-    texts = near_corpus()
-    pairs, root = linked_by_hand(texts)
-    bits = [bin((simhash.fingerprint(texts[i] or "", 5) ^ simhash.fingerprint(texts[j] or "", 5)) & (2**64 - 1)).count("1") for i, j in pairs]
-    assert sum(b > 3 for b in bits) > 20
-    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
-    out = corpus_pipeline.near_copies(spark, docs, str(tmp_path))
-    assert out.schema == docs.schema
-    assert sorted(x.doc_id for x in out.collect()) == sorted(set(root))
