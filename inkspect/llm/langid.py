@@ -14,28 +14,43 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, ids_and_text
+from .common import documents, ids_and_text, slices
 
 UNKNOWN = "und"
-WORD = re.compile(r"[^\W\d_]+")
+_WORD = re.compile(r"[^\W\d_]+")  # letters, and numerals such as ½ that words() takes out
 LONGEST = 4
-MEMO_ENTRIES = 300_000
+MEMO_SCORES = 400_000  # of words or grams, by the number of languages
+
+
+def words(text: str) -> Counter:
+    """The runs of letters (Unicode category L, as \\p{L}) of a text in lower case, and how often each occurs."""
+    found = Counter(_WORD.findall(text.lower()))
+    for run in [x for x in found if not x.isalpha()]:
+        n = found.pop(run)
+        for word in "".join(c if c.isalpha() else " " for c in run).split():
+            found[word] += n
+    return found
 
 
 class Model:
     def __init__(self, langs: list[str], words: dict[str, tuple], grams: list[dict[str, tuple]]):
         self.langs, self.words, self.grams = langs, words, grams
+        self.most = MEMO_SCORES // max(4, len(langs))
         self.memo: dict[str, tuple] = {}
         self.pieces: dict[str, tuple] = {}
 
+    def for_a_task(self) -> Model:
+        """The same tables with memos of their own, which go with the task."""
+        return Model(self.langs, self.words, self.grams)
+
     def _gram(self, gram: str) -> tuple:
         """Log probabilities of a gram; of one unseen, the mean of those of its two parts one shorter."""
         found = self.grams[len(gram) - 1].get(gram) or self.pieces.get(gram)
         if found is None:
-            if len(self.pieces) > MEMO_ENTRIES:
+            if len(self.pieces) > self.most:
                 self.pieces.clear()
             parts = zip(self._gram(gram[:-1]), self._gram(gram[1:])) if len(gram) > 1 else [(0.0, 0.0)] * len(self.langs)
             found = self.pieces[gram] = tuple((a + b) / 2 for a, b in parts)
@@ -52,11 +67,11 @@ class Model:
 
     def predict(self, text: str) -> tuple[str, float]:
         """The likeliest language and its share of the likelihood, taken as if the text had at most 20 words."""
-        counts = Counter(WORD.findall(text.lower()))
+        counts = words(text)
         if not counts or not self.langs:
             return UNKNOWN, 0.0
         total, memo = np.zeros(len(self.langs)), self.memo
-        if len(memo) > MEMO_ENTRIES:
+        if len(memo) > self.most:
             memo.clear()
         rows = []
         for w in counts:
@@ -77,25 +92,24 @@ class Model:
 def fit(docs: DataFrame, learn_from: Column, sample_docs: int = 20_000, words: int = 40_000) -> Model:
     """Learn from about ``sample_docs`` rows (by hash) of those that ``learn_from`` allows and that have a language.
 
-    The most frequent ``words`` (language, word) pairs form the model; n-grams come
-    from them.  Both numbers bound the model and what reaches the driver.  With no
-    row to learn from, every text is ``und``.
+    Languages share that number evenly, and a language with fewer rows gives all of
+    them.  They also share ``words`` evenly: each one's most frequent form the model,
+    so that no language is crowded out by another; n-grams come from them.  Both
+    numbers bound the model and what reaches the driver.  Null texts teach nothing.
+    With no row to learn from, every text is ``und``.
     """
     rows = docs.where(learn_from & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    there = rows.count()
-    if there > sample_docs:
-        share = int(sample_docs / there * (1 << 30))
-        rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < share)
-    counts = (
-        rows.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word"))
-        .where("word <> ''")
-        .groupBy("lang", "word")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .orderBy(F.desc("n"), "lang", "word")
-        .limit(words)
-        .collect()
-    )
-    return build([(r.lang, r.word, r.n) for r in counts])
+    there = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not there:
+        return build([])
+    unit, each = 1 << 30, sample_docs / len(there)
+    if large := [(lang, int(each / n * unit)) for lang, n in there.items() if n > each]:
+        share = F.coalesce(F.create_map(*(F.lit(x) for pair in large for x in pair))[F.col("lang")], F.lit(unit))
+        rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(unit)) < share)
+    counts = rows.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).where("word <> ''").groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    kept = counts.withColumn("place", place).where(F.col("place") <= max(1, words // len(there))).collect()
+    return build(sorted((r.lang, r.word, r.n) for r in kept))
 
 
 def build(counts: list[tuple[str, str, int]]) -> Model:
@@ -127,16 +141,18 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of a size that fit() bounds
 
     def run(batches):
-        own = shared.value
+        own = shared.value.for_a_task()
         for batch in batches:
-            found = [own.predict(t or "") for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["doc_id", "lang_pred", "score"])
+            for a, b in slices(batch.column(1)):
+                part = batch.slice(a, b - a)
+                found = [own.predict(t or "") for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return ids_and_text(docs).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, lang_pred string, score double")
 
 
 def keep_known(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, unchanged, whose language is known with a score of ``least`` or more.
+    """The rows of ``docs``, unchanged, whose language is known with a score of ``least`` or more; null texts and those without a letter go.
 
     A model without languages knows nothing against a text that has a letter.
     """
@@ -144,11 +160,16 @@ def keep_known(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches):
-        own = shared.value
+        own = shared.value.for_a_task()
         for batch in batches:
-            found = [own.predict(t or "") for t in batch.column(at).to_pylist()]
-            known = [lang != UNKNOWN and score >= least for lang, score in found] if own.langs else [bool(WORD.search(t or "")) for t in batch.column(at).to_pylist()]
-            yield batch.filter(pa.array(known, pa.bool_()))
+            for a, b in slices(batch.column(at)):
+                part = batch.slice(a, b - a)
+                texts = part.column(at).to_pylist()
+                if own.langs:
+                    known = [lang != UNKNOWN and score >= least for lang, score in (own.predict(t or "") for t in texts)]
+                else:
+                    known = [bool(words(t or "")) for t in texts]
+                yield part.filter(pa.array(known, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

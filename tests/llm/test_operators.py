@@ -102,10 +102,80 @@ def test_language(spark, docs, empty):
     assert model.predict("ab") == model.predict("AB") and 0 <= model.predict("ж")[1] <= 1
     out = langid.predict(docs, model).collect()
     assert len(out) == len(ROWS) and all((x.lang_pred == "und") == (x.score == 0) for x in out)
-    assert sum(x.lang_pred == "und" for x in out) == sum(not langid.WORD.search(x[1] or "") for x in ROWS)
+    assert sum(x.lang_pred == "und" for x in out) == sum(not langid.words(x[1] or "") for x in ROWS)
     assert langid.predict(empty, model).count() == 0 and langid.fit(empty, langid.F.lit(True)).langs == []
     kept = langid.keep_known(docs, model, 0.0)
-    assert kept.schema == docs.schema and kept.count() == sum(bool(langid.WORD.search(x[1] or "")) for x in ROWS)
+    assert kept.schema == docs.schema and kept.count() == sum(bool(langid.words(x[1] or "")) for x in ROWS)
+
+
+def test_letters():
+    import unicodedata
+
+    chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    assert all(bool(langid.words(c)) == unicodedata.category(c.lower()[0]).startswith("L") for c in chars)
+    assert langid.words("² ½ Ⅷ 3_") == {} and langid.words("a½B a_b 日本") == {"a": 2, "b": 2, "日本": 1}
+    model = langid.build([("en", "the", 3)])
+    assert model.predict("² ½") == ("und", 0.0)
+
+
+def scored_by_hand(counts, text):
+    """Language by the definition: every word on its own, in plain loops."""
+    import math
+    import unicodedata
+
+    langs = sorted({lang for lang, _, _ in counts})
+    known, grams = {}, {}
+    for lang, word, n in counts:
+        known.setdefault(word, {}).setdefault(lang, 0)
+        known[word][lang] += n
+        marked = f"_{word}_"
+        for size in (1, 2, 3, 4):
+            for i in range(len(marked) - size + 1):
+                own = grams.setdefault(size, {}).setdefault(marked[i : i + size], {})
+                own[lang] = own.get(lang, 0) + math.sqrt(n)
+
+    def log(table, key, lang):
+        total = sum(x.get(lang, 0) for x in table.values()) + 0.5 * len(table)
+        return round(math.log((table[key].get(lang, 0) + 0.5) / total), 4)
+
+    def gram(key, lang):
+        if key in grams[len(key)]:
+            return log(grams[len(key)], key, lang)
+        return (gram(key[:-1], lang) + gram(key[1:], lang)) / 2 if len(key) > 1 else 0.0
+
+    def word(w, lang):
+        if w in known:
+            return log(known, w, lang)
+        marked = f"_{w}_"
+        size = min(4, len(marked))
+        parts = [gram(marked[i : i + size], lang) for i in range(len(marked) - size + 1)]
+        return sum(parts) / len(parts)
+
+    found = "".join(c if unicodedata.category(c).startswith("L") else " " for c in text.lower()).split()
+    if not found:
+        return "und", 0.0
+    total = [sum(word(w, lang) for w in found) * min(1, 20 / len(found)) for lang in langs]
+    share = [math.exp(x - max(total)) for x in total]
+    return langs[share.index(max(share))], max(share) / sum(share)
+
+
+def test_language_equals_plain_scoring():
+    own = random.Random(3)
+    counts = [(lang, "".join(own.choice("abcdeé") for _ in range(own.randint(1, 5))), own.randint(1, 9)) for lang in ("de", "en", "fr") for _ in range(40)]
+    model = langid.build(counts)
+    for _ in range(200):
+        text = " ".join("".join(own.choice("abcdeéXß½1") for _ in range(own.randint(1, 6))) for _ in range(own.randint(0, 30)))
+        lang, score = scored_by_hand(counts, text)
+        found = model.predict(text)
+        assert found[0] == lang and abs(found[1] - score) < 1e-9
+
+
+def test_every_language_is_learned(spark):
+    rows = [(i, "common words of a hot language " + str(i) + " " + " ".join(f"w{chr(97 + i % 26)}{chr(97 + k)}" for k in range(20)), "hot") for i in range(300)] + [(1000, "zzyzx qwfp arst", "rare"), (1001, "...", "none"), (None, "common", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, langid.F.lit(True), sample_docs=90, words=12)
+    assert model.langs == ["hot", "rare"] and model.predict("zzyzx")[0] == "rare"
+    assert len(model.words) <= 8
 
 
 def substrings_by_hand():
