@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 def _state(edges: DataFrame):
@@ -37,6 +37,7 @@ def components(edges: DataFrame) -> DataFrame:
     while state[0]:
         after = materialise(_small_star(_large_star(now)), "edges")
         seen = _state(after)
+        discard(now)
         now = after
         if seen == state:
             break

@@ -43,12 +43,27 @@ def linked_by_hand(texts):
     return pairs, root
 
 
-@pytest.mark.parametrize("crowd", [64, 4, 0])
-def test_near_copies_equal_brute_force(spark, crowd):
-    texts = near_corpus()
+def crowd_corpus():
+    """One crowd of copies of a text, of more and fewer edits, some of them copies of copies."""
+    own = random.Random(12)
+    base = [f"b{i}" for i in range(120)]
+    made = [base]
+    for _ in range(260):
+        words = list(own.choice(made) if own.random() < 0.3 else base)
+        for _ in range(own.randrange(8)):
+            at = own.randrange(len(words))
+            words[at : at + own.randrange(3)] = [own.choice(["x", "y", f"z{own.randrange(50)}"])] * own.randrange(2)
+        made.append(words)
+    return [" ".join(words) for words in made]
+
+
+@pytest.mark.parametrize("corpus", ["near", "crowd"])
+def test_near_copies_equal_brute_force(spark, corpus):
+    texts = near_corpus() if corpus == "near" else crowd_corpus()
     pairs, root = linked_by_hand(texts)
+    assert len(pairs) > 200 and 20 < len(set(root)) < len(texts) - 50
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    out = near_copies.near_copies(docs, 5, crowd).collect()
+    out = near_copies.near_copies(docs, 5).collect()
     assert sorted((x.doc_id, x.component_id) for x in out) == list(enumerate(root))
 
 
