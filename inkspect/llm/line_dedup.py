@@ -19,7 +19,7 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ids_and_text, materialise
+from .common import discard, ids_and_text, materialise
 
 BLANKS = " \t\n\x0b\f\r"
 HASH = ["h1", "h2"]
@@ -48,17 +48,20 @@ class LineRuns:
         if len(self.levels[level]) >= self.fan_out:
             runs, self.levels[level] = self.levels[level], []
             self._put(level + 1, self._merged(runs))
+            discard(*runs)
 
     def add(self, batch: DataFrame) -> None:
         """batch: one row per (h1, h2, doc_id) at least; repeats within a document count once."""
         own = batch.select(*HASH, "doc_id").distinct().groupBy(*HASH).agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper"))
         for run in (r for level in self.levels for r in level):
-            own = own.join(run.where(F.col("n") >= self.min_docs).select(*HASH), HASH, "left_anti")
+            own = own.join(run.where(F.col("n") >= self.min_docs).select(*HASH).hint("merge"), HASH, "left_anti")
         self._put(0, own)
 
-    def all(self) -> DataFrame | None:
-        runs = [r for level in self.levels for r in level]
-        return self._merged(runs) if len(runs) > 1 else runs[0] if runs else None
+    def all(self) -> DataFrame:
+        return self._merged([r for level in self.levels for r in level])
+
+    def discard(self) -> None:
+        discard(*(r for level in self.levels for r in level))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 3, fan_out: int = 2) -> DataFrame:
@@ -80,15 +83,15 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
         .select("doc_id", "row_key", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"))
     )
     cuts = docs.select(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000)).first()[0] or []
-    batch = F.lit(0)
-    for cut in sorted(cuts):
-        batch = batch + (F.coalesce(F.col("doc_id"), F.lit(-(2**63))) <= F.lit(cut)).cast("int")
-    lines = materialise(lines.withColumn("batch", batch), "lines", "batch")
+    lines, above = materialise(lines, "lines"), F.lit(True)
 
     runs = LineRuns(min_docs, fan_out)
-    for i in range(batches):
-        runs.add(lines.where(F.col("batch") == i))
+    for cut in sorted(set(cuts), reverse=True):
+        runs.add(lines.where(above & (F.col("doc_id") > cut)))
+        above = F.col("doc_id") <= cut
+    runs.add(lines.where(above | F.col("doc_id").isNull()))
     repeated = materialise(runs.all().where(F.col("n") >= min_docs).select(*HASH, "keeper"), "repeated-lines")
+    runs.discard()
 
     dropped = (
         lines.join(repeated.hint("merge"), HASH)
