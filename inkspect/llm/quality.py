@@ -10,10 +10,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, ids_and_text, slices, text_bytes
+from .common import documents, ids_and_text, materialise, plain_text, slices, text_bytes
 from .langid import crc_mod
 
 PASSAGE = 512
@@ -130,43 +130,57 @@ def train(x: np.ndarray, firsts: np.ndarray, y: np.ndarray, epochs: int = 30, ba
 def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, sample_docs: int = 2500, sample_passages: int = 40_000) -> Model:
     """Learn from about ``sample_docs`` labelled rows (by hash) that ``learn_from`` allows.
 
-    Only passages' features of that sample reach the driver, at most
-    ``sample_passages`` of them: documents in order of a hash until the bound.
-    Both are bounds of the training sample alone.  Without labels the model is
-    untrained and still scores every text.
+    A text gives a sixteenth of ``sample_passages`` at most, drawn from all of its
+    passages.  Documents are taken in the order of a hash of their id until
+    ``sample_passages`` are reached; only features of these passages reach the
+    driver.  Both are bounds of the training sample alone.  Null and empty texts are
+    one blank passage; rows that repeat an id each count.  Without labels the model
+    is untrained and still scores every text.
     """
     known = labels.where(learn_from & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     there = known.count()
     if there > sample_docs:
         known = known.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < int(sample_docs / there * (1 << 30)))
-    sample = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "text", "quality")
+    most = max(1, sample_passages // 16)
+    order = F.xxhash64("doc_id", F.lit("order")).alias("order")
+    labelled = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", order, "quality", plain_text().alias("text"))
+    rows = materialise(labelled.withColumn("size", F.least(F.lit(most), F.greatest(F.lit(1), F.ceil(F.octet_length("text") / PASSAGE)))), "quality-sample")
+    before = F.sum("size").over(Window.orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))  # as many rows as sample_docs bounds
+    ids = rows.select("doc_id", "order", "size", before.alias("taken")).where(F.col("taken") <= sample_passages).agg(F.max("order").alias("last")).first().last
+    if ids is None:
+        return Model.fresh()
 
     def run(batches):
         for batch in batches:
-            for a, b in slices(batch.column(1)):
+            for a, b in slices(batch.column(2)):
                 part = batch.slice(a, b - a)
-                x, firsts = passages(part.column(1))
-                packed = [x[i:j].astype(np.float16).tobytes() for i, j in zip(firsts, firsts[1:])]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2).cast(pa.int32()), pa.array(packed, pa.binary())], ["doc_id", "quality", "x"])
+                x, firsts = passages(part.column(2))
+                packed = [x[drawn(i, j, most)].astype(np.float16).tobytes() for i, j in zip(firsts, firsts[1:])]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1).cast(pa.int32()), pa.array(packed, pa.binary())], ["order", "quality", "x"])
 
-    found = sample.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, quality int, x binary")
-    size = F.length("x") / (2 * FEATURES)
-    rows = sorted(found.where(size <= sample_passages // 16).collect(), key=lambda r: r.doc_id)
+    chosen = rows.where(F.col("order") <= ids).select("order", "quality", "text")
     bags, total = [], 0
-    for r in rows:
+    for r in sorted(chosen.mapInArrow(run, "order long, quality int, x binary").collect(), key=lambda r: (r.order, r.quality, r.x)):
         bag = np.frombuffer(r.x, np.float16).reshape(-1, FEATURES).astype(np.float32)
         total += len(bag)
-        if total > sample_passages:
+        if total > sample_passages and bags:
             break
         bags.append((bag, r.quality))
-    if not bags:
-        return Model.fresh()
     firsts = np.concatenate([[0], np.cumsum([len(b) for b, _ in bags])])
     return train(np.concatenate([b for b, _ in bags]), firsts, np.array([q for _, q in bags], np.float32))
 
 
+def drawn(first: int, end: int, most: int) -> np.ndarray:
+    """All of a text's passages, or ``most`` of them drawn without regard to their place."""
+    n = int(end - first)
+    return first + (np.arange(n) if n <= most else np.sort(np.random.default_rng(n).choice(n, most, replace=False)))
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score) of each whole text; null is empty, and an empty text is a bag of one blank passage."""
+    """(doc_id, score) of each whole text; null is empty, and an empty text is a bag of one blank passage.
+
+    Rows are independent: repeated rows give repeated rows, an empty table none.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few tens of kB, of fixed shape
 
     def run(batches):
