@@ -24,7 +24,7 @@ import tiktoken
 
 #: The pretoken pattern and the byte alphabet of byte-level BPE files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-MEMO_ENTRIES = 400_000
+MEMO_BYTES = 12 << 20  # of a generation, as far as entries can be weighed
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -39,7 +39,7 @@ class _Memo(dict):
 
     def __init__(self, make):
         super().__init__()
-        self.make, self.old = make, {}
+        self.make, self.old, self.held = make, {}, 0
 
     def __missing__(self, piece):
         ids = self.old.get(piece)
@@ -47,9 +47,10 @@ class _Memo(dict):
             ids = self.make(piece)
             if len(piece) > 48:
                 return ids
-        if len(self) >= MEMO_ENTRIES:
-            self.old = dict(self)
+        if self.held >= MEMO_BYTES:
+            self.old, self.held = dict(self), 0
             self.clear()
+        self.held += 200 + 2 * len(piece) + len(ids)
         self[piece] = ids
         return ids
 
