@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, ids_and_text, materialise
+from .common import documents, ids_and_text, materialise, slices
 from .components import components
 
 CHUNK = 1 << 16
@@ -45,11 +45,13 @@ def fingerprint(text: str, shingle: int) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, fp): rows are independent; null text is empty; no words: 0."""
+    """(doc_id, fp): rows are independent, repeated ones repeated; null text is empty; no words: 0; an empty table gives none."""
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(t or "", shingle) for t in batch.column(1).to_pylist()], pa.int64())], ["doc_id", "fp"])
+            for a, b in slices(batch.column(1)):
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([fingerprint(t or "", shingle) for t in part.column(1).to_pylist()], pa.int64())], ["doc_id", "fp"])
 
     return ids_and_text(docs).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, fp long")
 
