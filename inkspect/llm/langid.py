@@ -22,7 +22,7 @@ from .common import documents, ids_and_text, slices
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")  # letters, and numerals such as ½ that words() takes out
 LONGEST = 4
-MEMO_SCORES = 400_000  # of words or grams, by the number of languages
+MEMO_SCORES = 240_000  # of words or grams, by the number of languages
 
 
 def words(text: str) -> Counter:

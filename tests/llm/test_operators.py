@@ -294,6 +294,64 @@ def test_lines(docs, empty):
     assert any(x.n_dropped for x in out) and line_dedup.dedup_lines(empty).count() == 0
 
 
+def scored_plainly(model, text):
+    """Gated attention over a text's passages in plain loops."""
+    import math
+
+    w, data = {k: v.astype(float).tolist() for k, v in model.w.items()}, text.encode()
+    bags = []
+    column = quality.pa.array([text])
+    for i in range(max(1, -(-len(data) // 512))):
+        part = data[512 * i : 512 * i + 512]
+        shares = [math.sqrt(part.count(bytes([b])) / max(1, len(part))) for b in range(256)]
+        bags.append(shares + quality.passages(column)[0][i, 256:].tolist())
+    dot = lambda row, table: [sum(x * y for x, y in zip(row, c)) for c in zip(*table)]
+    hidden, weight = [], []
+    for bag in bags:
+        x = [(v - m) / s for v, m, s in zip(bag, w["mean"], w["sd"])]
+        h = [math.tanh(v + e) for v, e in zip(dot(x, w["E"]), w["e"])]
+        gate = [math.tanh(v) / (1 + math.exp(-u)) for v, u in zip(dot(h, w["V"]), dot(h, w["U"]))]
+        hidden.append(h)
+        weight.append(math.exp(sum(g * a for g, a in zip(gate, w["a"]))))
+    z = [sum(p / sum(weight) * h[i] for p, h in zip(weight, hidden)) for i in range(len(hidden[0]))]
+    return 1 / (1 + math.exp(-sum(v * c for v, c in zip(z, w["c"])) - w["b"][0]))
+
+
+def test_quality_equals_plain_scoring(spark):
+    own = random.Random(8)
+    model = quality.Model.fresh(seed=4)
+    texts = ["", "a b a b", "é" * 700, *(" ".join(own.choice(["good", "bad", "x", "ein", "1999"]) for _ in range(n)) for n in (10, 200, 900))]
+    out = quality.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    for x in out:
+        assert abs(x.score - scored_plainly(model, texts[x.doc_id])) < 1e-4
+
+
+def test_quality_sample_is_bounded(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda x, firsts, y: seen.append((len(x), len(y))) or quality.Model.fresh())
+    rows = [(i, "word " * (2000 if i % 7 == 0 else 30)) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    quality.fit(docs, labels, quality.F.lit(True), sample_passages=64)
+    quality.fit(docs, labels, quality.F.lit(True), sample_docs=50)
+    (few, n_few), (many, n_many) = seen
+    assert 32 <= few <= 64 and n_few > 5 and 20 < n_many < 100
+    assert len(quality.drawn(5, 5000, 100)) == 100 and quality.drawn(5, 9, 100).tolist() == [5, 6, 7, 8]
+
+
+HELD_OUT = "/root/testdata/sf0.01"
+
+
+@pytest.mark.skipif(not os.path.isdir(HELD_OUT), reason="needs the given tables")
+def test_held_out(spark):
+    docs, labels = spark.read.parquet(f"{HELD_OUT}/documents.parquet"), spark.read.parquet(f"{HELD_OUT}/labels.parquet")
+    lang = langid.op3_language_id(spark, HELD_OUT).where("held_out").join(docs.select("doc_id", "lang", "text"), "doc_id").where("lang IS NOT NULL AND text IS NOT NULL").collect()
+    assert len(lang) > 200 and sum(x.lang == x.lang_pred for x in lang) / len(lang) > 0.97
+    scored = quality.op6_quality(spark, HELD_OUT).where("held_out").join(labels.where("quality IS NOT NULL"), "doc_id").collect()
+    good, bad = [x.score for x in scored if x.quality], [x.score for x in scored if not x.quality]
+    assert len(bad) > 5 and np.mean([g > b for g in good for b in bad]) > 0.95
+
+
 def test_exact(docs, empty):
     norm = lambda t: "".join(c for c in t or "" if c not in " \t\n\x0b\f\r")
     groups = {}
@@ -304,9 +362,26 @@ def test_exact(docs, empty):
         own = groups[norm(x[1])]
         best = min(own, key=lambda y: (-len(y[1] or ""), y[0] if y[0] is not None else 1 << 62))
         expected.append(str((x[0], best[0], len(own), x[0] == best[0] and len(x[1] or "") == len(best[1] or ""), hashlib.sha256(norm(x[1]).encode()).hexdigest())))
-    out = exact_dedup.dedup_exact(docs).collect()
-    assert sorted(str((x.doc_id, x.keep_id, x.group_size, x.kept, x.text_sha256)) for x in out) == sorted(expected)
+    told = lambda out: sorted(str((x.doc_id, x.keep_id, x.group_size, x.kept, x.text_sha256)) for x in out.collect())
+    assert told(exact_dedup.dedup_exact(docs)) == sorted(expected)
+    # hot contents: over a sixteenth of the rows in a sample of them all
+    rows, hot = exact_dedup.grouped_by_sort(docs, 4, 1_000_000, 1)
+    assert hot and rows.where("salt >= 0").select("salt").distinct().count() > 1
+    assert told(exact_dedup.dedup_exact(docs, salts=4, least=1)) == sorted(expected)
     assert exact_dedup.dedup_exact(empty).count() == 0
+    named = docs.withColumn("doc_id", exact_dedup.F.concat(exact_dedup.F.lit("d"), exact_dedup.F.lpad(docs.doc_id.cast("string"), 3, "0")))
+    assert sorted(x.group_size for x in exact_dedup.dedup_exact(named).collect()) == sorted(len(groups[norm(x[1])]) for x in ROWS)
+
+
+def test_neighbours_find_all_copies_but_those_of_hot_contents(docs):
+    norm = lambda t: "".join(c for c in t or "" if c not in " \t\n\x0b\f\r")
+    groups = {}
+    for x in ROWS:
+        groups[norm(x[1])] = groups.get(norm(x[1]), 0) + 1
+    rows, hot = exact_dedup.grouped_by_sort(docs, 4, 1_000_000, 10**6)
+    assert hot == 0
+    found = {bytes(x.digest): x.n for x in rows.collect()}
+    assert found == {hashlib.sha256(k.encode()).digest(): n for k, n in groups.items()}
 
 
 def chunks_by_hand(data, reach=16):
