@@ -5,11 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Text handled at once by a vectorised step; arrays of eight bytes a character come from it.
 SLICE_BYTES = 2 << 20
@@ -22,10 +24,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the session names none (tests on one machine) a temporary one is made.
+    Only where the session of one machine names none (as in tests) a temporary one is
+    made; on a cluster that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='inkspect-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -51,9 +56,40 @@ def materialise(df: DataFrame, name: str, partition_by: str | None = None) -> Da
     return table
 
 
+def sorted_run(df: DataFrame, name: str, keys: list[str], parts: int) -> DataFrame:
+    """Write ``df`` as a table of ``parts`` buckets by ``keys``, each sorted by them, and read it back.
+
+    Dealt and sorted like this it takes part in merge joins as it is, as long as
+    ``with_runs`` holds and a bucket is one file, which it is where ``df`` has been
+    dealt by the keys under it.
+    """
+    spark, table = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{table}"
+    df.write.option("path", path).option("compression", "zstd").format("parquet").bucketBy(parts, *keys).sortBy(*keys).saveAsTable(table)
+    run = spark.table(table)
+    run.written, run.named = path, table
+    return run
+
+
+@contextmanager
+def with_runs(spark: SparkSession, parts: int) -> Iterator[None]:
+    """Inside, shuffles deal into as many parts as runs have buckets, and buckets of one file are taken for sorted, which they are."""
+    own = {"spark.sql.legacy.bucketedTableScan.outputOrdering": "true", "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false", "spark.sql.shuffle.partitions": str(parts)}
+    before = {k: spark.conf.get(k, None) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def discard(*tables: DataFrame) -> None:
-    """Delete tables of ``materialise`` that nothing will read any more."""
+    """Delete tables of ``materialise`` and ``sorted_run`` that nothing will read any more."""
     for table in tables:
+        if hasattr(table, "named"):
+            table.sparkSession.sql(f"DROP TABLE IF EXISTS {table.named}")
         jvm, conf = table.sparkSession._jvm, table.sparkSession._jsc.hadoopConfiguration()
         path = jvm.org.apache.hadoop.fs.Path(table.written)
         path.getFileSystem(conf).delete(path, True)
@@ -64,6 +100,16 @@ def plain_text(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
 
+def free_name(docs: DataFrame, base: str) -> str:
+    """A name like ``base`` that is none of the columns of ``docs``."""
+    return base + "_" * max(map(len, docs.columns))
+
+
+def fields(docs: DataFrame, ddl: str, *more: T.StructField) -> T.StructType:
+    """The type of doc_id in ``docs``, then the fields of ``ddl`` and ``more``; a struct, since names of columns may be no words."""
+    return T.StructType([docs.schema["doc_id"], *T._parse_datatype_string(ddl).fields, *more])
+
+
 def ids_and_text(docs: DataFrame, carry: bool = False) -> DataFrame:
     """(doc_id, text), and with ``carry`` a struct ``rest`` of all other columns, which so can't clash with any."""
     rest = [F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text"))).alias("rest")] if carry and len(docs.columns) > 2 else []

@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from . import webp
 from .common import documents, ids_and_text, slices
@@ -60,8 +61,8 @@ def read_pixels(media: DataFrame, column: str = "media") -> DataFrame:
             sides = [pa.array([None if x is None else x.shape[i] for x in found], pa.int32()) for i in (1, 0)]
             yield pa.RecordBatch.from_arrays([*kept, *sides, pa.array([None if x is None else x.astype("<u4").tobytes() for x in found], pa.binary())], [*(f.name for f in rest), "width", "height", "argb"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest)
-    return media.mapInArrow(run, f"{schema}{', ' if schema else ''}width int, height int, argb binary")
+    pixels = [T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType()), T.StructField("argb", T.BinaryType())]
+    return media.mapInArrow(run, T.StructType([*rest, *pixels]))
 
 
 def store_documents(docs: DataFrame) -> DataFrame:

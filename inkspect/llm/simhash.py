@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, ids_and_text, materialise, slices
+from .common import documents, free_name, ids_and_text, materialise, slices
 from .components import components
 
 CHUNK = 1 << 16
@@ -106,9 +106,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> Dat
 
 
 def keep_one(docs: DataFrame, shingle: int, max_bits: int) -> DataFrame:
-    """The rows of ``docs``, unchanged, whose document names its component."""
-    firsts = near_duplicates(docs, shingle, max_bits).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first")).distinct()
-    return docs.join(firsts, F.col("doc_id").eqNullSafe(F.col("first")), "left_semi")
+    """The rows of ``docs``, unchanged, whose id names their component; rows that repeat such an id all stay."""
+    first = free_name(docs, "first")
+    firsts = near_duplicates(docs, shingle, max_bits).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(first)).distinct()
+    return docs.join(firsts, F.col("doc_id").eqNullSafe(F.col(first)), "left_semi")
 
 
 def op5_simhash(spark, sf_dir: str) -> DataFrame:

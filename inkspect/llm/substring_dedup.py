@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from . import blocks
-from .common import documents, ids_and_text, materialise, slices, text_bytes
+from .common import documents, fields, ids_and_text, materialise, slices, text_bytes
 
 GEAR = np.random.default_rng(11).integers(0, 1 << 32, 256, dtype=np.uint32)
 DEPTH, LONGEST = 16, 1024
@@ -133,8 +133,8 @@ def dedup_substrings(docs: DataFrame, reach: int = 16, least: int = 64, carry: b
         return pa.table([*columns, *([table.column("rest")] if rest else [])], names=[*names, *(["rest"] if rest else [])])
 
     held = ids_and_text(docs, carry)
-    rest = f", rest {held.schema['rest'].dataType.simpleString()}" if "rest" in held.columns else ""
-    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, kept_text string, n_bytes long, n_chunks long, n_removed long, n_spans long, kept_sha256 string{rest}"
+    rest = [held.schema["rest"]] if "rest" in held.columns else []
+    schema = fields(docs, "kept_text string, n_bytes long, n_chunks long, n_removed long, n_spans long, kept_sha256 string", *rest)
     return layout.grouped(carry).cogroup(replies.groupBy("block")).applyInArrow(cut, schema)
 
 
