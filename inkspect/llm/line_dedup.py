@@ -1,12 +1,14 @@
 """Line dedup over levelled sorted runs of line hashes (DataFrame functions only).
 
 Lines become 128-bit hashes of their keys.  Documents are taken in batches of
-falling ``doc_id``.  A batch is reduced to a sorted run of (hash, documents,
-keeper); it is merge-anti-joined against the hashes that the runs have already
-settled (held by enough documents, so that nothing later can change them) and
-the rest is added as a new run.  When ``fan_out`` runs stand on one level they
-are compacted into one run of the next.  The last compaction gives every hash
-its number of documents and its keeper, the largest document holding it.
+falling ``doc_id``.  A batch is reduced to a run of (hash, documents, keeper), dealt
+into buckets by hash and sorted there; it is merge-anti-joined against the runs'
+hashes that are already settled (held by enough documents, so that nothing later can
+change them) and the rest is added as a new run.  When ``fan_out`` runs stand on one
+level they are compacted by merge joins into one run of the next.  Runs are bucketed
+tables: they come into these joins as they were written, without another exchange or
+sort; only a new batch is dealt and sorted.  The last compaction gives every hash its
+number of documents and its keeper, the largest document holding it.
 
 Hot lines: a hash is summed before each shuffle, and the join that finds the
 lines to drop is a plain sort-merge join, whose large partitions AQE splits.
@@ -16,10 +18,10 @@ from __future__ import annotations
 
 from string import ascii_lowercase, ascii_uppercase
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, ids_and_text, materialise
+from .common import discard, ids_and_text, materialise, sorted_run, with_runs
 
 BLANKS = " \t\n\x0b\f\r"
 HASH = ["h1", "h2"]
@@ -32,39 +34,60 @@ def line_key(line):
 class LineRuns:
     """Levelled sorted runs; a row is (h1, h2, n, keeper)."""
 
-    def __init__(self, min_docs: int, fan_out: int = 2):
-        self.min_docs, self.fan_out, self.levels = min_docs, fan_out, []
+    def __init__(self, spark: SparkSession, min_docs: int, parts: int, fan_out: int):
+        self.spark, self.min_docs, self.parts, self.fan_out, self.levels = spark, min_docs, parts, fan_out, []
 
     def _merged(self, runs: list[DataFrame]) -> DataFrame:
+        """One run of all: a full merge join after another."""
         together = runs[0]
         for run in runs[1:]:
-            together = together.unionByName(run)
-        return together.groupBy(*HASH).agg(F.sum("n").alias("n"), F.max("keeper").alias("keeper"))
+            own = run.select(*HASH, F.col("n").alias("n2"), F.col("keeper").alias("k2"))
+            both = together.join(own.hint("merge"), HASH, "full")
+            together = both.select(*HASH, (F.coalesce("n", F.lit(0)) + F.coalesce("n2", F.lit(0))).alias("n"), F.greatest("keeper", "k2").alias("keeper"))
+        return together
 
     def _put(self, level: int, run: DataFrame) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(materialise(run.sortWithinPartitions(*HASH), f"line-run-{level}"))
+        self.levels[level].append(sorted_run(run, "line_run", HASH, self.parts))
         if len(self.levels[level]) >= self.fan_out:
             runs, self.levels[level] = self.levels[level], []
             self._put(level + 1, self._merged(runs))
             discard(*runs)
 
-    def add(self, batch: DataFrame) -> None:
-        """batch: one row per (h1, h2, doc_id) at least; repeats within a document count once."""
+    def fresh(self, batch: DataFrame) -> DataFrame:
+        """A batch as a run, without the hashes that the runs have settled.
+
+        batch: one row per (h1, h2, doc_id) at least; repeats within a document count once.
+        """
         own = batch.select(*HASH, "doc_id").distinct().groupBy(*HASH).agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper"))
         for run in (r for level in self.levels for r in level):
-            own = own.join(run.where(F.col("n") >= self.min_docs).select(*HASH).hint("merge"), HASH, "left_anti")
-        self._put(0, own)
+            settled = run.where(F.col("n") >= self.min_docs).select(F.col("h1").alias("s1"), F.col("h2").alias("s2")).hint("merge")
+            # with a look at n the join stays above the sums, which shrink hot lines
+            own = own.join(settled, (F.col("h1") == F.col("s1")) & (F.col("h2") == F.col("s2")) & (F.col("n") >= 1), "left_anti")
+        return own
+
+    def add(self, batch: DataFrame) -> None:
+        with with_runs(self.spark, self.parts):
+            self._put(0, self.fresh(batch))
+
+    def repeated(self) -> DataFrame:
+        """(h1, h2, keeper) of the lines that enough documents hold; the runs go."""
+        runs = [r for level in self.levels for r in level]
+        with with_runs(self.spark, self.parts):
+            out = materialise(self._merged(runs).where(F.col("n") >= self.min_docs).select(*HASH, "keeper"), "repeated-lines")
+        discard(*runs)
+        self.levels = []
+        return out
 
-    def all(self) -> DataFrame:
-        return self._merged([r for level in self.levels for r in level])
 
-    def discard(self) -> None:
-        discard(*(r for level in self.levels for r in level))
+#: Lines of a batch; there are three batches at least, so that runs of two levels take part at every size.
+BATCH = 100_000_000
+#: Lines of a batch in a bucket.
+BUCKET = 500_000
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 3, fan_out: int = 2) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int | None = None, fan_out: int = 2) -> DataFrame:
     """(doc_id, text, n_lines, n_dropped, kept_text, rest) for every row of ``docs``; rest holds its other columns.
 
     A line's key is the line without blanks at its ends and with A-Z lower-cased.
@@ -73,7 +96,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
     empty text is one empty line; nothing is dropped from it.  Rows that share a
     ``doc_id`` are one document when documents are counted; a null ``doc_id`` is
     a document of its own, smaller than all.  A document whose lines all go has
-    the empty text.
+    the empty text.  Ids must be numbers.  An empty table gives no row.
     """
     base = ids_and_text(docs, carry=True).withColumn("row_key", F.xxhash64("text"))
     lines = (
@@ -82,16 +105,17 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
         .where(F.char_length("key") >= min_chars)
         .select("doc_id", "row_key", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"))
     )
+    lines = materialise(lines, "lines")
+    there = lines.count()
+    batches = batches or max(3, -(-there // BATCH))
     cuts = docs.select(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000)).first()[0] or []
-    lines, above = materialise(lines, "lines"), F.lit(True)
 
-    runs = LineRuns(min_docs, fan_out)
+    runs, above = LineRuns(docs.sparkSession, min_docs, max(1, -(-there // (batches * BUCKET))), fan_out), F.lit(True)
     for cut in sorted(set(cuts), reverse=True):
         runs.add(lines.where(above & (F.col("doc_id") > cut)))
         above = F.col("doc_id") <= cut
     runs.add(lines.where(above | F.col("doc_id").isNull()))
-    repeated = materialise(runs.all().where(F.col("n") >= min_docs).select(*HASH, "keeper"), "repeated-lines")
-    runs.discard()
+    repeated = runs.repeated()
 
     dropped = (
         lines.join(repeated.hint("merge"), HASH)

@@ -292,6 +292,26 @@ def test_lines(docs, empty):
     out = line_dedup.dedup_lines(docs, batches=3).collect()
     assert sorted(str((x.doc_id, x.n_lines, x.n_dropped, x.kept_text)) for x in out) == sorted(expected)
     assert any(x.n_dropped for x in out) and line_dedup.dedup_lines(empty).count() == 0
+    assert sorted(str((x.doc_id, x.n_lines, x.n_dropped, x.kept_text)) for x in line_dedup.dedup_lines(docs, batches=7, fan_out=3).collect()) == sorted(expected)
+
+
+def test_runs_stay_sorted(spark):
+    """A batch is dealt and sorted, a run that was written is not: neither in an anti-join nor in a compaction."""
+    batch = lambda a, b: spark.range(a, b).selectExpr("id % 20 AS h1", "id % 3 AS h2", "id AS doc_id")
+    runs = line_dedup.LineRuns(spark, 3, 2, 9)
+    runs.add(batch(0, 300))
+    runs.add(batch(300, 700))
+
+    planned = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    with line_dedup.with_runs(spark, 2):
+        anti, merged = planned(runs.fresh(batch(700, 900))), planned(runs._merged(runs.levels[0]))
+    assert anti.count("SortMergeJoin") == 2 and anti.count("- Sort [") == 1 and anti.index("SortMergeJoin") < anti.index("HashAggregate")
+    assert merged.count("SortMergeJoin") == 1 and "Sort [" not in merged and "Exchange" not in merged
+    found = {(r.h1, r.h2): r.keeper for r in runs.repeated().collect()}
+    counts = {}
+    for i in range(700):
+        counts.setdefault((i % 20, i % 3), []).append(i)
+    assert found and all(max(counts[k]) >= v for k, v in found.items()) and set(found) == {k for k, v in counts.items() if len(v) >= 3}
 
 
 def scored_plainly(model, text):
@@ -380,6 +400,9 @@ def test_neighbours_find_all_copies_but_those_of_hot_contents(docs):
         groups[norm(x[1])] = groups.get(norm(x[1]), 0) + 1
     rows, hot = exact_dedup.grouped_by_sort(docs, 4, 1_000_000, 10**6)
     assert hot == 0
+    for chosen in (rows, exact_dedup.grouped_by_sort(docs, 4, 1_000_000, 1)[0]):
+        plan = chosen._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange rangepartitioning" in plan and "Exchange hashpartitioning" not in plan
     found = {bytes(x.digest): x.n for x in rows.collect()}
     assert found == {hashlib.sha256(k.encode()).digest(): n for k, n in groups.items()}
 
