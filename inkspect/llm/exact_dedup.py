@@ -42,9 +42,10 @@ def grouped_by_sort(docs: DataFrame, salts: int, sample_rows: int, least: int) -
     keyed = base.withColumn("head", F.substring("content", 1, 24)).withColumn("code", F.xxhash64("content"))
     hot = hot_contents(keyed, sample_rows, least)
     salt = F.when(F.col("code").isin(hot), F.pmod(F.xxhash64("doc_id"), F.lit(salts))).otherwise(-1) if hot else F.lit(-1).cast("long")
-    run = Window.partitionBy("head", "code", "salt", "content")
+    dealt = ["head", "code", *(["salt"] if hot else [])]
+    run = Window.partitionBy(*dealt, "content")  # within what the splitters have dealt: no other exchange
     best = F.struct((-F.col("chars")).alias("chars"), F.col("doc_id").isNull().alias("none"), "doc_id")  # the least: most code points, then smallest id
-    sorted_ = keyed.withColumn("salt", salt).repartitionByRange("head", "code", "salt")
+    sorted_ = keyed.withColumn("salt", salt).repartitionByRange(*dealt)
     rows = sorted_.select("doc_id", "chars", "salt", F.count(F.lit(1)).over(run).alias("n"), F.min(best).over(run).alias("best"), F.unhex(F.sha2("content", 256)).alias("digest"))
     return rows, len(hot)
 
