@@ -1,16 +1,17 @@
 """Column helpers: regex matches with byte spans, byte slices, positions, sentences.
 
-Spans are half-open offsets in UTF-8 bytes.  All of it stays in Catalyst.
+Spans are half-open offsets in UTF-8 bytes.  All columns stay in Catalyst.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 FIX = "struct<start:int,end:int,replacement:string>"
 HIT = f"struct<start:int,end:int,message:string,fixes:array<{FIX}>>"
-MATCH = "struct<start:int,end:int,value:string>"
+PIECE = "struct<gap:string,start:int,end:int,value:string>"
 CHUNK = 48
 
 
@@ -28,38 +29,50 @@ def bound(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def matches(text: Column, pattern: str | Column) -> Column:
-    """array<struct<start,end,value>> of the non-overlapping matches of a pattern that never matches nothing.
+def starting(words: list[str], flags: str = "") -> str:
+    """A regex for any of the words, literally and in this order; where none can begin, one look at a character tells."""
+    first = "".join(dict.fromkeys(w[0] for w in words))
+    return f"{flags}(?={char_class(first)})(?:{'|'.join(map(quote, words))})"
+
+
+def pieces(text: Column, pattern: str | Column) -> Column:
+    """array<struct<gap,start,end,value>>: the matches of a pattern that never matches nothing, and the text before each.
 
-    Offsets are running sums over the gaps and the matches.  An array that grows in
-    a fold is copied at each step, so sums run inside chunks, then over the chunks'
-    totals: n * CHUNK + (n / CHUNK)^2 steps instead of n^2.  A text without a match
-    costs one search.
+    Offsets are running sums over gaps and matches.  An array that grows in a fold is
+    copied at each step, so sums run inside chunks, then over the chunks' totals:
+    n * CHUNK + (n / CHUNK)^2 steps, short ones, instead of n^2.  A text without a
+    match costs one search.
     """
     p = F.lit(pattern) if isinstance(pattern, str) else pattern
     gaps, found = F.split(text, p, -1), F.regexp_extract_all(text, F.concat(F.lit("("), p, F.lit(")")), F.lit(1))
-    pairs = F.zip_with(found, gaps, lambda v, g: F.struct(F.octet_length(g).alias("gap"), F.octet_length(v).alias("size"), v.alias("value")))
+    pairs = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(gaps) - 1), lambda v, g: F.struct(F.octet_length(g).alias("gap"), F.octet_length(v).alias("size"), g.alias("text"), v.alias("value")))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{PIECE}>").alias("out"))
 
-    def inside(chunk: Column) -> Column:
-        def step(acc: Column, m: Column) -> Column:
-            a = acc["at"] + m["gap"]
-            b = a + m["size"]
-            return F.struct(b.alias("at"), F.concat(acc["out"], F.array(F.struct(a.alias("start"), b.alias("end"), m["value"].alias("value")))).alias("out"))
+    def inside(real: Column, chunk: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            m = F.get(real, i)
+            start = acc["at"] + m["gap"]
+            end = start + m["size"]
+            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(m["text"].alias("gap"), start.alias("start"), end.alias("end"), m["value"].alias("value")))).alias("out"))
 
-        return F.aggregate(chunk, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{MATCH}>").alias("out")), step)
+        return F.aggregate(F.sequence(chunk * CHUNK, F.least(chunk * CHUNK + CHUNK, F.size(real)) - 1), begin, step)
 
     def bases(parts: Column) -> Column:
         return F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), lambda acc, c: F.struct((acc["at"] + c["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
 
     def moved(part: Column, base: Column) -> Column:
-        return F.transform(part["out"], lambda m: F.struct((m["start"] + base).alias("start"), (m["end"] + base).alias("end"), m["value"].alias("value")))
+        return F.transform(part["out"], lambda m: F.struct(m["gap"].alias("gap"), (m["start"] + base).alias("start"), (m["end"] + base).alias("end"), m["value"].alias("value")))
 
-    def placed(all_: Column) -> Column:
-        real = F.filter(all_, lambda m: m["value"].isNotNull())  # the last gap has no match
-        chunked = lambda r: F.transform(F.sequence(F.lit(0), F.floor((F.size(r) - 1) / CHUNK).cast("int")), lambda c: inside(F.slice(r, c * CHUNK + 1, F.lit(CHUNK))))
-        return bound(bound(real, chunked), lambda parts: F.flatten(F.zip_with(parts, bases(parts), moved)))
+    def placed(real: Column) -> Column:
+        chunked = F.transform(F.sequence(F.lit(0), F.floor((F.size(real) - 1) / CHUNK).cast("int")), lambda c: inside(real, c))
+        return bound(chunked, lambda parts: F.flatten(F.zip_with(parts, bases(parts), moved)))
 
-    return F.when(F.rlike(text, p), bound(pairs, placed)).otherwise(F.array().cast(f"array<{MATCH}>"))
+    return F.when(F.rlike(text, p), bound(pairs, placed)).otherwise(F.array().cast(f"array<{PIECE}>"))
+
+
+def matches(text: Column, pattern: str | Column) -> Column:
+    """array<struct<start,end,value>> of the non-overlapping matches of a pattern that never matches nothing."""
+    return F.transform(pieces(text, pattern), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value")))
 
 
 def hits(found: Column, message) -> Column:
@@ -83,23 +96,26 @@ def code_point(char: Column) -> Column:
     return F.concat(F.lit("U+"), F.when(F.length(digits) < 4, F.lpad(digits, 4, "0")).otherwise(digits))
 
 
-def position(text: Column, offset: Column) -> Column:
-    """struct<line, column, utf16_column> of a byte offset, counted from 1; an offset inside a character counts as its start."""
-    raw = F.encode(text, "UTF-8")
-    at = F.least(F.greatest(offset, F.lit(0)), F.octet_length(text))
+def positions(raw: bytes, offsets: np.ndarray) -> np.ndarray:
+    """Lines, columns and UTF-16 columns (three rows) of byte offsets, counted from 1; an offset inside a character counts as its start.
+
+    One pass over the text, and a search for each offset.
+    """
+    data = np.frombuffer(raw, np.uint8)
+    at = np.clip(offsets, 0, len(data))
+    follows = np.concatenate([(data & 0xC0) == 0x80, [False]])
     for _ in range(3):  # step back out of a character
-        at = F.when((F.hex(F.substring(raw, at + 1, 1)).between("80", "BF")), at - 1).otherwise(at)
-    before = F.decode(F.substring(raw, F.lit(1), at), "UTF-8")
-    last = F.substring_index(before, "\n", -1)
-    return F.struct(
-        (F.char_length(before) - F.char_length(F.replace(before, F.lit("\n"), F.lit(""))) + 1).alias("line"),
-        (F.char_length(last) + 1).alias("column"),
-        (F.octet_length(F.encode(last, "UTF-16BE")) / 2 + 1).cast("int").alias("utf16_column"),
-    )
+        at = at - (follows[at] & (at > 0))
+    chars = np.concatenate([[0], np.cumsum(~follows[:-1])])
+    units = chars + np.concatenate([[0], np.cumsum(data >= 0xF0)])
+    begins = np.concatenate([[0], np.flatnonzero(data == 10) + 1])
+    line = np.searchsorted(begins, at, "right")
+    begin = begins[line - 1]
+    return np.stack([line, chars[at] - chars[begin] + 1, units[at] - units[begin] + 1])
 
 
 def located(text: Column, pattern: str) -> Column:
-    """array<struct<start,line,column,utf16_column>> of the starts of ``matches``, as ``position`` gives them.
+    """array<struct<start,line,column,utf16_column>> of the starts of ``matches``, as ``positions`` gives them.
 
     A text is read once: its gaps and matches are measured, and the measures are
     summed in chunks as in ``matches``.  Columns start again after a line end.
@@ -119,12 +135,13 @@ def located(text: Column, pattern: str) -> Column:
     origin = F.struct(*(F.lit(0).alias(n) for n in ("at", "lines", "chars", "units")))
     begin = F.struct(origin.alias("at"), F.array().cast(f"array<{place}>").alias("out"))
 
-    def inside(chunk: Column) -> Column:
-        def step(acc: Column, m: Column) -> Column:
+    def inside(real: Column, chunk: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            m = F.get(real, i)
             start = after(acc["at"], m["gap"])
             return F.struct(after(start, m["value"]).alias("at"), F.concat(acc["out"], F.array(start)).alias("out"))
 
-        return F.aggregate(chunk, begin, step)
+        return F.aggregate(F.sequence(chunk * CHUNK, F.least(chunk * CHUNK + CHUNK, F.size(real)) - 1), begin, step)
 
     def bases(parts: Column) -> Column:
         return F.aggregate(parts, begin, lambda acc, c: F.struct(after(acc["at"], c["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
@@ -133,7 +150,7 @@ def located(text: Column, pattern: str) -> Column:
         return F.struct(m["at"].alias("start"), (m["lines"] + 1).alias("line"), (m["chars"] + 1).alias("column"), (m["units"] + 1).alias("utf16_column"))
 
     def placed(real: Column) -> Column:
-        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(real) - 1) / CHUNK).cast("int")), lambda c: inside(F.slice(real, c * CHUNK + 1, F.lit(CHUNK))))
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(real) - 1) / CHUNK).cast("int")), lambda c: inside(real, c))
         return bound(parts, lambda ps: F.flatten(F.zip_with(ps, bases(ps), lambda part, base: F.transform(part["out"], lambda m: counted(after(base, m))))))
 
     gaps, found = F.split(text, F.lit(pattern), -1), F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))

@@ -15,7 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import FIX, bound, char_class, code_point, hits, matches, no_hits, quote, sentences, strip_urls
+from ..functions.text import FIX, bound, char_class, code_point, hits, matches, no_hits, quote, sentences, starting, strip_urls
 
 # Character classes, marks, phrases and messages that results must have.
 KANJI = "[\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}]"
@@ -171,7 +171,7 @@ def no_todo(text: Column, options: dict) -> Column:
         found = matches(text, p["pattern"])
         return hits(F.filter(found, lambda m: ~F.rlike(m["value"], skip)) if ignored else found, p["message"])
 
-    any_marker = F.lit("|".join(case + quote(p) for p in patterns))
+    any_marker = F.lit(starting(patterns, case))
     return F.when(F.rlike(text, any_marker), F.flatten(F.transform(table, one))).otherwise(no_hits())
 
 
@@ -221,14 +221,14 @@ def ja_unnatural_alphabet(text: Column, options: dict) -> Column:
 def arabic_kanji_numbers(text: Column, options: dict) -> Column:
     k, few = f"[{NUMERALS}]", "[三四五六七八九十壱弐参拾百〇]"
     things = f"(?<!{k})(?:(?<!ただ)(?<!唯)(?<!女手)(?<!男手)(?<!穴)(?<!瓜)(?<!馬鹿の)[一二]|{few}|{k}{{2,}})つ(?!返事|子|ひとつ|[星編葉橋]|と[無な]い|に一つ)"
-    to_arabic = f"第{k}+[章節]|(?<![数何]){k}+[兆億万]|{things}|{k}+(?:回|か月|番目|進法|次元)"
-    to_kanji = "世界1|第3者|数10+[倍兆億万年]|1時的|1部分|1部の|1番に|(?<![0-9])1種(?!類)|5大陸|[0-9]+次関数"
+    to_arabic = f"(?=[第{NUMERALS}])(?:第{k}+[章節]|(?<![数何]){k}+[兆億万]|{things}|{k}+(?:回|か月|番目|進法|次元))"
+    to_kanji = "(?=[世第数0-9])(?:世界1|第3者|数10+[倍兆億万年]|1時的|1部分|1部の|1番に|(?<![0-9])1種(?!類)|5大陸|[0-9]+次関数)"
     return F.concat(hits(matches(text, to_arabic), lambda m: say("to_arabic", m["value"])), hits(matches(text, to_kanji), lambda m: say("to_kanji", m["value"])))
 
 
 def ja_no_weak_phrase(text: Column, options: dict) -> Column:
-    longest = "|".join(sorted(WEAK, key=len, reverse=True))
-    return hits(matches(text, longest), lambda m: F.when(m["value"] == WEAK[-1], say("weak_double")).otherwise(say("weak", m["value"])))
+    longest = sorted(WEAK, key=len, reverse=True)
+    return hits(matches(text, starting(longest)), lambda m: F.when(m["value"] == WEAK[-1], say("weak_double")).otherwise(say("weak", m["value"])))
 
 
 def ja_no_abusage(text: Column, options: dict) -> Column:
@@ -237,7 +237,7 @@ def ja_no_abusage(text: Column, options: dict) -> Column:
     table = F.array(*(F.struct(F.lit(w).alias("wrong"), F.lit(m).alias("message")) for w, m in entries))
     there = F.filter(table, lambda e: F.contains(text, e["wrong"]))
     each = F.transform(there, lambda e: hits(matches(text, F.concat(F.lit("\\Q"), e["wrong"], F.lit("\\E"))), e["message"]))
-    return F.when(F.rlike(text, F.lit("|".join(w for w, _ in entries))), F.flatten(each)).otherwise(no_hits())
+    return F.when(F.rlike(text, F.lit(starting([w for w, _ in entries]))), F.flatten(each)).otherwise(no_hits())
 
 
 def _expand(template: str, match) -> str:

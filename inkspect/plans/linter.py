@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.text import FIX, HIT, bound, byte_slice
 from ..operators import surface
 from ..operators.registry import BLOCK, DOCUMENT, RULES, TEXT, TOKENS
+from ..operators.tokens import token_hits
 from ..sources.plain import BLOCK_KINDS, KIND
 from .config import Active, Config, active, overlay
 
@@ -52,29 +53,39 @@ def _of_document(rule: Active) -> Column:
     return F.when(possible(F.col("text")), _tagged(found, rule)).otherwise(F.array().cast(f"array<{FOUND}>"))
 
 
+def _scopes(rules: list[Active]) -> dict[str, list[Active]]:
+    return {scope: [r for r in rules if RULES[r.id].scope == scope] for scope in (TEXT, BLOCK, DOCUMENT, TOKENS)}
+
+
+def _found(rules: list[Active]) -> Column:
+    """array<FOUND> of a slice: all rules that see text."""
+    by_scope = _scopes(rules)
+    parts = [_of_nodes(kinds, by_scope[scope]) for scope, kinds in ((TEXT, [KIND["text"]]), (BLOCK, BLOCK_KINDS)) if by_scope[scope]]
+    parts += [_of_document(r) for r in by_scope[DOCUMENT]]
+    return F.concat(F.array().cast(f"array<{FOUND}>"), *parts).cast(f"array<{FOUND}>")
+
+
 def lint_slices(slices: DataFrame, rules: list[Active], tokens: DataFrame | None = None) -> DataFrame:
     """(doc_id, slice_id, rule_id, severity, message, start, end, fixes); offsets are bytes of the document.
 
     A multiset: equal findings are not merged.  In no order; see ``ordered``.
     """
-    by_scope = {scope: [r for r in rules if RULES[r.id].scope == scope] for scope in (TEXT, BLOCK, DOCUMENT, TOKENS)}
-    parts = [_of_nodes(kinds, by_scope[scope]) for scope, kinds in ((TEXT, [KIND["text"]]), (BLOCK, BLOCK_KINDS)) if by_scope[scope]]
-    parts += [_of_document(r) for r in by_scope[DOCUMENT]]
-    out = []
-    if parts:
-        found = slices.select("doc_id", "slice_id", F.col("start").alias("base"), F.concat(*parts).cast(f"array<{FOUND}>").alias("found"))
-        out.append(found.select("doc_id", "slice_id", "base", F.inline("found")))
-    for rule in by_scope[TEXT]:
-        if rule.id == "ja-prh" and (terms := surface.compiled_terms(rule.options)[1]):
-            node = slices.select("doc_id", "slice_id", F.col("start").alias("base"), F.explode(node_texts([KIND["text"]])).alias("node"))
-            hit = node.select("doc_id", "slice_id", "base", F.col("node.start").alias("at"), surface._regex_terms(F.col("node.text"), terms).alias("hit"))
-            out.append(hit.select("doc_id", "slice_id", "base", F.inline(_tagged(_shift(F.col("hit"), F.col("at")), rule))))
-    if tokens is not None and by_scope[TOKENS]:
-        where = slices.select(F.col("doc_id").alias("d"), F.col("slice_id").alias("s"), F.col("start").alias("base"))
-        for rule in by_scope[TOKENS]:
-            rows = RULES[rule.id].run(tokens, rule.options)
-            rows = rows.join(where, rows.doc_id.eqNullSafe(F.col("d")) & (rows.slice_id == F.col("s")))
-            out.append(rows.select("doc_id", "slice_id", "base", F.lit(rule.id).alias("rule_id"), F.lit(rule.severity).alias("severity"), "start", "end", "message", "fixes"))
+    return _lint_sets(slices, [(None, rules)], tokens)
+
+
+def _lint_sets(slices: DataFrame, sets: list[tuple[Column | None, list[Active]]], tokens: DataFrame | None) -> DataFrame:
+    """Slices under the first set of rules whose condition holds, in one pass; a set without one takes what is left."""
+    out, found = [], F.array().cast(f"array<{FOUND}>")
+    for test, rules in reversed(sets):
+        found = _found(rules) if test is None else F.when(test, _found(rules)).otherwise(found)
+    if any(RULES[r.id].scope != TOKENS for _, rules in sets for r in rules):
+        rows = slices.select("doc_id", "slice_id", F.col("start").alias("base"), found.alias("found"))
+        out.append(rows.select("doc_id", "slice_id", "base", F.inline("found")))
+    earlier = F.lit(False)
+    for test, rules in sets:
+        own = slices.where(~earlier if test is None else test & ~earlier) if len(sets) > 1 else slices
+        earlier = earlier if test is None else earlier | test
+        out += _beside(own, _scopes(rules), tokens, len(sets) > 1)
     if not out:
         out = [slices.where(F.lit(False)).select("doc_id", "slice_id", F.col("start").alias("base"), F.inline(F.array().cast(f"array<{FOUND}>")))]
     together = out[0]
@@ -85,6 +96,22 @@ def lint_slices(slices: DataFrame, rules: list[Active], tokens: DataFrame | None
     return together.select("doc_id", "slice_id", "rule_id", "severity", "message", (F.col("start") + base).alias("start"), (F.col("end") + base).alias("end"), fixes.alias("fixes"))
 
 
+def _beside(slices: DataFrame, by_scope: dict[str, list[Active]], tokens: DataFrame | None, some: bool) -> list[DataFrame]:
+    """What is not one expression over a slice: terms given as regex, and rules on tokens (of ``some`` of the slices)."""
+    out = []
+    for rule in by_scope[TEXT]:
+        if rule.id == "ja-prh" and (terms := surface.compiled_terms(rule.options)[1]):
+            node = slices.select("doc_id", "slice_id", F.col("start").alias("base"), F.explode(node_texts([KIND["text"]])).alias("node"))
+            hit = node.select("doc_id", "slice_id", "base", F.col("node.start").alias("at"), surface._regex_terms(F.col("node.text"), terms).alias("hit"))
+            out.append(hit.select("doc_id", "slice_id", "base", F.inline(_tagged(_shift(F.col("hit"), F.col("at")), rule))))
+    if tokens is not None and by_scope[TOKENS]:
+        if some:
+            own = slices.select(F.col("doc_id").alias("d"), F.col("slice_id").alias("s"))
+            tokens = tokens.join(own, tokens.doc_id.eqNullSafe(F.col("d")) & (tokens.slice_id == F.col("s")), "left_semi")
+        out.append(token_hits(tokens, by_scope[TOKENS], {r.id: RULES[r.id].run for r in by_scope[TOKENS]}))
+    return out
+
+
 def lint(slices: DataFrame, config: Config | None = None, format: str | None = None, tokens: DataFrame | None = None, scoped: bool = True) -> DataFrame:
     """Lint slices under a configuration; slices of a delimited format take their column's rules over the base.
 
@@ -96,16 +123,11 @@ def lint(slices: DataFrame, config: Config | None = None, format: str | None = N
     if not columns:
         return lint_slices(slices, base, tokens)
     named = [c for c in columns if isinstance(c.selector, str)] + [c for c in columns if not isinstance(c.selector, str)]
-    which = F.lit(-1)
-    for i, c in reversed(list(enumerate(named))):
+    sets = []
+    for c in named:
         test = F.trim("column_name") == c.selector if isinstance(c.selector, str) else F.col("column_index") == c.selector
-        which = F.when(test, i).otherwise(which)
-    tagged, out = slices.withColumn("ruleset", which), None
-    for i, c in [(-1, None), *enumerate(named)]:
-        rules = active(overlay(config.rules, c.rules), config.lang(), scoped) if c else base
-        part = lint_slices(tagged.where(F.col("ruleset") == i).drop("ruleset"), rules, tokens)
-        out = part if out is None else out.unionByName(part)
-    return out
+        sets.append((F.coalesce(test, F.lit(False)), active(overlay(config.rules, c.rules), config.lang(), scoped)))
+    return _lint_sets(slices, [*sets, (None, base)], tokens)
 
 
 def ordered(diagnostics: DataFrame) -> DataFrame:

@@ -2,26 +2,62 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import position
+from ..functions.text import positions
 
 LEVELS = {"error": "error", "warning": "warning", "info": "note", "hint": "note"}
 
 
+POINT = "struct<line:int,column:int,utf16_column:int>"
+
+
 def placed(diagnostics: DataFrame, docs: DataFrame) -> DataFrame:
-    """Diagnostics with path and struct columns from_ and to (line, column, utf16_column)."""
-    own = docs.select(F.col("doc_id").alias("d"), "path", F.coalesce("text", F.lit("")).alias("source"))
-    rows = diagnostics.join(own, F.col("doc_id").eqNullSafe(F.col("d")))
-    fixes = F.transform("fixes", lambda f: F.struct(F.struct(f["start"].alias("start"), f["end"].alias("end")).alias("span"), F.struct(_point(position(F.col("source"), f["start"])).alias("start"), _point(position(F.col("source"), f["end"])).alias("end")).alias("position"), f["replacement"].alias("replacement")))
-    return rows.select("path", "rule_id", "severity", "message", "start", "end", position(F.col("source"), F.col("start")).alias("from_"), position(F.col("source"), F.col("end")).alias("to"), fixes.alias("fixes"))
+    """Diagnostics with path and struct columns from_ and to (line, column, utf16_column).
+
+    A document's diagnostics meet its text once, and all their places are found in
+    one pass over it.
+    """
+    item = F.struct("rule_id", "severity", "message", "start", "end", "fixes")
+    found = diagnostics.groupBy(F.col("doc_id").alias("d")).agg(F.collect_list(item).alias("items"))
+    own = docs.select("doc_id", "path", F.coalesce("text", F.lit("")).alias("source")).join(found, F.col("doc_id").eqNullSafe(F.col("d")))
+    ends = lambda x: F.array(x["start"], x["end"])
+    offsets = F.transform("items", lambda x: F.concat(ends(x), F.flatten(F.transform(x["fixes"], ends))))
+    rows = own.select("path", "items", offsets.alias("offsets"), "source")
+
+    def run(batches):
+        point = pa.struct([("line", pa.int32()), ("column", pa.int32()), ("utf16_column", pa.int32())])
+        for batch in batches:
+            parts = []
+            for own, text in zip(batch.column(2), batch.column(3)):
+                flat = own.values.flatten().to_numpy()
+                parts.append(positions(text.as_py().encode(), flat).astype(np.int32))
+            flat = np.concatenate([np.empty((3, 0), np.int32), *parts], axis=1)
+            points = pa.StructArray.from_arrays([pa.array(x) for x in flat], fields=list(point))
+            inner = batch.column(2).flatten()
+            nested = pa.ListArray.from_arrays(_bounds(batch.column(2)), pa.ListArray.from_arrays(_bounds(inner), points))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), nested], ["path", "items", "points"])
+
+    items = rows.schema["items"].dataType.simpleString()
+    located = rows.mapInArrow(run, f"path string, items {items}, points array<array<{POINT}>>")
+    each = located.select("path", F.explode(F.arrays_zip("items", "points")).alias("x")).select("path", "x.items.*", F.col("x.points").alias("points"))
+    at = lambda i, side: F.get("points", 2 * i + side)
+    fixes = F.transform("fixes", lambda f, i: F.struct(F.struct(f["start"].alias("start"), f["end"].alias("end")).alias("span"), F.struct(_point(at(i + 1, 0)).alias("start"), _point(at(i + 1, 1)).alias("end")).alias("position"), f["replacement"].alias("replacement")))
+    return each.select("path", "rule_id", "severity", "message", "start", "end", F.get("points", F.lit(0)).alias("from_"), F.get("points", F.lit(1)).alias("to"), fixes.alias("fixes"))
 
 
 def _point(p: Column) -> Column:
     return F.struct(p["line"].alias("line"), p["column"].alias("column"), p["utf16_column"].alias("utf16Column"))
 
 
+def _bounds(lists: pa.ListArray) -> pa.Array:
+    """Offsets of a list column without nulls, from 0."""
+    return pa.array(np.cumsum([0, *lists.value_lengths().to_pylist()]), pa.int32())
+
+
 def text_lines(diagnostics: DataFrame, docs: DataFrame) -> DataFrame:
     """(path, start, end, rule_id, line): one line per diagnostic; order by the first four and message for a report."""
     rows = placed(diagnostics, docs)
@@ -71,14 +107,25 @@ def sarif_results(diagnostics: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def sarif_log(diagnostics: DataFrame, docs: DataFrame, tool: str = "inkspect", version: str = "0.1.0") -> str:
-    """A whole SARIF 2.1.0 log as text, for reports that a person reads; large results stay a table."""
+    """A whole SARIF 2.1.0 log as text, for reports that a person reads; see ``write_sarif``."""
+    import io
+
+    out = io.StringIO()
+    write_sarif(out, diagnostics, docs, tool, version)
+    return out.getvalue()
+
+
+def write_sarif(out, diagnostics: DataFrame, docs: DataFrame, tool: str = "inkspect", version: str = "0.1.0") -> None:
+    """Write a SARIF 2.1.0 log to a text file, a result at a time: the driver holds a partition of them at most."""
     import json
 
-    rules = [{"id": r.rule_id} for r in sarif_rules(diagnostics, docs).orderBy("rule_index").collect()]
+    rules = [{"id": r.rule_id} for r in sarif_rules(diagnostics, docs).orderBy("rule_index").collect()]  # a row per rule
+    driver = json.dumps({"name": tool, "version": version, "rules": rules}, ensure_ascii=False)
+    out.write(f'{{"version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json", "runs": [{{"tool": {{"driver": {driver}}}, "results": [')
     rows = sarif_results(diagnostics, docs).orderBy("path", "start", "end", "rule_id", "message")
-    results = [json.loads(r.json) for r in rows.toLocalIterator()]
-    log = {"version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json", "runs": [{"tool": {"driver": {"name": tool, "version": version, "rules": rules}}, "results": results}]}
-    return json.dumps(log, ensure_ascii=False, indent=2) + "\n"
+    for i, r in enumerate(rows.toLocalIterator()):
+        out.write((",\n" if i else "\n") + r.json)
+    out.write("\n]}]}\n")
 
 
 def status(diagnostics: DataFrame, errors: DataFrame | None = None) -> int:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.text import located, matches, sentences, strip_urls
+from .functions.text import located, pieces, sentences, strip_urls
 from .operators import surface
 from .operators.fixes import apply_fixes
 from .plans import cache, render
@@ -159,12 +159,12 @@ _KINDS = [("助詞", "接続助詞", "が"), ("助詞", "格助詞", "が"), ("
 
 def pseudo_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = PLAIN.docs(spark, sf_dir)
-    rows = docs.select("doc_id", "text", F.inline(matches(F.col("text"), r"[^ \n]+")))
+    rows = docs.select("doc_id", F.inline(pieces(F.col("text"), r"[^ \n]+")))
     n = F.char_length("value")
     kind = F.array(*(F.struct(F.lit(a).alias("pos"), F.lit(b).alias("pos1"), F.lit(c).alias("surface")) for a, b, c in _KINDS))[F.pmod(n, F.lit(8))]
     base = F.when(kind["pos"] == "助動詞", F.when(n > 4, "ない").otherwise("です")).when(kind["pos"] == "動詞", F.when(n > 4, "できる").otherwise("れる")).otherwise(kind["surface"])
     return rows.select(
-        "doc_id", F.lit(0).alias("slice_id"), F.lit(1).alias("node_id"), F.lit(0).alias("node_start"), F.col("text").alias("node_text"), "start", "end",
+        "doc_id", F.lit(0).cast("long").alias("slice_id"), F.lit(1).alias("node_id"), F.lit(0).alias("base"), "gap", F.col("value").alias("written"), "start", "end",
         kind["surface"].alias("surface"), (n > 14).alias("is_unknown"), base.alias("base_form"), kind["pos"].alias("pos"), kind["pos1"].alias("pos1"),
         F.when(kind["pos"] == "動詞", "一段").alias("ctype"),
     )
@@ -226,10 +226,12 @@ def position_map(spark, sf_dir):
     return hit.select("doc_id", F.col("start").alias("span_start"), "line", F.col("column").alias("col"), F.col("utf16_column").alias("utf16_col"))
 
 
+#: Line ends are in gaps alone; a column counts from the last gap that holds one.
 POSITION_SQL = "WITH " + duck_matches("ｱ+", RULE_TEXT["no-hankaku-kana"]) + """,
-b AS (SELECT doc_id, s, decode(encode(text)[1:s]) AS before FROM m WHERE s < 2000)
-SELECT doc_id, s AS span_start, (length(before) - length(replace(before, chr(10), '')) + 1)::INT AS line,
-  (length(string_split(before, chr(10))[-1]) + 1)::INT AS col, (length(string_split(before, chr(10))[-1]) + 1)::INT AS utf16_col FROM b"""
+g AS (SELECT doc_id, i, length(g) - length(replace(g, chr(10), '')) AS ends, length(string_split(g, chr(10))[-1]) AS tail,
+  sum(strlen(g) + strlen(v)) OVER w - strlen(v) AS span_start, sum(length(g) + length(v)) OVER w - length(v) AS chars FROM m_u WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+p AS (SELECT doc_id, span_start, sum(ends) OVER w + 1 AS line, chars - coalesce(max(CASE WHEN ends > 0 THEN chars - tail END) OVER w, 0) + 1 AS col FROM g WINDOW w AS (PARTITION BY doc_id ORDER BY i))
+SELECT doc_id, span_start::INT AS span_start, line::INT AS line, col::INT AS col, col::INT AS utf16_col FROM p"""
 
 
 def plain_regions(spark, sf_dir):
@@ -288,6 +290,14 @@ def fix_fixpoint(spark, sf_dir):
     return out.select("doc_id", F.sha2("text", 256).alias("fixed_sha256"), "passes")
 
 
+#: Of the two terms only "aae" and "er" in "aaer" can meet, and the one that begins first counts; a pass that changes nothing is the last.
+FIXPOINT_SQL = """WITH RECURSIVE r AS (
+  SELECT doc_id, coalesce(text, '') AS before, replace(replace(replace(coalesce(text, ''), 'aae', chr(1)), 'er', 'aer'), chr(1), 'en') AS text, 1 AS passes FROM documents
+  UNION ALL
+  SELECT doc_id, text, replace(replace(replace(text, 'aae', chr(1)), 'er', 'aer'), chr(1), 'en'), passes + 1 FROM r WHERE text <> before AND passes < 10)
+SELECT doc_id, sha256(text) AS fixed_sha256, passes FROM r WHERE text = before OR passes = 10"""
+
+
 def cache_keys(spark, sf_dir):
     return PLAIN.docs(spark, sf_dir).select("doc_id", cache.cache_key(F.col("text"), "settings").alias("cache_key"))
 
@@ -345,9 +355,35 @@ def json_report(spark, sf_dir):
     return render.json_files(found_, docs.withColumn("path", F.concat(F.lit("doc-"), F.col("doc_id").cast("string"))))
 
 
+def _placed_sql() -> str:
+    """CTEs that end in p: findings with the place of their start (l1, c1) and end (l2, c2); the derived text is in the basic plane."""
+    place = "length({0}) - length(replace({0}, chr(10), '')) + 1 AS l{1}, length(string_split({0}, chr(10))[-1]) + 1 AS c{1}"
+    return f"""d AS ({_mixed_sql()}),
+x AS (SELECT d.*, 'doc-' || doc_id AS path, decode(encode(t.text)[1:d.span_start]) AS b1, decode(encode(t.text)[1:d.span_end]) AS b2 FROM d JOIN (SELECT doc_id, {_MIXED.sql()} AS text FROM documents) t USING (doc_id)),
+p AS (SELECT *, {place.format("b1", 1)}, {place.format("b2", 2)} FROM x)"""
+
+
+def _json_report_sql() -> str:
+    point = """'{{"line":' || l{0} || ',"column":' || c{0} || ',"utf16Column":' || c{0} || '}}'"""
+    item = f"""'{{"fixes":[],"message":"' || message || '","position":{{"start":' || {point.format(1)} || ',"end":' || {point.format(2)} || '}},"rule_id":"' || rule_id || '","severity":"' || severity || '","span":{{"start":' || span_start || ',"end":' || span_end || '}}}}'"""
+    return f"""WITH {_placed_sql()},
+j AS (SELECT path, string_agg({item}, ',' ORDER BY span_start, span_end, rule_id, message) AS items FROM p GROUP BY path)
+SELECT 'doc-' || doc_id AS path, '{{"diagnostics":[' || coalesce(items, '') || '],"path":"doc-' || doc_id || '"}}' AS json FROM documents LEFT JOIN j ON j.path = 'doc-' || doc_id"""
+
+
 def sarif_report(spark, sf_dir):
     docs, found_ = _mixed(spark, sf_dir)
-    return render.sarif_results(found_, docs.withColumn("path", F.concat(F.lit("doc-"), F.col("doc_id").cast("string")))).select("path", "start", "end", "rule_id", "json")
+    rows = render.sarif_results(found_, docs.withColumn("path", F.concat(F.lit("doc-"), F.col("doc_id").cast("string"))))
+    return rows.select("path", F.col("start").alias("span_start"), F.col("end").alias("span_end"), "rule_id", "json")
+
+
+def _sarif_report_sql() -> str:
+    region = """'{"startLine":' || l1 || ',"startColumn":' || c1 || ',"endLine":' || l2 || ',"endColumn":' || c2 || '}'"""
+    body = f"""'{{"ruleId":"' || rule_id || '","ruleIndex":' || i || ',"level":"' || severity || '","message":{{"text":"' || message || '"}},"locations":[{{"physicalLocation":{{"artifactLocation":{{"uri":"' || path || '"}},"region":' || {region} || '}}}}]}}'"""
+    return f"""WITH {_placed_sql()},
+f AS (SELECT rule_id, min((path, span_start, span_end, rule_id, message)) AS first FROM p GROUP BY rule_id),
+r AS (SELECT rule_id, row_number() OVER (ORDER BY first) - 1 AS i FROM f)
+SELECT path, span_start, span_end, rule_id, {body} AS json FROM p JOIN r USING (rule_id)"""
 
 
 def compact_report(spark, sf_dir):
@@ -366,7 +402,15 @@ def language_scope(spark, sf_dir):
 
 def rules_overlay(spark, sf_dir):
     config = from_dict({"extends": "ja-basic", "rules": {"no-nfd": {"severity": "error"}, "no-todo": False}})
-    return rule_table(spark, config).select("rule_id", "severity", "enabled").where(F.col("rule_id").isin("no-nfd", "no-todo", "max-ten"))
+    return rule_table(spark, config).select("rule_id", "severity", "enabled")
+
+
+#: All rules there are.
+RULE_IDS = """sentence-length max-ten max-kanji-continuous-len no-hankaku-kana no-mixed-zenkaku-hankaku-alphabet no-nfd no-zero-width-spaces no-exclamation-question-mark
+ja-no-mixed-period no-todo ja-prh max-comma no-invalid-control-character no-unmatched-pair ja-unnatural-alphabet arabic-kanji-numbers ja-no-weak-phrase ja-no-abusage
+no-doubled-joshi no-mix-dearu-desumasu no-doubled-conjunctive-particle-ga ja-no-redundant-expression no-dropping-the-ra no-double-negative-ja no-doubled-conjunction ja-no-successive-word"""
+OVERLAY_SQL = f"""SELECT rule_id, CASE rule_id WHEN 'no-nfd' THEN 'error' ELSE 'warning' END AS severity, rule_id <> 'no-todo' AS enabled
+FROM (SELECT unnest(string_split_regex('{RULE_IDS}', '\\s+')) AS rule_id)"""
 
 
 def delimited_cells(spark, sf_dir):
@@ -410,6 +454,26 @@ def markdown_nodes(spark, sf_dir):
     return slices.select("doc_id", F.inline("nodes")).groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("nodes"), F.sum(F.col("end") - F.col("start")).alias("bytes"))
 
 
+def markdown_structure(spark, sf_dir):
+    """Every kind and place of node in a Markdown text around a document's words; where there is no word, an x."""
+    from .sources.markdown import markdown_slices
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    words = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[^a-zA-Z]+", " "))
+    words = F.when(words == "", "x").otherwise(words)
+    text = F.concat(F.lit("# Title of `it`\n\n> "), words, F.lit("\n\n- **"), words, F.lit("**\n- b"))
+    slices, _ = markdown_slices(docs.select("doc_id", text.alias("text")))
+    return slices.select("doc_id", F.inline("nodes")).select("doc_id", "node_id", "kind", F.col("start").alias("span_start"), F.col("end").alias("span_end"), "parent")
+
+
+#: Kinds: 0 root, 2 heading, 17 text, 21 inline code, 4 quote, 1 paragraph, 5 list, 6 item, 19 strong.
+STRUCTURE_SQL = """WITH w AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '[^a-zA-Z]+', ' ', 'g')) AS w FROM documents),
+n AS (SELECT doc_id, greatest(1, length(w))::INT AS n FROM w)
+SELECT doc_id, t.* FROM n, LATERAL (VALUES (0, 0, 0, 34 + 2 * n - 3, NULL), (1, 2, 0, 15, 0), (2, 17, 2, 11, 1), (3, 21, 11, 15, 1), (4, 4, 17, 19 + n, 0), (5, 1, 19, 19 + n, 4), (6, 17, 19, 19 + n, 5),
+  (7, 5, 21 + n, 31 + 2 * n, 0), (8, 6, 21 + n, 27 + 2 * n, 7), (9, 1, 23 + n, 27 + 2 * n, 8), (10, 19, 23 + n, 27 + 2 * n, 9), (11, 17, 25 + n, 25 + 2 * n, 10),
+  (12, 6, 28 + 2 * n, 31 + 2 * n, 7), (13, 1, 30 + 2 * n, 31 + 2 * n, 12), (14, 17, 30 + 2 * n, 31 + 2 * n, 13)) t(node_id, kind, span_start, span_end, parent)"""
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: all rules that need no tokens, over all documents as Japanese prose."""
     return lint(plain_slices(PLAIN.docs(spark, sf_dir)), from_dict({"extends": "ja-technical-writing"}))
@@ -426,7 +490,7 @@ def queries():
         "position_map": position_map, "plain_regions": plain_regions, "whitespace_tokens": whitespace_tokens, "sentence_split": sentence_split, "url_strip": url_strip,
         "apply_fixes": apply_fixes_query, "fix_fixpoint": fix_fixpoint, "cache_key": cache_keys, "cache_hit_miss": cache_hit_miss, "lint_union": lint_union,
         "severity_summary": severity_summary, "text_report": text_report, "json_report": json_report, "sarif_report": sarif_report, "compact_report": compact_report,
-        "language_scope": language_scope, "rules_overlay": rules_overlay, "delimited_cells": delimited_cells, "delimited_lint": delimited_lint, "markdown_nodes": markdown_nodes,
+        "language_scope": language_scope, "rules_overlay": rules_overlay, "delimited_cells": delimited_cells, "delimited_lint": delimited_lint, "markdown_nodes": markdown_nodes, "markdown_structure": markdown_structure,
     }
 
 
@@ -439,6 +503,6 @@ def oracle_sql():
         "severity_summary": f"SELECT severity, rule_id, count(*) AS n, count(DISTINCT doc_id) AS documents FROM ({mixed}) GROUP BY ALL",
         "text_report": _text_report_sql(), "compact_report": _compact_sql(),
         "language_scope": "SELECT * FROM (VALUES ('ja', 26::BIGINT), ('en', 7::BIGINT), ('none', 7::BIGINT)) t(lang, rules)",
-        "rules_overlay": "SELECT * FROM (VALUES ('no-nfd', 'error', true), ('no-todo', 'warning', false), ('max-ten', 'warning', true)) t(rule_id, severity, enabled)",
+        "rules_overlay": OVERLAY_SQL, "json_report": _json_report_sql(), "sarif_report": _sarif_report_sql(), "fix_fixpoint": FIXPOINT_SQL, "markdown_structure": STRUCTURE_SQL,
         "delimited_cells": DELIMITED_SQL, "delimited_lint": _delimited_lint_sql(),
     }

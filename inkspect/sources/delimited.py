@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..plans.config import Format
 from .plain import plain_nodes
 
-CELL = "record int, col int, start int, end int, name string, text string"
+CELL = "record int, col int, start int, end int, name string, first int, text string"
 
 
 def scan(data: bytes, delimiter: str = ",") -> list[tuple[int, int, int, int]]:
@@ -43,20 +43,27 @@ def scan(data: bytes, delimiter: str = ",") -> list[tuple[int, int, int, int]]:
 
 
 def cells(docs: DataFrame, delimiter: str = ",") -> DataFrame:
-    """(doc_id, record, col, start, end, name, text): all cells; name is the trimmed cell of record 0 in that column."""
+    """(doc_id, record, col, start, end, name, first, text): all cells.
+
+    name is the trimmed cell of record 0 in that column, first the first column of
+    that name.  Null text is empty and has no cell.
+    """
 
     def run(batches):
-        kinds = [pa.int32()] * 4 + [pa.string()] * 2
+        kinds = [pa.int32()] * 4 + [pa.string(), pa.int32(), pa.string()]
         for batch in batches:
             owner, rows = [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 data = (text or "").encode()
                 found = scan(data, delimiter)
                 names = {c: data[a:b].decode().strip() for r, c, a, b in found if r == 0}
+                first = {}
+                for c, name in names.items():
+                    first.setdefault(name, c)
                 owner += [i] * len(found)
-                rows += [(r, c, a, b, names.get(c), data[a:b].decode()) for r, c, a, b in found]
+                rows += [(r, c, a, b, names.get(c), first.get(names.get(c)), data[a:b].decode()) for r, c, a, b in found]
             columns = [batch.column(0).take(pa.array(owner, pa.int64())), *(pa.array([x[k] for x in rows], kind) for k, kind in enumerate(kinds))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "record", "col", "start", "end", "name", "text"])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "record", "col", "start", "end", "name", "first", "text"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, {CELL}")
 
@@ -76,19 +83,13 @@ def delimited_slices(docs: DataFrame, format: Format, delimiter: str | None = No
     else:
         rows = rows.withColumn("name", F.lit(None).cast("string"))
     test, mode = F.lit(False), F.lit("plain")
-    heads = cells(docs, format.delimiter or delimiter or ",").where("record = 0").groupBy(F.col("doc_id").alias("h_doc"), F.col("name").alias("h_name")).agg(F.min("col").alias("h_col"))
     for c in reversed(format.columns):
-        own = (F.col("name") == c.selector) & (F.col("col") == F.col("h_col")) if isinstance(c.selector, str) else F.col("col") + 1 == c.selector
+        own = (F.col("name") == c.selector) & (F.col("col") == F.col("first")) if isinstance(c.selector, str) else F.col("col") + 1 == c.selector
         own = F.coalesce(own, F.lit(False))
         test, mode = test | own, F.when(own, c.parse_mode).otherwise(mode)
-    if any(isinstance(c.selector, str) for c in format.columns):
-        rows = rows.join(heads, F.col("doc_id").eqNullSafe(F.col("h_doc")) & F.col("name").eqNullSafe(F.col("h_name")), "left")
-    else:
-        rows = rows.withColumn("h_col", F.lit(None).cast("int"))
     blank = F.regexp_replace("text", r"(?U)^\s+|\s+$", "") == ""
-    number = (F.col("record") * 65536 + F.col("col")).alias("slice_id")
+    number = (F.shiftleft(F.col("record").cast("long"), 32) + F.col("col")).alias("slice_id")
     chosen = rows.where(test & ~blank).select("doc_id", number, (F.col("col") + 1).alias("column_index"), F.col("name").alias("column_name"), mode.alias("parse_mode"), "start", "text")
-    plain = chosen.where("parse_mode = 'plain'").withColumn("nodes", plain_nodes(F.col("text")))
     if all(c.parse_mode == "plain" for c in format.columns):
-        return plain
-    return plain.unionByName(with_nodes(chosen.where("parse_mode = 'markdown'"))[0])
+        return chosen.withColumn("nodes", plain_nodes(F.col("text")))
+    return with_nodes(chosen)[0]

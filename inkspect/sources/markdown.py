@@ -7,6 +7,7 @@ stack of delimiters.  Offsets are kept in characters and turned to bytes once.
 from __future__ import annotations
 
 import re
+import sys
 from bisect import bisect_right
 
 import pyarrow as pa
@@ -16,6 +17,9 @@ from pyspark.sql import functions as F
 from .plain import KIND, NODE
 
 DEEPEST = 1000
+FRAMES = 20 * DEEPEST  # of Python's stack, for texts that nest that deep
+OPENERS = re.compile(r"^([ \t]*)((?:[ \t]*(?:>|[-+*][ \t]|[0-9]+[.)][ \t]))*)", re.M)
+OPENER = re.compile(r">|[-+*][ \t]|[0-9]+[.)][ \t]")
 FENCE = re.compile(r" {0,3}(`{3,}(?=[^`]*$)|~{3,})")
 HEADING = re.compile(r" {0,3}(#{1,6})(?=[ \t]|$)")
 RULE = re.compile(r" {0,3}([-_*])(?:[ \t]*\1){2,}[ \t]*$")
@@ -32,6 +36,15 @@ BARE = re.compile(r"(?:https?://|www\.)[^\s<]*[^\s<?!.,:*_~'\")]")
 TARGET = re.compile(r"\(\s*(?:<[^<>\n]*>|(?:[^\s()\\]|\\.|\((?:[^\s()\\]|\\.)*\))*)(?:\s+(?:\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|\((?:[^()\\]|\\.)*\)))?\s*\)", re.S)
 
 
+def nesting(text: str) -> int:
+    """At most how deep containers nest: markers at the head of a line, and a level for two columns of indentation (a tab is four)."""
+    most = 0
+    for m in OPENERS.finditer(text):
+        if 2 * len(m[0]) > most:
+            most = max(most, len(m[1].replace("\t", "    ")) // 2 + len(OPENER.findall(m[2])))
+    return most
+
+
 class TooDeep(ValueError):
     pass
 
@@ -77,11 +90,9 @@ class Blocks:
                 if self.text[a:b].rstrip() == mark:
                     front, lines = [Node("yaml" if mark == "---" else "toml", lines[0][0], b)], lines[i + 1 :]
                     break
-        return Node("root", 0, len(self.text), front + self.blocks(lines, 1))
+        return Node("root", 0, len(self.text), front + self.blocks(lines))
 
-    def blocks(self, lines: list[tuple[int, int]], depth: int) -> list[Node]:
-        if depth > DEEPEST // 10:
-            raise TooDeep(f"containers are nested more than {DEEPEST // 10} deep")
+    def blocks(self, lines: list[tuple[int, int]]) -> list[Node]:
         out, i, t = [], 0, self.text
         while i < len(lines):
             a, b = lines[i]
@@ -110,9 +121,9 @@ class Blocks:
                 out.append(Node("thematicBreak", lead, a + len(s.rstrip())))
                 i += 1
             elif QUOTE.match(s):
-                i = self._quote(lines, i, out, depth)
+                i = self._quote(lines, i, out)
             elif m := ITEM.match(s):
-                i = self._list(lines, i, out, depth)
+                i = self._list(lines, i, out)
             elif m := FOOTNOTE.match(s):
                 j, inner = i + 1, [(a + m.end(), b)]
                 while j < len(lines) and (not t[slice(*lines[j])].strip() or _indent(t[slice(*lines[j])]) >= 4):
@@ -120,7 +131,7 @@ class Blocks:
                     j += 1
                 while len(inner) > 1 and not t[slice(*inner[-1])].strip():
                     inner.pop()
-                out.append(Node("footnoteDefinition", lead, inner[-1][1], self.blocks(inner, depth + 1)))
+                out.append(Node("footnoteDefinition", lead, inner[-1][1], self.blocks(inner)))
                 i = j
             elif DEFINITION.match(s):
                 out.append(Node("definition", lead, a + len(s.rstrip())))
@@ -158,7 +169,7 @@ class Blocks:
     def _trimmed(self, line: tuple[int, int]) -> int:
         return line[0] + len(self.text[slice(*line)].rstrip(" \t"))
 
-    def _quote(self, lines, i, out, depth) -> int:
+    def _quote(self, lines, i, out) -> int:
         t, inner, j, lazy = self.text, [], i, False
         start = lines[i][0] + _leading(t[slice(*lines[i])])
         while j < len(lines):
@@ -173,10 +184,10 @@ class Blocks:
             else:
                 break
             j += 1
-        out.append(Node("blockquote", start, inner[-1][1], self.blocks(inner, depth + 1)))
+        out.append(Node("blockquote", start, inner[-1][1], self.blocks(inner)))
         return j
 
-    def _list(self, lines, i, out, depth) -> int:
+    def _list(self, lines, i, out) -> int:
         t, items = self.text, []
         kind = ITEM.match(t[slice(*lines[i])])[2][-1]
         start = lines[i][0] + _leading(t[slice(*lines[i])])
@@ -205,7 +216,7 @@ class Blocks:
                 j += 1
             while len(inner) > 1 and inner[-1][0] == inner[-1][1]:
                 inner.pop()
-            items.append(Node("listItem", a + _leading(t[a:b]), inner[-1][1], self.blocks(inner, depth + 1)))
+            items.append(Node("listItem", a + _leading(t[a:b]), inner[-1][1], self.blocks(inner)))
             i = j
         out.append(Node("list", start, items[-1].end, items))
         return i
@@ -411,6 +422,9 @@ def _merged(nodes: list[Node]) -> list[Node]:
 
 def parse(text: str) -> list[tuple]:
     """(node_id, kind, start, end, parent, first_child, next_sibling) in pre-order; offsets in bytes."""
+    if nesting(text) > DEEPEST:
+        raise TooDeep(f"containers are nested more than {DEEPEST} deep")
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), FRAMES))
     root = Blocks(text).parse()
     if text.isascii():
         byte = lambda i: i
@@ -438,17 +452,27 @@ def parse(text: str) -> list[tuple]:
 FIELDS = ["node_id", "kind", "start", "end", "parent", "first_child", "next_sibling"]
 
 
+def spine(text: str) -> list[tuple]:
+    """The rows of a plain text: root, paragraph and text over all of it."""
+    end = len(text.encode())
+    return [(0, KIND["root"], 0, end, None, 1, None), (1, KIND["paragraph"], 0, end, 0, 2, None), (2, KIND["text"], 0, end, 1, None, None)]
+
+
 def with_nodes(slices: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(slices with nodes, errors): Markdown slices parsed in Arrow batches; a text nested too deep is an error and is not linted."""
-    at = slices.columns.index("text")
+    """(slices with nodes, errors): slices parsed in Arrow batches; a Markdown text nested too deep is an error and is not linted.
+
+    Slices whose parse_mode is plain get the nodes of ``plain_nodes``.
+    """
+    at, mode = slices.columns.index("text"), slices.columns.index("parse_mode")
     kind = pa.list_(pa.struct([(f, pa.int32()) for f in FIELDS]))
 
     def run(batches):
         for batch in batches:
             nodes, errors = [], []
-            for text in batch.column(at).to_pylist():
+            for text, how in zip(batch.column(at).to_pylist(), batch.column(mode).to_pylist()):
                 try:
-                    nodes.append([dict(zip(FIELDS, r)) for r in parse(text or "")])
+                    rows = spine(text or "") if how == "plain" else parse(text or "")
+                    nodes.append([dict(zip(FIELDS, r)) for r in rows])
                     errors.append(None)
                 except (TooDeep, RecursionError) as e:
                     nodes.append(None)
@@ -465,5 +489,5 @@ def markdown_slices(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     text = F.coalesce(F.col("text"), F.lit(""))
     marked = F.startswith(text, F.lit("\ufeff"))
     body = F.when(marked, F.substring(text, 2, 2**31 - 1)).otherwise(text)
-    rows = docs.select("doc_id", F.lit(0).alias("slice_id"), F.lit(None).cast("int").alias("column_index"), F.lit(None).cast("string").alias("column_name"), F.lit("markdown").alias("parse_mode"), F.when(marked, 3).otherwise(0).alias("start"), body.alias("text"))
+    rows = docs.select("doc_id", F.lit(0).cast("long").alias("slice_id"), F.lit(None).cast("int").alias("column_index"), F.lit(None).cast("string").alias("column_name"), F.lit("markdown").alias("parse_mode"), F.when(marked, 3).otherwise(0).alias("start"), body.alias("text"))
     return with_nodes(rows)

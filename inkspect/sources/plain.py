@@ -30,4 +30,4 @@ def plain_nodes(text: Column) -> Column:
 def plain_slices(docs: DataFrame) -> DataFrame:
     """One slice a document.  Null text is empty; other columns are left behind."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select("doc_id", F.lit(0).alias("slice_id"), F.lit(None).cast("int").alias("column_index"), F.lit(None).cast("string").alias("column_name"), F.lit("plain").alias("parse_mode"), F.lit(0).alias("start"), text.alias("text"), plain_nodes(text).alias("nodes"))
+    return docs.select("doc_id", F.lit(0).cast("long").alias("slice_id"), F.lit(None).cast("int").alias("column_index"), F.lit(None).cast("string").alias("column_name"), F.lit("plain").alias("parse_mode"), F.lit(0).alias("start"), text.alias("text"), plain_nodes(text).alias("nodes"))
