@@ -16,7 +16,7 @@ class Rule:
     """A rule: where it looks, whether it is for Japanese alone, and its function.
 
     text and block: run(text, options) gives hits of a node; document: a test of
-    the slice, candidates and decision; tokens: run(tokens, options) gives rows.
+    the slice, candidates and decision; tokens: run(work, rule) adds to the windows.
     """
 
     id: str
@@ -61,3 +61,10 @@ def _rules() -> dict[str, Rule]:
 
 
 RULES = _rules()
+
+
+def register(rule: Rule) -> None:
+    """Add a rule, or replace the one of its id; it is on by default and run like the others of its scope."""
+    if rule.scope not in (TEXT, BLOCK, DOCUMENT, TOKENS):
+        raise ValueError(f"unknown scope {rule.scope!r}")
+    RULES[rule.id] = rule

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import Active
+from .store import table
 
 VERSIONS = {"key": 2, "engine": 1, "parser": 1}
 
@@ -44,3 +46,34 @@ def lint_cached(docs: DataFrame, cached: DataFrame, settings: str, find) -> tupl
     entries = rows.groupBy("cache_key").agg(F.first(F.coalesce("diagnostics", empty)).alias("diagnostics"))
     old = hits.select("doc_id", "cache_key").join(cached, "cache_key").select("doc_id", F.inline("diagnostics"))
     return fresh.select("doc_id", *fields).unionByName(old), entries
+
+
+ENTRY = "cache_key string, diagnostics array<struct<slice_id:bigint,rule_id:string,severity:string,message:string,start:int,end:int,fixes:array<struct<start:int,end:int,replacement:string>>>>"
+
+
+class Store:
+    """Results of earlier runs in a folder of Parquet tables, one a run, under the versions that made them.
+
+    What other versions have left is not read; a store that can't be read is empty.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, f"{path.rstrip('/')}/" + "-".join(f"{k}{v}" for k, v in sorted(VERSIONS.items()))
+
+    def load(self) -> DataFrame:
+        try:
+            return self.spark.read.schema(ENTRY).parquet(self.path).dropDuplicates(["cache_key"])
+        except AnalysisException:
+            return self.spark.createDataFrame([], ENTRY)
+
+    def save(self, entries: DataFrame) -> None:
+        entries.select("cache_key", "diagnostics").write.mode("append").parquet(self.path)
+
+    def lint(self, docs: DataFrame, settings: str, find) -> DataFrame:
+        """Diagnostics of ``docs``; find(misses) is run for the rest, and its results are kept."""
+        held = self.load()
+        fresh = lint_cached(docs, held, settings, find)[1]
+        new = table(fresh, "cache-entries")
+        self.save(new)
+        keyed = docs.withColumn("cache_key", cache_key(F.col("text"), settings)).select("doc_id", "cache_key")
+        return keyed.join(held.unionByName(new).dropDuplicates(["cache_key"]), "cache_key").select("doc_id", F.inline("diagnostics"))

@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame
 
 
 def table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` under spark.checkpoint.dir and read it back; where the session names no folder, under a temporary one."""
+    """Write ``df`` under spark.checkpoint.dir and read it back; where the session of one machine names no folder, under a temporary one."""
     spark = df.sparkSession
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='inkspect-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     path = f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -15,15 +15,47 @@ FOUND = {"md", "markdown"}
 
 
 def processor(ext):
-    """Column: how a file is read; what is not known is Markdown."""
-    return F.when(F.lower(ext) == "csv", "csv").when(F.lower(ext) == "tsv", "tsv").otherwise("markdown")
+    """Column: how a file is read, by its extension in any case; what is not known is Markdown."""
+    pairs = [F.lit(x) for pair in PROCESSORS.items() for x in pair]
+    return F.coalesce(F.create_map(*pairs)[F.lower(ext)], F.lit("markdown"))
 
 
-def expand(arguments: Iterable[str], formats: Iterable[str] = ()) -> tuple[list[str], list[str]]:
-    """(files, notes): folders are walked, without hidden entries and links, for Markdown and configured formats; globs keep * in a component, ** crosses."""
+def processor_of(path: str) -> str:
+    name = path.rpartition("/")[2]
+    return PROCESSORS.get(name.rpartition(".")[2].lower() if "." in name else "", "markdown")
+
+
+def _remote(spark: SparkSession, arg: str, wanted: set[str]) -> list[str]:
+    """Files of an argument with a scheme, listed by the file system that serves it; Hadoop globs."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(arg)
+    fs = path.getFileSystem(conf)
+    todo, out = [(s, 0) for s in (fs.globStatus(path) or [])], []
+    named = not glob.has_magic(arg)
+    while todo:
+        status, depth = todo.pop()
+        name = status.getPath().getName()
+        if status.isDirectory():
+            if depth < DEEPEST and not (depth and name[0] == "."):
+                todo += [(s, depth + 1) for s in fs.listStatus(status.getPath())]
+        elif not depth or (name[0] != "." and name.rpartition(".")[2].lower() in wanted):
+            out.append(status.getPath().toString())
+    return out or ([arg] if named else [])
+
+
+def expand(arguments: Iterable[str], formats: Iterable[str] = (), spark: SparkSession | None = None) -> tuple[list[str], list[str]]:
+    """(files, notes): folders are walked, without hidden entries and links, for Markdown and configured formats; globs keep * in a component, ** crosses.
+
+    With a session, arguments with a scheme (other than a plain path) go to their own file system.
+    """
     wanted, files, notes = FOUND | set(formats), set(), []
     for arg in arguments:
-        if os.path.isdir(arg):
+        if spark is not None and "://" in arg:
+            found = _remote(spark, arg, wanted)
+            files |= set(found)
+            if not found:
+                notes.append(f"{arg}: no file matches")
+        elif os.path.isdir(arg):
             depth = arg.rstrip("/").count("/")
             for folder, names, own in os.walk(arg):
                 names[:] = sorted(n for n in names if n[0] != "." and not os.path.islink(os.path.join(folder, n)) and folder.count("/") - depth < DEEPEST)
@@ -54,3 +86,22 @@ def read_files(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFr
 def read_text(spark: SparkSession, text: str, label: str = "<stdin>") -> DataFrame:
     """One document from memory."""
     return spark.createDataFrame([(0, label, "md", "markdown", text)], "doc_id long, path string, ext string, processor string, text string")
+
+
+def replace(spark: SparkSession, path: str, text: str) -> None:
+    """Write ``text`` beside a file and move it there, on the file system that serves it."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs, beside = target.getFileSystem(conf), jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{target.getName()}.new")
+    out = fs.create(beside, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    local = fs.getScheme() == "file"
+    if local:
+        os.replace(beside.toUri().getPath(), target.toUri().getPath())
+        fs.delete(jvm.org.apache.hadoop.fs.Path(target.getParent(), f"..{target.getName()}.new.crc"), False)
+    else:
+        fs.delete(target, False)
+        fs.rename(beside, target)

@@ -6,6 +6,7 @@ import csv
 import hashlib
 import re
 from collections import defaultdict
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -13,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import matches
+from ..functions.text import pieces
 from ..operators.tokens import TOKENS
 from ..plans.linter import node_texts
 from .plain import BLOCK_KINDS
@@ -24,20 +25,20 @@ JAPANESE, NO_TAGSET, IPADIC = 0, 0, 1
 
 
 def blocks(slices: DataFrame) -> DataFrame:
-    """(doc_id, slice_id, node_id, node_start, node_text) of the nodes that token rules visit."""
+    """(doc_id, slice_id, base, node_id, node_start, node_text) of the nodes that token rules visit."""
     own = F.filter("nodes", lambda n: n["kind"].isin(BLOCK_KINDS))
     both = F.explode(F.arrays_zip(own.alias("node"), node_texts(BLOCK_KINDS).alias("piece")))
-    rows = slices.select("doc_id", "slice_id", both.alias("x"))
-    return rows.select("doc_id", "slice_id", F.col("x.node.node_id").alias("node_id"), F.col("x.piece.start").alias("node_start"), F.col("x.piece.text").alias("node_text"))
+    rows = slices.select("doc_id", "slice_id", F.col("start").alias("base"), both.alias("x"))
+    return rows.select("doc_id", "slice_id", "base", F.col("x.node.node_id").alias("node_id"), F.col("x.piece.start").alias("node_start"), F.col("x.piece.text").alias("node_text"))
 
 
 def whitespace_tokens(slices: DataFrame) -> DataFrame:
     """Runs without white space, as tokens without features; they count as known."""
-    rows = blocks(slices).select("*", F.inline(matches(F.col("node_text"), r"(?U:\S)+")))
+    rows = blocks(slices).select("*", F.inline(pieces(F.col("node_text"), r"(?U:\S)+")))
     none = F.lit(None).cast("string")
     empty = {c: none.alias(c) for c in ("reading", "base_form", "pos", "pos1", "pos2", "pos3", "ctype", "cform", "pron")}
     own = {
-        "start": (F.col("start") + F.col("node_start")).alias("start"), "end": (F.col("end") + F.col("node_start")).alias("end"), "surface": F.col("value").alias("surface"),
+        "start": (F.col("start") + F.col("node_start")).alias("start"), "end": (F.col("end") + F.col("node_start")).alias("end"), "surface": F.col("value").alias("surface"), "written": F.col("value").alias("written"),
         "lang": F.lit(JAPANESE).alias("lang"), "tagset": F.lit(NO_TAGSET).alias("tagset"), "is_unknown": F.lit(False).alias("is_unknown"),
     }
     names = [x.split()[0] for x in TOKENS.split(", ")]
@@ -111,18 +112,44 @@ def lattice_tokens(slices: DataFrame, dictionary: Dictionary) -> DataFrame:
     kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
 
     def run(batches):
-        own = shared.value
+        words = shared.value
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
                 text, at, place = r["node_text"] or "", 0, r["node_start"]
-                for a, b, unknown, features in analyse(text, own):
+                own = {k: r[k] for k in ("doc_id", "slice_id", "node_id", "base")}
+                for a, b, unknown, features in analyse(text, words):
                     size = len(text[a:b].encode())
                     if text[a:b].strip():
                         f = dict(zip(FEATURES, (None if x == "*" else x for x in features)))
-                        rows.append(r | {"start": place, "end": place + size, "surface": text[a:b], "lang": JAPANESE, "tagset": IPADIC, "is_unknown": unknown} | {k: f.get(k) for k in FEATURES})
+                        rows.append(own | {"gap": text[at:a], "written": text[a:b], "start": place, "end": place + size, "surface": text[a:b], "lang": JAPANESE, "tagset": IPADIC, "is_unknown": unknown} | {k: f.get(k) for k in FEATURES})
+                        at = b
                     place += size
-                    at = b
             yield pa.RecordBatch.from_arrays([pa.array([x[n] for x in rows], kinds[k]) for n, k in fields], [n for n, _ in fields])
 
     return blocks(slices).mapInArrow(run, TOKENS)
+
+
+#: By language: slices -> tokens.  The last one registered for a language counts.
+PROVIDERS: dict[str, Callable[[DataFrame], DataFrame]] = {}
+
+
+def register_provider(language: str, analyse: Callable[[DataFrame], DataFrame]) -> None:
+    """Tokens of slices in this language come from ``analyse``; see TOKENS for their columns."""
+    PROVIDERS[language] = analyse
+
+
+def register_dictionary(folder: str, pin: str | None = None, language: str = "ja") -> Dictionary:
+    """Tokens in this language come from the lattice over a dictionary."""
+    own = load_dictionary(folder, pin)
+    register_provider(language, lambda slices: lattice_tokens(slices, own))
+    return own
+
+
+def tokens_for(slices: DataFrame, *languages: str | None) -> DataFrame | None:
+    """Tokens of the providers that these languages have, one table; None where there is no provider."""
+    out = None
+    for provider in [PROVIDERS[x] for x in dict.fromkeys(languages) if x in PROVIDERS]:
+        found = provider(slices).select([x.split()[0] for x in TOKENS.split(", ")])
+        out = found if out is None else out.unionByName(found)
+    return out
