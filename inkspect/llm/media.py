@@ -88,7 +88,11 @@ def describe(data: bytes) -> tuple:
 
 
 def stored_and_read(docs: DataFrame) -> DataFrame:
-    """Store each text, read the stored bytes back, and describe both; rows are independent."""
+    """Store each text, read the stored bytes back, and describe both.
+
+    Null and empty texts are one row of blanks.  Rows are independent: repeated rows
+    give repeated rows, an empty table none.
+    """
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
     names = [x.split()[0] for x in COLUMNS.split(", ")]
 

@@ -1,17 +1,22 @@
-"""Lossless WebP (VP8L): a whole decoder, and a small encoder for 8-bit samples.
+"""Lossless WebP (VP8L): a whole decoder, and an encoder for 8-bit samples.
 
 The decoder reads prefix codes (simple and normal, with groups by block),
 back-references, the colour cache, and inverts the predictor, cross-colour,
 subtract-green and palette transforms.  Pixels are written to arrays.  Streams
-whose codes have one length each are read without a loop over pixels.
+whose codes have one length each are read without a loop over pixels, and so are
+those where only green takes bits: every bit is taken as the start of a symbol, and
+the true starts are followed sixteen symbols at a stride.
 
-The encoder stores samples in the green channel through a palette of the values
-that occur; indices have codes of one length.
+The encoder stores samples in the green channel.  Few values go through a palette,
+with codes of one length.  Others are written with back-references to what repeats,
+prefix codes by how often symbols occur, and a predictor where it saves bits.
 """
 
 from __future__ import annotations
 
+import heapq
 import struct
+from itertools import groupby
 
 import numpy as np
 
@@ -56,13 +61,19 @@ class Code:
             self.same, self.symbols = self.longest, np.array([symbol for _, symbol in used])
         self.used = used
 
-    def _lookup(self) -> list:
-        table, code, before = [None] * (1 << self.longest), 0, 0
+    def turned(self) -> list[tuple[int, int, int]]:
+        """(code as it is read, first bit lowest, its length, symbol)."""
+        out, code, before = [], 0, 0
         for length, symbol in self.used:
             code <<= length - before
-            turned = int(f"{code:0{length}b}"[::-1], 2)
-            table[turned :: 1 << length] = [(symbol, length)] * (1 << (self.longest - length))
+            out.append((int(f"{code:0{length}b}"[::-1], 2), length, symbol))
             code, before = code + 1, length
+        return out
+
+    def _lookup(self) -> list:
+        table = [None] * (1 << self.longest)
+        for turned, length, symbol in self.turned():
+            table[turned :: 1 << length] = [(symbol, length)] * (1 << (self.longest - length))
         return table
 
     def next(self, bits: Bits) -> int:
@@ -128,6 +139,8 @@ def _read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     groups = [[_read_code(bits, n) for n in (280 + len(cache), 256, 256, 256, 40)] for _ in range(count)]
     if count == 1 and not cache and all(c.same is not None for c in groups[0][:4]) and groups[0][0].symbols.max() < 256:
         return _read_even(bits, groups[0], width * height)
+    if count == 1 and not cache and all(c.only is not None for c in groups[0][1:4]) and groups[0][0].longest + groups[0][4].longest <= 26:
+        return _read_green(bits, groups[0], width, width * height)
     return _read_symbols(bits, width, width * height, groups, groups_at, block, cache, cache_bits)
 
 
@@ -152,6 +165,103 @@ def _read_even(bits: Bits, codes: list[Code], n: int) -> np.ndarray:
     return pixels
 
 
+#: Bits that are looked at together; a symbol never takes more than REST.
+STRETCH, REST = 1 << 18, 64
+
+
+def _arrays(code: Code) -> tuple[np.ndarray, np.ndarray]:
+    """(symbol, bits) for every window of ``code.longest`` bits."""
+    if code.only is not None:
+        return np.array([code.only], np.int16), np.zeros(1, np.int8)
+    symbols, sizes = np.empty(1 << code.longest, np.int16), np.empty(1 << code.longest, np.int8)
+    for turned, length, symbol in code.turned():
+        symbols[turned :: 1 << length] = symbol
+        sizes[turned :: 1 << length] = length
+    return symbols, sizes
+
+
+def _extra(prefix: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of extra bits, what they and the prefix stand for); ``value`` begins with the extra bits."""
+    more = np.maximum(0, (prefix - 2) >> 1)
+    own = (value & ((np.uint64(1) << more.astype(np.uint64)) - np.uint64(1))).astype(np.int64)
+    return more, np.where(prefix < 4, prefix + 1, ((2 + (prefix & 1)) << more) + own + 1)
+
+
+def _symbols(bits: Bits, codes: list[Code], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbol, pixels it makes, distance code) of the green symbols that make n pixels."""
+    (symbol_of, bits_of), (far_of, far_bits) = _arrays(codes[0]), _arrays(codes[4])
+    if codes[0].only is not None and codes[0].only < 256:
+        return np.full(n, codes[0].only), np.ones(n, np.int64), np.zeros(n, np.int64)
+    mask, far_mask = (1 << codes[0].longest) - 1, np.uint64((1 << codes[4].longest) - 1)
+    out, made = [], 0
+    while made < n:
+        first, at = bits.at >> 3, bits.at & 7
+        raw = np.frombuffer(bits.data, np.uint8, count=max(0, min(len(bits.data) - first, STRETCH // 8 + REST // 8)), offset=min(first, len(bits.data)))
+        if not len(raw) or bits.at > 8 * len(bits.data):
+            raise ValueError("the stream ends early")
+        size = min(8 * len(raw), STRETCH)
+        raw = np.concatenate([raw, np.zeros(16, np.uint8)])
+        whole = -(-size // 8)
+        wide = raw[: whole + 2].astype(np.int64)
+        words = wide[:-2] | wide[1:-1] << 8 | wide[2:] << 16
+        window = ((words[:, None] >> np.arange(8)) & mask).reshape(-1)[:size]
+        symbol = symbol_of.take(window)
+        step = bits_of.take(window).astype(np.int64)
+        length, far = np.ones(size, np.int64), np.zeros(size, np.int64)
+        refer = np.flatnonzero(symbol >= 256)
+        if len(refer):
+            eight = np.zeros(len(refer), np.uint64)
+            for k in range(8):
+                eight |= raw[(refer >> 3) + k].astype(np.uint64) << np.uint64(8 * k)
+            value = eight >> ((refer & 7) + step[refer]).astype(np.uint64)
+            more, length[refer] = _extra(symbol[refer].astype(np.int64) - 256, value)
+            value >>= more.astype(np.uint64)
+            place = (value & far_mask).astype(np.intp)
+            own, code = far_bits[place].astype(np.int64), far_of[place].astype(np.int64)
+            again, far[refer] = _extra(code, value >> own.astype(np.uint64))
+            step[refer] += more + own + again
+        jump = np.append(np.minimum(np.arange(size) + step, size), size)
+        strides = [jump]
+        for _ in range(4):
+            strides.append(strides[-1].take(strides[-1], mode="clip"))
+        anchors, p, sixteen = [], at, strides[4]
+        while p < size:
+            anchors.append(p)
+            p = int(sixteen[p])
+        starts = np.array(anchors)
+        for stride in reversed(strides[:4]):
+            starts = np.stack([starts, stride[starts]], axis=1).reshape(-1)
+        starts = starts[starts < size]
+        ends = made + np.cumsum(length[starts])
+        starts = starts[: int(np.searchsorted(ends, n)) + 1]
+        out.append((symbol[starts], length[starts], far[starts]))
+        made += int(length[starts].sum())
+        bits.at = 8 * first + int(starts[-1] + step[starts[-1]])
+    if bits.at > 8 * len(bits.data):
+        raise ValueError("the stream ends early")
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _read_green(bits: Bits, codes: list[Code], width: int, n: int) -> np.ndarray:
+    """Only green takes bits: symbols at once, then each back-reference as a slice."""
+    symbol, length, far = _symbols(bits, codes, n)
+    ends = np.cumsum(length)
+    if n and ends[-1] != n:
+        raise ValueError("a back-reference leaves the image")
+    starts, literal, green = ends - length, symbol < 256, np.empty(n, np.uint8)
+    green[starts[literal]] = symbol[literal]
+    for at, size, code in zip(*(x[~literal].tolist() for x in (starts, length, far))):
+        distance = code - len(NEAR) if code > len(NEAR) else max(1, NEAR[code - 1][0] + NEAR[code - 1][1] * width)
+        if distance > at:
+            raise ValueError("a back-reference leaves the image")
+        if distance >= size:
+            green[at : at + size] = green[at - distance : at - distance + size]
+        else:
+            green[at : at + size] = np.resize(green[at - distance : at], size)
+    red, blue, alpha = (c.only for c in codes[1:4])
+    return green.astype(np.uint32) << np.uint32(8) | np.uint32(alpha << 24 | red << 16 | blue)
+
+
 def _read_symbols(bits, width, n, groups, groups_at, block, cache, cache_bits) -> np.ndarray:
     out, wide = [], _blocks(width, block)
     codes, shift = groups[0], 32 - cache_bits
@@ -218,6 +328,17 @@ def _predict(mode: int, left, top, right, corner):
 
 
 def _undo_predictor(pixels, width, height, size, data):
+    kinds = np.unique((data >> 8) & 15)
+    if len(kinds) == 1 and kinds[0] in (1, 2):  # left or top everywhere: sums along rows or columns
+        own = pixels.view(np.uint8).reshape(height, width, 4).copy()
+        own[0, 0, 3] = (int(own[0, 0, 3]) + 255) & 255
+        own[0] = np.cumsum(own[0], axis=0, dtype=np.uint8)
+        if kinds[0] == 1:
+            own[:, 0] = np.cumsum(own[:, 0], axis=0, dtype=np.uint8)
+            own[1:] = np.cumsum(own[1:], axis=1, dtype=np.uint8)
+        else:
+            own = np.cumsum(own, axis=0, dtype=np.uint8)
+        return np.ascontiguousarray(own).reshape(-1).view(np.uint32)
     own = pixels.view(np.uint8).reshape(-1, 4).tolist()
     modes, wide = ((data >> 8) & 15).tolist(), _blocks(width, size)
     for i, p in enumerate(own):
@@ -339,8 +460,184 @@ def _spread(values: np.ndarray, length: int) -> np.ndarray:
     return ((values[:, None] >> np.arange(length - 1, -1, -1, dtype=values.dtype)) & 1).astype(np.uint8)
 
 
+GRAM, LONGEST_COPY, FARTHEST, LONGEST_CODE = 16, 4096, (1 << 20) - 120, 12
+_ROLL, _BYTE = np.uint64(0x9E3779B97F4A7C15), np.random.default_rng(17).integers(1, 1 << 63, 256, dtype=np.uint64)
+
+
+def _copies(flat: np.ndarray) -> list[tuple[int, int, int]]:
+    """(place, length, distance) of stretches that occurred before, in order and apart; what is found begins at a multiple of GRAM once."""
+    n = len(flat)
+    if n < 4 * GRAM:
+        return []
+    h = _BYTE[flat]
+    for k in (1, 2, 4, 8):
+        h = h[:-k] * (_ROLL ** np.uint64(k)) + h[k:]
+    own = h[::GRAM]
+    order = np.argsort(own, kind="stable")
+    ranked, there = own[order], np.zeros(1 << 16, bool)
+    there[(own >> np.uint64(48)).astype(np.intp)] = True
+    maybe = np.flatnonzero(there.take((h >> np.uint64(48)).astype(np.intp)))
+    place = np.minimum(np.searchsorted(ranked, h[maybe]), len(ranked) - 1)
+    source = order[place] * GRAM
+    real = (ranked[place] == h[maybe]) & (source < maybe) & (maybe - source <= FARTHEST)
+    out, free = [], 0
+    for p, q in zip(maybe[real].tolist(), source[real].tolist()):
+        if p < free:
+            continue
+        most = min(LONGEST_COPY, n - p)
+        differ = flat[q : q + most] != flat[p : p + most]
+        length = int(differ.argmax()) if differ.any() else most
+        back = 0
+        while q - back > 0 and p - back > free and back < GRAM and length < LONGEST_COPY and flat[q - back - 1] == flat[p - back - 1]:
+            back, length = back + 1, length + 1
+        if length >= GRAM:
+            out.append((p - back, length, p - q))
+            free = p - back + length
+    return out
+
+
+def _lengths(counts: np.ndarray, most: int) -> np.ndarray:
+    """Code lengths by how often symbols occur, none over ``most``; where one symbol occurs alone, it has length 1."""
+    counts = counts.astype(np.int64)
+    used = np.flatnonzero(counts)
+    lengths = np.zeros(len(counts), np.int64)
+    if len(used) == 1:
+        lengths[used] = 1
+        return lengths
+    while True:
+        heap = list(zip(counts[used].tolist(), range(len(used))))
+        heapq.heapify(heap)
+        above = [0] * (2 * len(used) - 1)
+        for new in range(len(used), len(above)):  # node 2n - 2 is the root
+            n, x = heapq.heappop(heap)
+            m, y = heap[0]
+            above[x] = above[y] = new
+            heapq.heapreplace(heap, (n + m, new))
+        for x in range(len(above) - 2, -1, -1):
+            above[x] = above[above[x]] + 1 if above[x] < len(above) - 1 else 1
+        lengths[used] = above[: len(used)]
+        if lengths.max() <= most:
+            return lengths
+        counts[used] = (counts[used] + 1) >> 1
+
+
+def _codes(lengths: np.ndarray) -> np.ndarray:
+    """Codes in the order in which they are read, first bit lowest."""
+    codes, code, before = np.zeros(len(lengths), np.int64), 0, 0
+    for length, symbol in sorted((int(lengths[x]), int(x)) for x in np.flatnonzero(lengths)):
+        code <<= length - before
+        codes[symbol] = int(f"{code:0{length}b}"[::-1], 2)
+        code, before = code + 1, length
+    return codes
+
+
+def _declared(lengths: np.ndarray) -> list[tuple[int, int]]:
+    """(value, bits) that declare a code; a symbol that is alone takes no bits."""
+    used = np.flatnonzero(lengths)
+    if len(used) == 1 and used[0] < 256:
+        return _one_symbol(int(used[0]))
+    tokens = []
+    for length, run in groupby(lengths.tolist()):
+        n = sum(1 for _ in run)
+        while n and not length:
+            part = min(n, 138)
+            tokens += [(18, part - 11, 7)] if part >= 11 else [(17, part - 3, 3)] if part >= 3 else [(0, 0, 0)] * part
+            n -= part
+        tokens += [(length, 0, 0)] * n
+    inner = _lengths(np.bincount([t for t, _, _ in tokens] + [0, 18], minlength=19), 7)  # two kinds at least
+    codes, places = _codes(inner), [int(inner[x]) for x in LENGTH_ORDER]
+    while len(places) > 4 and not places[-1]:
+        places.pop()
+    fields = [(0, 1), (len(places) - 4, 4), *((x, 3) for x in places), (0, 1)]
+    for token, value, more in tokens:
+        fields += [(int(codes[token]), int(inner[token])), (value, more)]
+    return fields
+
+
+def _prefix(value: int) -> tuple[int, int, int]:
+    """(prefix, extra bits' value, their number) of a length or distance code."""
+    v = value - 1
+    if v < 4:
+        return v, 0, 0
+    more = v.bit_length() - 2
+    return 2 * more + (v >> more), v & ((1 << more) - 1), more
+
+
+def _bits(value: int, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(value.to_bytes((n + 7) // 8, "little"), np.uint8), bitorder="little")[:n]
+
+
+def _coded(flat: np.ndarray, alpha: int) -> np.ndarray:
+    """The bits of an entropy-coded image with samples in green, red and blue 0, and one alpha."""
+    copies, literal = _copies(flat), np.ones(len(flat), bool)
+    parts = []
+    for at, length, distance in copies:
+        literal[at : at + length] = False
+        parts.append((at, _prefix(length), _prefix(distance + len(NEAR))))
+    counts = np.bincount(flat[literal], minlength=280)
+    far = np.zeros(40, np.int64)
+    for _, size, distance in parts:
+        counts[256 + size[0]] += 1
+        far[distance[0]] += 1
+    lengths = _lengths(counts, LONGEST_CODE)
+    alone = np.count_nonzero(lengths) == 1 and not parts
+    codes, far_lengths = _codes(lengths), _lengths(far, LONGEST_CODE) if parts else np.bincount([0], minlength=40)
+    far_codes, taken = _codes(far_lengths), 0 if np.count_nonzero(far_lengths) == 1 else 1
+    head = _pack([(0, 1), (0, 1), *_declared(lengths), *_one_symbol(0), *_one_symbol(0), *_one_symbol(alpha), *_declared(far_lengths)])
+    values, sizes = codes[flat], lengths[flat] * (0 if alone else 1)
+    if parts:
+        pieces, before = [], 0
+        for (at, size, distance), (_, length, _) in zip(parts, copies):
+            pieces += [(values[before:at], sizes[before:at])]
+            symbol = 256 + size[0]
+            pieces.append((np.array([codes[symbol], size[1], far_codes[distance[0]], distance[1]]), np.array([lengths[symbol], size[2], far_lengths[distance[0]] * taken, distance[2]])))
+            before = at + length
+        pieces.append((values[before:], sizes[before:]))
+        values, sizes = (np.concatenate(x) for x in zip(*pieces))
+    total = int(sizes.sum())
+    inside = np.arange(total) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return np.concatenate([_bits(*head), ((np.repeat(values, sizes) >> inside) & 1).astype(np.uint8)])
+
+
+def _entropy(flat: np.ndarray) -> float:
+    """Bits of all samples by how often each value occurs."""
+    counts = np.bincount(flat, minlength=256)
+    counts = counts[counts > 0]
+    return float(counts @ np.log2(len(flat) / counts))
+
+
+def _residual(samples: np.ndarray, mode: int) -> np.ndarray:
+    """Samples less those to the left (1) or above (2); the first row and column take what there is."""
+    left, top = np.diff(samples, axis=1, prepend=np.uint8(0)), np.diff(samples, axis=0, prepend=np.uint8(0))
+    out = left.copy() if mode == 1 else top.copy()
+    out[0] = left[0]
+    out[1:, 0] = top[1:, 0]
+    return out
+
+
+def _file(bits: np.ndarray) -> bytes:
+    stream = np.packbits(bits, bitorder="little").tobytes()
+    stream += b"\0" * (len(stream) & 1)
+    return b"RIFF" + struct.pack("<I", len(stream) + 12) + b"WEBP" + b"VP8L" + struct.pack("<I", len(stream)) + stream
+
+
 def encode_samples(samples: np.ndarray) -> bytes:
     """A WebP file of a (height, width) uint8 array: samples in green, red and blue 0, alpha 255."""
+    if np.count_nonzero(np.bincount(samples.reshape(-1), minlength=256)) <= 16:
+        return _with_palette(samples)
+    height, width = samples.shape
+    cost = {0: 0.9 * _entropy(samples.reshape(-1))} | {mode: _entropy(_residual(samples, mode).reshape(-1)) for mode in (1, 2)}
+    mode = min(cost, key=cost.get)
+    head = [(SIGNATURE, 8), (width - 1, 14), (height - 1, 14), (1, 1), (0, 3)]
+    if mode:  # blocks of the largest side, all with one mode
+        head += [(1, 1), (PREDICTOR, 2), (7, 3), (0, 1), *_one_symbol(mode), *_one_symbol(0) * 4]
+        samples = _residual(samples, mode)
+    first = _pack([*head, (0, 1)])
+    return _file(np.concatenate([_bits(*first), _coded(np.ascontiguousarray(samples).reshape(-1), 0 if mode else 255)]))
+
+
+def _with_palette(samples: np.ndarray) -> bytes:
+    """A palette of the values that occur; indices have codes of one length."""
     height, width = samples.shape
     flat = samples.reshape(-1)
     values = np.flatnonzero(np.bincount(flat, minlength=256)).astype(np.uint8)
@@ -365,9 +662,4 @@ def encode_samples(samples: np.ndarray) -> bytes:
     palette = np.concatenate([_spread(steps, 8), (np.arange(n) == 0).astype(np.uint8)[:, None]], axis=1).reshape(-1)
     second, more = _pack([(0, 1), (0, 1), (0, 1), *_even_code(length), *_one_symbol(0), *_one_symbol(0), *_one_symbol(255), *_one_symbol(0)])
 
-    def bits(value: int, n: int) -> np.ndarray:
-        return np.unpackbits(np.frombuffer(value.to_bytes((n + 7) // 8, "little"), np.uint8), bitorder="little")[:n]
-
-    stream = np.packbits(np.concatenate([bits(first, size), palette, bits(second, more), _spread(index, length).reshape(-1)]), bitorder="little").tobytes()
-    stream += b"\0" * (len(stream) & 1)
-    return b"RIFF" + struct.pack("<I", len(stream) + 12) + b"WEBP" + b"VP8L" + struct.pack("<I", len(stream)) + stream
+    return _file(np.concatenate([_bits(first, size), palette, _bits(second, more), _spread(index, length).reshape(-1)]))

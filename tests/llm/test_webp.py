@@ -185,3 +185,62 @@ def test_broken_streams():
     for data in (b"", good[:30], b"RIFX" + good[4:], good[:20] + b"\x00" + good[21:]):
         with pytest.raises((ValueError, IndexError)):
             webp.decode(data)
+
+
+def images():
+    r = np.random.default_rng(21)
+    for k in range(180):
+        w, h = int(r.integers(1, 220)), int(r.integers(1, 40))
+        yield [
+            lambda: r.integers(0, 256, (h, w)),
+            lambda: r.integers(0, int(r.integers(1, 40)), (h, w)),
+            lambda: np.cumsum(r.integers(0, 3, (h, w)), 1),
+            lambda: np.tile(r.integers(0, 256, (1, w)), (h, 1)) + r.integers(0, 2, (h, w)),
+            lambda: np.resize(r.integers(0, 100, int(r.integers(1, 300))), (h, w)),
+            lambda: np.minimum(255, r.geometric(0.05, (h, w))),
+        ][k % 6]().astype(np.uint8)
+
+
+def test_encoder_round_trips_and_symbols_equal_one_by_one(monkeypatch):
+    stored = [(x, webp.encode_samples(x)) for x in images()]
+    fast = [webp.decode(data) for _, data in stored]
+    used = set()
+    for (x, data), found in zip(stored, fast):
+        assert (((found >> 8) & 255) == x).all() and ((found & 0xFFFF00FF) == 0xFF000000).all()
+    monkeypatch.setattr(webp, "_read_green", lambda bits, codes, width, n: used.add(len({length for length, _ in getattr(codes[0], "used", [])}) > 2) or webp._read_symbols(bits, width, n, [codes], None, 0, [], 0))
+    assert all((webp.decode(data) == found).all() for (_, data), found in zip(stored, fast)) and True in used
+
+
+def test_encoder_uses_predictors_and_references(monkeypatch):
+    undone, referred = [], []
+    undo, symbols = webp._undo_predictor, webp._symbols
+    monkeypatch.setattr(webp, "_undo_predictor", lambda *a: undone.append(int(a[4][0] >> 8) & 15) or undo(*a))
+    monkeypatch.setattr(webp, "_symbols", lambda *a: _counted(symbols, referred, *a))
+    slope = (np.arange(192)[None, :] * 3 + np.arange(30)[:, None] * 7).astype(np.uint8)
+    rows = np.tile(np.random.default_rng(2).integers(0, 256, (1, 192)), (40, 1)).astype(np.uint8)
+    text = np.frombuffer((b"a line that comes again and again in this text; " * 3 + bytes(range(97, 123))) * 12, np.uint8)[: 192 * 8].reshape(8, 192)
+    for x in (slope, rows, text):
+        assert (((webp.decode(webp.encode_samples(x)) >> 8) & 255) == x).all()
+    assert set(undone) <= {1, 2} and undone and max(referred) >= 1
+
+
+def _counted(symbols, referred, *arguments):
+    out = symbols(*arguments)
+    referred.append(int((out[0] >= 256).sum()))
+    return out
+
+
+def test_predictor_sums_equal_one_by_one():
+    r = np.random.default_rng(4)
+    for mode in (1, 2):
+        pixels, data = r.integers(0, 1 << 32, 12 * 7, dtype=np.uint32), np.full(1, mode << 8, np.uint32)
+        mixed = np.array([mode << 8, 3 << 8], np.uint32)  # the second block is beyond the image
+        assert (webp._undo_predictor(pixels, 12, 7, 9, data) == webp._undo_predictor(pixels, 12, 7, 9, mixed)).all()
+
+
+def test_streams_that_end_early():
+    data = webp.encode_samples(np.random.default_rng(3).geometric(0.05, (20, 192)).astype(np.uint8))
+    size = 20
+    for cut in (len(data) // 2, 40, 25):
+        with pytest.raises((ValueError, IndexError)):
+            webp.decode_stream(data[size:cut])
