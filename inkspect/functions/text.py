@@ -5,13 +5,14 @@ Spans are half-open offsets in UTF-8 bytes.  All columns stay in Catalyst.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 FIX = "struct<start:int,end:int,replacement:string>"
 HIT = f"struct<start:int,end:int,message:string,fixes:array<{FIX}>>"
-PIECE = "struct<gap:string,start:int,end:int,value:string>"
 CHUNK = 48
 
 
@@ -21,7 +22,35 @@ def quote(literal: str) -> str:
 
 
 def char_class(chars: str) -> str:
-    return "[" + "".join(f"\\x{{{ord(c):x}}}" for c in chars) + "]"
+    """A class of these characters.
+
+    The engine tries the members one after another, but for the first 256.  So wider
+    ones stand in groups behind their ranges, and all of those behind one look at
+    whether a character is ASCII.
+    """
+    points = sorted(set(map(ord, chars)))
+    one = lambda p: f"\\x{{{p:x}}}"
+    low, wide = [p for p in points if p < 128], [p for p in points if p >= 128]
+    groups = [wide[i : i + 6] for i in range(0, len(wide), 6)]
+    parts = [f"[{one(g[0])}-{one(g[-1])}&&[{''.join(map(one, g))}]]" if len(g) > 2 and len(groups) > 1 else "".join(map(one, g)) for g in groups]
+    inner = "".join(parts)
+    return f"[{''.join(map(one, low))}{wider(f'[{inner}]') if len(wide) > 2 else inner}]"
+
+
+def wider(inner: str) -> str:
+    """A class of none but wide characters, behind one look at whether a character is ASCII."""
+    return f"[\\x{{80}}-\\x{{10ffff}}&&{inner}]"
+
+
+@lru_cache
+def folded() -> dict[str, str]:
+    """Character in lower case -> all that are equal to it without regard to case."""
+    out: dict[str, str] = {}
+    for c in map(chr, range(0x10000)):
+        low = c.upper().lower() if len(c.upper()) == 1 else c.lower()
+        if len(low) == 1:
+            out[low] = out.get(low, "") + c
+    return out
 
 
 def bound(value: Column, use) -> Column:
@@ -29,50 +58,60 @@ def bound(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def starting(words: list[str], flags: str = "") -> str:
-    """A regex for any of the words, literally and in this order; where none can begin, one look at a character tells."""
+def starting(words: list[str], fold: bool = False) -> str:
+    """A regex for any of the words, literally and in this order; where none can begin, one look at a character tells.  fold: without regard to case."""
     first = "".join(dict.fromkeys(w[0] for w in words))
-    return f"{flags}(?={char_class(first)})(?:{'|'.join(map(quote, words))})"
+    if fold:
+        first = "".join(folded().get(c.lower(), c) + c for c in first)
+    return f"(?={char_class(first)})(?{'iu' if fold else ''}:{'|'.join(map(quote, words))})"
 
 
 def pieces(text: Column, pattern: str | Column) -> Column:
-    """array<struct<gap,start,end,value>>: the matches of a pattern that never matches nothing, and the text before each.
+    """array<struct<start,end,value,gap>>: the matches of a pattern that never matches nothing, and the text before each."""
+    return _placed(text, pattern, ["gap"])
+
+
+def matches(text: Column, pattern: str | Column) -> Column:
+    """array<struct<start,end,value>> of the non-overlapping matches of a pattern that never matches nothing."""
+    return _placed(text, pattern, [])
 
-    Offsets are running sums over gaps and matches.  An array that grows in a fold is
-    copied at each step, so sums run inside chunks, then over the chunks' totals:
-    n * CHUNK + (n / CHUNK)^2 steps, short ones, instead of n^2.  A text without a
-    match costs one search.
+
+def _placed(text: Column, pattern: str | Column, more: list[str]) -> Column:
+    """Matches with byte offsets, which are running sums over gaps and matches.
+
+    An array that grows in a fold is copied at each step, so sums run inside chunks,
+    then over the chunks' totals: n * CHUNK + (n / CHUNK)^2 steps, short ones, instead
+    of n^2.  A text without a match costs one search.  Structs are made as few times
+    as can be, since each costs more than a step.
     """
     p = F.lit(pattern) if isinstance(pattern, str) else pattern
+    kind = f"array<struct<start:int,end:int,value:string{',gap:string' if more else ''}>>"
     gaps, found = F.split(text, p, -1), F.regexp_extract_all(text, F.concat(F.lit("("), p, F.lit(")")), F.lit(1))
-    pairs = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(gaps) - 1), lambda v, g: F.struct(F.octet_length(g).alias("gap"), F.octet_length(v).alias("size"), g.alias("text"), v.alias("value")))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{PIECE}>").alias("out"))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
 
-    def inside(real: Column, chunk: Column) -> Column:
+    def piece(start: Column, end: Column, m: Column, gap: Column | None) -> Column:
+        return F.struct(start.alias("start"), end.alias("end"), m.alias("value"), *([gap.alias("gap")] if more else []))
+
+    def inside(both: Column, chunk: Column) -> Column:
         def step(acc: Column, i: Column) -> Column:
-            m = F.get(real, i)
-            start = acc["at"] + m["gap"]
-            end = start + m["size"]
-            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(m["text"].alias("gap"), start.alias("start"), end.alias("end"), m["value"].alias("value")))).alias("out"))
+            value, gap = F.get(both["found"], i), F.get(both["gaps"], i)
+            start = acc["at"] + F.octet_length(gap)
+            end = start + F.octet_length(value)
+            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(piece(start, end, value, gap))).alias("out"))
 
-        return F.aggregate(F.sequence(chunk * CHUNK, F.least(chunk * CHUNK + CHUNK, F.size(real)) - 1), begin, step)
+        return F.aggregate(F.sequence(chunk * CHUNK, F.least(chunk * CHUNK + CHUNK, F.size(both["found"])) - 1), begin, step)
 
     def bases(parts: Column) -> Column:
         return F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), lambda acc, c: F.struct((acc["at"] + c["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
 
     def moved(part: Column, base: Column) -> Column:
-        return F.transform(part["out"], lambda m: F.struct(m["gap"].alias("gap"), (m["start"] + base).alias("start"), (m["end"] + base).alias("end"), m["value"].alias("value")))
+        return F.when(base == 0, part["out"]).otherwise(F.transform(part["out"], lambda m: piece(m["start"] + base, m["end"] + base, m["value"], m["gap"] if more else None)))
 
-    def placed(real: Column) -> Column:
-        chunked = F.transform(F.sequence(F.lit(0), F.floor((F.size(real) - 1) / CHUNK).cast("int")), lambda c: inside(real, c))
+    def placed(both: Column) -> Column:
+        chunked = F.transform(F.sequence(F.lit(0), F.floor((F.size(both["found"]) - 1) / CHUNK).cast("int")), lambda c: inside(both, c))
         return bound(chunked, lambda parts: F.flatten(F.zip_with(parts, bases(parts), moved)))
 
-    return F.when(F.rlike(text, p), bound(pairs, placed)).otherwise(F.array().cast(f"array<{PIECE}>"))
-
-
-def matches(text: Column, pattern: str | Column) -> Column:
-    """array<struct<start,end,value>> of the non-overlapping matches of a pattern that never matches nothing."""
-    return F.transform(pieces(text, pattern), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value")))
+    return F.when(F.rlike(text, p), bound(F.struct(found.alias("found"), gaps.alias("gaps")), placed)).otherwise(F.array().cast(kind))
 
 
 def hits(found: Column, message) -> Column:

@@ -15,13 +15,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import FIX, bound, char_class, code_point, hits, matches, no_hits, quote, sentences, starting, strip_urls
+from ..functions.text import FIX, bound, char_class, code_point, hits, matches, no_hits, quote, sentences, starting, strip_urls, wider
 
 # Character classes, marks, phrases and messages that results must have.
 KANJI = "[\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}]"
 HALFWIDTH_KANA = "[\\x{FF61}-\\x{FF9F}]"
 LATIN_HALF, LATIN_FULL = "[A-Za-z]", "[\\x{FF21}-\\x{FF3A}\\x{FF41}-\\x{FF5A}]"
-COMBINING = "[\\x{0300}-\\x{036F}\\x{1AB0}-\\x{1AFF}\\x{1DC0}-\\x{1DFF}\\x{20D0}-\\x{20FF}\\x{FE20}-\\x{FE2F}\\x{3099}\\x{309A}]"
+COMBINING = "[\\x{80}-\\x{10FFFF}&&[\\x{0300}-\\x{036F}\\x{1AB0}-\\x{1AFF}\\x{1DC0}-\\x{1DFF}\\x{20D0}-\\x{20FF}\\x{FE20}-\\x{FE2F}\\x{3099}\\x{309A}]]"
 INVISIBLE = "[\\x{200B}-\\x{200D}\\x{2060}\\x{FEFF}]"
 CONTROL = "[\\x{00}-\\x{08}\\x{0B}\\x{0C}\\x{0E}-\\x{1F}\\x{7F}\\x{80}-\\x{9F}\\x{202A}-\\x{202E}]"
 MARKERS = ["TODO:", "TODO ", "FIXME:", "FIXME ", "XXX:", "XXX ", "HACK:"]
@@ -171,7 +171,7 @@ def no_todo(text: Column, options: dict) -> Column:
         found = matches(text, p["pattern"])
         return hits(F.filter(found, lambda m: ~F.rlike(m["value"], skip)) if ignored else found, p["message"])
 
-    any_marker = F.lit(starting(patterns, case))
+    any_marker = F.lit(starting(patterns, bool(case)))
     return F.when(F.rlike(text, any_marker), F.flatten(F.transform(table, one))).otherwise(no_hits())
 
 
@@ -213,15 +213,15 @@ def no_unmatched_pair(text: Column, options: dict) -> Column:
 
 def ja_unnatural_alphabet(text: Column, options: dict) -> Column:
     """A lone small consonant between Japanese characters, but for names of languages and axes."""
-    near = "[々〇〻\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}\\x{F900}-\\x{FAFF}ぁ-んァ-ヶー。、・−\\x{FF00}-\\x{FFEF}]"
+    near = wider("[々〇〻\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}\\x{F900}-\\x{FAFF}ぁ-んァ-ヶー。、・−\\x{FF00}-\\x{FFEF}]")
     lone = f"(?<={near})(?:[b-df-hj-mp-tv-wｂ-ｄｆ-ｈｊ-ｍｐ-ｔｖ-ｗ](?={near})(?!言)|[x-zｘ-ｚ](?={near})(?![言座軸]))"
     return hits(matches(text, lone), lambda m: say("letter", m["value"]))
 
 
 def arabic_kanji_numbers(text: Column, options: dict) -> Column:
-    k, few = f"[{NUMERALS}]", "[三四五六七八九十壱弐参拾百〇]"
+    k, few = char_class(NUMERALS), "[三四五六七八九十壱弐参拾百〇]"
     things = f"(?<!{k})(?:(?<!ただ)(?<!唯)(?<!女手)(?<!男手)(?<!穴)(?<!瓜)(?<!馬鹿の)[一二]|{few}|{k}{{2,}})つ(?!返事|子|ひとつ|[星編葉橋]|と[無な]い|に一つ)"
-    to_arabic = f"(?=[第{NUMERALS}])(?:第{k}+[章節]|(?<![数何]){k}+[兆億万]|{things}|{k}+(?:回|か月|番目|進法|次元))"
+    to_arabic = f"(?={char_class('第' + NUMERALS)})(?:第{k}+[章節]|(?<![数何]){k}+[兆億万]|{things}|{k}+(?:回|か月|番目|進法|次元))"
     to_kanji = "(?=[世第数0-9])(?:世界1|第3者|数10+[倍兆億万年]|1時的|1部分|1部の|1番に|(?<![0-9])1種(?!類)|5大陸|[0-9]+次関数)"
     return F.concat(hits(matches(text, to_arabic), lambda m: say("to_arabic", m["value"])), hits(matches(text, to_kanji), lambda m: say("to_kanji", m["value"])))
 

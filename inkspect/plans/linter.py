@@ -13,7 +13,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import FIX, HIT, bound, byte_slice
+from ..functions.text import FIX, bound, byte_slice
 from ..operators import surface
 from ..operators.registry import BLOCK, DOCUMENT, RULES, TEXT, TOKENS
 from ..operators.tokens import token_hits
@@ -24,13 +24,15 @@ FOUND = f"struct<rule_id:string,severity:string,start:int,end:int,message:string
 DIAGNOSTIC = ["doc_id", "slice_id", "rule_id", "severity", "message", "start", "end", "fixes"]
 
 
-def _shift(found: Column, by: Column) -> Column:
-    moved = lambda h: F.struct((h["start"] + by).alias("start"), (h["end"] + by).alias("end"), h["message"].alias("message"), F.transform(h["fixes"], lambda f: F.struct((f["start"] + by).alias("start"), (f["end"] + by).alias("end"), f["replacement"].alias("replacement"))).alias("fixes"))
-    return F.transform(found, moved)
+def _tagged(found: Column, rule: Active, by: Column | None = None) -> Column:
+    """Hits as findings of a rule, moved by the place of their node; where that is 0, as it is in plain text, nothing is added."""
 
+    def tag(at: Column | None) -> Column:
+        place = lambda c: c if at is None else c + at
+        fixes = lambda h: h["fixes"] if at is None else F.transform(h["fixes"], lambda f: F.struct(place(f["start"]).alias("start"), place(f["end"]).alias("end"), f["replacement"].alias("replacement")))
+        return F.transform(found, lambda h: F.struct(F.lit(rule.id).alias("rule_id"), F.lit(rule.severity).alias("severity"), place(h["start"]).alias("start"), place(h["end"]).alias("end"), h["message"].alias("message"), fixes(h).alias("fixes")))
 
-def _tagged(found: Column, rule: Active) -> Column:
-    return F.transform(found.cast(f"array<{HIT}>"), lambda h: F.struct(F.lit(rule.id).alias("rule_id"), F.lit(rule.severity).alias("severity"), h["start"].alias("start"), h["end"].alias("end"), h["message"].alias("message"), h["fixes"].alias("fixes")))
+    return tag(None) if by is None else F.when(by == 0, tag(None)).otherwise(tag(by))
 
 
 def node_texts(kinds: Iterable[int]) -> Column:
@@ -42,7 +44,7 @@ def node_texts(kinds: Iterable[int]) -> Column:
 
 
 def _of_nodes(kinds: Iterable[int], rules: list[Active]) -> Column:
-    each = lambda n: F.concat(*(_tagged(_shift(RULES[r.id].run(n["text"], r.options), n["start"]), r) for r in rules))
+    each = lambda n: F.concat(*(_tagged(RULES[r.id].run(n["text"], r.options), r, n["start"]) for r in rules))
     return F.flatten(F.transform(node_texts(kinds), each))
 
 
@@ -62,7 +64,7 @@ def _found(rules: list[Active]) -> Column:
     by_scope = _scopes(rules)
     parts = [_of_nodes(kinds, by_scope[scope]) for scope, kinds in ((TEXT, [KIND["text"]]), (BLOCK, BLOCK_KINDS)) if by_scope[scope]]
     parts += [_of_document(r) for r in by_scope[DOCUMENT]]
-    return F.concat(F.array().cast(f"array<{FOUND}>"), *parts).cast(f"array<{FOUND}>")
+    return F.concat(F.array().cast(f"array<{FOUND}>"), *parts)
 
 
 def lint_slices(slices: DataFrame, rules: list[Active], tokens: DataFrame | None = None) -> DataFrame:
@@ -103,7 +105,7 @@ def _beside(slices: DataFrame, by_scope: dict[str, list[Active]], tokens: DataFr
         if rule.id == "ja-prh" and (terms := surface.compiled_terms(rule.options)[1]):
             node = slices.select("doc_id", "slice_id", F.col("start").alias("base"), F.explode(node_texts([KIND["text"]])).alias("node"))
             hit = node.select("doc_id", "slice_id", "base", F.col("node.start").alias("at"), surface._regex_terms(F.col("node.text"), terms).alias("hit"))
-            out.append(hit.select("doc_id", "slice_id", "base", F.inline(_tagged(_shift(F.col("hit"), F.col("at")), rule))))
+            out.append(hit.select("doc_id", "slice_id", "base", F.inline(_tagged(F.col("hit"), rule, F.col("at")))))
     if tokens is not None and by_scope[TOKENS]:
         if some:
             own = slices.select(F.col("doc_id").alias("d"), F.col("slice_id").alias("s"))

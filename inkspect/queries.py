@@ -16,6 +16,7 @@ from .plans import cache, render
 from .plans.config import Config, Setting, active, from_dict
 from .plans.linter import lint, lint_slices, rule_table
 from .sources.plain import plain_slices
+from .sources.tables import documents
 
 
 class Derived:
@@ -36,7 +37,7 @@ class Derived:
         return out
 
     def docs(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+        docs = documents(spark, f"{sf_dir}/documents.parquet")
         return docs.select("doc_id", self.column(F.coalesce("text", F.lit(""))).alias("text"))
 
 
@@ -261,7 +262,7 @@ SELECT doc_id, unnest(range(len(v)))::INT AS pos, unnest(v) AS sentence FROM s""
 
 
 def url_strip(spark, sf_dir):
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    pages = documents(spark, f"{sf_dir}/pages.parquet")
     return pages.select("page_id", strip_urls(F.concat("url", F.lit(" と（"), "url", F.lit("）を見る"))).alias("text"), F.sha2(strip_urls(F.col("html")), 256).alias("html_sha256"))
 
 
@@ -433,7 +434,7 @@ def delimited_lint(spark, sf_dir):
     from .sources.delimited import delimited_slices
 
     config = from_dict({"language": "ja", "rules": {"no-exclamation-question-mark": False}, "formats": {"csv": {"header": True, "columns": {"note": {"parse-mode": "plain", "rules": {"no-exclamation-question-mark": True}}}}}})
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = documents(spark, f"{sf_dir}/documents.parquet")
     text = F.concat(F.lit('id, note \n1,"'), F.replace(F.coalesce("text", F.lit("")), F.lit('"'), F.lit('""')), F.lit('"\n'))
     slices = delimited_slices(docs.select("doc_id", text.alias("text")), config.formats["csv"], ",")
     out = lint(slices, config, "csv").where("rule_id = 'no-exclamation-question-mark'")
@@ -448,7 +449,7 @@ def _delimited_lint_sql() -> str:
 def markdown_nodes(spark, sf_dir):
     from .sources.markdown import markdown_slices
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = documents(spark, f"{sf_dir}/documents.parquet")
     text = F.concat(F.lit("# Title of `it`\n\n> "), F.coalesce("text", F.lit("")))
     slices, _ = markdown_slices(docs.select("doc_id", text.alias("text")))
     return slices.select("doc_id", F.inline("nodes")).groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("nodes"), F.sum(F.col("end") - F.col("start")).alias("bytes"))
@@ -458,7 +459,7 @@ def markdown_structure(spark, sf_dir):
     """Every kind and place of node in a Markdown text around a document's words; where there is no word, an x."""
     from .sources.markdown import markdown_slices
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = documents(spark, f"{sf_dir}/documents.parquet")
     words = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[^a-zA-Z]+", " "))
     words = F.when(words == "", "x").otherwise(words)
     text = F.concat(F.lit("# Title of `it`\n\n> "), words, F.lit("\n\n- **"), words, F.lit("**\n- b"))
