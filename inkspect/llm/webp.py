@@ -97,7 +97,7 @@ def _read_code(bits: Bits, alphabet: int) -> Code:
         raise ValueError("too many code lengths")
     if own.only is not None and own.only < 16:
         return Code(dict.fromkeys(range(left), own.only))
-    lengths, symbol, before = {}, 0, 8
+    lengths, symbol, before = [0] * alphabet, 0, 8
     while symbol < alphabet and left:
         left -= 1
         token = own.next(bits)
@@ -109,9 +109,10 @@ def _read_code(bits: Bits, alphabet: int) -> Code:
         value, times = {16: (before, 3 + bits.read(2)), 17: (0, 3 + bits.read(3)), 18: (0, 11 + bits.read(7))}[token] if token == 16 else (0, 3 + bits.read(3) if token == 17 else 11 + bits.read(7))
         if symbol + times > alphabet:
             raise ValueError("a repeat runs past the alphabet")
-        lengths.update(dict.fromkeys(range(symbol, symbol + times), value))
+        if value:
+            lengths[symbol : symbol + times] = [value] * times
         symbol += times
-    return Code(lengths)
+    return Code({symbol: length for symbol, length in enumerate(lengths) if length})
 
 
 def _prefixed(bits: Bits, prefix: int) -> int:
@@ -460,6 +461,8 @@ def _spread(values: np.ndarray, length: int) -> np.ndarray:
     return ((values[:, None] >> np.arange(length - 1, -1, -1, dtype=values.dtype)) & 1).astype(np.uint8)
 
 
+#: Bits a sample from which predictors are tried.
+WORTH = 5.5
 GRAM, LONGEST_COPY, FARTHEST, LONGEST_CODE = 16, 4096, (1 << 20) - 120, 12
 _ROLL, _BYTE = np.uint64(0x9E3779B97F4A7C15), np.random.default_rng(17).integers(1, 1 << 63, 256, dtype=np.uint64)
 
@@ -594,14 +597,14 @@ def _coded(flat: np.ndarray, alpha: int) -> np.ndarray:
             before = at + length
         pieces.append((values[before:], sizes[before:]))
         values, sizes = (np.concatenate(x) for x in zip(*pieces))
-    total = int(sizes.sum())
-    inside = np.arange(total) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    return np.concatenate([_bits(*head), ((np.repeat(values, sizes) >> inside) & 1).astype(np.uint8)])
+    ends = np.cumsum(sizes)
+    inside = np.arange(int(ends[-1]) if len(ends) else 0, dtype=np.int32) - np.repeat((ends - sizes).astype(np.int32), sizes)
+    return np.concatenate([_bits(*head), ((np.repeat(values.astype(np.int32), sizes) >> inside) & 1).astype(np.uint8)])
 
 
 def _entropy(flat: np.ndarray) -> float:
     """Bits of all samples by how often each value occurs."""
-    counts = np.bincount(flat, minlength=256)
+    counts = np.bincount(flat)
     counts = counts[counts > 0]
     return float(counts @ np.log2(len(flat) / counts))
 
@@ -626,8 +629,10 @@ def encode_samples(samples: np.ndarray) -> bytes:
     if np.count_nonzero(np.bincount(samples.reshape(-1), minlength=256)) <= 16:
         return _with_palette(samples)
     height, width = samples.shape
-    cost = {0: 0.9 * _entropy(samples.reshape(-1))} | {mode: _entropy(_residual(samples, mode).reshape(-1)) for mode in (1, 2)}
-    mode = min(cost, key=cost.get)
+    mode, plain = 0, _entropy(samples.reshape(-1))
+    if plain > WORTH * samples.size:
+        cost = {0: 0.9 * plain} | {m: _entropy(_residual(samples, m).reshape(-1)) for m in (1, 2)}
+        mode = min(cost, key=cost.get)
     head = [(SIGNATURE, 8), (width - 1, 14), (height - 1, 14), (1, 1), (0, 3)]
     if mode:  # blocks of the largest side, all with one mode
         head += [(1, 1), (PREDICTOR, 2), (7, 3), (0, 1), *_one_symbol(mode), *_one_symbol(0) * 4]
