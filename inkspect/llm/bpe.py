@@ -24,7 +24,7 @@ import tiktoken
 
 #: The pretoken pattern and the byte alphabet of byte-level BPE files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-MEMO_BYTES = 12 << 20  # of a generation, as far as entries can be weighed
+MEMO_BYTES = 64 << 20  # of a generation, as far as entries can be weighed
 
 
 def byte_alphabet() -> dict[str, int]:
