@@ -16,12 +16,13 @@ from __future__ import annotations
 
 import json
 from array import array
-from functools import lru_cache
 
 import numpy as np
 import regex
 import tiktoken
 
+from .common import kept_in_worker
+
 #: The pretoken pattern and the byte alphabet of byte-level BPE files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 MEMO_BYTES = 64 << 20  # of a generation, as far as entries can be weighed
@@ -139,7 +140,7 @@ class Codec:
         return b"".join([tokens[i] for i in np.frombuffer(ids, self.dtype).tolist()]).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
+@kept_in_worker
 def codec(path: str) -> Codec:
     """One codec a worker process and vocabulary file."""
     return Codec(path)

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,22 @@ from pyspark.sql import types as T
 SLICE_BYTES = 2 << 20
 
 
+_CACHES: list = []
+
+
+def kept_in_worker(f):
+    """Results stay in the worker process until an operator that does not use them calls ``forget``."""
+    own = lru_cache(maxsize=2)(f)
+    _CACHES.append(own)
+    return own
+
+
+def forget() -> None:
+    """Workers outlive a stage; what another operator has left in this one goes."""
+    for f in _CACHES:
+        f.cache_clear()
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, ids_and_text, slices
+from .common import documents, forget, ids_and_text, slices
 
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")  # letters, and numerals such as ½ that words() takes out
@@ -141,6 +141,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of a size that fit() bounds
 
     def run(batches):
+        forget()
         own = shared.value.for_a_task()
         for batch in batches:
             for a, b in slices(batch.column(1)):
@@ -160,6 +161,7 @@ def keep_known(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches):
+        forget()
         own = shared.value.for_a_task()
         for batch in batches:
             for a, b in slices(batch.column(at)):
