@@ -19,18 +19,22 @@ of their own that is nearly as sharp as the similarity itself.
 
 Pairs are not made within groups.  All sets of a segment are first compared with the
 one of the least 9 u - n alone, its leader, and those that even this one is too far
-from are out; those found similar are one component.  What a set and its leader do
-not share is kept.  Two sets of one leader differ where one of them alone differs
-from the leader (x shingles of a set), and in the rest of their differences by number
-(q of a set): x + x' + |q - q'| or more.  They differ as well by as much as the
-differences from the leader do in number, summed over classes of shingles.  So only
-sets of different components for which both allow it are compared.  Texts with the
-same shingles are one node.
+from are out; those found similar are one component.  A leader's text travels once for
+each few hundred sets that it is compared with.  What a set and its leader do not share
+is kept.  It is enough for all that is left: two sets differ where these differences
+differ.  And a set that is not similar to its leader can be similar to another one of
+that leader's sets only if their differences from it have shingles in common, the more
+the larger they are.  So differences are put in order, the rarest first, and sets of
+different components meet by equality on the first few of them (as many as a similar
+pair can't do without), and are settled by their differences, without texts.  What
+all sets have and the leader lacks comes last in that order, and meets nobody.
+Texts with the same shingles are one node.
 """
 
 from __future__ import annotations
 
 from itertools import accumulate
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +51,26 @@ from .simhash import CHUNK
 LEVELS = np.array(list(accumulate(range(58), lambda least, _: -(-8 * least // 5), initial=1)))
 DIFFER = [(a + 5 * a // 4) // 9 for a in (LEVELS[1:] - 1).tolist()]
 TAG_BITS = 10  # a node's cuts: 16 a level
-CLASSES = 32  # of shingles that a set has and its leader lacks, and as many of those that it lacks
+TOGETHER = 512  # sets that are compared with a leader for each time that its text travels
+
+
+class Likeness(NamedTuple):
+    """A Jaccard similarity of p / q or more, in whole numbers."""
+
+    p: int
+    q: int
+
+    def similar(self, a: np.ndarray, b: np.ndarray) -> bool:
+        """Of sets in order; two empty sets are alike."""
+        return (self.p + self.q) * len(np.intersect1d(a, b, assume_unique=True)) >= self.p * (len(a) + len(b))
+
+    def score(self, differ: str, n: str) -> str:
+        """SQL of what sums to at most 0 over two sets of n shingles that differ in so many, if they are similar."""
+        return f"{self.p + self.q}L * {differ} - {self.q - self.p}L * {n}"
+
+
+FOUR_FIFTHS = Likeness(4, 5)
+similar = FOUR_FIFTHS.similar
 
 
 def _words(text: str) -> list[bytes]:
@@ -64,11 +87,6 @@ def hashes(text: str, size: int) -> np.ndarray:
     return np.unique(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    """Jaccard similarity of 4/5 or more, in whole numbers; two empty sets are alike."""
-    return 9 * len(np.intersect1d(a, b, assume_unique=True)) >= 4 * (len(a) + len(b))
-
-
 def segments(h: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
     """(tag, least number in common with a similar set that has the tag, hashes of filled segments) of each cut of a set."""
     n, out = len(h), []
@@ -91,8 +109,8 @@ def segments(h: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
     return out
 
 
-def _sets(docs: DataFrame, size: int) -> DataFrame:
-    """(uid, doc_id, mark, digest, n, cuts) for every row; ``mark`` is a hash of the text."""
+def _sets(docs: DataFrame, size: int, cut) -> DataFrame:
+    """(uid, doc_id, mark, digest, n, cuts) for every row; ``mark`` is a hash of the text, ``cut`` gives a set's cuts, as ``segments``."""
 
     def run(batches):
         forget()
@@ -104,7 +122,7 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
                     h = hashes(text, size)
                     digests.append(xxhash.xxh3_128_digest(h.tobytes()))
                     counts.append(len(h))
-                    cuts.append(segments(h))
+                    cuts.append(cut(h))
                 flat = [x for own in cuts for x in own]
                 keys = pa.array(np.concatenate([np.empty(0, np.uint64), *(x[2] for x in flat)]).view(np.int64))
                 nested = pa.StructArray.from_arrays(
@@ -145,8 +163,8 @@ def _texts(docs: DataFrame, nodes: DataFrame, met: DataFrame) -> DataFrame:
     return materialise(found.dropDuplicates(["node"]), "near-texts")
 
 
-def _scores(texts: DataFrame, size: int) -> DataFrame:
-    """(node, n, score): the score of a set with u shingles that no other set has is 9 u - n."""
+def _scores(texts: DataFrame, size: int, like: Likeness) -> DataFrame:
+    """(node, n, score): the score of a set by the shingles that no other set has."""
 
     def run(batches):
         for batch in batches:
@@ -159,7 +177,7 @@ def _scores(texts: DataFrame, size: int) -> DataFrame:
     held = texts.select("node", "text").mapInArrow(run, "h long, node long").groupBy("h").agg(F.count(F.lit(1)).alias("held"), F.min("node").alias("of"))
     alone = held.where("held = 1").groupBy("of").agg(F.count(F.lit(1)).alias("alone"))
     rows = texts.select("node", "n").join(alone, F.col("node") == F.col("of"), "left")
-    return materialise(rows.select("node", "n", (9 * F.coalesce("alone", F.lit(0)) - F.col("n")).alias("score")), "near-scores")
+    return materialise(rows.select("node", "n", F.expr(like.score("coalesce(alone, 0)", "n")).alias("score")), "near-scores")
 
 
 def _groups(met: DataFrame, scores: DataFrame) -> DataFrame:
@@ -170,59 +188,73 @@ def _groups(met: DataFrame, scores: DataFrame) -> DataFrame:
     return fit.select("u.node", F.col("own.node").alias("v")).toDF("u", "v").distinct()
 
 
-def _compared(texts: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
-    """(u, v, n, similar, diff, classes) of ``pairs``: size of the second set, the shingles that one of the two has alone, and their numbers by class."""
-    left, right = texts.select(F.col("node").alias("u"), F.col("text").alias("a")), texts.select(F.col("node").alias("v"), F.col("text").alias("b"))
+def _compared(texts: DataFrame, pairs: DataFrame, size: int, like: Likeness) -> DataFrame:
+    """(u, v, n, similar, diff) of ``pairs``: size of the second set, and the shingles that one of the two has alone."""
 
     def run(batches):
-        last, h = None, None
+        leader, h = None, None
         for batch in batches:
             for i, j in slices(batch.column(3)):
-                part, sizes, kept, diffs, classes = batch.slice(i, j - i), [], [], [], []
-                for u, a, b in zip(part.column(0).to_pylist(), part.column(2), part.column(3)):
-                    if u != last:
-                        last, h = u, hashes(a.as_py(), size)
-                    own = hashes(b.as_py(), size)
-                    sizes.append(len(own))
-                    kept.append(similar(h, own))
-                    alone = np.setxor1d(h, own, assume_unique=True)
-                    diffs.append(alone.view(np.int64))
-                    of = (alone % np.uint64(CLASSES)).astype(np.int64) + CLASSES * np.isin(alone, h, assume_unique=True)
-                    classes.append(np.bincount(of, minlength=2 * CLASSES))
-                diff = pa.ListArray.from_arrays(_ends([len(x) for x in diffs]), pa.array(np.concatenate(diffs)))
-                numbers = pa.ListArray.from_arrays(_ends([2 * CLASSES] * len(classes)), pa.array(np.concatenate(classes).astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes, pa.int32()), pa.array(kept), diff, numbers], ["u", "v", "n", "similar", "diff", "classes"])
-
-    both = pairs.join(right, "v").join(left, "u").select("u", "v", "a", "b")
-    return both.mapInArrow(run, "u long, v long, n int, similar boolean, diff array<long>, classes array<int>")
-
-
-def _rest(compared: DataFrame, roots: DataFrame) -> DataFrame:
-    """(u, v): pairs of one leader and different roots that may be similar."""
-    held = compared.select("u", "v", F.explode("diff").alias("e")).groupBy("u", "e").agg(F.count(F.lit(1)).alias("held"), F.min("v").alias("v"))
-    alone = held.where("held = 1").groupBy(F.col("u").alias("xu"), F.col("v").alias("xv")).agg(F.count(F.lit(1)).cast("int").alias("x"))
-    rows = compared.select("u", "v", "n", "classes", F.size("diff").alias("d")).join(alone, (F.col("u") == F.col("xu")) & (F.col("v") == F.col("xv")), "left")
-    possible = rows.select("u", "v", "n", "classes", F.coalesce("x", F.lit(0)).alias("x"), "d").where("4L * x <= n")
+                part, pairs, kept, diffs = batch.slice(i, j - i), [], [], []
+                for u, leads, node, text in zip(*(part.column(c).to_pylist() for c in range(3)), part.column(3)):
+                    own = hashes(text.as_py(), size)
+                    if leads:
+                        leader, h = u, own
+                        continue
+                    if u != leader:
+                        raise RuntimeError(f"the text of leader {u} is not there")
+                    pairs.append((u, node, len(own)))
+                    kept.append(like.similar(h, own))
+                    diffs.append(np.setxor1d(h, own, assume_unique=True).view(np.int64))
+                diff = pa.ListArray.from_arrays(_ends([len(x) for x in diffs]), pa.array(np.concatenate([np.empty(0, np.int64), *diffs])))
+                us, vs, ns = ([x[c] for x in pairs] for c in range(3))
+                yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64()), pa.array(ns, pa.int32()), pa.array(kept, pa.bool_()), diff], ["u", "v", "n", "similar", "diff"])
+
+    parts = pairs.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).alias("parts"))
+    dealt = pairs.join(parts, "u").select("u", F.pmod(F.xxhash64("v"), F.col("parts")).alias("salt"), F.lit(False).alias("leads"), F.col("v").alias("node"))
+    leaders = dealt.select("u", "salt", F.lit(True).alias("leads"), F.col("u").alias("node")).distinct()
+    rows = dealt.unionByName(leaders).join(texts.select("node", "text"), "node")
+    ordered = rows.repartition("u", "salt").sortWithinPartitions("u", "salt", F.desc("leads"))
+    return ordered.select("u", "leads", "node", "text").mapInArrow(run, "u long, v long, n int, similar boolean, diff array<long>")
+
+
+def _rest(compared: DataFrame, roots: DataFrame, like: Likeness) -> tuple[DataFrame, list[DataFrame]]:
+    """((u, v): links of different components among the sets of one leader, and the tables it reads)."""
     rooted = lambda df, node, name: df.join(roots.select(F.col("node").alias(node), F.col("root").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
-    members = materialise(rooted(rooted(possible, "u", "top"), "v", "root").select("u", "top", "v", "root", "n", "x", (F.col("d") - F.col("x")).alias("q"), "classes"), "near-members")
-    outside = members.where("root <> top").select("u", F.col("v").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("x").alias("xb"), F.col("q").alias("qb"), F.col("classes").alias("cb"))
-    near = outside.join(members.groupBy("u", "q").agg(F.min("x").alias("least")), "u").where("36L * (xb + least + abs(q - qb)) <= 9L * nb")
-    fit = "rb <> root AND (root = top OR v < b) AND 9L * (x + xb + abs(q - qb)) <= n + nb AND 5L * n >= 4L * nb AND 5L * nb >= 4L * n"
-    fit += " AND 9L * aggregate(zip_with(classes, cb, (a, b) -> abs(a - b)), 0, (t, d) -> t + d) <= n + nb"
-    both = members.join(near.drop("least"), ["u", "q"]).where(fit)
-    return both.select(F.least("v", "b").alias("u"), F.greatest("v", "b").alias("v")).distinct()
-
-
-def _linked(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    rows = rooted(rooted(compared, "u", "top"), "v", "root").withColumn("outside", F.expr("root <> top"))
+    members = rows.join(rows.where("outside").select("u").distinct(), "u", "left_semi").withColumn("d", F.size("diff"))
+    members = materialise(members.select("u", "v", "n", "root", "outside", "d", "diff", F.expr(like.score("d", "n")).alias("s")), "near-members")
+    # differences in the order of how many sets of the leader have them
+    own = members.select("u", "v", F.explode("diff").alias("e"))
+    held = own.groupBy("u", "e").agg(F.count(F.lit(1)).alias("held"))
+    ranked = own.join(held, ["u", "e"]).withColumn("rank", F.row_number().over(Window.partitionBy("u", "v").orderBy("held", "e")) - 1).where("held > 1")
+    # a pair has (s + s') / 2 (p + q) of them in common or more; with c of d it must meet in the first d - c + 1
+    least = members.groupBy("u").agg(F.min("s").alias("least_s"), F.min(F.when(F.col("outside"), F.col("s"))).alias("least_o"))
+    common = lambda a, b: f"ceil(({a} + {b}) / {2 * (like.p + like.q)})"
+    known = members.drop("diff").join(least, "u")
+    entries = materialise(ranked.join(known, ["u", "v"]).where(f"rank <= d - {common('s', 'if(outside, least_s, least_o)')}").drop("held", "least_s", "least_o"), "near-entries")
+    one = entries.where("outside").select("u", "e", *(F.col(c).alias(f"{c}_o") for c in ("v", "n", "root", "rank", "d", "s")))
+    fit = f"root <> root_o AND (NOT outside OR v < v_o) AND rank <= d - {common('s', 's_o')} AND rank_o <= d_o - {common('s', 's_o')}"
+    fit += f" AND {like.q}L * n >= {like.p}L * n_o AND {like.q}L * n_o >= {like.p}L * n"
+    met = entries.join(one, ["u", "e"]).where(fit).groupBy("v_o", "v").agg(F.min("u").alias("u"))
+    side = lambda a, b: members.select("u", F.col("v").alias(a), F.col("n").alias(f"n_{b}"), F.col("diff").alias(f"diff_{b}"))
+    both = met.join(side("v", "v"), ["u", "v"]).join(side("v_o", "o"), ["u", "v_o"])
+    differ = "(size(diff_v) + size(diff_o) - 2 * size(array_intersect(diff_v, diff_o)))"
+    links = both.where(f"{like.score(differ, '(n_v + n_o)')} <= 0").select(F.col("v_o").alias("u"), "v")
+    return links, [members, entries]
+
+
+def _linked(docs: DataFrame, nodes: DataFrame, size: int, like: Likeness) -> DataFrame:
     """(node, root) of all nodes with a link."""
     met = _met(nodes)
     texts = _texts(docs, nodes, met)
-    scores = _scores(texts, size)
-    compared = materialise(_compared(texts, _groups(met, scores), size), "near-compared")
-    discard(met, scores)
+    scores = _scores(texts, size, like)
+    compared = materialise(_compared(texts, _groups(met, scores), size, like), "near-compared")
+    discard(met, scores, texts)
     links = compared.where("similar").select("u", "v")
-    rest = materialise(_compared(texts, _rest(compared, components(links)), size).where("similar").select("u", "v"), "near-links")
-    discard(texts)
+    found, tables = _rest(compared, components(links), like)
+    rest = materialise(found, "near-links")
+    discard(*tables)
     return components(links.unionByName(rest))
 
 
@@ -234,19 +266,19 @@ def near_copies(docs: DataFrame, size: int = 5) -> DataFrame:
     repeated.  An empty table gives no row.  ``mark`` is a hash of the text, ``root``
     a number of the component.
     """
-    return _named(docs, size)[0]
+    return _named(docs, size)[0].drop("n")
 
 
-def _named(docs: DataFrame, size: int) -> tuple[DataFrame, list[DataFrame]]:
-    """The result of near_copies, and the tables it reads."""
-    sets = materialise(_sets(docs, size), "shingle-sets")
+def _named(docs: DataFrame, size: int, cut=segments, like: Likeness = FOUR_FIFTHS) -> tuple[DataFrame, list[DataFrame]]:
+    """The result of near_copies with the size n of each set, and the tables it reads."""
+    sets = materialise(_sets(docs, size, cut), "shingle-sets")
     firsts = materialise(sets.groupBy("digest").agg(F.min("doc_id").alias("first"), F.min("uid").alias("node")), "shingle-nodes")
     nodes = sets.join(firsts.select("node"), F.col("uid") == F.col("node")).drop("uid")
-    roots = _linked(docs, nodes, size).withColumnRenamed("node", "linked")
+    roots = _linked(docs, nodes, size, like).withColumnRenamed("node", "linked")
     placed = materialise(firsts.join(roots, F.col("node") == F.col("linked"), "left").select("digest", "first", F.coalesce("root", "node").alias("root")), "near-roots")
     discard(firsts)
     names = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    return sets.select("doc_id", "mark", "digest").join(placed.join(names, "root"), "digest").select("doc_id", "component_id", "mark", "root"), [sets, placed]
+    return sets.select("doc_id", "mark", "n", "digest").join(placed.join(names, "root"), "digest").select("doc_id", "component_id", "mark", "root", "n"), [sets, placed]
 
 
 def keep_one(docs: DataFrame, size: int = 5) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, langid, line_dedup, media, packing, quality, simhash, substring_dedup, suffix_dedup, tokenise
+from . import collocations, exact_dedup, filter_audit, langid, line_dedup, media, minhash, packing, quality, simhash, substring_dedup, suffix_dedup, tokenise
 
 
 def queries():
@@ -17,8 +17,11 @@ def queries():
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op9_substring_dedup": substring_dedup.op9_substring_dedup,
         "op10_media": media.op10_media,
+        "op11_minhash": minhash.op11_minhash,
+        "op12_collocations": collocations.op12_collocations,
+        "op13_filter_audit": filter_audit.op13_filter_audit,
     }
 
 
 def oracle_sql():
-    return {"op7_line_dedup": line_dedup.SQL, "op8_exact_dedup": exact_dedup.SQL}
+    return {"op7_line_dedup": line_dedup.SQL, "op8_exact_dedup": exact_dedup.SQL, "op12_collocations": collocations.SQL, "op13_filter_audit": filter_audit.SQL}
