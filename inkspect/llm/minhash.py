@@ -39,15 +39,19 @@ def permuted(x: np.ndarray, first: int, second: int) -> np.ndarray:
     return x
 
 
-def signature(h: np.ndarray, coordinates: int) -> np.ndarray:
-    """The circulant MinHash of a set of 64-bit hashes (one at least)."""
-    places = permuted((h >> np.uint64(32)).astype(np.uint32), 0x7FEB352D, 0x846CA68B)
-    least = np.full(coordinates, np.iinfo(np.uint32).max, np.uint32)
+def signatures(sets: list[np.ndarray], coordinates: int) -> np.ndarray:
+    """The circulant MinHash of each set of 64-bit hashes (one at least in each), a row a set."""
+    places = permuted((np.concatenate(sets) >> np.uint64(32)).astype(np.uint32), 0x7FEB352D, 0x846CA68B)
+    starts = np.cumsum([0, *map(len, sets)])
+    least = np.full((coordinates, len(sets)), np.iinfo(np.uint32).max, np.uint32)
     for at in range(0, len(places), PLACES):
         own = places[at : at + PLACES]
+        first, end = np.searchsorted(starts, at, "right") - 1, np.searchsorted(starts, at + len(own), "left")
+        cuts = np.maximum(starts[first:end] - at, 0)  # many sets at once, or a part of one
         for k in range(coordinates):
-            least[k] = min(least[k], permuted(own + np.uint32(k), 0x21F0AAAD, 0xD35A2D97).min())
-    return least
+            of = least[k, first:end]
+            np.minimum(of, np.minimum.reduceat(permuted(own + np.uint32(k), 0x21F0AAAD, 0xD35A2D97), cuts), out=of)
+    return least.T
 
 
 class Bands:
@@ -56,14 +60,16 @@ class Bands:
     def __init__(self, bands: int, rows: int):
         self.bands, self.rows = bands, rows
 
-    def __call__(self, h: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
-        if not len(h):
-            return []
-        of = signature(h, self.bands * self.rows).reshape(self.bands, self.rows).astype(np.uint64)
-        key = np.arange(1, self.bands + 1, dtype=np.uint64)
-        for column in of.T:
-            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + column)
-        return [(0, 2, key >> np.uint64(16))]  # 48 bits take less room
+    def __call__(self, sets: list[np.ndarray]) -> list[list[tuple[int, int, np.ndarray]]]:
+        there = [h for h in sets if len(h)]
+        if not there:
+            return [[] for _ in sets]
+        of = signatures(there, self.bands * self.rows).reshape(len(there), self.bands, self.rows).astype(np.uint64)
+        key = np.tile(np.arange(1, self.bands + 1, dtype=np.uint64), (len(there), 1))
+        for i in range(self.rows):
+            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + of[:, :, i])
+        keys = iter(key >> np.uint64(16))  # 48 bits take less room
+        return [[(0, 2, next(keys))] if len(h) else [] for h in sets]
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85, bands: int = 50, rows: int = 6) -> DataFrame:

@@ -109,20 +109,20 @@ def segments(h: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
     return out
 
 
+def _segmented(sets: list[np.ndarray]) -> list[list[tuple[int, int, np.ndarray]]]:
+    return [segments(h) for h in sets]
+
+
 def _sets(docs: DataFrame, size: int, cut) -> DataFrame:
-    """(uid, doc_id, mark, digest, n, cuts) for every row; ``mark`` is a hash of the text, ``cut`` gives a set's cuts, as ``segments``."""
+    """(uid, doc_id, mark, digest, n, cuts) for every row; ``mark`` is a hash of the text, ``cut`` gives the cuts of some sets, as ``segments`` does of one."""
 
     def run(batches):
         forget()
         for batch in batches:
             for a, b in slices(batch.column(1)):
                 part = batch.slice(a, b - a)
-                digests, counts, cuts = [], [], []
-                for text in part.column(1).to_pylist():
-                    h = hashes(text, size)
-                    digests.append(xxhash.xxh3_128_digest(h.tobytes()))
-                    counts.append(len(h))
-                    cuts.append(cut(h))
+                sets = [hashes(text, size) for text in part.column(1).to_pylist()]
+                digests, counts, cuts = [xxhash.xxh3_128_digest(h.tobytes()) for h in sets], [len(h) for h in sets], cut(sets)
                 flat = [x for own in cuts for x in own]
                 keys = pa.array(np.concatenate([np.empty(0, np.uint64), *(x[2] for x in flat)]).view(np.int64))
                 nested = pa.StructArray.from_arrays(
@@ -269,7 +269,7 @@ def near_copies(docs: DataFrame, size: int = 5) -> DataFrame:
     return _named(docs, size)[0].drop("n")
 
 
-def _named(docs: DataFrame, size: int, cut=segments, like: Likeness = FOUR_FIFTHS) -> tuple[DataFrame, list[DataFrame]]:
+def _named(docs: DataFrame, size: int, cut=_segmented, like: Likeness = FOUR_FIFTHS) -> tuple[DataFrame, list[DataFrame]]:
     """The result of near_copies with the size n of each set, and the tables it reads."""
     sets = materialise(_sets(docs, size, cut), "shingle-sets")
     firsts = materialise(sets.groupBy("digest").agg(F.min("doc_id").alias("first"), F.min("uid").alias("node")), "shingle-nodes")

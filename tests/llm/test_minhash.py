@@ -49,9 +49,11 @@ def test_signature_is_two_permutations_one_of_them_turned():
     h = np.unique(own.integers(0, 1 << 63, 40_000, dtype=np.uint64) * np.uint64(2))
     place = lambda x: minhash.permuted(np.array([x], np.uint32), 0x7FEB352D, 0x846CA68B)[0]
     turned = lambda x, k: minhash.permuted(np.array([(int(x) + k) % 2**32], np.uint32), 0x21F0AAAD, 0xD35A2D97)[0]
-    few = h[:50]
-    assert minhash.signature(few, 7).tolist() == [min(turned(place(int(x) >> 32), k) for x in few) for k in range(7)]
-    assert (minhash.signature(h, 5) == np.minimum(minhash.signature(h[:30_000], 5), minhash.signature(h[30_000:], 5))).all()
+    few, cuts = h[:50], [0, 1, 20_000, 20_003, 40_000]
+    assert minhash.signatures([few], 7)[0].tolist() == [min(turned(place(int(x) >> 32), k) for x in few) for k in range(7)]
+    together = minhash.signatures([h[a:b] for a, b in zip(cuts, cuts[1:])], 5)
+    for (a, b), row in zip(zip(cuts, cuts[1:]), together):  # whole sets, or in parts
+        assert (row == np.min([minhash.signatures([h[i : min(i + 7000, b)]], 5)[0] for i in range(a, b, 7000)], axis=0)).all()
     assert len(np.unique(minhash.permuted(np.arange(1 << 16, dtype=np.uint32), 0x21F0AAAD, 0xD35A2D97))) == 1 << 16
 
 
@@ -62,6 +64,8 @@ def test_bands_meet_at_the_threshold():
             a = np.unique(own.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
             new = int(n * 0.15 / 1.85)
             b = np.unique(np.concatenate([a[new:], own.integers(0, 1 << 63, new, dtype=np.uint64)]))
-            shared.append(len(np.intersect1d(bands(a)[0][2], bands(b)[0][2])))
+            left, right = bands([a, b])
+            shared.append(len(np.intersect1d(left[0][2], right[0][2])))
     assert min(shared) >= 2 and np.mean(shared) > 15
-    assert bands(np.empty(0, np.uint64)) == []
+    none = np.empty(0, np.uint64)
+    assert bands([none]) == [[]] and bands([none, a])[0] == [] and (bands([none, a])[1][0][2] == bands([a])[0][0][2]).all()
