@@ -3,11 +3,11 @@
 Documents that repeat an earlier text are found over an RDD that is routed by
 fingerprint.  A task computes XXH64 of each text and keeps collision chains, under
 each fingerprint the different full texts with the smallest id so far; an id that isn't
-the smallest of its text is settled there and travels without text.  What is left, one
+the smallest of its text is known there and travels without text.  What is left, one
 text a task, is partitioned by fingerprint and sorted; there a chain is met as a run,
 texts are compared in full, the first id of each text is the smallest, and all others
-are the ones that repeat it.  A text that a third of all rows hold is so shuffled once a
-task, and no task holds more than a bounded store of texts or one chain.
+are emitted.  A text that a third of all rows hold is so shuffled once a task, and no
+task holds more than a bounded store of texts or one chain.
 
 Each document then is a mask of the filters that it fails.  combineByKey merges vectors
 of counts by mask, 32 for each part and label, and every order's figures are sums over
@@ -21,12 +21,12 @@ from collections import Counter
 from itertools import permutations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import documents, fields, materialise, plain_text
+from .common import documents, fields, materialise, plain_text, slices
 
 FILTERS = "ABCDE"
 REPEATED = 1 << FILTERS.index("E")
@@ -69,90 +69,107 @@ class Chains:
         self.by_print: dict[int, list[list]] = {}
         self.bytes = 0
 
-    def add(self, code: int, data: bytes, doc_id, part: str, mask: int):
-        """Put a document in; yields (id, {part: rows}, mask) of those now known to repeat a text."""
+    def add(self, code: int, data: bytes, doc_id) -> list:
+        """Put a document in; the ids, none or one, now known not to be the smallest of their text."""
         chain = self.by_print.setdefault(code, [])
         for entry in chain:
             if entry[0] == data:
-                if doc_id == entry[1]:
-                    entry[2][part] += 1
-                elif doc_id > entry[1]:
-                    yield doc_id, {part: 1}, mask | REPEATED
-                else:
-                    yield entry[1], entry[2], mask | REPEATED
-                    entry[1:3] = [doc_id, Counter({part: 1})]
-                return
-        chain.append([data, doc_id, Counter({part: 1}), mask])
+                least = entry[1]
+                entry[1] = min(least, doc_id)
+                return [] if doc_id == least else [max(least, doc_id)]
+        chain.append([data, doc_id])
         self.bytes += len(data) + 200
+        return []
 
     def drain(self):
-        """All texts, as ((fingerprint, 1, id), (id, {part: rows}, mask, text)); the store is empty then."""
+        """All (fingerprint, text, id); the store is empty then."""
         for code, chain in self.by_print.items():
-            for data, doc_id, parts, mask in chain:
-                yield (code, 1, doc_id), (doc_id, dict(parts), mask, data)
+            for data, doc_id in chain:
+                yield code, data, doc_id
         self.by_print, self.bytes = {}, 0
 
 
-def _routes(min_words: int, distinct_percent: int, capital_percent: int, store: int, fingerprint):
-    """From rows (doc_id, part, text) to routed pairs; a pair of kind 0 is settled and goes anywhere."""
-
-    def settled(doc_id, parts, mask):
-        return (xxhash.xxh64_intdigest(repr(doc_id)), 0, 0), (doc_id, dict(parts), mask, None)
+def _routes(store: int, fingerprint):
+    """From rows (doc_id, text) to pairs ((fingerprint, kind, id), text); kind 0 is known to repeat a text and has none."""
 
     def run(rows):
-        chains, nameless = Chains(), {}
-        for doc_id, part, text in rows:
+        chains = Chains()
+        for doc_id, text in rows:
             data = text.encode()
-            mask = failing(text, data, min_words, distinct_percent, capital_percent)
-            if doc_id is None:
-                nameless.setdefault(mask, Counter())[part] += 1
-                continue
-            for found in chains.add(fingerprint(data), data, doc_id, part, mask):
-                yield settled(*found)
+            code = fingerprint(data)
+            for known in chains.add(code, data, doc_id):
+                yield (code, 0, known), None
             if chains.bytes >= store:
-                yield from chains.drain()
-        for mask, parts in nameless.items():
-            yield settled(None, parts, mask)
-        yield from chains.drain()
+                for code, data, doc_id in chains.drain():
+                    yield (code, 1, doc_id), data
+        for code, data, doc_id in chains.drain():
+            yield (code, 1, doc_id), data
 
     return run
 
 
-def _settle(pairs):
-    """Sorted routed pairs to rows (doc_id, part, mask, n)."""
+def _signed(code: int) -> int:
+    return code - (code >> 63 << 64)
+
+
+def _not_the_smallest(pairs):
+    """Sorted pairs of ``_routes`` to (id, fingerprint) of all that repeat the text of a smaller id."""
     last, chain = None, []
-    for (code, kind, _), (doc_id, parts, mask, data) in pairs:
-        if kind:
-            if code != last:
-                last, chain = code, []
-            first = next((i for text, i in chain if text == data), None)
-            if first is None:
-                chain.append((data, doc_id))
-            elif first != doc_id:
-                mask |= REPEATED
-        for part, n in parts.items():
-            yield doc_id, part, mask, n
+    for (code, kind, doc_id), data in pairs:
+        if not kind:
+            yield doc_id, _signed(code)
+            continue
+        if code != last:
+            last, chain = code, []
+        first = next((i for text, i in chain if text == data), None)
+        if first is None:
+            chain.append((data, doc_id))
+        elif first != doc_id:
+            yield doc_id, _signed(code)
+
+
+def repeating(docs: DataFrame, store: int = STORE, fingerprint=xxhash.xxh64_intdigest) -> DataFrame:
+    """(doc_id, code) of the documents whose text has a smaller id, with its fingerprint.
+
+    Null ids are neither smaller nor larger than others.  Rows that repeat an id and a
+    text come once each at most.  Ids may be of any type that has an order.
+    """
+    spark = docs.sparkSession
+    rows = docs.where("doc_id IS NOT NULL").select("doc_id", plain_text().alias("text")).rdd
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.getNumPartitions())
+    # known ids are dealt by themselves, not with all others of a text
+    sorted_ = rows.mapPartitions(_routes(store, fingerprint)).repartitionAndSortWithinPartitions(tasks, lambda key: key[0] if key[1] else hash((key[0], xxhash.xxh64_intdigest(repr(key[2])))))
+    return spark.createDataFrame(sorted_.mapPartitions(_not_the_smallest), fields(docs, "code long"), verifySchema=False)
 
 
 def masks(
     docs: DataFrame, part: str = "lang", min_words: int = 100, distinct_percent: int = 80, capital_percent: int = 10, store: int = STORE, fingerprint=xxhash.xxh64_intdigest
 ) -> DataFrame:
-    """(doc_id, part, mask, n): the filters failed, bit 0 for A to bit 4 for E, and for how many rows.
+    """(doc_id, part, mask) for every row of ``docs``: the filters failed, bit 0 for A to bit 4 for E.
 
     A: under ``min_words`` words; B: under ``distinct_percent`` of the words are
     different; C: over ``capital_percent`` of the code points are A-Z; D: holds one of
     ``#$%&*|``; E: the same text has a smaller id.  Null text is empty, a null part the
-    empty string.  Null ids are neither smaller nor larger than others, so they never
-    fail E nor make others fail it; rows that repeat an id and a text are counted in n,
-    and fail E only where a smaller id has the text.  Ids may be of any type that has an
-    order.  Other columns don't matter.  An empty table gives no row.
+    empty string.  Null ids never fail E nor make others fail it; rows that repeat an
+    id and a text fail E only where a smaller id has the text.  Other columns don't
+    matter.  An empty table gives no row.
     """
-    spark = docs.sparkSession
-    rows = docs.select("doc_id", F.coalesce(F.col(f"`{part}`").cast("string"), F.lit("")).alias("part"), plain_text().alias("text")).rdd
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.getNumPartitions())
-    routed = rows.mapPartitions(_routes(min_words, distinct_percent, capital_percent, store, fingerprint))
-    sorted_ = routed.repartitionAndSortWithinPartitions(tasks, lambda key: key[0])
-    return spark.createDataFrame(sorted_.mapPartitions(_settle), fields(docs, "part string, mask int, n long"), verifySchema=False)
+
+    def run(batches):
+        for batch in batches:
+            for a, b in slices(batch.column(2)):
+                own = batch.slice(a, b - a)
+                texts = [(text, text.encode()) for text in own.column(2).to_pylist()]
+                bits = [failing(*x, min_words, distinct_percent, capital_percent) for x in texts]
+                codes = [_signed(fingerprint(data)) for _, data in texts]
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(bits, pa.int32()), pa.array(codes, pa.int64())], ["doc_id", "part", "bits", "code"])
+
+    rows = docs.select("doc_id", F.coalesce(F.col(f"`{part}`").cast("string"), F.lit("")).alias("part"), plain_text().alias("text"))
+    found = materialise(rows.mapInArrow(run, fields(docs, "part string, bits int, code long")), "filter-bits")
+    again = repeating(docs, store, fingerprint).distinct().select(F.col("doc_id").alias("of"), F.col("code").alias("same"))
+    named = found.where("doc_id IS NOT NULL").join(again, (F.col("doc_id") == F.col("of")) & (F.col("code") == F.col("same")), "left")
+    mask = F.col("bits").bitwiseOR(F.when(F.col("of").isNull(), 0).otherwise(REPEATED))
+    return named.select("doc_id", "part", mask.alias("mask")).unionByName(found.where("doc_id IS NULL").select("doc_id", "part", F.col("bits").alias("mask")))
 
 
 def _vector() -> np.ndarray:
@@ -161,8 +178,8 @@ def _vector() -> np.ndarray:
 
 
 def _added(vector: np.ndarray, row) -> np.ndarray:
-    mask, n, good, toxic = row
-    vector[:, mask] += (n, n * good, n * toxic)
+    mask, good, toxic = row
+    vector[:, mask] += (1, good, toxic)
     return vector
 
 
@@ -196,7 +213,8 @@ def audit(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     found = materialise(masks(docs, **options), "filter-masks")
     flag = lambda name: F.max(F.coalesce(F.col(name) == 1, F.lit(False)).cast("int")).alias(name)
     marked = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("of")).agg(flag("quality"), flag("toxic"))
-    rows = found.join(marked, F.col("doc_id") == F.col("of"), "left").select("part", "mask", "n", F.coalesce("quality", F.lit(0)), F.coalesce("toxic", F.lit(0)))
+    named = found.where("doc_id IS NOT NULL").join(marked, F.col("doc_id") == F.col("of"), "left").select("part", "mask", F.coalesce("quality", F.lit(0)), F.coalesce("toxic", F.lit(0)))
+    rows = named.union(found.where("doc_id IS NULL").select("part", "mask", F.lit(0), F.lit(0)))
     pairs = rows.rdd.map(lambda x: (x[0], tuple(x)[1:]))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     vectors = pairs.combineByKey(lambda row: _added(_vector(), row), _added, lambda a, b: a + b, tasks)

@@ -70,7 +70,7 @@ def masks(docs, **options):
     out = {}
     for x in filter_audit.masks(docs, **options).collect():
         key = (x.doc_id, x.part, x.mask)
-        out[key] = out.get(key, 0) + x.n
+        out[key] = out.get(key, 0) + 1
     return out
 
 
