@@ -9,11 +9,11 @@ buckets; a shard sends each bucket its cells in one row, and gets one bit for ea
 back: whether the bound reaches the threshold.  So neither a task nor the driver holds
 the sketch, and a phrase that all documents have travels once a shard.
 
-The phrases of a shard that the bounds leave (single words too, which scores need)
-compile into an automaton, each with a space on both sides as its guard, and a scan of
-the shard counts all matches, overlapping ones too.  Sums over shards are exact, since
-a phrase over the threshold is in the automaton of every shard that has it, and
-those under it are dropped then.
+The phrases of a shard that the bounds leave compile into an automaton, each with a
+space on both sides as its guard, and a scan of the shard counts all matches,
+overlapping ones too; single words, which scores need, are counted as they are.  Sums over
+shards are exact, since a phrase over the threshold is in the automaton of every
+shard that has it, and those under it are dropped then.
 """
 
 from __future__ import annotations
@@ -101,9 +101,14 @@ class Phrases:
             self.hashes.append(one[keys] if n == 1 else mix(self.hashes[-1][keys // self.size] * np.uint64(0x9E3779B97F4A7C15) + one[keys % self.size]))
             longer = codes
 
-    def text(self, n: int, i: int) -> str:
-        key = int(self.keys[n - 1][i])
-        return self.words[key] if n == 1 else f"{self.text(n - 1, key // self.size)} {self.words[key % self.size]}"
+    def texts(self, n: int, of: np.ndarray) -> list[str]:
+        """Some of the phrases of n words, by their numbers."""
+        words, parts = pa.array(self.words, pa.large_string()), []
+        for keys in self.keys[n - 1 : 0 : -1]:
+            parts.append(keys[of] % self.size)
+            of = keys[of] // self.size
+        parts.append(self.keys[0][of])
+        return pc.binary_join_element_wise(*(words.take(pa.array(p)) for p in reversed(parts)), pa.scalar(" ", pa.large_string())).to_pylist()
 
 
 class Sketch:
@@ -160,8 +165,8 @@ class Sketch:
 
         return requests.groupBy("bucket").applyInArrow(run, "shard long, bucket long, data binary")
 
-    def left(self, own: Phrases, replies: dict[int, bytes]) -> list[str]:
-        """The phrases of a shard that the bounds leave."""
+    def left(self, own: Phrases, replies: dict[int, bytes]) -> list[np.ndarray]:
+        """The phrases of a shard that the bounds leave, by their numbers: of one word, of two and so on."""
         cells, order, first = self.cells_of(np.concatenate(own.hashes))
         reached = np.zeros(len(cells), bool)
         for bucket, a, b in self.by_bucket(cells):
@@ -170,7 +175,7 @@ class Sketch:
         keep = np.zeros(len(order), bool)
         keep[order] = np.repeat(reached, np.diff(np.append(first, len(order))))
         ends = np.cumsum([0, *map(len, own.hashes)])
-        return [own.text(n, int(i)) for n, (a, b) in enumerate(zip(ends, ends[1:]), 1) for i in np.flatnonzero(keep[a:b])]
+        return [np.flatnonzero(keep[a:b]) for a, b in zip(ends, ends[1:])]
 
 
 def matches(text: str, phrases: list[str]) -> np.ndarray:
@@ -193,8 +198,12 @@ def phrase_counts(table: DataFrame, words: int, most: int, least: int) -> DataFr
         out = []
         for part, text in zip(left.column("part").to_pylist(), left.column("text")):
             replies = dict(zip(right.column("bucket").to_pylist(), right.column("data").to_pylist()))
-            phrases = sketch.left(Phrases(part, text.as_py(), most), replies)
-            out.append(pa.table({"part": pa.array([part] * len(phrases), pa.string()), "phrase": pa.array(phrases, pa.string()), "f": pa.array(matches(text.as_py(), phrases), pa.int64())}))
+            own = Phrases(part, text.as_py(), most)
+            one, *several = sketch.left(own, replies)
+            phrases = [x for n, of in enumerate(several, 2) for x in own.texts(n, of)]
+            counts = np.concatenate([own.counts[0][one], matches(text.as_py(), phrases)])
+            phrases = own.texts(1, one) + phrases
+            out.append(pa.table({"part": pa.array([part] * len(phrases), pa.string()), "phrase": pa.array(phrases, pa.string()), "f": pa.array(counts, pa.int64())}))
         return pa.concat_tables(out) if out else pa.table({"part": pa.array([], pa.string()), "phrase": pa.array([], pa.string()), "f": pa.array([], pa.int64())})
 
     found = table.select("shard", "part", "text").groupBy("shard").cogroup(replies.groupBy("shard")).applyInArrow(scan, "part string, phrase string, f long")

@@ -94,11 +94,13 @@ def test_bounds_are_never_under_the_counts():
     for s, cells, order, first in asked:
         counts = np.add.reduceat(np.concatenate(s.counts)[order], first)
         bound.update(dict(zip(cells.tolist(), counts.tolist())))
+    named = lambda s, left: {t for n, of in enumerate(left, 1) for t in s.texts(n, of)}
     total = Counter()
     for s in shards:
-        total.update({s.text(n, i): int(c) for n in (1, 2, 3) for i, c in enumerate(s.counts[n - 1])})
+        for n in (1, 2, 3):
+            total.update(dict(zip(s.texts(n, np.arange(len(s.keys[n - 1]))), s.counts[n - 1].tolist())))
     for s, cells, _, _ in asked:
         replies = {b: np.packbits([bound[c] >= 10 for c in cells[x:y].tolist()]).tobytes() for b, x, y in sketch.by_bucket(cells)}
-        left = set(sketch.left(s, replies))
-        assert {s.text(n, i) for n in (1, 2, 3) for i in range(len(s.keys[n - 1])) if total[s.text(n, i)] >= 10} <= left
+        every = named(s, [np.arange(len(k)) for k in s.keys])
+        assert {t for t in every if total[t] >= 10} <= named(s, sketch.left(s, replies))
     assert unpack(collocations.pack([np.array([1, 2], "<u4"), np.array([3, 4], "<u1")]), ["<u4", "<u1"])[1].tolist() == [3, 4]
