@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import FIX, bound, char_class, code_point, hits, matches, no_hits, quote, sentences, starting, strip_urls, wider
+from . import terms
 
 # Character classes, marks, phrases and messages that results must have.
 KANJI = "[\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}]"
@@ -253,7 +254,7 @@ def _expand(template: str, match) -> str:
     return re.sub(r"\$\$|\$\{([0-9]+)\}|\$([0-9]+)", one, template)
 
 
-def _regex_terms(text: Column, terms: list[tuple[str, str]]) -> Column:
+def _regex_terms(text: Column, given: list[tuple[str, str]]) -> Column:
     """Hits of (pattern, template) pairs; templates with groups are beyond Spark's replacement, so Arrow batches go to Python."""
     schema = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("message", T.StringType()), T.StructField("fixes", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("replacement", T.StringType())])))]))
     saying = MESSAGES["term"]
@@ -262,15 +263,17 @@ def _regex_terms(text: Column, terms: list[tuple[str, str]]) -> Column:
     def search(texts: pd.Series) -> pd.Series:
         import re
 
-        compiled = [(re.compile(p), t) for p, t in terms]
+        compiled = [(re.compile(p, re.ASCII), t) for p, t in given]
 
         def one(s):
             out = []
             for pattern, template in compiled:
+                last = b = 0  # the end of the last match, in characters and in bytes
                 for m in pattern.finditer(s or ""):
+                    a = b + len(s[last : m.start()].encode())
+                    last, b = m.end(), a + len(m[0].encode())
                     new = _expand(template, m)
                     if m[0] and new != m[0]:
-                        a, b = len(s[: m.start()].encode()), len(s[: m.end()].encode())
                         out.append({"start": a, "end": b, "message": saying % (m[0], new), "fixes": [{"start": a, "end": b, "replacement": new}]})
             return out
 
@@ -296,24 +299,36 @@ def compiled_terms(options: dict) -> tuple[list[tuple[str, str]], list[tuple[str
                 continue
             flags = ("i" if flag(item, "ignoreCase", False) else "") + ("m" if flag(item, "multiline", False) else "")
             try:
-                re.compile(pattern := f"(?{flags}){source}" if flags else source)
+                re.compile(pattern := f"(?{flags}){source}" if flags else source, re.ASCII)
             except re.error:
                 continue
             regex.append((pattern, expected))
     return literal, regex
 
 
+#: So many literal terms are searched one by one as expressions; more go through an automaton (``terms_beside``).
+FEW = 4
+
+
 def ja_prh(text: Column, options: dict) -> Column:
     """Terms to be spelled one way; the only rule with fixes."""
 
     def one(pattern: str, expected: str) -> Column:
         found = matches(text, quote(pattern))
         if expected.startswith(pattern):
-            ahead = lambda m: F.decode(F.substring(F.encode(text, "UTF-8"), m["start"] + 1, F.lit(len(expected.encode()))), "UTF-8")
-            found = F.filter(found, lambda m: ahead(m) != expected)
+            wanted = F.lit(expected.encode())
+            found = bound(F.struct(F.encode(text, "UTF-8").alias("raw"), found.alias("found")), lambda both: F.filter(both["found"], lambda m: F.substring(both["raw"], m["start"] + 1, F.octet_length(wanted)) != wanted))
         return F.transform(found, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), say("term", pattern, expected).alias("message"), F.array(F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(expected).alias("replacement"))).cast(f"array<{FIX}>").alias("fixes")))
 
-    return F.concat(no_hits(), *(one(*term) for term in compiled_terms(options)[0]))
+    given = compiled_terms(options)[0]
+    return F.concat(no_hits(), *(one(*term) for term in (given if len(given) <= FEW else [])))
+
+
+def terms_beside(text: Column, options: dict) -> list[Column]:
+    """Hits of terms that need Python: many literal ones, by an automaton, and regex terms."""
+    literal, regex = compiled_terms(options)
+    many = [terms.hits(text, literal, lambda pattern, expected: MESSAGES["term"] % (pattern, expected))] if len(literal) > FEW else []
+    return many + ([_regex_terms(text, regex)] if regex else [])
 
 
 # Document rules: whether a slice can have a hit at all, candidates of a node, and the decision over the document's candidates.

@@ -99,12 +99,12 @@ def _lint_sets(slices: DataFrame, sets: list[tuple[Column | None, list[Active]]]
 
 
 def _beside(slices: DataFrame, by_scope: dict[str, list[Active]], tokens: DataFrame | None, some: bool) -> list[DataFrame]:
-    """What is not one expression over a slice: terms given as regex, and rules on tokens (of ``some`` of the slices)."""
+    """What is not one expression over a slice: terms that are many or given as regex, and rules on tokens (of ``some`` of the slices)."""
     out = []
     for rule in by_scope[TEXT]:
-        if rule.id == "ja-prh" and (terms := surface.compiled_terms(rule.options)[1]):
+        for find in surface.terms_beside(F.col("node.text"), rule.options) if rule.id == "ja-prh" else []:
             node = slices.select("doc_id", "slice_id", F.col("start").alias("base"), F.explode(node_texts([KIND["text"]])).alias("node"))
-            hit = node.select("doc_id", "slice_id", "base", F.col("node.start").alias("at"), surface._regex_terms(F.col("node.text"), terms).alias("hit"))
+            hit = node.select("doc_id", "slice_id", "base", F.col("node.start").alias("at"), find.alias("hit"))
             out.append(hit.select("doc_id", "slice_id", "base", F.inline(_tagged(F.col("hit"), rule, F.col("at")))))
     if tokens is not None and by_scope[TOKENS]:
         if some:

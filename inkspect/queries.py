@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import located, pieces, sentences, strip_urls
-from .operators import surface
+from .operators import surface, terms
 from .operators.fixes import apply_fixes
 from .plans import cache, render
 from .plans.config import Config, Setting, active, from_dict
@@ -221,6 +221,29 @@ def _token_query(rule_id: str):
 # Engine operators.
 
 
+def _dictionary(spark, sf_dir):
+    """Terms: the words of the benchmark passages and of part names, to be written in capitals."""
+    words = lambda table, c: documents(spark, f"{sf_dir}/{table}.parquet").select(F.explode(F.regexp_extract_all(F.col(c), F.lit("[a-z]{3,}"), F.lit(0))).alias("pattern"))
+    return words("benchmark", "text").union(words("part", "p_name")).distinct().select("pattern", F.upper("pattern").alias("expected"))
+
+
+def _found_terms(find):
+    def query(spark, sf_dir):
+        out = find(PLAIN.docs(spark, sf_dir), _dictionary(spark, sf_dir), ["doc_id"])
+        return out.select("doc_id", F.col("start").alias("span_start"), F.col("end").alias("span_end"), "pattern", "expected")
+
+    return query
+
+
+TERMS_SQL = """WITH w AS (SELECT unnest(regexp_extract_all(text, '[a-z]{3,}')) AS pattern FROM benchmark UNION ALL SELECT unnest(regexp_extract_all(p_name, '[a-z]{3,}')) FROM part),
+t AS (SELECT DISTINCT pattern FROM w),
+d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+m AS (SELECT doc_id, pattern, string_split(text, pattern) AS gaps FROM t JOIN d ON contains(text, pattern)),
+g AS (SELECT doc_id, pattern, unnest(gaps) AS gap, generate_subscripts(gaps, 1) AS i, len(gaps) AS n FROM m),
+p AS (SELECT doc_id, pattern, i, n, sum(strlen(gap)) OVER (PARTITION BY doc_id, pattern ORDER BY i) + (i - 1) * strlen(pattern) AS span_start FROM g)
+SELECT doc_id, span_start::INT AS span_start, (span_start + strlen(pattern))::INT AS span_end, pattern, upper(pattern) AS expected FROM p WHERE i < n"""
+
+
 def position_map(spark, sf_dir):
     docs = RULE_TEXT["no-hankaku-kana"].docs(spark, sf_dir)
     hit = docs.select("doc_id", F.inline(located(F.col("text"), "ｱ+")))
@@ -488,6 +511,7 @@ def queries():
     own = {_name(rule): _rule_query(rule, text) for rule, text in RULE_TEXT.items()}
     own |= {_name(rule): _token_query(rule) for rule in _token_sql()}
     return own | {
+        "term_dictionary": _found_terms(terms.find), "term_dictionary_joined": _found_terms(terms.find_by_join),
         "position_map": position_map, "plain_regions": plain_regions, "whitespace_tokens": whitespace_tokens, "sentence_split": sentence_split, "url_strip": url_strip,
         "apply_fixes": apply_fixes_query, "fix_fixpoint": fix_fixpoint, "cache_key": cache_keys, "cache_hit_miss": cache_hit_miss, "lint_union": lint_union,
         "severity_summary": severity_summary, "text_report": text_report, "json_report": json_report, "sarif_report": sarif_report, "compact_report": compact_report,
@@ -499,7 +523,7 @@ def oracle_sql():
     own = {_name(rule): sql for rule, sql in (_rule_sql() | _token_sql()).items()}
     mixed = _mixed_sql()
     return own | {
-        "position_map": POSITION_SQL, "plain_regions": PLAIN_SQL, "whitespace_tokens": WHITESPACE_SQL, "sentence_split": SENTENCE_SQL, "url_strip": URL_SQL,
+        "term_dictionary": TERMS_SQL, "term_dictionary_joined": TERMS_SQL, "position_map": POSITION_SQL, "plain_regions": PLAIN_SQL, "whitespace_tokens": WHITESPACE_SQL, "sentence_split": SENTENCE_SQL, "url_strip": URL_SQL,
         "apply_fixes": FIX_SQL, "cache_key": CACHE_SQL, "cache_hit_miss": CACHE_SPLIT_SQL, "lint_union": mixed,
         "severity_summary": f"SELECT severity, rule_id, count(*) AS n, count(DISTINCT doc_id) AS documents FROM ({mixed}) GROUP BY ALL",
         "text_report": _text_report_sql(), "compact_report": _compact_sql(),
