@@ -17,16 +17,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators.fixes import fix as fixpoint
-from .operators.registry import RULES, TOKENS
+from .operators.incremental import fix_incremental
+from .operators.registry import RULES, TEXT, TOKENS
 from .plans import cache as results
 from .plans import linter, render
-from .plans.config import Config, active
+from .plans.config import Active, Config, active
 from .plans.store import table
-from .sources import files
+from .sources import files, writer
 from .sources.delimited import delimited_slices
 from .sources.markdown import markdown_slices
 from .sources.plain import plain_slices
-from .sources.tokenizers import tokens_for
+from .sources.tokenizers import fingerprint, tokens_for
 
 Processor = Callable[[DataFrame, Config], tuple[DataFrame, "DataFrame | None"]]
 
@@ -69,10 +70,15 @@ def notes(config: Config, names: Iterable[str]) -> list[str]:
     return linter.notes(config) + [f"{name}: no column is configured, so nothing is checked" for name in names if name in ("csv", "tsv") and name not in config.formats]
 
 
+def _rules(name: str, config: Config) -> list[Active]:
+    """All rules that run on files of a processor, those of its columns too."""
+    columns = config.formats[name].columns if name in config.formats else ()
+    return active(config.rules, config.lang()) + [r for c in columns for r in active(linter.overlay(config.rules, c.rules), config.lang())]
+
+
 def _checked(docs: DataFrame, name: str, config: Config) -> tuple[DataFrame, DataFrame | None]:
     slices, errors = PROCESSORS[name](docs, config)
-    rules = active(config.rules, config.lang())
-    rules += [r for c in (config.formats[name].columns if name in config.formats else ()) for r in active(linter.overlay(config.rules, c.rules), config.lang())]
+    rules = _rules(name, config)
     needed = any(RULES[r.id].scope == TOKENS for r in rules)
     return linter.lint(slices, config, name if name in config.formats else None, tokens_for(slices, config.lang()) if needed else None), errors
 
@@ -94,14 +100,13 @@ def lint_documents(docs: DataFrame, config: Config, names: Iterable[str], store:
     for name in names:
         own = docs.where(F.col("processor") == name)
 
-        def find(rows: DataFrame, name=name) -> DataFrame:
-            return _checked(rows, name, config)[0]
-
         if store is None:
-            found.append(find(own))
+            diagnostics, errors = _checked(own, name, config)
+            found.append(diagnostics)
         else:
-            found.append(store.lint(own, results.settings_digest(active(config.rules, config.lang()), f"{name} {config.formats.get(name)}"), find))
-        errors = PROCESSORS[name](own, config)[1]
+            settings = results.settings_digest(_rules(name, config), f"{name} {config.formats.get(name)}", fingerprint(config.lang()))
+            found.append(store.lint(own, settings, lambda rows, name=name: _checked(rows, name, config)[0]))
+            errors = PROCESSORS[name](own, config)[1]
         if errors is not None:
             bad.append(errors.join(own.select(F.col("doc_id").alias("d"), "path"), F.col("doc_id").eqNullSafe(F.col("d"))).select("path", "error"))
     empty = linter.lint(plain_slices(docs.where(F.lit(False))), config)
@@ -142,24 +147,45 @@ def report(result: Result, kind: str) -> DataFrame:
     raise ValueError(f"unknown report {kind!r}")
 
 
+def _fixing(name: str, config: Config) -> list[Active] | None:
+    """The active rules that may have fixes, if they look at text nodes alone and are the same all over a document."""
+    rules = [r for r in active(config.rules, config.lang()) if RULES[r.id].fixes]
+    return None if name in config.formats or any(RULES[r.id].scope != TEXT for r in rules) else rules
+
+
 def fixed_documents(docs: DataFrame, config: Config, names: Iterable[str]) -> DataFrame:
-    """(doc_id, path, text, passes, changed) of all documents, fixed until nothing changes."""
+    """(doc_id, path, text, passes, changed) of all documents, fixed until nothing changes.
+
+    Rules on text nodes run node by node, so that a pass lints only what the last one has touched.
+    """
     out = docs.select("doc_id", "path", "text", F.lit(0).alias("passes"), F.lit(False).alias("changed")).where(F.lit(False))
     for name in names:
         own = docs.where(F.col("processor") == name)
-        after = fixpoint(own, lambda rows, name=name: _checked(rows, name, config)[0], table).withColumnRenamed("doc_id", "d").withColumnRenamed("text", "after")
+        rules = _fixing(name, config)
+        if rules is None:
+            after = fixpoint(own, lambda rows, name=name: _checked(rows, name, config)[0], table)
+        else:
+            after = fix_incremental(own, lambda rows, name=name: PROCESSORS[name](rows, config)[0], rules, table)
+        after = after.withColumnRenamed("doc_id", "d").withColumnRenamed("text", "after")
         rows = own.join(after, F.col("doc_id").eqNullSafe(F.col("d")))
         out = out.unionByName(rows.select("doc_id", "path", F.col("after").alias("text"), "passes", (F.col("after") != F.col("text")).alias("changed")))
     return out
 
 
 def fix(spark: SparkSession, arguments: Iterable[str], config: Config | None = None, dry_run: bool = False) -> DataFrame:
-    """(path, passes) of the files that fixes change; unless ``dry_run`` each is replaced by its fixed text, whole or not at all."""
+    """(path, passes) of the files that fixes change; unless ``dry_run`` each is replaced by its fixed text, whole or not at all.
+
+    Executors write the new files beside the old ones, and only when all are there they take
+    their place; a run that fails before leaves nothing.  Files of other file systems than
+    the mounted ones are replaced one by one, each in one step.
+    """
     config = config or Config()
     docs, _, names, _ = read(spark, arguments, config)
     changed = table(fixed_documents(docs, config, names).where("changed").select("path", "passes", "text"), "fixed")
     if not dry_run:
-        for row in changed.toLocalIterator():  # a partition at a time; files are at most 16 MiB each
+        mounted = F.col("path").rlike("^(file:)?/")
+        writer.write_files(changed.where(mounted))
+        for row in changed.where(~mounted).toLocalIterator():  # a partition at a time; files are at most 16 MiB each
             files.replace(spark, row.path, row.text)
     return changed.select("path", "passes")
 

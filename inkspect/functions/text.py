@@ -124,11 +124,6 @@ def no_hits() -> Column:
     return F.array().cast(f"array<{HIT}>")
 
 
-def byte_slice(text: Column, start: Column, end: Column) -> Column:
-    """The text between two byte offsets."""
-    return F.decode(F.substring(F.encode(text, "UTF-8"), start + 1, end - start), "UTF-8")
-
-
 def code_point(char: Column) -> Column:
     """U+0041 and so on, with four digits at least."""
     digits = F.hex(F.ascii(char))

@@ -17,6 +17,7 @@ class Rule:
 
     text and block: run(text, options) gives hits of a node; document: a test of
     the slice, candidates and decision; tokens: run(work, rule) adds to the windows.
+    Fixing runs only the rules that may have fixes.
     """
 
     id: str
@@ -25,6 +26,7 @@ class Rule:
     run: Any
     summary: str
     severity: str = "warning"
+    fixes: bool = True
 
 
 def _rules() -> dict[str, Rule]:
@@ -57,7 +59,7 @@ def _rules() -> dict[str, Rule]:
         ("no-doubled-conjunction", TOKENS, True, t.no_doubled_conjunction, "sentences that begin alike"),
         ("ja-no-successive-word", TOKENS, True, t.ja_no_successive_word, "a word twice in a row"),
     ]
-    return {r[0]: Rule(*r) for r in rows}
+    return {r[0]: Rule(*r, fixes=r[0] == "ja-prh") for r in rows}
 
 
 RULES = _rules()

@@ -13,7 +13,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import FIX, bound, byte_slice
+from ..functions.text import FIX, bound
 from ..operators import surface
 from ..operators.registry import BLOCK, DOCUMENT, RULES, TEXT, TOKENS
 from ..operators.tokens import token_hits
@@ -36,11 +36,13 @@ def _tagged(found: Column, rule: Active, by: Column | None = None) -> Column:
 
 
 def node_texts(kinds: Iterable[int]) -> Column:
-    """array<struct<start,text>> of a slice's nodes of these kinds; a node over the whole slice takes its text as it is."""
+    """array<struct<start,text>> of a slice's nodes of these kinds; a node over the whole slice takes its text as it is, others are cut from bytes that are made once."""
     text = F.col("text")
     own = F.filter(F.col("nodes"), lambda n: n["kind"].isin(list(kinds)))
-    whole = lambda n: (n["start"] == 0) & (n["end"] == F.octet_length(text))
-    return F.transform(own, lambda n: F.struct(n["start"].alias("start"), F.when(whole(n), text).otherwise(byte_slice(text, n["start"], n["end"])).alias("text")))
+    part = lambda n, text: F.struct(n["start"].alias("start"), text.alias("text"))
+    cut = lambda raw: F.transform(own, lambda n: part(n, F.decode(F.substring(raw, n["start"] + 1, n["end"] - n["start"]), "UTF-8")))
+    whole = F.forall(own, lambda n: (n["start"] == 0) & (n["end"] == F.octet_length(text)))
+    return F.when(whole, F.transform(own, lambda n: part(n, text))).otherwise(bound(F.encode(text, "UTF-8"), cut))
 
 
 def _of_nodes(kinds: Iterable[int], rules: list[Active]) -> Column:

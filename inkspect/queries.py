@@ -15,7 +15,7 @@ from .operators.fixes import apply_fixes
 from .plans import cache, render
 from .plans.config import Config, Setting, active, from_dict
 from .plans.linter import lint, lint_slices, rule_table
-from .sources.plain import plain_slices
+from .sources.plain import line_slices, plain_slices
 from .sources.tables import documents
 
 
@@ -314,6 +314,15 @@ def fix_fixpoint(spark, sf_dir):
     return out.select("doc_id", F.sha2("text", 256).alias("fixed_sha256"), "passes")
 
 
+def fix_incremental_query(spark, sf_dir):
+    from .operators.incremental import fix_incremental
+    from .plans.store import table
+
+    rules = [r for r in active({"ja-prh": Setting(options={"terms": [{"expected": "aer", "pattern": "er"}, {"expected": "en", "pattern": "aae"}]})}, "ja") if r.id == "ja-prh"]
+    out = fix_incremental(PLAIN.docs(spark, sf_dir), line_slices, rules, table)
+    return out.select("doc_id", F.sha2("text", 256).alias("fixed_sha256"), "passes")
+
+
 #: Of the two terms only "aae" and "er" in "aaer" can meet, and the one that begins first counts; a pass that changes nothing is the last.
 FIXPOINT_SQL = """WITH RECURSIVE r AS (
   SELECT doc_id, coalesce(text, '') AS before, replace(replace(replace(coalesce(text, ''), 'aae', chr(1)), 'er', 'aer'), chr(1), 'en') AS text, 1 AS passes FROM documents
@@ -513,7 +522,7 @@ def queries():
     return own | {
         "term_dictionary": _found_terms(terms.find), "term_dictionary_joined": _found_terms(terms.find_by_join),
         "position_map": position_map, "plain_regions": plain_regions, "whitespace_tokens": whitespace_tokens, "sentence_split": sentence_split, "url_strip": url_strip,
-        "apply_fixes": apply_fixes_query, "fix_fixpoint": fix_fixpoint, "cache_key": cache_keys, "cache_hit_miss": cache_hit_miss, "lint_union": lint_union,
+        "apply_fixes": apply_fixes_query, "fix_fixpoint": fix_fixpoint, "fix_incremental": fix_incremental_query, "cache_key": cache_keys, "cache_hit_miss": cache_hit_miss, "lint_union": lint_union,
         "severity_summary": severity_summary, "text_report": text_report, "json_report": json_report, "sarif_report": sarif_report, "compact_report": compact_report,
         "language_scope": language_scope, "rules_overlay": rules_overlay, "delimited_cells": delimited_cells, "delimited_lint": delimited_lint, "markdown_nodes": markdown_nodes, "markdown_structure": markdown_structure,
     }
@@ -528,6 +537,6 @@ def oracle_sql():
         "severity_summary": f"SELECT severity, rule_id, count(*) AS n, count(DISTINCT doc_id) AS documents FROM ({mixed}) GROUP BY ALL",
         "text_report": _text_report_sql(), "compact_report": _compact_sql(),
         "language_scope": "SELECT * FROM (VALUES ('ja', 26::BIGINT), ('en', 7::BIGINT), ('none', 7::BIGINT)) t(lang, rules)",
-        "rules_overlay": OVERLAY_SQL, "json_report": _json_report_sql(), "sarif_report": _sarif_report_sql(), "fix_fixpoint": FIXPOINT_SQL, "markdown_structure": STRUCTURE_SQL,
+        "rules_overlay": OVERLAY_SQL, "json_report": _json_report_sql(), "sarif_report": _sarif_report_sql(), "fix_fixpoint": FIXPOINT_SQL, "fix_incremental": FIXPOINT_SQL, "markdown_structure": STRUCTURE_SQL,
         "delimited_cells": DELIMITED_SQL, "delimited_lint": _delimited_lint_sql(),
     }

@@ -89,19 +89,20 @@ def read_text(spark: SparkSession, text: str, label: str = "<stdin>") -> DataFra
 
 
 def replace(spark: SparkSession, path: str, text: str) -> None:
-    """Write ``text`` beside a file and move it there, on the file system that serves it."""
+    """Write ``text`` beside a file and move it over the old one in one step, on the file system that serves it."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs, beside = target.getFileSystem(conf), jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{target.getName()}.new")
-    out = fs.create(beside, True)
+    hadoop = jvm.org.apache.hadoop.fs
+    target = hadoop.Path(path)
+    fs, beside = target.getFileSystem(conf), hadoop.Path(target.getParent(), f".{target.getName()}.new")
     try:
-        out.write(bytearray(text.encode()))
-    finally:
-        out.close()
-    local = fs.getScheme() == "file"
-    if local:
-        os.replace(beside.toUri().getPath(), target.toUri().getPath())
-        fs.delete(jvm.org.apache.hadoop.fs.Path(target.getParent(), f"..{target.getName()}.new.crc"), False)
-    else:
-        fs.delete(target, False)
-        fs.rename(beside, target)
+        out = fs.create(beside, True)
+        try:
+            out.write(bytearray(text.encode()))
+        finally:
+            out.close()
+        over = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+        over[0] = hadoop.Options.Rename.OVERWRITE
+        hadoop.FileContext.getFileContext(fs.getUri(), conf).rename(fs.makeQualified(beside), fs.makeQualified(target), over)
+    except Exception:
+        fs.delete(beside, False)
+        raise

@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import hashlib
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -130,22 +131,33 @@ def lattice_tokens(slices: DataFrame, dictionary: Dictionary) -> DataFrame:
     return blocks(slices).mapInArrow(run, TOKENS)
 
 
-#: By language: slices -> tokens.  The last one registered for a language counts.
+#: By language: slices -> tokens, and what tells one provider's tokens from another's.  The last one registered for a language counts.
 PROVIDERS: dict[str, Callable[[DataFrame], DataFrame]] = {}
+FINGERPRINTS: dict[str, str] = {}
 
 
-def register_provider(language: str, analyse: Callable[[DataFrame], DataFrame]) -> None:
-    """Tokens of slices in this language come from ``analyse``; see TOKENS for their columns."""
+def register_provider(language: str, analyse: Callable[[DataFrame], DataFrame], version: str | None = None) -> None:
+    """Tokens of slices in this language come from ``analyse``; see TOKENS for their columns.
+
+    Kept results count for a provider of the same ``version``; one without is like no other, so
+    that what an earlier one or an earlier process has left is not taken for its own.
+    """
     PROVIDERS[language] = analyse
+    FINGERPRINTS[language] = version or uuid.uuid4().hex
 
 
 def register_dictionary(folder: str, pin: str | None = None, language: str = "ja") -> Dictionary:
     """Tokens in this language come from the lattice over a dictionary."""
     own = load_dictionary(folder, pin)
-    register_provider(language, lambda slices: lattice_tokens(slices, own))
+    register_provider(language, lambda slices: lattice_tokens(slices, own), own.fingerprint)
     return own
 
 
+def fingerprint(language: str | None) -> str | None:
+    """What kept results of token rules depend on besides text and settings."""
+    return FINGERPRINTS.get(language)
+
+
 def tokens_for(slices: DataFrame, *languages: str | None) -> DataFrame | None:
     """Tokens of the providers that these languages have, one table; None where there is no provider."""
     out = None
