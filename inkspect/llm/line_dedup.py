@@ -81,10 +81,16 @@ class LineRuns:
         return out
 
 
-#: Lines of a batch; there are three batches at least, so that runs of two levels take part at every size.
-BATCH = 100_000_000
-#: Lines of a batch in a bucket.
-BUCKET = 500_000
+#: Lines of a batch and of a bucket, while there are few.
+BATCH, BUCKET = 100_000_000, 500_000
+#: Batches come one after another, so they are few; buckets grow with the lines then, up to what a table can have.
+MOST_BATCHES, LARGE_BUCKET, MANY, MOST = 12, 4_000_000, 512, 100_000
+
+
+def layout(lines: int, batches: int | None = None) -> tuple[int, int]:
+    """(batches, buckets of a run); there are three batches at least, so that runs of two levels take part at every size."""
+    batches = batches or min(MOST_BATCHES, max(3, -(-lines // BATCH)))
+    return batches, min(MOST, max(1, -(-lines // LARGE_BUCKET), min(MANY, -(-lines // (3 * BUCKET)))))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int | None = None, fan_out: int = 2) -> DataFrame:
@@ -106,16 +112,18 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
         .select("doc_id", "row_key", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"))
     )
     lines = materialise(lines, "lines")
-    there = lines.count()
-    batches = batches or max(3, -(-there // BATCH))
+    batches, parts = layout(lines.count(), batches)
     cuts = docs.select(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000)).first()[0] or []
 
-    runs, above = LineRuns(docs.sparkSession, min_docs, max(1, -(-there // (batches * BUCKET))), fan_out), F.lit(True)
-    for cut in sorted(set(cuts), reverse=True):
-        runs.add(lines.where(above & (F.col("doc_id") > cut)))
-        above = F.col("doc_id") <= cut
-    runs.add(lines.where(above | F.col("doc_id").isNull()))
-    repeated = runs.repeated()
+    runs, above = LineRuns(docs.sparkSession, min_docs, parts, fan_out), F.lit(True)
+    try:
+        for cut in sorted(set(cuts), reverse=True):
+            runs.add(lines.where(above & (F.col("doc_id") > cut)))
+            above = F.col("doc_id") <= cut
+        runs.add(lines.where(above | F.col("doc_id").isNull()))
+        repeated = runs.repeated()
+    finally:
+        discard(*(r for level in runs.levels for r in level))  # none, but after a failure
 
     dropped = (
         lines.join(repeated.hint("merge"), HASH)

@@ -470,3 +470,10 @@ def test_media(docs, empty):
     assert media.read_pixels(broken).first().argb is None
     long = bytes(range(256)) * 13_000
     assert np.concatenate(media.frames(media.store(long))).tobytes()[: len(long)] == long
+
+
+def test_line_runs_grow_with_the_lines():
+    assert line_dedup.layout(0) == (3, 1) and line_dedup.layout(2_500_000) == (3, 2)
+    assert line_dedup.layout(300_000_000) == (3, 200) and line_dedup.layout(3_000_000_000) == (12, 750)
+    batches, parts = line_dedup.layout(300_000_000_000)
+    assert batches == 12 and parts == 75_000 and 300_000_000_000 / parts <= 4_000_000
