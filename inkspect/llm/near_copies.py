@@ -224,15 +224,18 @@ def _rest(compared: DataFrame, roots: DataFrame, like: Likeness) -> tuple[DataFr
     rows = rooted(rooted(compared, "u", "top"), "v", "root").withColumn("outside", F.expr("root <> top"))
     members = rows.join(rows.where("outside").select("u").distinct(), "u", "left_semi").withColumn("d", F.size("diff"))
     members = materialise(members.select("u", "v", "n", "root", "outside", "d", "diff", F.expr(like.score("d", "n")).alias("s")), "near-members")
-    # differences in the order of how many sets of the leader have them
-    own = members.select("u", "v", F.explode("diff").alias("e"))
+    # differences in the order of how many sets of the leader have them; those that a set has alone are differences from every other set
+    own = members.select("u", "v", "n", F.explode("diff").alias("e"))
     held = own.groupBy("u", "e").agg(F.count(F.lit(1)).alias("held"))
-    ranked = own.join(held, ["u", "e"]).withColumn("rank", F.row_number().over(Window.partitionBy("u", "v").orderBy("held", "e")) - 1).where("held > 1")
+    of = Window.partitionBy("u", "v")
+    placed = own.join(held, ["u", "e"]).withColumn("rank", F.row_number().over(of.orderBy("held", "e")) - 1).withColumn("alone", F.sum((F.col("held") == 1).cast("int")).over(of))
+    ranked = placed.where(f"held > 1 AND {like.p}L * alone <= {like.q - like.p}L * n").select("u", "v", "e", "rank")
     # a pair has (s + s') / 2 (p + q) of them in common or more; with c of d it must meet in the first d - c + 1
     least = members.groupBy("u").agg(F.min("s").alias("least_s"), F.min(F.when(F.col("outside"), F.col("s"))).alias("least_o"))
     common = lambda a, b: f"ceil(({a} + {b}) / {2 * (like.p + like.q)})"
     known = members.drop("diff").join(least, "u")
-    entries = materialise(ranked.join(known, ["u", "v"]).where(f"rank <= d - {common('s', 'if(outside, least_s, least_o)')}").drop("held", "least_s", "least_o"), "near-entries")
+    partner = f"greatest(if(outside, least_s, least_o), -{(like.q - like.p) * like.q}L * n / {like.p})"  # a partner isn't too large either
+    entries = materialise(ranked.join(known, ["u", "v"]).where(f"rank <= d - {common('s', partner)}").drop("least_s", "least_o"), "near-entries")
     one = entries.where("outside").select("u", "e", *(F.col(c).alias(f"{c}_o") for c in ("v", "n", "root", "rank", "d", "s")))
     fit = f"root <> root_o AND (NOT outside OR v < v_o) AND rank <= d - {common('s', 's_o')} AND rank_o <= d_o - {common('s', 's_o')}"
     fit += f" AND {like.q}L * n >= {like.p}L * n_o AND {like.q}L * n_o >= {like.p}L * n"
