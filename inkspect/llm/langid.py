@@ -10,11 +10,12 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, forget, ids_and_text, slices
@@ -22,6 +23,7 @@ from .common import documents, forget, ids_and_text, slices
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")  # letters, and numerals such as ½ that words() takes out
 LONGEST = 4
+UNIT = 1 << 32
 MEMO_SCORES = 240_000  # of words or grams, by the number of languages
 
 
@@ -35,8 +37,32 @@ def words(text: str) -> Counter:
     return found
 
 
+class Table:
+    """Log frequencies of strings in ten-thousandths: 64-bit hashes in order stand for the strings, with a row of each, a language a column."""
+
+    def __init__(self, keys: np.ndarray, logs: np.ndarray):
+        self.keys, self.logs = keys, logs
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def find(self, strings: list[str]) -> np.ndarray:
+        """The row of each string, -1 where there is none."""
+        wanted = np.fromiter((xxhash.xxh64_intdigest(s) for s in strings), np.uint64, len(strings))
+        if not len(self.keys):
+            return np.full(len(strings), -1)
+        at = np.searchsorted(self.keys, wanted)
+        at[at == len(self.keys)] = 0
+        return np.where(self.keys[at] == wanted, at, -1)
+
+    def rows(self, at: np.ndarray) -> list[tuple]:
+        return [tuple(x) for x in (self.logs[at] / 1e4).tolist()]
+
+
 class Model:
-    def __init__(self, langs: list[str], words: dict[str, tuple], grams: list[dict[str, tuple]]):
+    """Languages, with one table of their words and one of the n-grams of all lengths."""
+
+    def __init__(self, langs: list[str], words: Table, grams: Table):
         self.langs, self.words, self.grams = langs, words, grams
         self.most = MEMO_SCORES // max(4, len(langs))
         self.memo: dict[str, tuple] = {}
@@ -46,23 +72,24 @@ class Model:
         """The same tables with memos of their own, which go with the task."""
         return Model(self.langs, self.words, self.grams)
 
-    def _gram(self, gram: str) -> tuple:
-        """Log probabilities of a gram; of one unseen, the mean of those of its two parts one shorter."""
-        found = self.grams[len(gram) - 1].get(gram) or self.pieces.get(gram)
-        if found is None:
-            if len(self.pieces) > self.most:
-                self.pieces.clear()
-            parts = zip(self._gram(gram[:-1]), self._gram(gram[1:])) if len(gram) > 1 else [(0.0, 0.0)] * len(self.langs)
-            found = self.pieces[gram] = tuple((a + b) / 2 for a, b in parts)
-        return found
-
-    def word(self, word: str) -> tuple:
-        found = self.words.get(word)
-        if found is not None:
-            return found
+    def _grams(self, grams: list[str]) -> list[tuple]:
+        """Log probabilities of each gram; of one unseen, the mean of those of its two parts one shorter."""
+        new = [g for g in dict.fromkeys(grams) if g not in self.pieces]
+        if new:
+            at = self.grams.find(new)
+            for gram, i, row in zip(new, at.tolist(), self.grams.rows(at) if len(self.grams) else new):
+                if i < 0:
+                    parts = zip(*self._grams([gram[:-1], gram[1:]])) if len(gram) > 1 else [(0.0, 0.0)] * len(self.langs)
+                    row = tuple((a + b) / 2 for a, b in parts)
+                self.pieces[gram] = row
+        return [self.pieces[g] for g in grams]
+
+    def _unseen(self, word: str) -> tuple:
+        if len(self.pieces) > self.most:
+            self.pieces.clear()
         marked = f"_{word}_"
         size = min(LONGEST, len(marked))
-        scores = [self._gram(marked[i : i + size]) for i in range(len(marked) - size + 1)]
+        scores = self._grams([marked[i : i + size] for i in range(len(marked) - size + 1)])
         return tuple(sum(x) / len(scores) for x in zip(*scores))
 
     def predict(self, text: str) -> tuple[str, float]:
@@ -70,33 +97,70 @@ class Model:
         counts = words(text)
         if not counts or not self.langs:
             return UNKNOWN, 0.0
-        total, memo = np.zeros(len(self.langs)), self.memo
+        memo = self.memo
         if len(memo) > self.most:
             memo.clear()
-        rows = []
-        for w in counts:
-            row = memo.get(w)
-            if row is None:
-                row = self.word(w)
+        rows = {w: memo[w] for w in counts if w in memo}
+        if new := [w for w in counts if w not in rows]:
+            at = self.words.find(new)
+            for w, i, row in zip(new, at.tolist(), self.words.rows(at)):
+                rows[w] = row if i >= 0 else self._unseen(w)
                 if len(w) <= 48:
-                    memo[w] = row
-            rows.append(row)
+                    memo[w] = rows[w]
         n = np.fromiter(counts.values(), np.float64, len(counts))
-        total = n @ np.array(rows)
+        total = n @ np.array([rows[w] for w in counts])
         x = total * min(1.0, 20 / n.sum())
         x = np.exp(x - x.max())
         best = int(x.argmax())
         return self.langs[best], float(x[best] / x.sum())
 
 
-def fit(docs: DataFrame, learn_from: Column, sample_docs: int = 20_000, words: int = 40_000) -> Model:
+def _pieces(counts) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """(language, size, key, weight) of words, at size 0, and of their n-grams, from (language, word, count); weights in units of 2^-32."""
+    found: Counter = Counter()
+    for lang, word, n in counts:
+        found[lang, 0, word] += n * UNIT
+        marked, weight = f"_{word}_", round(math.sqrt(n) * UNIT)
+        for size in range(1, LONGEST + 1):
+            for i in range(len(marked) - size + 1):
+                found[lang, size, marked[i : i + size]] += weight
+    keys = np.fromiter((xxhash.xxh64_intdigest(k[2]) for k in found), np.uint64, len(found))
+    sizes = np.fromiter((k[1] for k in found), np.int32, len(found))
+    return [k[0] for k in found], sizes, keys, np.fromiter(found.values(), np.int64, len(found))
+
+
+def _assemble(langs: list[str], sizes: np.ndarray, keys: np.ndarray, weights: np.ndarray) -> Model:
+    """A model from summed pieces."""
+    names = sorted(set(langs))
+    place = {lang: i for i, lang in enumerate(names)}
+    at = np.fromiter((place[x] for x in langs), np.int64, len(langs))
+    tables = []
+    for size in range(LONGEST + 1):
+        own = sizes == size
+        uniq, row = np.unique(keys[own], return_inverse=True)
+        sums = np.zeros((len(uniq), len(names)), np.int64)
+        np.add.at(sums, (row, at[own]), weights[own])
+        share = sums / UNIT
+        totals = share.sum(axis=0) + 0.5 * len(uniq)
+        tables.append((uniq, np.round(np.log((share + 0.5) / totals) * 1e4).astype(np.int32)))
+    grams, logs = np.concatenate([t[0] for t in tables[1:]]), np.concatenate([t[1] for t in tables[1:]])
+    order = np.argsort(grams)
+    return Model(names, Table(*tables[0]), Table(grams[order], logs[order]))
+
+
+def build(counts: list[tuple[str, str, int]]) -> Model:
+    """A model from (language, word, count)."""
+    return _assemble(*_pieces(counts))
+
+
+def fit(docs: DataFrame, learn_from: Column, sample_docs: int = 20_000) -> Model:
     """Learn from about ``sample_docs`` rows (by hash) of those that ``learn_from`` allows and that have a language.
 
     Languages share that number evenly, and a language with fewer rows gives all of
-    them.  They also share ``words`` evenly: each one's most frequent form the model,
-    so that no language is crowded out by another; n-grams come from them.  Both
-    numbers bound the model and what reaches the driver.  Null texts teach nothing.
-    With no row to learn from, every text is ``und``.
+    them.  Every word of these rows is in the model, and so is every n-gram of a word;
+    executors count both, and hashes with their sums reach the driver.  The number of
+    rows is the only bound.  Null texts teach nothing.  With no row to learn from, every
+    text is ``und``.
     """
     rows = docs.where(learn_from & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     there = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -107,33 +171,14 @@ def fit(docs: DataFrame, learn_from: Column, sample_docs: int = 20_000, words: i
         share = F.coalesce(F.create_map(*(F.lit(x) for pair in large for x in pair))[F.col("lang")], F.lit(unit))
         rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(unit)) < share)
     counts = rows.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).where("word <> ''").groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
-    kept = counts.withColumn("place", place).where(F.col("place") <= max(1, words // len(there))).collect()
-    return build(sorted((r.lang, r.word, r.n) for r in kept))
-
-
-def build(counts: list[tuple[str, str, int]]) -> Model:
-    """A model from (language, word, count)."""
-    langs = sorted({lang for lang, _, _ in counts})
-    at = {lang: i for i, lang in enumerate(langs)}
 
-    def logs(table: dict[str, np.ndarray]) -> dict[str, tuple]:
-        if not table:
-            return {}
-        totals = sum(table.values()) + 0.5 * len(table)
-        return {k: tuple(np.round(np.log((v + 0.5) / totals), 4).tolist()) for k, v in table.items()}
-
-    def empty():
-        return np.zeros(len(langs))
+    def run(batches):
+        for batch in batches:
+            langs, sizes, keys, weights = _pieces(zip(*(c.to_pylist() for c in batch.columns)))
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(sizes), pa.array(keys.view(np.int64)), pa.array(weights)], ["lang", "size", "key", "weight"])
 
-    words, grams = defaultdict(empty), [defaultdict(empty) for _ in range(LONGEST)]
-    for lang, word, n in counts:
-        words[word][at[lang]] += n
-        marked, weight = f"_{word}_", math.sqrt(n)
-        for size in range(1, LONGEST + 1):
-            for i in range(len(marked) - size + 1):
-                grams[size - 1][marked[i : i + size]][at[lang]] += weight
-    return Model(langs, logs(words), [logs(g) for g in grams])
+    sums = counts.mapInArrow(run, "lang string, size int, key long, weight long").groupBy("lang", "size", "key").agg(F.sum("weight").alias("weight")).toArrow()
+    return _assemble(sums["lang"].to_pylist(), sums["size"].to_numpy(), sums["key"].to_numpy().view(np.uint64), sums["weight"].to_numpy())
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
