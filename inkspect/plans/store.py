@@ -5,18 +5,22 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` under spark.checkpoint.dir and read it back; where the session of one machine names no folder, under a temporary one."""
-    spark = df.sparkSession
+def folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where the session of one machine names none, a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='inkspect-')}"
         spark.conf.set("spark.checkpoint.dir", found)
-    path = f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return found.rstrip("/")
+
+
+def table(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` under the shared folder and read it back."""
+    path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,6 +6,8 @@ engines make alike from ``documents.text`` by translate and replace.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -462,6 +464,25 @@ SELECT doc_id, r.record, r.col, (CASE r.i WHEN 1 THEN 0 WHEN 2 THEN 4 WHEN 3 THE
 FROM t, (VALUES (1, 0, 0), (2, 0, 1), (3, 1, 0), (4, 1, 1)) r(i, record, col)"""
 
 
+def delimited_ranges(spark, sf_dir):
+    """All documents as records of CSV files, read back in ranges of 64 KB."""
+    from .plans.store import folder
+    from .sources.ranges import file_ranges, range_cells
+
+    path = f"{folder(spark)}/delimited-{uuid.uuid4().hex}"
+    text = F.replace(F.coalesce("text", F.lit("")), F.lit('"'), F.lit('""'))
+    documents(spark, f"{sf_dir}/documents.parquet").select(F.concat(F.col("doc_id").cast("string"), F.lit(',"'), text, F.lit('"')).alias("value")).write.text(path)
+    files = spark.read.format("binaryFile").load(path).select("path", "length")
+    cells = range_cells(file_ranges(files, 64 << 10))
+    value = lambda c: F.max(F.when(F.col("col") == c, F.col("text")))
+    rows = cells.groupBy("path", "record").agg(value(0).cast("long").alias("doc_id"), value(1).alias("text"), F.count(F.lit(1)).alias("cells"))
+    return rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.md5("text").alias("text_md5"), "cells")
+
+
+RANGES_SQL = """WITH t AS (SELECT doc_id, replace(coalesce(text, ''), '"', '""') AS v FROM documents)
+SELECT doc_id, strlen(v)::BIGINT AS n_bytes, md5(v) AS text_md5, 2::BIGINT AS cells FROM t"""
+
+
 def delimited_lint(spark, sf_dir):
     from .sources.delimited import delimited_slices
 
@@ -524,7 +545,7 @@ def queries():
         "position_map": position_map, "plain_regions": plain_regions, "whitespace_tokens": whitespace_tokens, "sentence_split": sentence_split, "url_strip": url_strip,
         "apply_fixes": apply_fixes_query, "fix_fixpoint": fix_fixpoint, "fix_incremental": fix_incremental_query, "cache_key": cache_keys, "cache_hit_miss": cache_hit_miss, "lint_union": lint_union,
         "severity_summary": severity_summary, "text_report": text_report, "json_report": json_report, "sarif_report": sarif_report, "compact_report": compact_report,
-        "language_scope": language_scope, "rules_overlay": rules_overlay, "delimited_cells": delimited_cells, "delimited_lint": delimited_lint, "markdown_nodes": markdown_nodes, "markdown_structure": markdown_structure,
+        "language_scope": language_scope, "rules_overlay": rules_overlay, "delimited_cells": delimited_cells, "delimited_ranges": delimited_ranges, "delimited_lint": delimited_lint, "markdown_nodes": markdown_nodes, "markdown_structure": markdown_structure,
     }
 
 
@@ -538,5 +559,5 @@ def oracle_sql():
         "text_report": _text_report_sql(), "compact_report": _compact_sql(),
         "language_scope": "SELECT * FROM (VALUES ('ja', 26::BIGINT), ('en', 7::BIGINT), ('none', 7::BIGINT)) t(lang, rules)",
         "rules_overlay": OVERLAY_SQL, "json_report": _json_report_sql(), "sarif_report": _sarif_report_sql(), "fix_fixpoint": FIXPOINT_SQL, "fix_incremental": FIXPOINT_SQL, "markdown_structure": STRUCTURE_SQL,
-        "delimited_cells": DELIMITED_SQL, "delimited_lint": _delimited_lint_sql(),
+        "delimited_cells": DELIMITED_SQL, "delimited_ranges": RANGES_SQL, "delimited_lint": _delimited_lint_sql(),
     }
