@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +25,14 @@ _WORD = re.compile(r"[^\W\d_]+")  # letters, and numerals such as ½ that words(
 LONGEST = 4
 UNIT = 1 << 32
 MEMO_SCORES = 240_000  # of words or grams, by the number of languages
+WORDS_AT_ONCE = 20_000  # whose n-grams are looked up together
 
 
 def words(text: str) -> Counter:
     """The runs of letters (Unicode category L, as \\p{L}) of a text in lower case, and how often each occurs."""
     found = Counter(_WORD.findall(text.lower()))
+    if not found or "".join(found).isalpha():
+        return found
     for run in [x for x in found if not x.isalpha()]:
         n = found.pop(run)
         for word in "".join(c if c.isalpha() else " " for c in run).split():
@@ -55,8 +58,34 @@ class Table:
         at[at == len(self.keys)] = 0
         return np.where(self.keys[at] == wanted, at, -1)
 
-    def rows(self, at: np.ndarray) -> list[tuple]:
-        return [tuple(x) for x in (self.logs[at] / 1e4).tolist()]
+    def rows(self, at: np.ndarray) -> np.ndarray:
+        return self.logs[at] / 1e4
+
+
+class Memo:
+    """Scores of strings met so far, a string a row; forgotten as a whole once there are too many."""
+
+    def __init__(self, wide: int, most: int):
+        self.place: dict[str, int] = {}
+        self.scores, self.most = np.empty((0, wide)), most
+
+    def start(self) -> None:
+        if len(self.scores) > self.most:
+            self.place, self.scores = {}, self.scores[:0]
+
+    def missing(self, strings) -> list[str]:
+        return list(set().union(*strings) - self.place.keys())
+
+    def add(self, strings: list[str], scores: np.ndarray) -> None:
+        self.place.update(zip(strings, range(len(self.scores), len(self.scores) + len(strings))))
+        self.scores = np.concatenate([self.scores, scores])
+
+    def forget(self, strings) -> None:
+        for x in strings:
+            del self.place[x]
+
+    def find(self, strings, n: int) -> np.ndarray:
+        return np.fromiter(map(self.place.__getitem__, strings), np.int64, n)
 
 
 class Model:
@@ -64,69 +93,93 @@ class Model:
 
     def __init__(self, langs: list[str], words: Table, grams: Table):
         self.langs, self.words, self.grams = langs, words, grams
-        self.most = MEMO_SCORES // max(4, len(langs))
-        self.memo: dict[str, tuple] = {}
-        self.pieces: dict[str, tuple] = {}
+        most = MEMO_SCORES // max(4, len(langs))
+        self.known, self.pieces = Memo(len(langs), most), Memo(len(langs), most)
 
     def for_a_task(self) -> Model:
         """The same tables with memos of their own, which go with the task."""
         return Model(self.langs, self.words, self.grams)
 
-    def _grams(self, grams: list[str]) -> list[tuple]:
-        """Log probabilities of each gram; of one unseen, the mean of those of its two parts one shorter."""
-        new = [g for g in dict.fromkeys(grams) if g not in self.pieces]
-        if new:
-            at = self.grams.find(new)
-            for gram, i, row in zip(new, at.tolist(), self.grams.rows(at) if len(self.grams) else new):
-                if i < 0:
-                    parts = zip(*self._grams([gram[:-1], gram[1:]])) if len(gram) > 1 else [(0.0, 0.0)] * len(self.langs)
-                    row = tuple((a + b) / 2 for a, b in parts)
-                self.pieces[gram] = row
-        return [self.pieces[g] for g in grams]
-
-    def _unseen(self, word: str) -> tuple:
-        if len(self.pieces) > self.most:
-            self.pieces.clear()
-        marked = f"_{word}_"
-        size = min(LONGEST, len(marked))
-        scores = self._grams([marked[i : i + size] for i in range(len(marked) - size + 1)])
-        return tuple(sum(x) / len(scores) for x in zip(*scores))
+    def _learn_grams(self, grams) -> None:
+        """Log probabilities of grams; of one unseen, the mean of those of its two parts one shorter."""
+        new = self.pieces.missing([grams])
+        if not new:
+            return
+        at = self.grams.find(new)
+        scores = np.zeros((len(new), len(self.langs)))
+        scores[at >= 0] = self.grams.rows(at[at >= 0])
+        if lost := [i for i in np.flatnonzero(at < 0).tolist() if len(new[i]) > 1]:
+            parts = [part for i in lost for part in (new[i][:-1], new[i][1:])]
+            self._learn_grams(parts)
+            scores[lost] = self.pieces.scores[self.pieces.find(parts, len(parts))].reshape(len(lost), 2, -1).mean(axis=1)
+        self.pieces.add(new, scores)
+
+    def _unseen(self, words: list[str]) -> np.ndarray:
+        """Scores of words by their longest n-grams, a row a word."""
+        self.pieces.start()
+        grams, sizes = [], []
+        for word in words:
+            marked = f"_{word}_"
+            size = min(LONGEST, len(marked))
+            grams += [marked[i : i + size] for i in range(len(marked) - size + 1)]
+            sizes.append(len(marked) - size + 1)
+        self._learn_grams(grams)
+        found = self.pieces.scores[self.pieces.find(grams, len(grams))]
+        return np.add.reduceat(found, np.cumsum([0, *sizes[:-1]])) / np.array(sizes)[:, None]
+
+    def _learn_words(self, counts: list[Counter]) -> list[str]:
+        """Scores of the words that are new, which it returns."""
+        self.known.start()
+        new = self.known.missing(counts)
+        at = self.words.find(new)
+        scores = np.empty((len(new), len(self.langs)))
+        scores[at >= 0] = self.words.rows(at[at >= 0])
+        lost = np.flatnonzero(at < 0).tolist()
+        for i in range(0, len(lost), WORDS_AT_ONCE):
+            own = lost[i : i + WORDS_AT_ONCE]
+            scores[own] = self._unseen([new[k] for k in own])
+        self.known.add(new, scores)
+        return new
+
+    def predict_all(self, texts: list[str]) -> list[tuple[str, float]]:
+        """The likeliest language of each text and its share of the likelihood, taken as if a text had at most 20 words.
+
+        The words of all texts are looked up together, so these should be a slice.
+        """
+        counts, out = [words(text) for text in texts], []
+        if not self.langs:
+            return [(UNKNOWN, 0.0)] * len(texts)
+        new = self._learn_words(counts)
+        for own in counts:
+            if not own:
+                out.append((UNKNOWN, 0.0))
+                continue
+            n = np.fromiter(own.values(), np.float64, len(own))
+            x = n @ self.known.scores[self.known.find(own, len(own))] * min(1.0, 20 / n.sum())
+            x = np.exp(x - x.max())
+            best = int(x.argmax())
+            out.append((self.langs[best], float(x[best] / x.sum())))
+        self.known.forget(w for w in new if len(w) > 48)
+        return out
 
     def predict(self, text: str) -> tuple[str, float]:
-        """The likeliest language and its share of the likelihood, taken as if the text had at most 20 words."""
-        counts = words(text)
-        if not counts or not self.langs:
-            return UNKNOWN, 0.0
-        memo = self.memo
-        if len(memo) > self.most:
-            memo.clear()
-        rows = {w: memo[w] for w in counts if w in memo}
-        if new := [w for w in counts if w not in rows]:
-            at = self.words.find(new)
-            for w, i, row in zip(new, at.tolist(), self.words.rows(at)):
-                rows[w] = row if i >= 0 else self._unseen(w)
-                if len(w) <= 48:
-                    memo[w] = rows[w]
-        n = np.fromiter(counts.values(), np.float64, len(counts))
-        total = n @ np.array([rows[w] for w in counts])
-        x = total * min(1.0, 20 / n.sum())
-        x = np.exp(x - x.max())
-        best = int(x.argmax())
-        return self.langs[best], float(x[best] / x.sum())
+        return self.predict_all([text])[0]
 
 
 def _pieces(counts) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     """(language, size, key, weight) of words, at size 0, and of their n-grams, from (language, word, count); weights in units of 2^-32."""
-    found: Counter = Counter()
+    found: dict[str, tuple[defaultdict, defaultdict]] = {}
     for lang, word, n in counts:
-        found[lang, 0, word] += n * UNIT
+        own, grams = found.setdefault(lang, (defaultdict(int), defaultdict(int)))
+        own[word] += n * UNIT
         marked, weight = f"_{word}_", round(math.sqrt(n) * UNIT)
         for size in range(1, LONGEST + 1):
             for i in range(len(marked) - size + 1):
-                found[lang, size, marked[i : i + size]] += weight
-    keys = np.fromiter((xxhash.xxh64_intdigest(k[2]) for k in found), np.uint64, len(found))
-    sizes = np.fromiter((k[1] for k in found), np.int32, len(found))
-    return [k[0] for k in found], sizes, keys, np.fromiter(found.values(), np.int64, len(found))
+                grams[marked[i : i + size]] += weight
+    rows = [(lang, 0 if whole else len(key), key, weight) for lang, both in found.items() for whole, own in zip((True, False), both) for key, weight in own.items()]
+    keys = np.fromiter((xxhash.xxh64_intdigest(r[2]) for r in rows), np.uint64, len(rows))
+    sizes, weights = np.fromiter((r[1] for r in rows), np.int32, len(rows)), np.fromiter((r[3] for r in rows), np.int64, len(rows))
+    return [r[0] for r in rows], sizes, keys, weights
 
 
 def _assemble(langs: list[str], sizes: np.ndarray, keys: np.ndarray, weights: np.ndarray) -> Model:
@@ -191,7 +244,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             for a, b in slices(batch.column(1)):
                 part = batch.slice(a, b - a)
-                found = [own.predict(t or "") for t in part.column(1).to_pylist()]
+                found = own.predict_all([t or "" for t in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return ids_and_text(docs).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, lang_pred string, score double")
@@ -213,7 +266,7 @@ def keep_known(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
                 part = batch.slice(a, b - a)
                 texts = part.column(at).to_pylist()
                 if own.langs:
-                    known = [lang != UNKNOWN and score >= least for lang, score in (own.predict(t or "") for t in texts)]
+                    known = [lang != UNKNOWN and score >= least for lang, score in own.predict_all([t or "" for t in texts])]
                 else:
                     known = [bool(words(t or "")) for t in texts]
                 yield part.filter(pa.array(known, pa.bool_()))

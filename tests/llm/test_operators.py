@@ -170,6 +170,20 @@ def test_language_equals_plain_scoring():
         assert found[0] == lang and abs(found[1] - score) < 1e-9
 
 
+def test_language_of_many_texts_at_once(monkeypatch):
+    own = random.Random(5)
+    draw = lambda: "".join(own.choice("abcdeéX½1") for _ in range(own.randint(1, 6)))
+    model = langid.build([(lang, draw().lower(), own.randint(1, 9)) for lang in ("de", "en", "fr") for _ in range(40)])
+    texts = ["", "1 2", "ab" * 60, *(" ".join(draw() for _ in range(own.randint(0, 30))) for _ in range(300))]
+    alone = [model.for_a_task().predict(t) for t in texts]
+    monkeypatch.setattr(langid, "MEMO_SCORES", 400)  # memos of a hundred, given up again and again
+    monkeypatch.setattr(langid, "WORDS_AT_ONCE", 7)
+    small = model.for_a_task()
+    found = [x for i in range(0, len(texts), 50) for x in small.predict_all(texts[i : i + 50])]
+    assert [x[0] for x in found] == [x[0] for x in alone] and max(abs(a[1] - b[1]) for a, b in zip(found, alone)) < 1e-9
+    assert "ab" * 60 not in small.known.place and small.predict_all([]) == []
+
+
 def test_every_language_is_learned(spark):
     rows = [(i, "common words of a hot language " + str(i) + " " + " ".join(f"w{chr(97 + i % 26)}{chr(97 + k)}" for k in range(20)), "hot") for i in range(300)] + [(1000, "zzyzx qwfp arst", "rare"), (1001, "...", "none"), (None, "common", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
