@@ -224,12 +224,11 @@ def _rest(compared: DataFrame, roots: DataFrame, like: Likeness) -> tuple[DataFr
     rows = rooted(rooted(compared, "u", "top"), "v", "root").withColumn("outside", F.expr("root <> top"))
     members = rows.join(rows.where("outside").select("u").distinct(), "u", "left_semi").withColumn("d", F.size("diff"))
     members = materialise(members.select("u", "v", "n", "root", "outside", "d", "diff", F.expr(like.score("d", "n")).alias("s")), "near-members")
-    # differences in the order of how many sets of the leader have them; first those that no partner can have, as every pair has a set from outside
-    own = members.select("u", "v", "n", "outside", F.explode("diff").alias("e"))
-    held = own.groupBy("u", "e").agg(F.count(F.lit(1)).alias("held"), F.count_if("outside").alias("held_o"))
+    # differences in the order of how many sets of the leader have them; first those that only sets of one component have, as no partner does
+    own = members.select("u", "v", "n", "root", F.explode("diff").alias("e"))
+    held = own.groupBy("u", "e").agg(F.count(F.lit(1)).alias("held"), (F.min("root") == F.max("root")).alias("lost"))
     of = Window.partitionBy("u", "v")
-    placed = own.join(held, ["u", "e"]).withColumn("lost", F.expr("held = 1 OR held_o = 0"))
-    placed = placed.withColumn("rank", F.row_number().over(of.orderBy(F.desc("lost"), "held", "e")) - 1).withColumn("alone", F.count_if("lost").over(of))
+    placed = own.drop("root").join(held, ["u", "e"]).withColumn("rank", F.row_number().over(of.orderBy(F.desc("lost"), "held", "e")) - 1).withColumn("alone", F.count_if("lost").over(of))
     ranked = placed.where(f"NOT lost AND {like.p}L * alone <= {like.q - like.p}L * n").select("u", "v", "e", "rank")
     # a pair has (s + s') / 2 (p + q) of them in common or more; with c of d it must meet in the first d - c + 1
     least = members.groupBy("u").agg(F.min("s").alias("least_s"), F.min(F.when(F.col("outside"), F.col("s"))).alias("least_o"))
