@@ -8,12 +8,12 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FIX = "struct<start:int,end:int,replacement:string>"
 HIT = f"struct<start:int,end:int,message:string,fixes:array<{FIX}>>"
-CHUNK = 48
+CHUNK = 32
 
 
 def quote(literal: str) -> str:
@@ -81,39 +81,52 @@ def _placed(text: Column, pattern: str | Column, more: list[str]) -> Column:
 
     An array that grows in a fold is copied at each step, so sums run inside chunks,
     then over the chunks' totals: n * CHUNK + (n / CHUNK)^2 steps, short ones, instead
-    of n^2.  A text without a match costs one search.  Structs are made as few times
-    as can be, since each costs more than a step.
+    of n^2.  What grows there are plain numbers; structs, whose copies cost most, are
+    made once, at the end.  A text without a match costs one search.
     """
     p = F.lit(pattern) if isinstance(pattern, str) else pattern
     kind = f"array<struct<start:int,end:int,value:string{',gap:string' if more else ''}>>"
     gaps, found = F.split(text, p, -1), F.regexp_extract_all(text, F.concat(F.lit("("), p, F.lit(")")), F.lit(1))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
-
-    def piece(start: Column, end: Column, m: Column, gap: Column | None) -> Column:
-        return F.struct(start.alias("start"), end.alias("end"), m.alias("value"), *([gap.alias("gap")] if more else []))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
 
     def inside(both: Column, chunk: Column) -> Column:
+        """struct<at,out>: bytes of a chunk's gaps and matches, and where its matches start in it."""
+
         def step(acc: Column, i: Column) -> Column:
-            value, gap = F.get(both["found"], i), F.get(both["gaps"], i)
-            start = acc["at"] + F.octet_length(gap)
-            end = start + F.octet_length(value)
-            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(piece(start, end, value, gap))).alias("out"))
+            start = acc["at"] + F.octet_length(F.get(both["gaps"], i))
+            return F.struct((start + F.octet_length(F.get(both["found"], i))).alias("at"), F.concat(acc["out"], F.array(start)).alias("out"))
 
         return F.aggregate(F.sequence(chunk * CHUNK, F.least(chunk * CHUNK + CHUNK, F.size(both["found"])) - 1), begin, step)
 
     def bases(parts: Column) -> Column:
-        return F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), lambda acc, c: F.struct((acc["at"] + c["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+        return F.aggregate(parts, begin, lambda acc, c: F.struct((acc["at"] + c["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
 
-    def moved(part: Column, base: Column) -> Column:
-        return F.when(base == 0, part["out"]).otherwise(F.transform(part["out"], lambda m: piece(m["start"] + base, m["end"] + base, m["value"], m["gap"] if more else None)))
+    def starts(both: Column) -> Column:
+        chunked = F.transform(F.sequence(F.lit(0), F.floor((F.size(both["found"]) - 1) / CHUNK).cast("int")), lambda c: inside(both, c))
+        return bound(chunked, lambda parts: F.flatten(F.zip_with(parts, bases(parts), lambda part, base: F.transform(part["out"], lambda at: at + base))))
 
     def placed(both: Column) -> Column:
-        chunked = F.transform(F.sequence(F.lit(0), F.floor((F.size(both["found"]) - 1) / CHUNK).cast("int")), lambda c: inside(both, c))
-        return bound(chunked, lambda parts: F.flatten(F.zip_with(parts, bases(parts), moved)))
+        def piece(start: Column, m: Column, gap: list[Column]) -> Column:
+            return F.struct(start.alias("start"), (start + F.octet_length(m)).alias("end"), m.alias("value"), *(g.alias("gap") for g in gap))
+
+        if not more:
+            return F.zip_with(starts(both), both["found"], lambda start, m: piece(start, m, []))
+        return bound(starts(both), lambda at: F.transform(both["found"], lambda m, i: piece(F.get(at, i), m, [F.get(both["gaps"], i)])))
 
     return F.when(F.rlike(text, p), bound(F.struct(found.alias("found"), gaps.alias("gaps")), placed)).otherwise(F.array().cast(kind))
 
 
+def each_of(rows: DataFrame, keep: list[str], found: Column) -> DataFrame:
+    """``keep`` and the fields of each struct of the array ``found``; none of its structs has a null as its first field.
+
+    For a plain ``inline`` the optimiser asks before whether the array holds anything, by
+    the array's own expression with all that it is made of written out in it, which so is
+    worked out several times over.  The outer form asks nothing; its rows of nulls go after.
+    """
+    kind = rows.select(found.alias("f")).schema["f"].dataType.elementType
+    return rows.select(*keep, found.alias("found__")).select(*keep, F.inline_outer("found__")).where(F.col(kind.fieldNames()[0]).isNotNull())
+
+
 def hits(found: Column, message) -> Column:
     """Diagnostics without fixes from matches; message: a Column, or a function of a match."""
     text = message if callable(message) else lambda m: message
@@ -127,7 +140,7 @@ def no_hits() -> Column:
 def code_point(char: Column) -> Column:
     """U+0041 and so on, with four digits at least."""
     digits = F.hex(F.ascii(char))
-    return F.concat(F.lit("U+"), F.when(F.length(digits) < 4, F.lpad(digits, 4, "0")).otherwise(digits))
+    return F.concat(F.lit("U+"), F.lpad(digits, F.greatest(F.lit(4), F.length(digits)), F.lit("0")))
 
 
 def positions(raw: bytes, offsets: np.ndarray) -> np.ndarray:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import FIX, char_class
+from ..functions.text import FIX, char_class, each_of
 from .surface import flag, strings, whole
 
 TOKENS = (
@@ -237,14 +237,19 @@ def _doubled(rows: DataFrame, rule) -> DataFrame:
     return runs.withColumn("found", F.concat("found", *work.hits))
 
 
-def token_hits(tokens: DataFrame, rules: list, run: dict) -> DataFrame:
-    """(doc_id, slice_id, base, rule_id, severity, start, end, message, fixes) of token rules; ``run`` has each rule's function by id."""
+def token_hits(tokens: DataFrame, rules: list, run: dict, dealt: bool = False) -> DataFrame:
+    """(doc_id, slice_id, base, rule_id, severity, start, end, message, fixes) of token rules; ``run`` has each rule's function by id.
+
+    dealt: tokens were made of documents dealt by doc_id, so each slice is in one task
+    already, and tokens, which take many times the room of their text, stay where they are.
+    """
     work = Work()
     for rule in rules:
         run[rule.id](work, rule)
     style, joshi = ([r for r in rules if r.id == id] for id in ("no-mix-dearu-desumasu", "no-doubled-joshi"))
     names = dict.fromkeys([*BLOCK, "base", "gap", "written", "start", "end", "surface", "is_unknown", "base_form", "pos", "pos1", "ctype"])
-    rows = tokens.select(*names).repartition(*SLICE)
+    rows = tokens.select(*names)
+    rows = rows if dealt else rows.repartition(*SLICE)
     for level in work.levels:
         if level:
             rows = rows.select("*", *(value.alias(name) for name, value in level.items()))
@@ -258,4 +263,4 @@ def token_hits(tokens: DataFrame, rules: list, run: dict) -> DataFrame:
         rows = _mixed_style(rows, rule)
     for rule in joshi:
         rows = _doubled(rows, rule)
-    return rows.select(*SLICE, "base", F.inline("found"))
+    return each_of(rows, [*SLICE, "base"], F.col("found"))

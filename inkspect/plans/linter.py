@@ -13,7 +13,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import FIX, bound
+from ..functions.text import FIX, bound, each_of
 from ..operators import surface
 from ..operators.registry import BLOCK, DOCUMENT, RULES, TEXT, TOKENS
 from ..operators.tokens import token_hits
@@ -69,27 +69,27 @@ def _found(rules: list[Active]) -> Column:
     return F.concat(F.array().cast(f"array<{FOUND}>"), *parts)
 
 
-def lint_slices(slices: DataFrame, rules: list[Active], tokens: DataFrame | None = None) -> DataFrame:
+def lint_slices(slices: DataFrame, rules: list[Active], tokens: DataFrame | None = None, dealt: bool = False) -> DataFrame:
     """(doc_id, slice_id, rule_id, severity, message, start, end, fixes); offsets are bytes of the document.
 
     A multiset: equal findings are not merged.  In no order; see ``ordered``.
+    dealt: see ``token_hits``.
     """
-    return _lint_sets(slices, [(None, rules)], tokens)
+    return _lint_sets(slices, [(None, rules)], tokens, dealt)
 
 
-def _lint_sets(slices: DataFrame, sets: list[tuple[Column | None, list[Active]]], tokens: DataFrame | None) -> DataFrame:
+def _lint_sets(slices: DataFrame, sets: list[tuple[Column | None, list[Active]]], tokens: DataFrame | None, dealt: bool = False) -> DataFrame:
     """Slices under the first set of rules whose condition holds, in one pass; a set without one takes what is left."""
     out, found = [], F.array().cast(f"array<{FOUND}>")
     for test, rules in reversed(sets):
         found = _found(rules) if test is None else F.when(test, _found(rules)).otherwise(found)
     if any(RULES[r.id].scope != TOKENS for _, rules in sets for r in rules):
-        rows = slices.select("doc_id", "slice_id", F.col("start").alias("base"), found.alias("found"))
-        out.append(rows.select("doc_id", "slice_id", "base", F.inline("found")))
+        out.append(each_of(slices.withColumn("base", F.col("start")), ["doc_id", "slice_id", "base"], found))
     earlier = F.lit(False)
     for test, rules in sets:
         own = slices.where(~earlier if test is None else test & ~earlier) if len(sets) > 1 else slices
         earlier = earlier if test is None else earlier | test
-        out += _beside(own, _scopes(rules), tokens, len(sets) > 1)
+        out += _beside(own, _scopes(rules), tokens, len(sets) > 1, dealt)
     if not out:
         out = [slices.where(F.lit(False)).select("doc_id", "slice_id", F.col("start").alias("base"), F.inline(F.array().cast(f"array<{FOUND}>")))]
     together = out[0]
@@ -100,19 +100,19 @@ def _lint_sets(slices: DataFrame, sets: list[tuple[Column | None, list[Active]]]
     return together.select("doc_id", "slice_id", "rule_id", "severity", "message", (F.col("start") + base).alias("start"), (F.col("end") + base).alias("end"), fixes.alias("fixes"))
 
 
-def _beside(slices: DataFrame, by_scope: dict[str, list[Active]], tokens: DataFrame | None, some: bool) -> list[DataFrame]:
+def _beside(slices: DataFrame, by_scope: dict[str, list[Active]], tokens: DataFrame | None, some: bool, dealt: bool) -> list[DataFrame]:
     """What is not one expression over a slice: terms that are many or given as regex, and rules on tokens (of ``some`` of the slices)."""
     out = []
     for rule in by_scope[TEXT]:
         for find in surface.terms_beside(F.col("node.text"), rule.options) if rule.id == "ja-prh" else []:
             node = slices.select("doc_id", "slice_id", F.col("start").alias("base"), F.explode(node_texts([KIND["text"]])).alias("node"))
             hit = node.select("doc_id", "slice_id", "base", F.col("node.start").alias("at"), find.alias("hit"))
-            out.append(hit.select("doc_id", "slice_id", "base", F.inline(_tagged(F.col("hit"), rule, F.col("at")))))
+            out.append(each_of(hit, ["doc_id", "slice_id", "base"], _tagged(F.col("hit"), rule, F.col("at"))))
     if tokens is not None and by_scope[TOKENS]:
         if some:
             own = slices.select(F.col("doc_id").alias("d"), F.col("slice_id").alias("s"))
             tokens = tokens.join(own, tokens.doc_id.eqNullSafe(F.col("d")) & (tokens.slice_id == F.col("s")), "left_semi")
-        out.append(token_hits(tokens, by_scope[TOKENS], {r.id: RULES[r.id].run for r in by_scope[TOKENS]}))
+        out.append(token_hits(tokens, by_scope[TOKENS], {r.id: RULES[r.id].run for r in by_scope[TOKENS]}, dealt and not some))
     return out
 
 

@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.text import located, pieces, sentences, strip_urls
+from .functions.text import each_of, located, pieces, sentences, strip_urls
 from .operators import surface, terms
 from .operators.fixes import apply_fixes
 from .plans import cache, render
@@ -38,8 +38,8 @@ class Derived:
             out = f"{kind}({out}, {literal(a)}, {literal(b)})"
         return out
 
-    def docs(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        docs = documents(spark, f"{sf_dir}/documents.parquet")
+    def docs(self, spark: SparkSession, sf_dir: str, by: str | None = None) -> DataFrame:
+        docs = documents(spark, f"{sf_dir}/documents.parquet", by)
         return docs.select("doc_id", self.column(F.coalesce("text", F.lit(""))).alias("text"))
 
 
@@ -161,8 +161,7 @@ _KINDS = [("助詞", "接続助詞", "が"), ("助詞", "格助詞", "が"), ("
 
 
 def pseudo_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = PLAIN.docs(spark, sf_dir)
-    rows = docs.select("doc_id", F.inline(pieces(F.col("text"), r"[^ \n]+")))
+    rows = each_of(PLAIN.docs(spark, sf_dir, by="doc_id"), ["doc_id"], pieces(F.col("text"), r"[^ \n]+"))
     n = F.char_length("value")
     kind = F.array(*(F.struct(F.lit(a).alias("pos"), F.lit(b).alias("pos1"), F.lit(c).alias("surface")) for a, b, c in _KINDS))[F.pmod(n, F.lit(8))]
     base = F.when(kind["pos"] == "助動詞", F.when(n > 4, "ない").otherwise("です")).when(kind["pos"] == "動詞", F.when(n > 4, "できる").otherwise("れる")).otherwise(kind["surface"])
@@ -214,7 +213,7 @@ h AS (SELECT * FROM g WHERE pe IS NOT NULL AND NOT regexp_matches(decode(encode(
 def _token_query(rule_id: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         slices = plain_slices(PLAIN.docs(spark, sf_dir))
-        out = lint_slices(slices, [r for r in active({}, "ja") if r.id == rule_id], pseudo_tokens(spark, sf_dir))
+        out = lint_slices(slices, [r for r in active({}, "ja") if r.id == rule_id], pseudo_tokens(spark, sf_dir), dealt=True)
         return out.select("doc_id", F.col("start").alias("span_start"), F.col("end").alias("span_end"), "message")
 
     return query
@@ -248,7 +247,7 @@ SELECT doc_id, span_start::INT AS span_start, (span_start + strlen(pattern))::IN
 
 def position_map(spark, sf_dir):
     docs = RULE_TEXT["no-hankaku-kana"].docs(spark, sf_dir)
-    hit = docs.select("doc_id", F.inline(located(F.col("text"), "ｱ+")))
+    hit = each_of(docs, ["doc_id"], located(F.col("text"), "ｱ+"))
     return hit.select("doc_id", F.col("start").alias("span_start"), "line", F.col("column").alias("col"), F.col("utf16_column").alias("utf16_col"))
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import pieces
+from ..functions.text import each_of, pieces
 from ..operators.tokens import TOKENS
 from ..plans.linter import node_texts
 from .plain import BLOCK_KINDS
@@ -35,7 +35,8 @@ def blocks(slices: DataFrame) -> DataFrame:
 
 def whitespace_tokens(slices: DataFrame) -> DataFrame:
     """Runs without white space, as tokens without features; they count as known."""
-    rows = blocks(slices).select("*", F.inline(pieces(F.col("node_text"), r"(?U:\S)+")))
+    texts = blocks(slices)
+    rows = each_of(texts, [c for c in texts.columns if c != "node_text"], pieces(F.col("node_text"), r"(?U:\S)+"))
     none = F.lit(None).cast("string")
     empty = {c: none.alias(c) for c in ("reading", "base_form", "pos", "pos1", "pos2", "pos3", "ctype", "cform", "pron")}
     own = {
