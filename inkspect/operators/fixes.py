@@ -1,9 +1,12 @@
-"""Fixes: a greedy fold over a document's sorted fixes, and the bounded fixpoint."""
+"""Fixes: a document's sorted fixes taken greedily, and the bounded fixpoint."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,32 +15,70 @@ from ..functions.text import FIX
 PASSES = 10
 
 
+def edited(data: bytes, fixes: Iterable[tuple[int, int, str]]) -> tuple[bytes, list[tuple[int, int, int]], int, int]:
+    """(new text, piece table of (start, end, shift) of what stays, applied, deferred).
+
+    By start, longest first, then replacement.  A fix is deferred that begins before the
+    last one's end, is reversed, past the end, or cuts a character in two.
+    """
+    out, pieces, at, shift, applied, deferred = [], [], 0, 0, 0, 0
+    inside = lambda i: i < len(data) and data[i] & 0xC0 == 0x80
+    for start, end, new in sorted(fixes, key=lambda f: (f[0], -f[1], f[2].encode())):
+        if not at <= start <= end <= len(data) or inside(start) or inside(end):
+            deferred += 1
+            continue
+        pieces.append((at, start, shift))
+        out += [data[at:start], raw := new.encode()]
+        shift, at, applied = shift + len(raw) - (end - start), end, applied + 1
+    pieces.append((at, len(data), shift))
+    return b"".join([*out, data[at:]]), pieces, applied, deferred
+
+
+def _apart(data: bytes, starts: np.ndarray, ends: np.ndarray) -> bool:
+    """Whether all of these fixes, which are in order, can be applied: none of two in one place, none that ``edited`` would defer."""
+    raw = np.frombuffer(data, np.uint8)
+    at = np.concatenate([starts, ends])
+    if at.min() < 0 or at.max() > len(raw) or (starts > ends).any() or (starts[1:] < ends[:-1]).any() or ((starts[1:] == starts[:-1]) & (ends[1:] == ends[:-1])).any():
+        return False
+    at = at[at < len(raw)]
+    return not ((raw[at] & 0xC0) == 0x80).any()
+
+
+def applied_to(data: bytes, starts: np.ndarray, ends: np.ndarray, new: pa.Array) -> tuple[bytes, int, int]:
+    """(new text, applied, deferred), as ``edited`` gives them; time is linear in the text and its fixes."""
+    if not len(starts):
+        return data, 0, 0
+    order = np.lexsort((-ends, starts))
+    if not _apart(data, starts[order], ends[order]):
+        text, _, applied, deferred = edited(data, zip(starts.tolist(), ends.tolist(), new.to_pylist()))
+        return text, applied, deferred
+    begin, stop = starts[order].tolist(), ends[order].tolist()
+    out = [b""] * (2 * len(begin) + 1)
+    out[::2] = [data[a:b] for a, b in zip([0, *stop], [*begin, len(data)])]
+    out[1::2] = new.cast(pa.binary()).take(pa.array(order)).to_pylist()
+    return b"".join(out), len(begin), 0
+
+
 def fixed(text: Column, fixes: Column) -> Column:
-    """struct<text, applied, deferred>: fixes by start, longest first, then replacement.
+    """struct<text, applied, deferred>: fixes by start, longest first, then replacement; null text and null fixes are empty.
 
     A fix is deferred if it begins before the last one's end, if its span is
     reversed or past the end, or if it cuts a character in two.  Insertions at one
-    place are all applied.
+    place are all applied.  A text that grows fix by fix in a fold is copied each time,
+    so Arrow batches go to Python, where what stays and what is new is joined once.
     """
-    raw = F.encode(text, "UTF-8")
-    size = F.octet_length(text)
-    order = F.array_sort(F.transform(fixes, lambda f: F.struct(f["start"].alias("start"), (-f["end"]).alias("back"), f["replacement"].alias("replacement"))))
-    inside = lambda at: F.coalesce(F.hex(F.substring(raw, at + 1, 1)).between("80", "BF"), F.lit(False)) & (at < size)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"), F.lit(0).alias("applied"), F.lit(0).alias("deferred"))
-
-    def step(acc: Column, f: Column) -> Column:
-        end = -f["back"]
-        good = (f["start"] >= acc["at"]) & (f["start"] <= end) & (end <= size) & ~inside(f["start"]) & ~inside(end)
-        kept = F.decode(F.substring(raw, acc["at"] + 1, f["start"] - acc["at"]), "UTF-8")
-        return F.when(good, F.struct(end.alias("at"), F.concat(acc["out"], kept, f["replacement"]).alias("out"), (acc["applied"] + 1).alias("applied"), acc["deferred"].alias("deferred"))).otherwise(
-            F.struct(acc["at"].alias("at"), acc["out"].alias("out"), acc["applied"].alias("applied"), (acc["deferred"] + 1).alias("deferred"))
-        )
-
-    def finish(acc: Column) -> Column:
-        rest = F.decode(F.substring(raw, acc["at"] + 1, size - acc["at"]), "UTF-8")
-        return F.struct(F.concat(acc["out"], rest).alias("text"), acc["applied"].alias("applied"), acc["deferred"].alias("deferred"))
-
-    return F.aggregate(F.coalesce(order, F.array().cast("array<struct<start:int,back:int,replacement:string>>")), start, step, finish)
+
+    @F.arrow_udf("struct<text:string,applied:int,deferred:int>")
+    def run(texts: pa.Array, lists: pa.Array) -> pa.Array:
+        data, flat = texts.cast(pa.large_string()).cast(pa.large_binary()), lists.flatten()
+        ends = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))).tolist()
+        starts, stops = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (0, 1))
+        new = flat.field(2)
+        done = [applied_to(data[i].as_py() or b"", starts[a:b], stops[a:b], new.slice(a, b - a)) for i, (a, b) in enumerate(zip(ends, ends[1:]))]
+        out = pa.array([x[0].decode() for x in done], pa.string())
+        return pa.StructArray.from_arrays([out, *(pa.array([x[c] for x in done], pa.int32()) for c in (1, 2))], ["text", "applied", "deferred"])
+
+    return run(F.coalesce(text, F.lit("")), F.coalesce(fixes, F.array().cast(f"array<{FIX}>")))
 
 
 def apply_fixes(docs: DataFrame, diagnostics: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ place; those without a partner are linted.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -22,32 +22,13 @@ from ..functions.text import FIX
 from ..plans.config import Active
 from ..plans.linter import lint_slices, node_texts
 from ..sources.plain import KIND, plain_nodes
-from .fixes import PASSES
+from .fixes import PASSES, edited
 from .registry import RULES, TEXT
 
 NODE = f"struct<start:int,end:int,fixes:array<{FIX}>>"
 PASSED = f"text string, changed boolean, applied int, deferred int, moved array<{NODE}>"
 
 
-def edited(data: bytes, fixes: Iterable[tuple[int, int, str]]) -> tuple[bytes, list[tuple[int, int, int]], int, int]:
-    """(new text, piece table of (start, end, shift) of what stays, applied, deferred).
-
-    By start, longest first, then replacement.  A fix is deferred that begins before the
-    last one's end, is reversed, past the end, or cuts a character in two.
-    """
-    out, pieces, at, shift, applied, deferred = [], [], 0, 0, 0, 0
-    inside = lambda i: i < len(data) and data[i] & 0xC0 == 0x80
-    for start, end, new in sorted(fixes, key=lambda f: (f[0], -f[1], f[2].encode())):
-        if not at <= start <= end <= len(data) or inside(start) or inside(end):
-            deferred += 1
-            continue
-        pieces.append((at, start, shift))
-        out += [data[at:start], raw := new.encode()]
-        shift, at, applied = shift + len(raw) - (end - start), end, applied + 1
-    pieces.append((at, len(data), shift))
-    return b"".join([*out, data[at:]]), pieces, applied, deferred
-
-
 def moved(nodes: list[dict], pieces: list[tuple[int, int, int]]) -> list[dict]:
     """The nodes that lie within one piece and touch neither end where an edit is, at their new place."""
     if not nodes:
