@@ -15,13 +15,13 @@ def _state(edges: DataFrame):
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-    return both.where(F.col("v") > F.col("u")).join(least, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    return both.where(F.col("v") > F.col("u")).join(least.hint("merge"), F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k")
-    moved = down.join(least, F.col("u") == F.col("k")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = down.join(least.hint("merge"), F.col("u") == F.col("k")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select(F.col("k").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct()
 
 
@@ -30,7 +30,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Rounds go on until nothing changes; their number grows with the logarithm of
     a component's width.  Hubs are met by partial minima and by joins that AQE can
-    split.
+    split.  Their sides grow with the input, so none is sent to the driver to be
+    broadcast: many of these joins follow each other, and it would hold one after the other.
     """
     now = materialise(edges.where("u <> v").select("u", "v").distinct(), "edges")
     state = _state(now)

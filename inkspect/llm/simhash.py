@@ -11,6 +11,9 @@ smallest document.  A bucket of more than ``bucket`` fingerprints is not paired.
 Its members are indexed again on the bits that the bucket leaves open, cut in two
 in the same way, until buckets are small; after six turns every bit is fixed or
 wiped, so this ends and loses no pair.
+
+Both sides of each join grow with the input, so they are merged on the executors;
+none is collected by the driver to be broadcast.
 """
 
 from __future__ import annotations
@@ -74,11 +77,11 @@ def links(distinct: DataFrame, max_bits: int, bucket: int = 48) -> DataFrame:
         variants = _variants(rows, width)
         width //= 2
         sizes = variants.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        met = materialise(variants.join(sizes, "path"), "buckets")
+        met = materialise(variants.join(sizes.hint("merge"), "path"), "buckets")
         small = met.where(F.col("n") <= bucket) if width > 1 else met
         pairs = (
             small.select("path", F.col("fp").alias("u"))
-            .join(small.select("path", F.col("fp").alias("v")), "path")
+            .join(small.select("path", F.col("fp").alias("v")).hint("merge"), "path")
             .where((F.col("u") < F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= max_bits))
             .select("u", "v")
             .distinct()
@@ -99,10 +102,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> Dat
     prints = materialise(fingerprints(docs, shingle), "fingerprints")
     distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
     roots = components(links(distinct, max_bits))
-    placed = materialise(distinct.join(roots, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("of"), "first", F.coalesce("root", "fp").alias("root")), "roots")
+    placed = materialise(distinct.join(roots.hint("merge"), F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("of"), "first", F.coalesce("root", "fp").alias("root")), "roots")
     names = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = placed.join(names, "root").select("of", "component_id")
-    return prints.join(named, F.col("fp") == F.col("of")).select("doc_id", "fp", "component_id")
+    named = placed.join(names.hint("merge"), "root").select("of", "component_id")
+    return prints.join(named.hint("merge"), F.col("fp") == F.col("of")).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int, max_bits: int) -> DataFrame:
