@@ -84,10 +84,6 @@ class Automaton:
         #: The terms that end in a state, as a range of ``terms``.
         self.first = np.cumsum([0, *map(len, ends)])
         self.terms = np.array([i for e in ends for i in e], np.int64)
-        #: Terms that end as they begin: only their matches can overlap.
-        self.selfish = np.zeros(len(patterns), bool)
-        for n in np.flatnonzero(has).tolist():
-            self.selfish[ends[n]] = fail[n] > 0
 
     def _ends(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place of the last byte, state) wherever terms end."""
@@ -128,15 +124,17 @@ class Automaton:
         text = np.searchsorted(offsets, end - 1, "right") - 1
         own = start >= offsets[text]
         start, term, text = start[own], term[own], text[own]
-        order = np.lexsort([start, term, text])
+        one = len(offsets) * len(self.pairs) * len(data) < 1 << 62  # one number to sort by is faster than three
+        order = np.argsort((text * len(self.pairs) + term) * len(data) + start) if one else np.lexsort([start, term, text])
         start, term, text = start[order], term[order], text[order]
         keep = np.ones(len(start), bool)
-        past = before = None
-        for i in np.flatnonzero(self.selfish[term]).tolist():
-            if before != (text[i], term[i]):
-                before, past = (text[i], term[i]), 0
+        # a match can go only if it begins within the one of its term before it, and few do
+        past, before = 0, -1
+        for i in (np.flatnonzero((text[1:] == text[:-1]) & (term[1:] == term[:-1]) & (start[1:] - start[:-1] < self.lengths[term[1:]])) + 1).tolist():
+            if before != i - 1:
+                past = start[i - 1] + self.lengths[term[i]]
             keep[i] = start[i] >= past
-            past = start[i] + self.lengths[term[i]] if keep[i] else past
+            past, before = start[i] + self.lengths[term[i]] if keep[i] else past, i
         if self.ahead:
             flagged = np.zeros(len(self.pairs), bool)
             flagged[list(self.ahead)] = True

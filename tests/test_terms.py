@@ -80,3 +80,21 @@ def test_regex_terms_are_ascii_and_count_bytes(spark):
     rules = active({"ja-prh": Setting(options=options)}, "ja")
     rows = lint_slices(plain_slices(docs), [r for r in rules if r.id == "ja-prh"]).collect()
     assert sorted((r.start, r.end) for r in rows) == [(6, 7), (7, 9), (13, 14)]
+
+
+def test_matches_of_a_term_that_do_not_touch_are_not_walked(monkeypatch):
+    pairs = [("ab", "x"), ("bc", "y"), ("aba", "z")]
+    automaton = terms.Automaton(pairs)
+    data = np.frombuffer(b"abc ababa " * 3000, np.uint8)
+    walked = []
+
+    class Places(np.ndarray):
+        def tolist(self):
+            walked.append(len(self))
+            return super().tolist()
+
+    plain = np.flatnonzero
+    monkeypatch.setattr(terms.np, "flatnonzero", lambda x: plain(x).view(Places))
+    _, start, term = automaton.find(data, np.array([0, len(data)]))
+    assert len(start) == 3 * 3000 + 3000 + 3000 and sum(walked) == 3000  # of "aba" alone each second one begins in the one before
+    assert (start[term == 2] % 10 == 4).all()
