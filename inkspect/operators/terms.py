@@ -9,8 +9,8 @@ byte does not depend on the number of terms, as long as the table stays under
 
 Beyond that, terms stay a table.  Of each term the gram (six bytes of it, or three) is
 taken that the fewest terms have; texts are joined with them on grams, after a bitmap of
-fixed size has passed over those that no term has, and each text is read with an automaton
-of the terms it met.  Matches of one term don't overlap; those of different terms may.
+fixed size has passed over those that no term has, and each block of texts is read with an
+automaton of the terms it met.  Matches of one term don't overlap; those of different terms may.
 """
 
 from __future__ import annotations
@@ -19,15 +19,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.text import HIT
 from ..plans.store import table
 
-#: Bytes of an automaton's table, of text that is read at once, and of a stretch.
-LARGEST, SLICE, STRETCH = 64 << 20, 2 << 20, 512
+#: Bytes of an automaton's table, of text that is read at once, of a stretch, and of text that meets terms together.
+LARGEST, SLICE, STRETCH, BLOCK = 64 << 20, 2 << 20, 512, 4 << 20
 GRAMS = (6, 3)
 #: Bits of the bitmap over the grams of terms.
 BITS = 1 << 24
@@ -267,10 +269,10 @@ def _grams_of_terms(terms: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for p, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                data = np.frombuffer(p.encode(), np.uint8)
-                own = np.unique(_windows(data, GRAMS[0] if len(data) >= GRAMS[0] else GRAMS[1]))
-                yield pa.RecordBatch.from_arrays([pa.array([p] * len(own), pa.string()), pa.array([x] * len(own), pa.string()), pa.array(own), pa.array(_slot(own))], ["pattern", "expected", "gram", "slot"])
+            data = [np.frombuffer(p.encode(), np.uint8) for p in batch.column(0).to_pylist()]
+            own = [np.unique(_windows(x, GRAMS[0] if len(x) >= GRAMS[0] else GRAMS[1])) for x in data]
+            gram, of = np.concatenate([np.empty(0, np.int64), *own]), pa.array(np.repeat(np.arange(len(own)), [len(x) for x in own]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), pa.array(gram), pa.array(_slot(gram))], ["pattern", "expected", "gram", "slot"])
 
     every = terms.where(f"octet_length(pattern) >= {GRAMS[1]}").select("pattern", "expected").mapInArrow(run, "pattern string, expected string, gram long, slot long")
     held = every.groupBy("gram").agg(F.count(F.lit(1)).alias("held"))
@@ -289,38 +291,73 @@ def _bitmap(grams: DataFrame) -> np.ndarray:
     return out[:BITS]
 
 
+def _own(terms: DataFrame) -> DataFrame:
+    """The terms that change something, once each, written so that they are made once."""
+    return table(terms.where("pattern <> '' AND NOT pattern <=> expected AND expected IS NOT NULL").select("pattern", "expected").distinct(), "terms")
+
+
+def _blocks(texts: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """(keys, column, block): texts in runs of about BLOCK bytes."""
+    kinds = T.StructType([*(texts.schema[k] for k in keys), T.StructField("text", T.StringType()), T.StructField("block", T.LongType())])
+
+    def run(batches):
+        block, held = TaskContext.get().partitionId() << 33, 0
+        for batch in batches:
+            blocks = []
+            for size in np.diff(_bytes(_whole(batch.column(len(keys))))[1]).tolist():
+                if held and held + size > BLOCK:
+                    block, held = block + 1, 0
+                held += size
+                blocks.append(block)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(blocks, pa.int64())], kinds.fieldNames())
+
+    return texts.select(*keys, F.col(column).alias("text")).mapInArrow(run, kinds)
+
+
 def find_by_join(texts: DataFrame, terms: DataFrame, keys: list[str], column: str = "text") -> DataFrame:
     """(keys, start, end, pattern, expected) of a table of terms (pattern, expected); none of it is held whole anywhere.
 
     Terms under three bytes, of which there are few enough for an automaton, are read at once.
+    Texts meet terms in blocks: a gram counts once in a block, and its terms come once.
     """
-    own = terms.where("pattern <> '' AND NOT pattern <=> expected AND expected IS NOT NULL").select("pattern", "expected").distinct()
+    return _joined(texts, _own(terms), keys, column)
+
+
+def _joined(texts: DataFrame, own: DataFrame, keys: list[str], column: str) -> DataFrame:
     grams = table(_grams_of_terms(own), "term-grams")
     there = texts.sparkSession.sparkContext.broadcast(_bitmap(grams))  # BITS bytes
-    rows = table(texts.select(*keys, column).withColumn("at", F.monotonically_increasing_id()), "term-texts")
-
-    def met(batches):
-        for batch in batches:
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                data = np.frombuffer((text.as_py() or "").encode(), np.uint8)
-                found = np.unique(np.concatenate([_windows(data, n) for n in GRAMS]))
-                found = found[there.value[_slot(found)] > 0]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), i)), pa.array(found)], ["at", "gram"])
-
-    pairs = rows.select("at", column).mapInArrow(met, "at long, gram long").join(grams, "gram").select("at", F.struct("pattern", "expected").alias("term"))
-    wanted = pairs.groupBy("at").agg(F.collect_set("term").alias("terms"))
     n = len(keys)
+    names = [f"key_{i}" for i in range(n)]
+    rows = table(_blocks(texts.select(*(F.col(k).alias(x) for k, x in zip(keys, names)), F.col(column).alias("text")), names, "text"), "term-texts")
 
-    def run(batches):
+    def met(batches):
         for batch in batches:
+            blocks = batch.column(0).to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
+            for i, j in zip(edges, edges[1:]):
+                part, found = _whole(batch.column(1).slice(i, j - i)), []
+                for a, b in _slices(part):
+                    data = _bytes(part.slice(a, b - a))[0]  # grams over two texts are met for nothing
+                    for k in GRAMS:
+                        grams = _windows(data, k)
+                        found.append(np.unique(grams[there.value[_slot(grams)] > 0]))
+                every = np.unique(np.concatenate([np.empty(0, np.int64), *found]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(every), blocks[i] if j > i else 0)), pa.array(every)], ["block", "gram"])
+
+    wanted = rows.select("block", "text").mapInArrow(met, "block long, gram long").join(grams, "gram").select("block", "pattern", "expected").distinct()
+    kinds = _found_type(rows, names)
+
+    def run(texts: pa.Table, given: pa.Table) -> pa.Table:
+        own, out = automata(list(zip(given.column(1).to_pylist(), given.column(2).to_pylist()))), []
+        for batch in texts.to_batches() if own else []:
             for a, b in _slices(_whole(batch.column(n))):
-                part = batch.slice(a, b - a)
-                given = {(t["pattern"], t["expected"]) for row in part.column(n + 1).to_pylist() for t in row}
-                yield from _matches(part, n, n, automata(list(given)))
+                out += _matches(batch.slice(a, b - a), n, n, own)
+        return pa.Table.from_batches(out, to_arrow_schema(kinds) if not out else None)
 
-    long = rows.join(wanted, "at").select(*keys, column, "terms").mapInArrow(run, _found_type(texts, keys))
+    long = rows.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(run, kinds)
     short = [tuple(r) for r in own.where(f"octet_length(pattern) < {GRAMS[1]}").collect()]
-    return long.unionByName(find_at_once(rows.select(*keys, column), short, keys, column)) if short else long
+    found = long.unionByName(find_at_once(rows, short, names)) if short else long
+    return found.toDF(*keys, "start", "end", "pattern", "expected")
 
 
 def find(texts: DataFrame, terms: DataFrame, keys: list[str], column: str = "text", largest: int = LARGEST) -> DataFrame:
@@ -331,8 +368,8 @@ def find(texts: DataFrame, terms: DataFrame, keys: list[str], column: str = "tex
     empty, null or as expected are left out, and repeated ones count once.  Repeated texts
     are found in as often.  Terms whose automaton may be over ``largest`` bytes are joined.
     """
-    own = terms.where("pattern <> '' AND NOT pattern <=> expected AND expected IS NOT NULL").select("pattern", "expected").distinct()
+    own = _own(terms)
     total = own.agg(F.sum(F.octet_length("pattern"))).first()[0] or 0
     if Automaton.size(total, 255) <= largest:
         return find_at_once(texts, [tuple(r) for r in own.collect()], keys, column)
-    return find_by_join(texts, own, keys, column)
+    return _joined(texts, own, keys, column)

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from inkspect.operators import terms
 from inkspect.operators.registry import RULES
@@ -98,3 +99,15 @@ def test_matches_of_a_term_that_do_not_touch_are_not_walked(monkeypatch):
     _, start, term = automaton.find(data, np.array([0, len(data)]))
     assert len(start) == 3 * 3000 + 3000 + 3000 and sum(walked) == 3000  # of "aba" alone each second one begins in the one before
     assert (start[term == 2] % 10 == 4).all()
+
+
+def test_texts_meet_terms_in_blocks(spark, monkeypatch):
+    texts, pairs = corpus(random.Random(8), "abcd語 ", 60, 150)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    given = spark.createDataFrame(pairs, "pattern string, expected string")
+    for block, blocks in ((1, 60), (1 << 20, 4)):
+        monkeypatch.setattr(terms, "BLOCK", block)
+        rows = terms.table(terms._blocks(docs, ["doc_id"], "text"), "blocks")
+        sizes = [r.n for r in rows.groupBy("block").agg(F.sum(F.octet_length("text")).alias("n")).collect()]
+        assert len(sizes) >= blocks if block == 1 else len(sizes) < blocks
+        assert sorted(tuple(r) for r in terms.find_by_join(docs, given, ["doc_id"]).collect()) == by_hand(texts, pairs)
