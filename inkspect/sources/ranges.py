@@ -16,12 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import SHARE
 from .writer import local
 
 #: Before the first byte of a cell; inside a plain one; behind a CR; inside quotes; behind a quote inside them; behind the closing one.
 FRESH, PLAIN, CR, QUOTED, QUOTE, REST = STATES = range(6)
 BOM = b"\xef\xbb\xbf"
-#: Ranges beyond this number share tasks.
+#: Tasks are no more than this; ranges share them from SHARE bytes down.
 MOST_TASKS = 50_000
 CELLS = "record long, col int, start long, end long, text string"
 #: A range's effect from one state: the state it ends in, records ended, columns since (absolute after a record), and the open cell's start and closing quote, -1 as they were.
@@ -151,7 +152,9 @@ def range_cells(ranges: DataFrame, delimiter: str = ",") -> DataFrame:
 
     plan = "path string, begin long, end long, length long"
     rows = ranges.select("path", F.col("begin").cast("long"), F.col("end").cast("long"), F.col("length").cast("long")).dropDuplicates(["path", "begin"])
-    tasks = max(1, min(MOST_TASKS, rows.count()))  # by number, as rows this small would be merged into one task
+    # by number, as rows this small would be merged into one task; by bytes, as a task for each small range would cost more than its range
+    n, size = rows.agg(F.count(F.lit(1)), F.sum(F.col("end") - F.col("begin"))).first()
+    tasks = max(1, min(MOST_TASKS, n, max(2 * rows.sparkSession.sparkContext.defaultParallelism, -(-(size or 0) // SHARE))))
     rows = rows.repartition(tasks, "path", "begin")
     begun = rows.mapInArrow(effects, f"{plan}, {EFFECT}").groupBy("path").applyInPandas(_chained, f"{plan}, state int, record long, col int, start long, close long")
     return begun.repartition(tasks, "path", "begin").mapInArrow(cells, f"path string, {CELLS}")

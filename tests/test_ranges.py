@@ -51,3 +51,15 @@ def test_files_in_ranges(spark, tmp_path, size):
 def test_no_files(spark):
     files = spark.createDataFrame([], "path string, length long")
     assert ranges.range_cells(ranges.file_ranges(files)).count() == 0
+
+
+def test_small_ranges_share_tasks(spark, tmp_path, monkeypatch):
+    data = b"".join(b'%d,"a\nb"\n' % i for i in range(3000))
+    (tmp_path / "a.csv").write_bytes(data)
+    files = spark.read.format("binaryFile").load(str(tmp_path)).select("path", "length")
+    cores = spark.sparkContext.defaultParallelism
+    for share, tasks in ((4 << 20, 2 * cores), (1 << 10, -(-len(data) // (1 << 10)))):
+        monkeypatch.setattr(ranges, "SHARE", share)
+        cells = ranges.range_cells(ranges.file_ranges(files, 100))
+        assert cells.rdd.getNumPartitions() == tasks
+        assert sorted((r.record, r.col, r.start, r.end) for r in cells.collect()) == scan(data)
