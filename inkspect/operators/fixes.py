@@ -34,7 +34,7 @@ def edited(data: bytes, fixes: Iterable[tuple[int, int, str]]) -> tuple[bytes, l
     return b"".join([*out, data[at:]]), pieces, applied, deferred
 
 
-def _apart(data: bytes, starts: np.ndarray, ends: np.ndarray) -> bool:
+def apart(data: bytes, starts: np.ndarray, ends: np.ndarray) -> bool:
     """Whether all of these fixes, which are in order, can be applied: none of two in one place, none that ``edited`` would defer."""
     raw = np.frombuffer(data, np.uint8)
     at = np.concatenate([starts, ends])
@@ -49,7 +49,7 @@ def applied_to(data: bytes, starts: np.ndarray, ends: np.ndarray, new: pa.Array)
     if not len(starts):
         return data, 0, 0
     order = np.lexsort((-ends, starts))
-    if not _apart(data, starts[order], ends[order]):
+    if not apart(data, starts[order], ends[order]):
         text, _, applied, deferred = edited(data, zip(starts.tolist(), ends.tolist(), new.to_pylist()))
         return text, applied, deferred
     begin, stop = starts[order].tolist(), ends[order].tolist()

@@ -14,50 +14,95 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import FIX
 from ..plans.config import Active
-from ..plans.linter import lint_slices, node_texts
+from ..plans.linter import found_in_slice, lint_slices, node_texts
 from ..sources.plain import KIND, plain_nodes
-from .fixes import PASSES, edited
+from .fixes import PASSES, apart, applied_to, edited
 from .registry import RULES, TEXT
+from .surface import terms_beside
+from .terms import row_slices
 
 NODE = f"struct<start:int,end:int,fixes:array<{FIX}>>"
 PASSED = f"text string, changed boolean, applied int, deferred int, moved array<{NODE}>"
 
 
+def _free(starts: np.ndarray, stops: np.ndarray, begins: np.ndarray, ends: np.ndarray, shifts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index, shift) of the nodes that lie within one piece and touch neither end where an edit is."""
+    piece = np.searchsorted(begins, starts, "right") - 1
+    last = len(begins) - 1
+    free = np.flatnonzero(((starts > begins[piece]) | (piece == 0)) & ((stops < ends[piece]) | ((piece == last) & (stops <= ends[piece]))))
+    return free, shifts[piece[free]]
+
+
 def moved(nodes: list[dict], pieces: list[tuple[int, int, int]]) -> list[dict]:
     """The nodes that lie within one piece and touch neither end where an edit is, at their new place."""
     if not nodes:
         return []
-    begins, ends, shifts = (np.array(x, np.int64) for x in zip(*pieces))
-    starts, stops = (np.array([n[k] for n in nodes], np.int64) for k in ("start", "end"))
-    piece = np.searchsorted(begins, starts, "right") - 1
-    last = len(begins) - 1
-    free = ((starts > begins[piece]) | (piece == 0)) & ((stops < ends[piece]) | ((piece == last) & (stops <= ends[piece])))
+    free, shifts = _free(*(np.array([n[k] for n in nodes], np.int64) for k in ("start", "end")), *(np.array(x, np.int64) for x in zip(*pieces)))
     out = []
-    for i in np.flatnonzero(free).tolist():
-        by, n = int(shifts[piece[i]]), nodes[i]
+    for i, by in zip(free.tolist(), shifts.tolist()):
+        n = nodes[i]
         out.append({"start": n["start"] + by, "end": n["end"] + by, "fixes": [{"start": f["start"] + by, "end": f["end"] + by, "replacement": f["replacement"]} for f in n["fixes"]]})
     return out
 
 
+def _cut(data: bytes, starts: np.ndarray, stops: np.ndarray, new: pa.Array) -> tuple[bytes, tuple[np.ndarray, ...], int, int]:
+    """(new text, starts, ends and shifts of its pieces, applied, deferred), as ``edited`` gives them."""
+    order = np.lexsort((-stops, starts))
+    begin, stop = starts[order], stops[order]
+    if len(order) and not apart(data, begin, stop):
+        text, pieces, applied, deferred = edited(data, zip(starts.tolist(), stops.tolist(), new.to_pylist()))
+        return text, tuple(np.array(x, np.int64) for x in zip(*pieces)), applied, deferred
+    text, applied, deferred = applied_to(data, starts, stops, new)
+    grown = pc.binary_length(new).to_numpy(zero_copy_only=False).astype(np.int64)[order] - (stop - begin)
+    return text, (np.append(0, stop), np.append(begin, len(data)), np.append(0, np.cumsum(grown))), applied, deferred
+
+
+def _places(column: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(column.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (0, 1))
+
+
+def _ends(lists: pa.ListArray) -> np.ndarray:
+    return np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)))
+
+
 def _passed(state: DataFrame) -> DataFrame:
     """(doc_id, text, changed, applied, deferred, moved) after one pass over (doc_id, text, nodes)."""
     kinds = T.StructType([state.schema["doc_id"], *T._parse_datatype_string(PASSED).fields])
-    arrow = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("fixes", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("replacement", pa.string())])))]))
 
     def run(batches):
         for batch in batches:
-            for i in range(batch.num_rows):
-                data, nodes = batch.column(1)[i].as_py().encode(), batch.column(2)[i].as_py()
-                new, pieces, applied, deferred = edited(data, [(f["start"], f["end"], f["replacement"]) for n in nodes for f in n["fixes"]])
-                changed = new != data
-                row = [[new.decode()], [changed], [applied], [deferred], [moved(nodes, pieces) if changed else []]]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), *(pa.array(x, k) for x, k in zip(row, (pa.string(), pa.bool_(), pa.int32(), pa.int32(), arrow)))], [f.name for f in kinds])
+            for a, b in row_slices(batch.column(1)):
+                yield one(batch.slice(a, b - a))
+
+    def one(batch):
+        data, nodes = batch.column(1).cast(pa.large_string()).cast(pa.large_binary()), batch.column(2).flatten()
+        fixes = nodes.field(2)
+        flat, of_node = fixes.flatten(), _ends(fixes)
+        (starts, stops), (begin, stop), new = _places(nodes), _places(flat), flat.field(2)
+        rows, picks, shifts, counts = [], [np.empty(0, np.int64)], [np.empty(0, np.int64)], []
+        of_row = _ends(batch.column(2)).tolist()
+        for i, (a, b) in enumerate(zip(of_row, of_row[1:])):
+            before, x, y = data[i].as_py(), of_node[a], of_node[b]
+            text, pieces, applied, deferred = _cut(before, begin[x:y], stop[x:y], new.slice(x, y - x))
+            rows.append((text.decode(), text != before, applied, deferred))
+            free, by = _free(starts[a:b], stops[a:b], *pieces) if text != before else (picks[0], shifts[0])
+            picks.append(free + a)
+            shifts.append(by)
+            counts.append(len(free))
+        pick, by = np.concatenate(picks), np.concatenate(shifts)
+        own = fixes.take(pa.array(pick))
+        inner, further = own.flatten(), np.repeat(by, np.diff(_ends(own)))
+        fix = pa.StructArray.from_arrays([*(pa.array(x + further, pa.int32()) for x in _places(inner)), inner.field(2)], ["start", "end", "replacement"])
+        node = pa.StructArray.from_arrays([pa.array(starts[pick] + by, pa.int32()), pa.array(stops[pick] + by, pa.int32()), pa.ListArray.from_arrays(pa.array(_ends(own), pa.int32()), fix)], ["start", "end", "fixes"])
+        columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.bool_(), pa.int32(), pa.int32()))]
+        return pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), node)], kinds.fieldNames())
 
     return state.select("doc_id", "text", "nodes").mapInArrow(run, kinds)
 
@@ -77,6 +122,20 @@ def _linted(nodes: DataFrame, rules: list[Active]) -> DataFrame:
     return each.groupBy("doc_id", "slice_id").agg(F.collect_list("fix").cast(f"array<{FIX}>").alias("fixes")).select("doc_id", F.shiftright("slice_id", 32).cast("int").alias("start"), F.col("slice_id").bitwiseAND((1 << 32) - 1).cast("int").alias("end"), "fixes")
 
 
+def _beside(rules: list[Active]) -> bool:
+    """Whether some rule's findings are not part of the one expression over a slice."""
+    return any(r.id == "ja-prh" and terms_beside(F.col("text"), r.options) for r in rules)
+
+
+def _in_place(nodes: DataFrame, rules: list[Active]) -> DataFrame:
+    """(doc_id, start, end, fixes) of all nodes: fixes that are known, and what linting finds in the others, without an exchange."""
+    place = lambda c: c + F.col("start")
+    found = F.flatten(F.transform(found_in_slice(rules), lambda x: x["fixes"]))
+    new = F.transform(found, lambda f: F.struct(place(f["start"]).alias("start"), place(f["end"]).alias("end"), f["replacement"].alias("replacement"))).cast(f"array<{FIX}>")
+    rows = nodes.withColumn("nodes", plain_nodes(F.col("text")))
+    return rows.select("doc_id", "start", "end", F.when(F.col("known").isNotNull(), F.col("known")).otherwise(new).alias("fixes"))
+
+
 def _state(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(doc_id, text, nodes): nodes (doc_id, start, end, fixes) beside their documents."""
     own = nodes.groupBy(F.col("doc_id").alias("of")).agg(F.collect_list(F.struct("start", "end", "fixes")).cast(f"array<{NODE}>").alias("nodes"))
@@ -98,10 +157,15 @@ def fix_incremental(docs: DataFrame, slices: Callable[[DataFrame], DataFrame], r
 
     def found(nodes: DataFrame) -> DataFrame:
         """The nodes with their fixes: those that are known, and what linting finds in the others."""
+        direct = not _beside(rules)
+        if direct and linted is None:
+            return _in_place(nodes, rules)
         nodes = keep(nodes, "fix-nodes")
         fresh = nodes.where("known IS NULL").drop("known")
         if linted is not None:
             linted.append(fresh.count())
+        if direct:
+            return _in_place(nodes, rules)
         hits = _linted(fresh, rules).toDF("d", "s", "e", "fixes")
         new = fresh.join(hits, same_place, "left").select(*place, F.coalesce("fixes", empty).alias("fixes"))
         return new.unionByName(nodes.where("known IS NOT NULL").select(*place, F.col("known").alias("fixes")))

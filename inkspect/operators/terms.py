@@ -157,7 +157,7 @@ def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
-def _slices(column: pa.Array) -> Iterator[tuple[int, int]]:
+def row_slices(column: pa.Array) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about SLICE bytes, one row at least."""
     offsets, at = _bytes(column)[1], 0
     while at < len(column):
@@ -193,7 +193,7 @@ def hits(text: Column, pairs: list[tuple[str, str]], say) -> Column:
     def search(column: pa.Array) -> pa.Array:
         texts, starts, ends, patterns, expected = [], [], [], [], []
         whole = _whole(column)
-        for a, b in _slices(whole):
+        for a, b in row_slices(whole):
             data, offsets = _bytes(whole.slice(a, b - a))
             for automaton in own:
                 text, start, term = automaton.find(data, offsets)
@@ -243,7 +243,7 @@ def find_at_once(texts: DataFrame, pairs: list[tuple[str, str]], keys: list[str]
 
     def run(batches):
         for batch in batches:
-            for a, b in _slices(_whole(batch.column(len(keys)))):
+            for a, b in row_slices(_whole(batch.column(len(keys)))):
                 yield from _matches(batch.slice(a, b - a), len(keys), len(keys), shared.value)
 
     return texts.select(*keys, column).mapInArrow(run, _found_type(texts, keys))
@@ -336,7 +336,7 @@ def _joined(texts: DataFrame, own: DataFrame, keys: list[str], column: str) -> D
             edges = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
             for i, j in zip(edges, edges[1:]):
                 part, found = _whole(batch.column(1).slice(i, j - i)), []
-                for a, b in _slices(part):
+                for a, b in row_slices(part):
                     data = _bytes(part.slice(a, b - a))[0]  # grams over two texts are met for nothing
                     for k in GRAMS:
                         grams = _windows(data, k)
@@ -350,7 +350,7 @@ def _joined(texts: DataFrame, own: DataFrame, keys: list[str], column: str) -> D
     def run(texts: pa.Table, given: pa.Table) -> pa.Table:
         own, out = automata(list(zip(given.column(1).to_pylist(), given.column(2).to_pylist()))), []
         for batch in texts.to_batches() if own else []:
-            for a, b in _slices(_whole(batch.column(n))):
+            for a, b in row_slices(_whole(batch.column(n))):
                 out += _matches(batch.slice(a, b - a), n, n, own)
         return pa.Table.from_batches(out, to_arrow_schema(kinds) if not out else None)
 

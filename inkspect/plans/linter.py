@@ -61,7 +61,7 @@ def _scopes(rules: list[Active]) -> dict[str, list[Active]]:
     return {scope: [r for r in rules if RULES[r.id].scope == scope] for scope in (TEXT, BLOCK, DOCUMENT, TOKENS)}
 
 
-def _found(rules: list[Active]) -> Column:
+def found_in_slice(rules: list[Active]) -> Column:
     """array<FOUND> of a slice: all rules that see text."""
     by_scope = _scopes(rules)
     parts = [_of_nodes(kinds, by_scope[scope]) for scope, kinds in ((TEXT, [KIND["text"]]), (BLOCK, BLOCK_KINDS)) if by_scope[scope]]
@@ -82,7 +82,7 @@ def _lint_sets(slices: DataFrame, sets: list[tuple[Column | None, list[Active]]]
     """Slices under the first set of rules whose condition holds, in one pass; a set without one takes what is left."""
     out, found = [], F.array().cast(f"array<{FOUND}>")
     for test, rules in reversed(sets):
-        found = _found(rules) if test is None else F.when(test, _found(rules)).otherwise(found)
+        found = found_in_slice(rules) if test is None else F.when(test, found_in_slice(rules)).otherwise(found)
     if any(RULES[r.id].scope != TOKENS for _, rules in sets for r in rules):
         out.append(each_of(slices.withColumn("base", F.col("start")), ["doc_id", "slice_id", "base"], found))
     earlier = F.lit(False)

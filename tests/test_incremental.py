@@ -70,3 +70,25 @@ def test_only_touched_nodes_are_linted_again(spark):
     assert fix_incremental(docs.limit(0), line_slices, rules(("er", "aer")), table).count() == 0
     with pytest.raises(ValueError):
         fix_incremental(docs, line_slices, [r for r in active({}, "ja") if r.id == "max-ten"], table)
+
+
+def test_nodes_are_linted_where_they_are(spark):
+    own, docs = rules(("er", "aae"), ("aae", "n")), spark.createDataFrame(corpus(), "doc_id long, text string")
+    written = []
+
+    def keep(df, name):
+        written.append(name)
+        return table(df, name)
+
+    after = fix_incremental(docs, line_slices, own, keep).collect()
+    assert written and "fix-nodes" not in written  # no table of nodes, and no join with their findings
+    whole = fix(docs, lambda rows: lint_slices(line_slices(rows), own), table).collect()
+    assert sorted((str(r.doc_id), r.text, r.passes) for r in after) == sorted((str(r.doc_id), r.text, r.passes) for r in whole)
+
+
+def test_many_terms_node_by_node(spark):
+    own = rules(("er", "aae"), ("aae", "n"), ("b", "*c*"), ("語", "x"), ("é", "語"))  # more than are searched as expressions
+    docs = spark.createDataFrame(corpus(), "doc_id long, text string")
+    after = fix_incremental(docs, line_slices, own, table).collect()
+    whole = fix(docs, lambda rows: lint_slices(line_slices(rows), own), table).collect()
+    assert sorted((str(r.doc_id), r.text, r.passes) for r in after) == sorted((str(r.doc_id), r.text, r.passes) for r in whole)
