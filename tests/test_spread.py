@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from inkspect import queries
@@ -9,6 +10,7 @@ from inkspect.functions.text import each_of, matches
 from inkspect.plans.config import active
 from inkspect.plans.linter import lint_slices
 from inkspect.sources import tables
+from inkspect.sources.markdown import markdown_slices
 from inkspect.sources.plain import plain_slices
 
 
@@ -54,3 +56,16 @@ def test_tokens_of_dealt_documents_are_not_exchanged(spark, tmp_path):
         plan = plan_of(queries.queries()[rule](spark, str(tmp_path)), "formatted")
         exchanges = [line for line in plan.split("== Final")[0].splitlines() if "hashpartitioning" in line]
         assert len(exchanges) == 1 and "doc_id" in exchanges[0]
+
+
+def test_markdown_is_parsed_in_slices_of_a_batch(spark, monkeypatch):
+    docs, taken = spark.createDataFrame([(1, "a\n\n- b")], "doc_id long, text string"), []
+    plain = type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, kind: taken.append((self, run)) or plain(self, run, kind))
+    slices, errors = markdown_slices(docs)
+    batch = taken[0][0].toArrow().to_batches()[0]
+    many = pa.Table.from_batches([batch] * 3).set_column(batch.schema.names.index("text"), "text", pa.array(["x " * (1 << 20), None, "> " * 1500 + "x"], pa.string())).combine_chunks().to_batches()[0]
+    out = list(taken[0][1](iter([many])))
+    assert len(out) > 1 and [len(x) if x else x for b in out for x in b.column("nodes").to_pylist()] == [3, 1, None]
+    assert [x is None for b in out for x in b.column("error").to_pylist()] == [True, True, False]
+    assert [len(r.nodes) for r in slices.collect()] == [7] and errors.count() == 0
