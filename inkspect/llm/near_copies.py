@@ -33,6 +33,7 @@ Texts with the same shingles are one node.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import accumulate
 from typing import NamedTuple
 
@@ -45,12 +46,14 @@ from pyspark.sql import functions as F
 from .blocks import mix
 from .common import discard, forget, free_name, ids_and_text, materialise, plain_text, slices
 from .components import components
-from .simhash import CHUNK
+from .simhash import hashed
 
 #: Least set size of each level, and how many shingles a pair that meets there can differ in.
 LEVELS = np.array(list(accumulate(range(58), lambda least, _: -(-8 * least // 5), initial=1)))
 DIFFER = [(a + 5 * a // 4) // 9 for a in (LEVELS[1:] - 1).tolist()]
 TAG_BITS = 10  # a node's cuts: 16 a level
+TURNS = 4  # shares that the keys of segments are dealt in
+KEYS = [f"keys{i}" for i in range(TURNS)]
 TOGETHER = 512  # sets that are compared with a leader for each time that its text travels
 
 
@@ -73,17 +76,12 @@ FOUR_FIFTHS = Likeness(4, 5)
 similar = FOUR_FIFTHS.similar
 
 
-def _words(text: str) -> list[bytes]:
-    return text.encode().lower().split()  # as in simhash.fingerprint
-
-
 def hashes(text: str, size: int) -> np.ndarray:
     """The different hashes of a text's shingles, ascending; a text shorter than a shingle is one, one without words has none."""
-    words, parts = _words(text), []
-    for at in range(0, max(1, len(words) - size + 1) if words else 0, CHUNK):
-        own = words[at : at + CHUNK + size - 1]
-        joined = [b" ".join(own)] if len(own) < size else map(b" ".join, zip(*(own[i:] for i in range(size))))
-        parts.append(np.array([xxhash.xxh64_intdigest(x, 42) for x in joined], np.uint64))
+    return _distinct(list(hashed(text, size)))
+
+
+def _distinct(parts: list[np.ndarray]) -> np.ndarray:
     return np.unique(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
 
 
@@ -114,7 +112,10 @@ def _segmented(sets: list[np.ndarray]) -> list[list[tuple[int, int, np.ndarray]]
 
 
 def _sets(docs: DataFrame, size: int, cut) -> DataFrame:
-    """(uid, doc_id, mark, digest, n, cuts) for every row; ``mark`` is a hash of the text, ``cut`` gives the cuts of some sets, as ``segments`` does of one."""
+    """(uid, doc_id, mark, digest, n, needs, keys0, keys1, ...) for every row; ``mark`` is a hash of the text, ``cut`` gives the cuts of some sets, as ``segments`` does of one.
+
+    ``needs`` has a cut's tag and least number in common, keys0 and so on a share of its keys each.
+    """
 
     def run(batches):
         forget()
@@ -123,17 +124,19 @@ def _sets(docs: DataFrame, size: int, cut) -> DataFrame:
                 part = batch.slice(a, b - a)
                 sets = [hashes(text, size) for text in part.column(1).to_pylist()]
                 digests, counts, cuts = [xxhash.xxh3_128_digest(h.tobytes()) for h in sets], [len(h) for h in sets], cut(sets)
-                flat = [x for own in cuts for x in own]
-                keys = pa.array(np.concatenate([np.empty(0, np.uint64), *(x[2] for x in flat)]).view(np.int64))
-                nested = pa.StructArray.from_arrays(
-                    [pa.array([x[0] for x in flat], pa.int32()), pa.array([x[1] for x in flat], pa.int32()), pa.ListArray.from_arrays(_ends([len(x[2]) for x in flat]), keys)],
-                    ["tag", "need", "keys"],
-                )
-                columns = [part.column(0), part.column(2), pa.array(digests, pa.binary()), pa.array(counts, pa.int32()), pa.ListArray.from_arrays(_ends([len(x) for x in cuts]), nested)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "digest", "n", "cuts"])
+                flat, ends = [x for own in cuts for x in own], _ends([len(x) for x in cuts])
+                tags = pa.array([x[0] for x in flat], pa.int32())
+                needs = pa.StructArray.from_arrays([tags, pa.array([x[1] for x in flat], pa.int32())], ["tag", "need"])
+                columns = [part.column(0), part.column(2), pa.array(digests, pa.binary()), pa.array(counts, pa.int32()), pa.ListArray.from_arrays(ends, needs)]
+                for i in range(TURNS):
+                    own = [x[2][x[2] % np.uint64(TURNS) == i].view(np.int64) for x in flat]
+                    keys = pa.ListArray.from_arrays(_ends([len(x) for x in own]), pa.array(np.concatenate([np.empty(0, np.int64), *own])))
+                    columns.append(pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([tags, keys], ["tag", "keys"])))
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "digest", "n", "needs", *KEYS])
 
     rows = ids_and_text(docs).withColumn("mark", F.xxhash64("text"))
-    out = rows.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, mark long, digest binary, n int, cuts array<struct<tag:int,need:int,keys:array<long>>>")
+    shares = ", ".join(f"{name} array<struct<tag:int,keys:array<long>>>" for name in KEYS)
+    out = rows.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, mark long, digest binary, n int, needs array<struct<tag:int,need:int>>, {shares}")
     # 28 bits for the row and the rest for the part, so that a tag still fits into a long beside it
     part, row = F.shiftright("uid", 33), F.col("uid").bitwiseAND((1 << 33) - 1)
     return out.withColumn("uid", F.monotonically_increasing_id()).withColumn("uid", F.shiftleft(part, 28) + row)
@@ -143,21 +146,29 @@ def _ends(sizes: list[int]) -> pa.Array:
     return pa.array(np.cumsum([0, *sizes]), pa.int32())
 
 
-def _met(nodes: DataFrame) -> DataFrame:
-    """(key, node): segments that several nodes hold, of nodes that share as many as a similar pair must."""
-    cuts = nodes.select("node", F.inline("cuts")).select((F.shiftleft("node", TAG_BITS) + F.col("tag")).alias("owner"), "need", "keys")
-    entries = cuts.select(F.explode("keys").alias("key"), "owner")
+def _met(sets: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(key, node): segments that several nodes hold, of nodes that share as many as a similar pair must.
+
+    Keys are dealt a share at a time, so that never all of them lie in shuffle files at once.
+    """
+    of_nodes = lambda column: firsts.select("node").join(sets.select("uid", column).hint("merge"), F.col("uid") == F.col("node")).select("node", F.inline(column))
+    owner = (F.shiftleft("node", TAG_BITS) + F.col("tag")).alias("owner")
     held = F.count(F.lit(1)).over(Window.partitionBy("key"))
-    several = materialise(entries.withColumn("held", held).where("held > 1").select("key", "owner"), "segments-held")
-    enough = several.groupBy("owner").agg(F.count(F.lit(1)).alias("shared")).join(cuts.select("owner", "need"), "owner").where("shared >= need").select("owner")
-    met = materialise(several.join(enough, "owner").select("key", F.shiftright("owner", TAG_BITS).alias("node")), "segments-met")
-    discard(several)
+    several = []
+    for name in KEYS:
+        entries = of_nodes(name).select(owner, F.explode("keys").alias("key"))
+        several.append(materialise(entries.withColumn("held", held).where("held > 1").select("key", "owner"), "segments-held"))
+    every = reduce(DataFrame.unionByName, several)
+    needs = of_nodes("needs").select(owner, "need")
+    enough = every.groupBy("owner").agg(F.count(F.lit(1)).alias("shared")).join(needs, "owner").where("shared >= need").select("owner")
+    met = materialise(every.join(enough, "owner").select("key", F.shiftright("owner", TAG_BITS).alias("node")), "segments-met")
+    discard(*several)
     return met
 
 
-def _texts(docs: DataFrame, nodes: DataFrame, met: DataFrame) -> DataFrame:
-    """(node, n, text) of the nodes of ``met``, read again by id and text hash."""
-    source = nodes.join(met.select("node").distinct(), "node").select("node", "n", F.col("doc_id").alias("id"), F.col("mark").alias("source"))
+def _texts(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, n, text) of the nodes of ``wanted``, read again by id and text hash."""
+    source = nodes.join(wanted.select("node").distinct(), "node").select("node", "n", F.col("doc_id").alias("id"), F.col("mark").alias("source"))
     rows = ids_and_text(docs).withColumn("mark", F.xxhash64("text"))
     found = rows.join(source, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("source"))).select("node", "n", "text")
     return materialise(found.dropDuplicates(["node"]), "near-texts")
@@ -218,24 +229,30 @@ def _compared(texts: DataFrame, pairs: DataFrame, size: int, like: Likeness) ->
     return ordered.select("u", "leads", "node", "text").mapInArrow(run, "u long, v long, n int, similar boolean, diff array<long>")
 
 
+def _rooted(df: DataFrame, node: str, roots: DataFrame, name: str) -> DataFrame:
+    """``df`` with the root of a node of it, which is the node itself where it has no link."""
+    return df.join(roots.select(F.col("node").alias(node), F.col("root").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
+
+
 def _rest(compared: DataFrame, roots: DataFrame, like: Likeness) -> tuple[DataFrame, list[DataFrame]]:
     """((u, v): links of different components among the sets of one leader, and the tables it reads)."""
-    rooted = lambda df, node, name: df.join(roots.select(F.col("node").alias(node), F.col("root").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
-    rows = rooted(rooted(compared, "u", "top"), "v", "root").withColumn("outside", F.expr("root <> top"))
+    rows = _rooted(_rooted(compared, "u", roots, "top"), "v", roots, "root").withColumn("outside", F.expr("root <> top"))
     members = rows.join(rows.where("outside").select("u").distinct(), "u", "left_semi").withColumn("d", F.size("diff"))
     members = materialise(members.select("u", "v", "n", "root", "outside", "d", "diff", F.expr(like.score("d", "n")).alias("s")), "near-members")
-    # differences in the order of how many sets of the leader have them; first those that only sets of one component have, as no partner does
-    own = members.select("u", "v", "n", "root", F.explode("diff").alias("e"))
-    held = own.groupBy("u", "e").agg(F.count(F.lit(1)).alias("held"), (F.min("root") == F.max("root")).alias("lost"))
-    of = Window.partitionBy("u", "v")
-    placed = own.drop("root").join(held, ["u", "e"]).withColumn("rank", F.row_number().over(of.orderBy(F.desc("lost"), "held", "e")) - 1).withColumn("alone", F.count_if("lost").over(of))
-    ranked = placed.where(f"NOT lost AND {like.p}L * alone <= {like.q - like.p}L * n").select("u", "v", "e", "rank")
     # a pair has (s + s') / 2 (p + q) of them in common or more; with c of d it must meet in the first d - c + 1
-    least = members.groupBy("u").agg(F.min("s").alias("least_s"), F.min(F.when(F.col("outside"), F.col("s"))).alias("least_o"))
     common = lambda a, b: f"ceil(({a} + {b}) / {2 * (like.p + like.q)})"
-    known = members.drop("diff").join(least, "u")
     partner = f"greatest(if(outside, least_s, least_o), -{(like.q - like.p) * like.q}L * n / {like.p})"  # a partner isn't too large either
-    entries = materialise(ranked.join(known, ["u", "v"]).where(f"rank <= d - {common('s', partner)}").drop("least_s", "least_o"), "near-entries")
+    able = members.drop("diff")
+    for _ in range(2):  # those that have no partner are none, which leaves less to others
+        least = able.groupBy("u").agg(F.min("s").alias("least_s"), F.min(F.when(F.col("outside"), F.col("s"))).alias("least_o")).where("least_o IS NOT NULL")
+        able = able.drop("most").join(least, "u").withColumn("most", F.expr(f"cast(d - {common('s', partner)} as int)")).where("most >= 0").drop("least_s", "least_o")
+    able = materialise(able, "near-able")
+    # differences in the order of how many sets of the leader have them; first those that only sets of one component have, as no partner does
+    own = able.join(members.select("u", "v", "diff"), ["u", "v"]).select(*able.columns, F.explode("diff").alias("e"))
+    held = own.groupBy("u", "e").agg(F.count(F.lit(1)).alias("held"), F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").drop("a", "b")
+    of = Window.partitionBy("u", "v")
+    shared = own.join(held, ["u", "e"]).withColumn("alone", F.col("d") - F.count(F.lit(1)).over(of)).withColumn("rank", F.row_number().over(of.orderBy("held", "e")) - 1 + F.col("alone"))
+    entries = materialise(shared.where(f"{like.p}L * alone <= {like.q - like.p}L * n AND rank <= most").drop("held", "alone", "most"), "near-entries")
     one = entries.where("outside").select("u", "e", *(F.col(c).alias(f"{c}_o") for c in ("v", "n", "root", "rank", "d", "s")))
     fit = f"root <> root_o AND (NOT outside OR v < v_o) AND rank <= d - {common('s', 's_o')} AND rank_o <= d_o - {common('s', 's_o')}"
     fit += f" AND {like.q}L * n >= {like.p}L * n_o AND {like.q}L * n_o >= {like.p}L * n"
@@ -243,13 +260,12 @@ def _rest(compared: DataFrame, roots: DataFrame, like: Likeness) -> tuple[DataFr
     side = lambda a, b: members.select("u", F.col("v").alias(a), F.col("n").alias(f"n_{b}"), F.col("diff").alias(f"diff_{b}"))
     both = met.join(side("v", "v"), ["u", "v"]).join(side("v_o", "o"), ["u", "v_o"])
     differ = "(size(diff_v) + size(diff_o) - 2 * size(array_intersect(diff_v, diff_o)))"
-    links = both.where(f"{like.score(differ, '(n_v + n_o)')} <= 0").select(F.col("v_o").alias("u"), "v")
-    return links, [members, entries]
+    found = both.where(f"{like.score(differ, '(n_v + n_o)')} <= 0").select(F.col("v_o").alias("u"), "v")
+    return found, [members, able, entries]
 
 
-def _linked(docs: DataFrame, nodes: DataFrame, size: int, like: Likeness) -> DataFrame:
+def _linked(docs: DataFrame, nodes: DataFrame, met: DataFrame, size: int, like: Likeness) -> DataFrame:
     """(node, root) of all nodes with a link."""
-    met = _met(nodes)
     texts = _texts(docs, nodes, met)
     scores = _scores(texts, size, like)
     compared = materialise(_compared(texts, _groups(met, scores), size, like), "near-compared")
@@ -274,10 +290,13 @@ def near_copies(docs: DataFrame, size: int = 5) -> DataFrame:
 
 def _named(docs: DataFrame, size: int, cut=_segmented, like: Likeness = FOUR_FIFTHS) -> tuple[DataFrame, list[DataFrame]]:
     """The result of near_copies with the size n of each set, and the tables it reads."""
-    sets = materialise(_sets(docs, size, cut), "shingle-sets")
+    cuts = materialise(_sets(docs, size, cut), "shingle-cuts")
+    sets = materialise(cuts.drop("needs", *KEYS), "shingle-sets")
     firsts = materialise(sets.groupBy("digest").agg(F.min("doc_id").alias("first"), F.min("uid").alias("node")), "shingle-nodes")
-    nodes = sets.join(firsts.select("node"), F.col("uid") == F.col("node")).drop("uid")
-    roots = _linked(docs, nodes, size, like).withColumnRenamed("node", "linked")
+    met = _met(cuts, firsts)
+    discard(cuts)
+    nodes = firsts.select("node").join(sets, F.col("uid") == F.col("node")).drop("uid")
+    roots = _linked(docs, nodes, met, size, like).withColumnRenamed("node", "linked")
     placed = materialise(firsts.join(roots, F.col("node") == F.col("linked"), "left").select("digest", "first", F.coalesce("root", "node").alias("root")), "near-roots")
     discard(firsts)
     names = placed.groupBy("root").agg(F.min("first").alias("component_id"))

@@ -18,6 +18,8 @@ none is collected by the driver to be broadcast.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -30,23 +32,30 @@ from .components import components
 CHUNK = 1 << 16
 
 
-def fingerprint(text: str, shingle: int) -> int:
-    """Bits set in over half of the shingles' XXH64 (seed 42), as a signed 64-bit integer."""
+def hashed(text: str, shingle: int) -> Iterator[np.ndarray]:
+    """The XXH64 (seed 42) of a text's shingles in their order, repeats included, some at a time; without words none."""
     words = text.encode().lower().split()  # on bytes: A-Z, and the six blanks of ASCII
-    if not words:
-        return 0
-    n = max(1, len(words) - shingle + 1)
-    ones = np.zeros(64, np.int64)
-    digest = xxhash.xxh64_intdigest
-    for at in range(0, n, CHUNK):
-        part = words[at : min(at + CHUNK, n) + shingle - 1]
+    for at in range(0, max(1, len(words) - shingle + 1) if words else 0, CHUNK):
+        part = words[at : at + CHUNK + shingle - 1]
         joined = [b" ".join(part)] if len(part) < shingle else map(b" ".join, zip(*(part[i:] for i in range(shingle))))
-        h = np.array([digest(x, 42) for x in joined], np.uint64)
+        yield np.array([xxhash.xxh64_intdigest(x, 42) for x in joined], np.uint64)
+
+
+def majority(parts: Iterable[np.ndarray]) -> int:
+    """Bits set in over half of the hashes, as a signed 64-bit integer; of none 0."""
+    ones, n = np.zeros(64, np.int64), 0
+    for h in parts:
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        n += len(h)
     bits = (2 * ones > n).astype(np.uint8)
     return int(np.packbits(bits, bitorder="little").view(np.int64)[0])
 
 
+def fingerprint(text: str, shingle: int) -> int:
+    """Bits set in over half of the shingles' XXH64 (seed 42), as a signed 64-bit integer."""
+    return majority(hashed(text, shingle))
+
+
 def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
     """(doc_id, fp): rows are independent, repeated ones repeated; null text is empty; no words: 0; an empty table gives none."""
 
@@ -68,8 +77,8 @@ def _variants(rows: DataFrame, width: int) -> DataFrame:
     return turned.select(F.xxhash64("path", "i", fixed).alias("path"), "fp", (F.col("off") + (1 - F.col("side")) * half).alias("off"))
 
 
-def links(distinct: DataFrame, max_bits: int, bucket: int = 48) -> DataFrame:
-    """(u, v), u < v: all pairs of different fingerprints at ``max_bits`` or fewer bits."""
+def links(distinct: DataFrame, max_bits: int, bucket: int = 48, tables: list[DataFrame] | None = None) -> DataFrame:
+    """(u, v), u < v: all pairs of different fingerprints at ``max_bits`` or fewer bits; tables that it reads are added to ``tables``."""
     if not 0 <= max_bits <= 3:
         raise ValueError("two segments serve at most three differing bits")
     rows, width, found = distinct.select(F.lit(0).cast("long").alias("path"), "fp", F.lit(0).alias("off")), 64, None
@@ -78,6 +87,8 @@ def links(distinct: DataFrame, max_bits: int, bucket: int = 48) -> DataFrame:
         width //= 2
         sizes = variants.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         met = materialise(variants.join(sizes.hint("merge"), "path"), "buckets")
+        if tables is not None:
+            tables.append(met)
         small = met.where(F.col("n") <= bucket) if width > 1 else met
         pairs = (
             small.select("path", F.col("fp").alias("u"))
