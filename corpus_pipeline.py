@@ -31,8 +31,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by 0.8 or more of shared five-word shingles stays, the one with the smallest id, in one row.
 
-    SimHash can't find these (README), so its segments are those of shingle sets.  Texts
-    without words are one group.
+    SimHash links those within three bits, confirmed exactly; segments of shingle sets find
+    the rest, which it can't reach (README).  Texts without words are one group.
     """
     return near.keep_one(docs, size=5)
 

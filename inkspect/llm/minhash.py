@@ -84,7 +84,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85, bands: in
     never name a component unless it has no other id.  Repeated rows are repeated.  Other
     columns don't matter.  An empty table gives no row.
     """
-    found = _named(docs, size, Bands(bands, rows), Likeness(percent, 100))[0]
+    found = _named(docs, size, Bands(bands, rows), Likeness(percent, 100), prints=False)[0]
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     named = found.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"))
     return named.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -1,6 +1,12 @@
-"""Near-copies by the exact Jaccard similarity of word shingles.
+"""Near-copies by SimHash and the exact Jaccard similarity of word shingles.
 
-The pigeonhole of SimHash's segments, on sets of shingles instead of 64 bits.  Two
+SimHash comes first: fingerprints that differ in three bits or fewer meet by their
+deletion variants, and the texts of each component of them are confirmed against its
+least one.  Where such links join all sets of a leader (below), these are not compared
+again.  Most pairs of 4/5 lie further apart than SimHash reaches, so an exact way for
+the rest follows, and no pair is lost.
+
+It is the pigeonhole of SimHash's segments, on sets of shingles instead of 64 bits.  Two
 sets of a and b shingles with a similarity of 4/5 or more differ in (a + b) / 9
 shingles at most.  So the shingles' hashes, in order, are cut into segments by equal
 ranges of hash values, more of them than shingles can differ: a set's segments that
@@ -46,12 +52,13 @@ from pyspark.sql import functions as F
 from .blocks import mix
 from .common import discard, forget, free_name, ids_and_text, materialise, plain_text, slices
 from .components import components
-from .simhash import hashed
+from .simhash import hashed, links, majority
 
 #: Least set size of each level, and how many shingles a pair that meets there can differ in.
 LEVELS = np.array(list(accumulate(range(58), lambda least, _: -(-8 * least // 5), initial=1)))
 DIFFER = [(a + 5 * a // 4) // 9 for a in (LEVELS[1:] - 1).tolist()]
 TAG_BITS = 10  # a node's cuts: 16 a level
+BITS = 3  # fingerprints that differ in so many meet
 TURNS = 4  # shares that the keys of segments are dealt in
 KEYS = [f"keys{i}" for i in range(TURNS)]
 TOGETHER = 512  # sets that are compared with a leader for each time that its text travels
@@ -111,10 +118,10 @@ def _segmented(sets: list[np.ndarray]) -> list[list[tuple[int, int, np.ndarray]]
     return [segments(h) for h in sets]
 
 
-def _sets(docs: DataFrame, size: int, cut) -> DataFrame:
-    """(uid, doc_id, mark, digest, n, needs, keys0, keys1, ...) for every row; ``mark`` is a hash of the text, ``cut`` gives the cuts of some sets, as ``segments`` does of one.
+def _sets(docs: DataFrame, size: int, cut, prints: bool) -> DataFrame:
+    """(uid, doc_id, mark, digest, n, fp, needs, keys0, keys1, ...) for every row; ``mark`` is a hash of the text, ``cut`` gives the cuts of some sets, as ``segments`` does of one.
 
-    ``needs`` has a cut's tag and least number in common, keys0 and so on a share of its keys each.
+    ``fp`` is the SimHash fingerprint, if it is asked for, ``needs`` has a cut's tag and least number in common, keys0 and so on a share of its keys each.
     """
 
     def run(batches):
@@ -122,21 +129,22 @@ def _sets(docs: DataFrame, size: int, cut) -> DataFrame:
         for batch in batches:
             for a, b in slices(batch.column(1)):
                 part = batch.slice(a, b - a)
-                sets = [hashes(text, size) for text in part.column(1).to_pylist()]
+                shingles = [list(hashed(text, size)) for text in part.column(1).to_pylist()]
+                sets, fps = [_distinct(x) for x in shingles], [majority(x) if prints else 0 for x in shingles]
                 digests, counts, cuts = [xxhash.xxh3_128_digest(h.tobytes()) for h in sets], [len(h) for h in sets], cut(sets)
                 flat, ends = [x for own in cuts for x in own], _ends([len(x) for x in cuts])
                 tags = pa.array([x[0] for x in flat], pa.int32())
                 needs = pa.StructArray.from_arrays([tags, pa.array([x[1] for x in flat], pa.int32())], ["tag", "need"])
-                columns = [part.column(0), part.column(2), pa.array(digests, pa.binary()), pa.array(counts, pa.int32()), pa.ListArray.from_arrays(ends, needs)]
+                columns = [part.column(0), part.column(2), pa.array(digests, pa.binary()), pa.array(counts, pa.int32()), pa.array(fps, pa.int64()), pa.ListArray.from_arrays(ends, needs)]
                 for i in range(TURNS):
                     own = [x[2][x[2] % np.uint64(TURNS) == i].view(np.int64) for x in flat]
                     keys = pa.ListArray.from_arrays(_ends([len(x) for x in own]), pa.array(np.concatenate([np.empty(0, np.int64), *own])))
                     columns.append(pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([tags, keys], ["tag", "keys"])))
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "digest", "n", "needs", *KEYS])
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "digest", "n", "fp", "needs", *KEYS])
 
     rows = ids_and_text(docs).withColumn("mark", F.xxhash64("text"))
     shares = ", ".join(f"{name} array<struct<tag:int,keys:array<long>>>" for name in KEYS)
-    out = rows.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, mark long, digest binary, n int, needs array<struct<tag:int,need:int>>, {shares}")
+    out = rows.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, mark long, digest binary, n int, fp long, needs array<struct<tag:int,need:int>>, {shares}")
     # 28 bits for the row and the rest for the part, so that a tag still fits into a long beside it
     part, row = F.shiftright("uid", 33), F.col("uid").bitwiseAND((1 << 33) - 1)
     return out.withColumn("uid", F.monotonically_increasing_id()).withColumn("uid", F.shiftleft(part, 28) + row)
@@ -166,6 +174,18 @@ def _met(sets: DataFrame, firsts: DataFrame) -> DataFrame:
     return met
 
 
+def _printed(nodes: DataFrame) -> DataFrame:
+    """(u, v): nodes whose fingerprints are linked, each with the least node of its component of fingerprints."""
+    prints, tables = materialise(nodes.select("fp").distinct(), "near-prints"), []
+    roots = components(links(prints, BITS, tables=tables)).withColumnRenamed("node", "print")
+    placed = materialise(nodes.select("node", "fp").join(roots.hint("merge"), F.col("fp") == F.col("print"), "left").select("node", F.coalesce("root", "fp").alias("root")), "near-printed")
+    discard(prints, *tables)
+    least = placed.groupBy("root").agg(F.min("node").alias("u"), F.max("node").alias("last")).where("u <> last").select("root", "u")
+    pairs = materialise(placed.join(least.hint("merge"), "root").where("node <> u").select("u", F.col("node").alias("v")), "near-print-pairs")
+    discard(placed)
+    return pairs
+
+
 def _texts(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, n, text) of the nodes of ``wanted``, read again by id and text hash."""
     source = nodes.join(wanted.select("node").distinct(), "node").select("node", "n", F.col("doc_id").alias("id"), F.col("mark").alias("source"))
@@ -234,6 +254,12 @@ def _rooted(df: DataFrame, node: str, roots: DataFrame, name: str) -> DataFrame:
     return df.join(roots.select(F.col("node").alias(node), F.col("root").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
 
 
+def _open(groups: DataFrame, roots: DataFrame) -> DataFrame:
+    """The (u, v) of ``groups`` whose leader has a set of another component; within one component no link is to be found."""
+    of = _rooted(_rooted(groups, "u", roots, "top"), "v", roots, "root")
+    return groups.join(of.where("root <> top").select("u").distinct(), "u", "left_semi")
+
+
 def _rest(compared: DataFrame, roots: DataFrame, like: Likeness) -> tuple[DataFrame, list[DataFrame]]:
     """((u, v): links of different components among the sets of one leader, and the tables it reads)."""
     rows = _rooted(_rooted(compared, "u", roots, "top"), "v", roots, "root").withColumn("outside", F.expr("root <> top"))
@@ -264,17 +290,24 @@ def _rest(compared: DataFrame, roots: DataFrame, like: Likeness) -> tuple[DataFr
     return found, [members, able, entries]
 
 
-def _linked(docs: DataFrame, nodes: DataFrame, met: DataFrame, size: int, like: Likeness) -> DataFrame:
-    """(node, root) of all nodes with a link."""
-    texts = _texts(docs, nodes, met)
+def _linked(docs: DataFrame, nodes: DataFrame, met: DataFrame, size: int, like: Likeness, prints: bool) -> DataFrame:
+    """(node, root) of all nodes with a link: with ``prints`` first what SimHash finds, then what it can't reach."""
+    printed = _printed(nodes) if prints else None
+    wanted = met.select("node")
+    texts = _texts(docs, nodes, wanted.unionByName(printed.select(F.explode(F.array("u", "v")).alias("node"))) if prints else wanted)
     scores = _scores(texts, size, like)
-    compared = materialise(_compared(texts, _groups(met, scores), size, like), "near-compared")
+    groups, first = _groups(met, scores), []
+    if prints:
+        first = [materialise(_compared(texts, printed, size, like).where("similar").select("u", "v"), "near-printed-links")]
+        discard(printed)
+        groups = materialise(groups, "near-groups")
+    compared = materialise(_compared(texts, _open(groups, components(first[0])) if prints else groups, size, like), "near-compared")
     discard(met, scores, texts)
-    links = compared.where("similar").select("u", "v")
-    found, tables = _rest(compared, components(links), like)
-    rest = materialise(found, "near-links")
+    found = reduce(DataFrame.unionByName, [*first, compared.where("similar").select("u", "v")])
+    more, tables = _rest(compared, components(found), like)
+    rest = materialise(more, "near-links")
     discard(*tables)
-    return components(links.unionByName(rest))
+    return components(found.unionByName(rest))
 
 
 def near_copies(docs: DataFrame, size: int = 5) -> DataFrame:
@@ -288,15 +321,15 @@ def near_copies(docs: DataFrame, size: int = 5) -> DataFrame:
     return _named(docs, size)[0].drop("n")
 
 
-def _named(docs: DataFrame, size: int, cut=_segmented, like: Likeness = FOUR_FIFTHS) -> tuple[DataFrame, list[DataFrame]]:
+def _named(docs: DataFrame, size: int, cut=_segmented, like: Likeness = FOUR_FIFTHS, prints: bool = True) -> tuple[DataFrame, list[DataFrame]]:
     """The result of near_copies with the size n of each set, and the tables it reads."""
-    cuts = materialise(_sets(docs, size, cut), "shingle-cuts")
+    cuts = materialise(_sets(docs, size, cut, prints), "shingle-cuts")
     sets = materialise(cuts.drop("needs", *KEYS), "shingle-sets")
     firsts = materialise(sets.groupBy("digest").agg(F.min("doc_id").alias("first"), F.min("uid").alias("node")), "shingle-nodes")
     met = _met(cuts, firsts)
     discard(cuts)
     nodes = firsts.select("node").join(sets, F.col("uid") == F.col("node")).drop("uid")
-    roots = _linked(docs, nodes, met, size, like).withColumnRenamed("node", "linked")
+    roots = _linked(docs, nodes, met, size, like, prints).withColumnRenamed("node", "linked")
     placed = materialise(firsts.join(roots, F.col("node") == F.col("linked"), "left").select("digest", "first", F.coalesce("root", "node").alias("root")), "near-roots")
     discard(firsts)
     names = placed.groupBy("root").agg(F.min("first").alias("component_id"))

@@ -2,7 +2,45 @@
 
 import random
 
-from inkspect.llm import near_copies
+from inkspect.llm import near_copies, simhash
+
+
+def light_edits():
+    """Pairs of texts that differ in their last word, and how many bits their fingerprints differ in."""
+    own = random.Random(3)
+    texts = []
+    for _ in range(12):
+        words = [f"w{own.randrange(5000)}" for _ in range(600)]
+        texts += [" ".join(words), " ".join([*words[:-1], "changed"])]
+    prints = [simhash.fingerprint(t, 5) for t in texts]
+    return texts, [bin((a ^ b) & (2**64 - 1)).count("1") for a, b in zip(prints[::2], prints[1::2])]
+
+
+def test_simhash_links_what_it_reaches_without_segments(spark):
+    texts, bits = light_edits()
+    assert sum(b <= near_copies.BITS for b in bits) > 8
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found, _ = near_copies._named(docs, 5, cut=lambda sets: [[] for _ in sets])
+    roots = {x.doc_id: x.component_id for x in found.collect()}
+    assert all(roots[2 * i] == 2 * i and roots[2 * i + 1] == 2 * i + (b > near_copies.BITS) for i, b in enumerate(bits))
+
+
+def test_what_simhash_links_is_confirmed_and_not_compared_again(spark, monkeypatch):
+    texts, bits = light_edits()
+    tables, write = {}, near_copies.materialise
+
+    def watched(df, name, *more):
+        out = write(df, name, *more)
+        tables[name] = tables.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(near_copies, "materialise", watched)
+    far = ["one two three", "one two four"]  # less than 0.8 alike, whatever their fingerprints are
+    docs = spark.createDataFrame(list(enumerate(texts + far)), "doc_id long, text string")
+    roots = {x.doc_id: x.component_id for x in near_copies.near_copies(docs).collect()}
+    assert roots == {i: i // 2 * 2 if i < len(texts) else i for i in range(len(texts) + 2)}
+    assert tables["near-printed-links"] == sum(b <= near_copies.BITS for b in bits)
+    assert tables["near-compared"] == sum(b > near_copies.BITS for b in bits)
 
 
 def test_keys_are_dealt_in_shares_and_ranks_need_no_further_join(spark, monkeypatch):
