@@ -78,11 +78,14 @@ def sorted_run(df: DataFrame, name: str, keys: list[str], parts: int) -> DataFra
 
     Dealt and sorted like this it takes part in merge joins as it is, as long as
     ``with_runs`` holds and a bucket is one file, which it is where ``df`` has been
-    dealt by the keys under it.
+    dealt by the keys under it.  Where a session holds more shuffle partitions than
+    buckets, they are written by as many tasks as there are buckets or cores: each file
+    that an executor creates on a local disk starts two processes (``chmod``).
     """
     spark, table = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{table}"
-    df.write.option("path", path).option("compression", "zstd").format("parquet").bucketBy(parts, *keys).sortBy(*keys).saveAsTable(table)
+    few = df.coalesce(max(parts, spark.sparkContext.defaultParallelism))
+    few.write.option("path", path).option("compression", "zstd").format("parquet").bucketBy(parts, *keys).sortBy(*keys).saveAsTable(table)
     run = spark.table(table)
     run.written, run.named = path, table
     return run
