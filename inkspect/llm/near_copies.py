@@ -155,7 +155,7 @@ def _ends(sizes: list[int]) -> pa.Array:
 
 
 def _met(sets: DataFrame, firsts: DataFrame) -> DataFrame:
-    """(key, node): segments that several nodes hold, of nodes that share as many as a similar pair must.
+    """(key, owner, need): segments that several nodes hold, of nodes that share as many as a similar pair must; an owner is a node's cut.
 
     Keys are dealt a share at a time, so that never all of them lie in shuffle files at once.
     """
@@ -168,8 +168,8 @@ def _met(sets: DataFrame, firsts: DataFrame) -> DataFrame:
         several.append(materialise(entries.withColumn("held", held).where("held > 1").select("key", "owner"), "segments-held"))
     every = reduce(DataFrame.unionByName, several)
     needs = of_nodes("needs").select(owner, "need")
-    enough = every.groupBy("owner").agg(F.count(F.lit(1)).alias("shared")).join(needs, "owner").where("shared >= need").select("owner")
-    met = materialise(every.join(enough, "owner").select("key", F.shiftright("owner", TAG_BITS).alias("node")), "segments-met")
+    enough = every.groupBy("owner").agg(F.count(F.lit(1)).alias("shared")).join(needs, "owner").where("shared >= need").select("owner", "need")
+    met = materialise(every.join(enough, "owner").select("key", "owner", "need", F.shiftright("owner", TAG_BITS).alias("node")), "segments-met")
     discard(*several)
     return met
 
@@ -212,11 +212,18 @@ def _scores(texts: DataFrame, size: int, like: Likeness) -> DataFrame:
 
 
 def _groups(met: DataFrame, scores: DataFrame) -> DataFrame:
-    """(u, v): every node with the leaders of its segments, as far as scores allow it a partner there."""
-    rows = met.join(scores, "node").select("key", F.struct("score", "node").alias("own"))
+    """(u, v): every node with the leaders of its segments, as far as scores allow it a partner there.
+
+    A similar pair has ``need`` of these segments in common, so it meets although each set
+    leaves out its last ``need - 1`` in one order of all segments.  That order goes by leaders,
+    so that what is left out are whole leaders that a set shares little with.
+    """
+    rows = met.join(scores, "node").select("key", "owner", "need", F.struct("score", "node").alias("own"))
     leaders = rows.groupBy("key").agg(F.min("own").alias("u"), F.max("own").alias("last")).where("u.node <> last.node").select("key", "u")
-    fit = rows.join(leaders, "key").where("own.node <> u.node AND own.score + u.score <= 0")
-    return fit.select("u.node", F.col("own.node").alias("v")).toDF("u", "v").distinct()
+    fit = rows.join(leaders, "key").where("own.score + u.score <= 0")
+    of = Window.partitionBy("owner")
+    first = fit.withColumn("last", F.count(F.lit(1)).over(of) - F.col("need") + 1).withColumn("rank", F.row_number().over(of.orderBy("u", "key")))
+    return first.where("rank <= last AND own.node <> u.node").select("u.node", F.col("own.node").alias("v")).toDF("u", "v").distinct()
 
 
 def _compared(texts: DataFrame, pairs: DataFrame, size: int, like: Likeness) -> DataFrame:
@@ -274,11 +281,21 @@ def _rest(compared: DataFrame, roots: DataFrame, like: Likeness) -> tuple[DataFr
         able = able.drop("most").join(least, "u").withColumn("most", F.expr(f"cast(d - {common('s', partner)} as int)")).where("most >= 0").drop("least_s", "least_o")
     able = materialise(able, "near-able")
     # differences in the order of how many sets of the leader have them; first those that only sets of one component have, as no partner does
-    own = able.join(members.select("u", "v", "diff"), ["u", "v"]).select(*able.columns, F.explode("diff").alias("e"))
-    held = own.groupBy("u", "e").agg(F.count(F.lit(1)).alias("held"), F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").drop("a", "b")
+    rows = able.join(members.select("u", "v", "diff"), ["u", "v"])
+    held = rows.select("u", "root", F.explode("diff").alias("e")).groupBy("u", "e").agg(F.count(F.lit(1)).alias("held"), F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
+    sizes = able.groupBy("u").agg(F.count(F.lit(1)).alias("sets"))
+    held = materialise(held.join(sizes, "u").select("u", "e", "held", F.expr("2 * held > sets").alias("usual")), "near-held")
+    # those that over half of the sets have come last and are few, so they travel as one list, and only the others are looked up
+    usual = held.where("usual").groupBy("u").agg(F.expr("transform(sort_array(collect_list(struct(held, e))), x -> x.e)").alias("usual"))
+    parted = rows.join(usual, "u", "left").withColumn("rare", F.coalesce(F.array_except("diff", "usual"), "diff")).withColumn("first", F.size("rare"))
     of = Window.partitionBy("u", "v")
-    shared = own.join(held, ["u", "e"]).withColumn("alone", F.col("d") - F.count(F.lit(1)).over(of)).withColumn("rank", F.row_number().over(of.orderBy("held", "e")) - 1 + F.col("alone"))
-    entries = materialise(shared.where(f"{like.p}L * alone <= {like.q - like.p}L * n AND rank <= most").drop("held", "alone", "most"), "near-entries")
+    shared = parted.select(*able.columns, "first", F.explode("rare").alias("e")).join(held.where("NOT usual").select("u", "e", "held"), ["u", "e"])
+    shared = shared.withColumn("alone", F.col("first") - F.count(F.lit(1)).over(of)).withColumn("rank", F.row_number().over(of.orderBy("held", "e")) - 1 + F.col("alone"))
+    shared = shared.where(f"{like.p}L * alone <= {like.q - like.p}L * n AND rank <= most")
+    last = F.slice(F.array_intersect("usual", "diff"), 1, F.col("most") - F.col("first") + 1)
+    last = parted.where("first <= most").select(*able.columns, "first", F.posexplode(last).alias("rank", "e")).withColumn("rank", F.col("rank") + F.col("first"))
+    columns = [c for c in able.columns if c != "most"] + ["e", "rank"]
+    entries = materialise(shared.select(*columns).unionByName(last.select(*columns)), "near-entries")
     one = entries.where("outside").select("u", "e", *(F.col(c).alias(f"{c}_o") for c in ("v", "n", "root", "rank", "d", "s")))
     fit = f"root <> root_o AND (NOT outside OR v < v_o) AND rank <= d - {common('s', 's_o')} AND rank_o <= d_o - {common('s', 's_o')}"
     fit += f" AND {like.q}L * n >= {like.p}L * n_o AND {like.q}L * n_o >= {like.p}L * n"
@@ -287,7 +304,7 @@ def _rest(compared: DataFrame, roots: DataFrame, like: Likeness) -> tuple[DataFr
     both = met.join(side("v", "v"), ["u", "v"]).join(side("v_o", "o"), ["u", "v_o"])
     differ = "(size(diff_v) + size(diff_o) - 2 * size(array_intersect(diff_v, diff_o)))"
     found = both.where(f"{like.score(differ, '(n_v + n_o)')} <= 0").select(F.col("v_o").alias("u"), "v")
-    return found, [members, able, entries]
+    return found, [members, able, held, entries]
 
 
 def _linked(docs: DataFrame, nodes: DataFrame, met: DataFrame, size: int, like: Likeness, prints: bool) -> DataFrame:

@@ -63,3 +63,28 @@ def test_keys_are_dealt_in_shares_and_ranks_need_no_further_join(spark, monkeypa
     assert sum(name == "segments-held" for name, _ in plans) == 4
     entries = next(plan for name, plan in plans if name == "near-entries")
     assert entries.index("Window") < entries.index("Join")
+
+
+def test_sets_meet_without_the_leaders_that_they_share_little_with(spark):
+    """Node 9 shares five segments with leader 1 and one each with leaders 2 and 3; a similar set shares three with it or more."""
+    own = lambda node: node << near_copies.TAG_BITS
+    held = {1: range(5), 2: [5], 3: [6], 4: range(5), 9: range(7)}
+    rows = [(key, own(node), 3 if node == 9 else 1, node) for node, keys in held.items() for key in keys]
+    met = spark.createDataFrame(rows, "key long, owner long, need int, node long")
+    scores = spark.createDataFrame([(node, 100, node - 100) for node in held], "node long, n int, score long")
+    assert sorted(tuple(x) for x in near_copies._groups(met, scores).collect()) == [(1, 4), (1, 9)]
+
+
+def test_usual_differences_are_not_looked_up_and_lose_no_link(spark, monkeypatch):
+    """A leader's sets all lack the same shingles; only what few of them have is looked up, and what is similar is found."""
+    usual, write, tables = list(range(1000, 1060)), near_copies.materialise, {}
+    monkeypatch.setattr(near_copies, "materialise", lambda df, name, *more: tables.setdefault(name, write(df, name, *more)))
+    rows = []
+    for i in range(12):  # two of each are alike
+        of = [*range(100 * (i // 2), 100 * (i // 2) + 30), 10**6 + i]
+        rows.append((1, 10 + i, 131, False, [*usual, *of]))
+    compared = spark.createDataFrame(rows, "u long, v long, n int, similar boolean, diff array<long>")
+    found, _ = near_copies._rest(compared, spark.createDataFrame([], "node long, root long"), near_copies.FOUR_FIFTHS)
+    assert sorted(tuple(sorted((x.u, x.v))) for x in found.collect()) == [(10 + i, 11 + i) for i in range(0, 12, 2)]
+    held = tables["near-held"]
+    assert held.where("usual").count() == 60 and held.where("NOT usual").count() == 180
