@@ -19,8 +19,30 @@ def folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` under the shared folder and read it back."""
-    path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def table(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` under the shared folder, with ``by`` in a folder for each of its values (two), and read it back.
+
+    The shuffle files behind the table are of no more use then and go at once.
+    """
+    spark, path = df.sparkSession, f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    own = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+    own |= {"spark.sql.maxConcurrentOutputFileWriters": "2"} if by else {}  # else rows are sorted by ``by``
+    before = {k: spark.conf.get(k, None) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    try:
+        writer = df.write.option("compression", "zstd")
+        (writer.partitionBy(by) if by else writer).parquet(path)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written = path
+    return out
+
+
+def drop(table: DataFrame, part: str = "") -> None:
+    """Delete a table of ``table``, or one folder (``name=value``) of it, that nothing will read any more."""
+    jvm, conf = table.sparkSession._jvm, table.sparkSession._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(f"{table.written}/{part}".rstrip("/"))
+    path.getFileSystem(conf).delete(path, True)

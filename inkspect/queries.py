@@ -307,11 +307,10 @@ SELECT doc_id, sha256(replace(replace(text, 'the', 'Θ'), 'and', 'und')) AS fixe
 
 
 def fix_fixpoint(spark, sf_dir):
-    from .operators.fixes import fix
-    from .plans.store import table
+    from .operators.fixes import fix_terms
 
     rules = [r for r in active({"ja-prh": Setting(options={"terms": [{"expected": "aer", "pattern": "er"}, {"expected": "en", "pattern": "aae"}]})}, "ja") if r.id == "ja-prh"]
-    out = fix(PLAIN.docs(spark, sf_dir), lambda docs: lint_slices(plain_slices(docs), rules), table)
+    out = fix_terms(PLAIN.docs(spark, sf_dir), surface.compiled_terms(rules[0].options)[0])
     return out.select("doc_id", F.sha2("text", 256).alias("fixed_sha256"), "passes")
 
 
